@@ -19,7 +19,7 @@ def date_iso_prefix(c) -> Column:
 
 def date_dmy(c) -> Column:
     """``dd/MM/yyyy``; a bad row is null instead of failing the job."""
-    return F.try_to_date(col(c), F.lit("dd/MM/yyyy"))
+    return F.try_to_date(col(c), "dd/MM/yyyy")
 
 
 def date_two_formats(c) -> Column:
