@@ -18,13 +18,14 @@ def sum_money(c, scale: int = 2) -> Column:
     return F.sum(col(c).cast(f"decimal(18,{scale})")).cast("double")
 
 
-def avg_round(c, digits: int = 4) -> Column:
-    return F.round(F.avg(col(c).cast("decimal(18,2)")), digits).cast("double")
+def avg_round(c: str, digits: int = 4) -> Column:
+    """Mean of a 2-decimal measure rounded exactly (see ``exact_ratio_sql``)."""
+    return avg_exact(c, digits)
 
 
-def avg_coalesced(c, digits: int = 4) -> Column:
-    """agg_avg_coalesced: mean with nulls counted as zero."""
-    return F.round(F.avg(F.coalesce(col(c), F.lit(0)).cast("decimal(18,4)")), digits).cast("double")
+def avg_coalesced(c: str, digits: int = 4) -> Column:
+    """agg_avg_coalesced: mean with nulls counted as zero, rounded exactly."""
+    return avg_exact(c, digits, zero_null=True)
 
 
 def count_rows() -> Column:
@@ -57,10 +58,12 @@ def coalesce_max(a, b) -> Column:
 
 
 def gross_pay(*components) -> Column:
-    """Sum of components with nulls as zero (a fold of coalesce)."""
-    total = F.lit(0).cast("decimal(18,2)")
+    """Sum of components with nulls as zero (a fold of coalesce); the
+    components keep their own (exact decimal) types."""
+    total = None
     for c in components:
-        total = total + F.coalesce(col(c).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+        term = F.coalesce(col(c), F.lit(0))
+        total = term if total is None else total + term
     return total
 
 
@@ -77,3 +80,39 @@ def rollup_additive(mart: DataFrame, keys: Sequence[str], sums: Sequence[str]) -
     measures (sums, counts) may be rolled up; distinct counts and means must be
     recomputed from the fact (SURVEY 2.13-3)."""
     return mart.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def exact_ratio_sql(num_units: str, den: str, digits: int, unit_scale: int,
+                    dialect: str = "spark") -> str:
+    """``round(num / den, digits)`` computed exactly, half away from zero.
+
+    ``num_units`` is an integer-valued SQL expression (money already scaled by
+    10**unit_scale), ``den`` a count.  The division is an integer division, so
+    the rounding never depends on floating point or on the order in which
+    partial sums were merged; only the final result becomes a double.
+    """
+    a = f"(abs({num_units}) * {10 ** digits})"
+    b = f"({den} * {10 ** unit_scale})"
+    if dialect == "spark":
+        q = f"((2 * {a} + {b}) div (2 * nullif({b}, 0)))"
+        return f"cast(signum({num_units}) * {q} / {10 ** digits} as double)"
+    q = f"((2 * {a} + {b}) // (2 * nullif({b}, 0)))"
+    return f"cast(sign({num_units}) * {q} / {10 ** digits} as double)"
+
+
+def units_sum_sql(c: str, scale: int = 2, dialect: str = "spark", zero_null: bool = False) -> str:
+    """sum of ``c`` in integer units of 10**-scale (exact)."""
+    v = f"coalesce({c}, 0)" if zero_null else c
+    t = "decimal(38,0)" if dialect == "spark" else "hugeint"
+    return f"sum(cast(cast({v} as decimal(18,{scale})) * {10 ** scale} as {t}))"
+
+
+def avg_exact_sql(c: str, digits: int = 4, scale: int = 2, dialect: str = "spark",
+                  zero_null: bool = False) -> str:
+    """``round(avg(c), digits)`` exactly; ``zero_null`` counts nulls as 0."""
+    n = "count(*)" if zero_null else f"count({c})"
+    return exact_ratio_sql(units_sum_sql(c, scale, dialect, zero_null), n, digits, scale, dialect)
+
+
+def avg_exact(c: str, digits: int = 4, scale: int = 2, zero_null: bool = False) -> Column:
+    return F.expr(avg_exact_sql(c, digits, scale, "spark", zero_null))

@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civitas.operators.aggregates import exact_ratio_sql
+
 REPORT_SCHEMA = "table_name string, column_name string, check_name string, severity string, failures bigint"
 
 
@@ -56,4 +58,4 @@ def dq_key_links(df: DataFrame, linked_id: str, by: Sequence[str] = ()) -> DataF
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.count(F.col(linked_id)).cast("bigint").alias("matched"),
-        F.round(F.avg(F.col(linked_id).isNotNull().cast("double")), 4).alias("match_rate"))
+        F.expr(exact_ratio_sql(f"count({linked_id})", "count(*)", 4, 0)).alias("match_rate"))

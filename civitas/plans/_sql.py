@@ -12,3 +12,8 @@ def norm_sql(c: str) -> str:
 
 def money_sum(c: str) -> str:
     return f"cast(sum(cast({c} as decimal(18,2))) as double)"
+
+
+def avg4(c: str, digits: int = 4, scale: int = 2, zero_null: bool = False) -> str:
+    from civitas.operators.aggregates import avg_exact_sql
+    return avg_exact_sql(c, digits, scale, "duckdb", zero_null)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civitas.functions import normalize_name_sql, upper_trim
-from civitas.operators.aggregates import count_rows, sum_money
+from civitas.operators.aggregates import avg_round, count_rows, exact_ratio_sql, sum_money
 from civitas.operators.analytics import kpis_latest_period
 from civitas.operators.dedup import dedup_on_keys, earliest_per_key, latest_per_key
 from civitas.operators.link import (broadcast_if_small, join_crossref, join_left_dim,
                                     join_on_derived_key, join_priority_fallback,
                                     unique_registry)
 from civitas.operators.quality import dq_key_links
-from civitas.plans._sql import money_sum, norm_sql
+from civitas.plans._sql import avg4, money_sum, norm_sql
 from civitas.plans.registry import register
 from civitas.sources.tables import table
 
@@ -162,9 +162,9 @@ l as (select c.c_mktsegment, nu.nk as nk_upper, nn.nk as nk_norm
              left join nn on nullif({norm_sql('c.declarado')}, '') = nn.k)
 select c_mktsegment,
        count(*) as n, count(nk_upper) as matched_upper,
-       round(avg(case when nk_upper is not null then 1.0 else 0.0 end), 4) as match_rate_upper,
+       {exact_ratio_sql("count(nk_upper)", "count(*)", 4, 0, "duckdb")} as match_rate_upper,
        count(nk_norm) as matched_norm,
-       round(avg(case when nk_norm is not null then 1.0 else 0.0 end), 4) as match_rate_norm
+       {exact_ratio_sql("count(nk_norm)", "count(*)", 4, 0, "duckdb")} as match_rate_norm
 from l group by 1
 """)
 def q_name_link(spark, d):
@@ -277,7 +277,7 @@ def q_crossref(spark, d):
 @register("q_semi_latest", f"""
 with o as (select *, year(o_orderdate) as ano, month(o_orderdate) as mes from orders)
 select ano, mes, count(*) as n_pedidos, {money_sum('o_totalprice')} as total,
-       round(avg(cast(o_totalprice as decimal(18,2))), 4) as ticket_medio,
+       {avg4('o_totalprice')} as ticket_medio,
        max(o_totalprice) as maior, count(distinct o_custkey) as n_clientes
 from o where (ano, mes) in (select (ano, mes) from o order by ano desc, mes desc limit 1)
 group by ano, mes
@@ -289,7 +289,6 @@ def q_semi_latest(spark, d):
                                          "o_totalprice", "o_custkey")
     return kpis_latest_period(o, ["ano", "mes"], [
         count_rows().alias("n_pedidos"), sum_money("o_totalprice").alias("total"),
-        F.round(F.avg(F.col("o_totalprice").cast("decimal(18,2)")), 4).cast("double")
-        .alias("ticket_medio"),
+        avg_round("o_totalprice").alias("ticket_medio"),
         F.max("o_totalprice").alias("maior"),
         F.count_distinct("o_custkey").cast("bigint").alias("n_clientes")])
