@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civitas.operators.aggregates import count_if, count_rows, rate_pct
+from civitas.operators.aggregates import count_if, count_rows, exact_ratio_sql
 from civitas.operators.link import broadcast_if_small
 from civitas.operators.quantiles import exact_quantiles
 
@@ -54,15 +54,19 @@ def presence_scorecard(votes: DataFrame, member: Sequence[str]) -> DataFrame:
     absent) and the Chamber's (any of yes / no / present-without-vote)."""
     a, n = F.col("voto_afirmativo"), F.col("voto_negativo")
     p, aus = F.col("presente_sem_voto"), F.col("ausente")
+    # round(100 * x / n, 1), computed exactly (integer division, half up)
+    present = exact_ratio_sql("sum(case when not ausente then 1 else 0 end) * 100", "count(*)", 1, 0)
+    any_flag = exact_ratio_sql(
+        "sum(case when voto_afirmativo or voto_negativo or presente_sem_voto then 1 else 0 end)"
+        " * 100", "count(*)", 1, 0)
     return votes.groupBy(*member).agg(
         count_rows().alias("total_votacoes"),
         F.sum(F.when(a, 1).otherwise(0)).cast("bigint").alias("total_sim"),
         F.sum(F.when(n, 1).otherwise(0)).cast("bigint").alias("total_nao"),
         F.sum(F.when(p, 1).otherwise(0)).cast("bigint").alias("total_abstencao"),
         F.sum(F.when(aus, 1).otherwise(0)).cast("bigint").alias("total_ausente"),
-        rate_pct(F.sum(F.when(~aus, 1).otherwise(0)), F.count(F.lit(1))).alias("taxa_presenca"),
-        rate_pct(F.sum(F.when(a | n | p, 1).otherwise(0)), F.count(F.lit(1)))
-        .alias("taxa_presenca_qualquer"))
+        F.expr(present).alias("taxa_presenca"),
+        F.expr(any_flag).alias("taxa_presenca_qualquer"))
 
 
 def deliberation_timeline(votes: DataFrame, bill: Sequence[str], session: str,
@@ -99,7 +103,8 @@ def timeline_summary(timeline: DataFrame, kind: str, id_col: str, min_n: int = 5
     multi = F.col("num_sessoes") > 1
     base = timeline.groupBy(kind).agg(
         count_rows().alias("num_materias"),
-        F.round(F.avg(days), 1).alias("media_dias"),
+        F.expr(exact_ratio_sql("sum(dias_deliberacao)", "count(dias_deliberacao)", 1, 0))
+        .alias("media_dias"),
         F.max(days).alias("max_dias"),
         count_if(multi).alias("multi_sessao"),
         F.max_by(F.col(id_col), F.struct(days, -F.col(id_col))).alias("mais_demorada"),

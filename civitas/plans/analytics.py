@@ -1 +1,206 @@
-"""placeholder"""
+"""Analytical composites over votes, timelines and outliers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from civitas.functions import vote_flags
+from civitas.operators.aggregates import count_rows, exact_ratio_sql
+from civitas.operators.analytics import (deliberation_timeline, divisive, outlier_iqr,
+                                         outlier_median_ratio, presence_scorecard,
+                                         salary_distribution, timeline_summary)
+from civitas.operators.link import join_left_dim
+from civitas.operators.topk import topn
+from civitas.plans.clean import EVENT_VOTE
+from civitas.plans.registry import register
+from civitas.sources.tables import table
+
+
+def _x(num, den, digits, scale=0):
+    return exact_ratio_sql(num, den, digits, scale, "duckdb")
+
+
+@register("q_presence", f"""
+with v as (select user_id,
+  coalesce(trim(event_type) = 'click', false) as voto_afirmativo,
+  coalesce(trim(event_type) = 'view', false) as voto_negativo,
+  coalesce(trim(event_type) in ('error'), false) as ausente,
+  coalesce(trim(event_type) in ('signup'), false) as presente_sem_voto
+  from events)
+select user_id, count(*) as total_votacoes,
+  sum(case when voto_afirmativo then 1 else 0 end) as total_sim,
+  sum(case when voto_negativo then 1 else 0 end) as total_nao,
+  sum(case when presente_sem_voto then 1 else 0 end) as total_abstencao,
+  sum(case when ausente then 1 else 0 end) as total_ausente,
+  {_x("sum(case when not ausente then 1 else 0 end) * 100", "count(*)", 1)} as taxa_presenca,
+  {_x("sum(case when voto_afirmativo or voto_negativo or presente_sem_voto then 1 else 0 end) * 100", "count(*)", 1)} as taxa_presenca_qualquer
+from v group by user_id
+""")
+def q_presence(spark, d):
+    """presence_scorecard for all members at once, agg_rate_pct (both
+    chambers' presence definitions)."""
+    e = table(spark, d, "events").select("user_id", "event_type")
+    flags = vote_flags("event_type", **EVENT_VOTE)
+    votes = e.select("user_id", *[v.alias(k) for k, v in flags.items()])
+    return presence_scorecard(votes, ["user_id"])
+
+
+@register("q_session_dedup", """
+select date_trunc('hour', ts) as sessao, count(*) as n_eventos, count(distinct user_id) as n_membros,
+       max(value) as valor_max, max(event_type) as tipo, max(props) as props
+from events group by 1
+order by sessao desc limit 50
+""")
+def q_session_dedup(spark, d, n: int = 50):
+    """agg_session_dedup (repeated session attributes collapsed by max — the
+    repeatable form of any_value) + topn_recent: the latest n sessions."""
+    e = table(spark, d, "events")
+    s = e.groupBy(F.date_trunc("hour", "ts").alias("sessao")).agg(
+        count_rows().alias("n_eventos"),
+        F.count_distinct("user_id").cast("bigint").alias("n_membros"),
+        F.max("value").alias("valor_max"), F.max("event_type").alias("tipo"),
+        F.max("props").alias("props"))
+    return topn(s, [F.col("sessao").desc()], n)
+
+
+_TIMELINE_SQL = """
+with v as (select l.l_partkey, p.p_type, l.l_orderkey, cast(l.l_shipdate as date) as data,
+                  l.l_returnflag, cast(l.l_quantity as integer) as sim,
+                  cast(floor(l.l_discount * 100) as integer) as nao
+           from lineitem l left join part p on l.l_partkey = p.p_partkey),
+s as (select p_type, l_partkey, l_orderkey, max(data) as data_sessao, max(l_returnflag) as resultado,
+             max(sim) as votos_sim, max(nao) as votos_nao
+      from v group by 1, 2, 3),
+t as (select p_type as sigla_materia, l_partkey as materia_identificacao,
+             count(distinct l_orderkey) as num_sessoes,
+             min(data_sessao) as primeira_sessao, max(data_sessao) as ultima_sessao,
+             datediff('day', min(data_sessao), max(data_sessao)) as dias_deliberacao,
+             first(resultado order by data_sessao desc, l_orderkey desc) as resultado_final,
+             max(votos_sim) as max_sim, max(votos_nao) as max_nao,
+             abs(max(votos_sim) - max(votos_nao)) as margem
+      from s where p_type is not null and l_partkey is not null group by 1, 2)"""
+
+
+def _timeline(spark, d):
+    li = table(spark, d, "lineitem")
+    p = table(spark, d, "part").select("p_partkey", "p_type")
+    v = join_left_dim(li, p, li.l_partkey == p.p_partkey).select(
+        F.col("p_type").alias("sigla_materia"), F.col("l_partkey").alias("materia_identificacao"),
+        "l_orderkey", F.col("l_shipdate").cast("date").alias("data"), "l_returnflag",
+        F.col("l_quantity").cast("int").alias("sim"),
+        F.floor(F.col("l_discount") * 100).cast("int").alias("nao"))
+    return deliberation_timeline(v, ["sigla_materia", "materia_identificacao"], "l_orderkey",
+                                 "data", "l_returnflag", "sim", "nao")
+
+
+@register("q_timeline", _TIMELINE_SQL + "\nselect * from t")
+def q_timeline(spark, d):
+    """deliberation_timeline / agg_span_days / agg_last_by_order /
+    date_diff_days: bill = part, session = order, vote date = ship date."""
+    return _timeline(spark, d)
+
+
+@register("q_timeline_summary", _TIMELINE_SQL + f"""
+select sigla_materia, count(*) as num_materias,
+  {_x("sum(dias_deliberacao)", "count(dias_deliberacao)", 1)} as media_dias,
+  max(dias_deliberacao) as max_dias,
+  count(case when num_sessoes > 1 then 1 end) as multi_sessao,
+  first(materia_identificacao order by dias_deliberacao desc, materia_identificacao asc) as mais_demorada,
+  first(materia_identificacao order by dias_deliberacao asc, materia_identificacao asc)
+      filter (where num_sessoes > 1) as mais_rapida_multi,
+  median(dias_deliberacao) as mediana_dias
+from t group by 1 having count(*) >= 5
+""")
+def q_timeline_summary(spark, d):
+    """timeline_summary, agg_median_group (exact, skew-safe), agg_having_min_n,
+    spotlight_extremes (argmax / argmin in the same aggregate)."""
+    return timeline_summary(_timeline(spark, d), "sigla_materia", "materia_identificacao", 5)
+
+
+@register("q_divisive", """
+with s as (select date_trunc('hour', ts) as sessao,
+                  count(case when event_type = 'click' then 1 end) as sim,
+                  count(case when event_type = 'view' then 1 end) as nao,
+                  max(event_type) as resultado
+           from events group by 1),
+t as (select strftime(sessao, '%a') as sigla_materia, cast(sessao as date) as materia_identificacao,
+             count(distinct sessao) as num_sessoes,
+             min(cast(sessao as date)) as primeira_sessao, max(cast(sessao as date)) as ultima_sessao,
+             datediff('day', min(cast(sessao as date)), max(cast(sessao as date))) as dias_deliberacao,
+             first(resultado order by cast(sessao as date) desc, sessao desc) as resultado_final,
+             max(sim) as max_sim, max(nao) as max_nao, abs(max(sim) - max(nao)) as margem
+      from s group by 1, 2)
+select * from t
+where margem is not null and margem <= 10 and max_sim is not null and max_nao is not null
+order by margem asc, materia_identificacao asc limit 30
+""")
+def q_divisive(spark, d):
+    """divisive_votes / filter_close_margin: hourly sessions of events are
+    votes (yes = clicks, no = views) on a daily "bill"; the 30 closest."""
+    e = table(spark, d, "events")
+    s = e.groupBy(F.date_trunc("hour", "ts").alias("sessao")).agg(
+        F.count_if(F.col("event_type") == "click").cast("bigint").alias("sim"),
+        F.count_if(F.col("event_type") == "view").cast("bigint").alias("nao"),
+        F.max("event_type").alias("resultado"))
+    v = s.select(F.date_format("sessao", "EEE").alias("sigla_materia"),
+                 F.col("sessao").cast("date").alias("materia_identificacao"),
+                 "sessao", F.col("sessao").cast("date").alias("data"), "resultado", "sim", "nao")
+    t = deliberation_timeline(v, ["sigla_materia", "materia_identificacao"], "sessao", "data",
+                              "resultado", "sim", "nao")
+    return divisive(t, "materia_identificacao", 10, 30)
+
+
+_NEAREST_SQL = """
+r as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as rn,
+             count(*) over (partition by event_type) as n from events where value is not null),
+q as (select event_type, max(n) as n,
+             max(case when rn = round(0.25 * (n - 1)) then value end) as q1,
+             max(case when rn = round(0.75 * (n - 1)) then value end) as q3
+      from r group by 1),
+m as (select event_type, median(value) as mediana_grupo from events group by 1),
+st as (select q.event_type, q.n, q.q1, q.q3, m.mediana_grupo, q.q3 + 1.5 * (q.q3 - q.q1) as limite_iqr
+       from q join m on q.event_type = m.event_type where q.n >= 4)"""
+
+
+@register("q_outlier_iqr", f"""
+with {_NEAREST_SQL}
+select e.event_id, e.event_type, e.user_id, e.value, st.mediana_grupo, st.limite_iqr,
+       e.value - st.mediana_grupo as desvio_mediana
+from events e join st on e.event_type = st.event_type
+where e.value > st.limite_iqr
+""")
+def q_outlier_iqr(spark, d):
+    """outlier_iqr / agg_quantile_nearest: values above Q3 + 1.5 IQR per
+    event type (groups of >= 4), nearest-rank quartiles, interpolated median."""
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id", "value")
+    out = outlier_iqr(e, ["event_type"], "value", min_n=4, k=1.5, quantile_method="nearest")
+    return out.select("event_id", "event_type", "user_id", "value", "mediana_grupo",
+                      "limite_iqr", "desvio_mediana")
+
+
+@register("q_salary_distribution", """
+select event_type, count(value) as n,
+       quantile_cont(value, 0.0) as minimo, quantile_cont(value, 0.25) as q1,
+       quantile_cont(value, 0.5) as mediana, quantile_cont(value, 0.75) as q3,
+       quantile_cont(value, 1.0) as maximo
+from events group by 1
+""")
+def q_salary_distribution(spark, d):
+    """salary_distribution: five-number summary per group (exact)."""
+    e = table(spark, d, "events").select("event_type", "value")
+    return salary_distribution(e, ["event_type"], "value")
+
+
+@register("q_outlier_median", """
+with m as (select user_id, median(value) as mediana_cat from events group by 1)
+select e.event_id, e.user_id, e.event_type, e.value, m.mediana_cat, e.value / m.mediana_cat as razao_mediana
+from events e left join m on e.user_id = m.user_id
+where e.value / m.mediana_cat > 3.0
+""")
+def q_outlier_median(spark, d):
+    """outlier_median_ratio / join_group_stat_back: value more than 3x its
+    member's median, on all rows (no row cap)."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    out = outlier_median_ratio(e, ["user_id"], "value", 3.0)
+    return out.select("event_id", "user_id", "event_type", "value", "mediana_cat",
+                      "razao_mediana")
