@@ -1 +1,240 @@
-"""placeholder"""
+"""Ingestion queries: files written from the test tables into the shared work
+folder, then read back through the library's readers (SURVEY 2.1, 2.2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from civitas.functions import (brl_to_decimal, date_dmy, id_to_text, safe_int)
+from civitas.operators.aggregates import count_rows
+from civitas.operators.link import broadcast_if_small, join_counts_zero_fill
+from civitas.plans.registry import register
+from civitas.session import work_dir
+from civitas.sources.csv_bulk import (bom_header_clean, conform_schema, scan_csv_headered,
+                                      inject_period, null_tokens, path_value, read_seed,
+                                      rename_if_present, route_files_by_kind, scan_csv_bulk,
+                                      scan_csv_skip_banner, text_schema)
+from civitas.sources.json_records import (JSON_OPTS, parse_records, scan_json_lines,
+                                          singleton_to_list)
+from civitas.sources.tables import table
+
+# ---------------------------------------------------------------- JSON ----
+
+RECORD_SCHEMA = ("codigo bigint, membro struct<id: bigint, partido: string, nome: string>, "
+                 "periodos array<struct<inicio: timestamp_ntz, fim: timestamp_ntz>>")
+
+
+def _raw_event_json(e):
+    """The API-shaped payload of an event: nested member, two period
+    sub-structs, and a child that is one object (even ids) or a list."""
+    member = F.to_json(F.struct(F.col("user_id").alias("id"),
+                                F.col("event_type").alias("partido")))
+    none = F.lit(None).cast("timestamp_ntz")
+    periods = F.to_json(F.array(F.struct(F.col("ts").alias("inicio"), none.alias("fim")),
+                                F.struct(none.alias("inicio"),
+                                         (F.col("ts") + F.expr("interval 1 hour")).alias("fim"))),
+                        JSON_OPTS)
+    child = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(
+        F.concat(F.lit("["), F.col("props"), F.lit(","), F.col("props"), F.lit("]")))
+    return F.concat(F.lit('{"codigo":'), F.col("event_id").cast("string"),
+                    F.lit(',"membro":'), member, F.lit(',"periodos":'), periods,
+                    F.lit(',"filhos":'), child, F.lit(',"props":'), F.col("props"), F.lit("}"))
+
+
+@register("q_json_flatten", """
+select event_id as codigo, cast(user_id as varchar) as membro_id, event_type as partido,
+       cast(null as varchar) as nome, ts as inicio, ts + interval 1 hour as fim,
+       case when event_id % 2 = 0 then 1 else 2 end as n_filhos,
+       cast(json_extract(props, '$.k') as integer) * (case when event_id % 2 = 0 then 1 else 2 end) as soma_k,
+       try_cast(json_extract_string(props, '$.k') as integer) as k
+from events
+""")
+def q_json_flatten(spark, d):
+    """scan_json_records / flatten_struct / flatten_two_period_span /
+    singleton_to_list / id_to_text / safe_int / flat_record over JSON lines
+    written from the events table."""
+    path = work_dir(spark, "json-events")
+    table(spark, d, "events").select(_raw_event_json(table(spark, d, "events")).alias("v")) \
+        .write.mode("overwrite").text(path)
+    raw = parse_records(scan_json_lines(spark, path), "json", RECORD_SCHEMA)
+    filhos = singleton_to_list("json", "$.filhos", "struct<k: int>")
+    return raw.select(
+        F.col("r.codigo").alias("codigo"),
+        id_to_text("r.membro.id").alias("membro_id"),
+        F.col("r.membro.partido").alias("partido"),
+        F.col("r.membro.nome").alias("nome"),
+        F.col("r.periodos")[0]["inicio"].alias("inicio"),
+        F.col("r.periodos")[1]["fim"].alias("fim"),
+        F.size(filhos).alias("n_filhos"),
+        F.aggregate(filhos, F.lit(0), lambda acc, x: acc + x["k"]).alias("soma_k"),
+        safe_int(F.get_json_object("json", "$.props.k")).alias("k"))
+
+
+TURN_SCHEMA = "conv bigint, turn bigint, linhas array<string>"
+
+
+@register("q_json_explode", """
+select conv_id, turn, role, i - 1 as line_no, string_split(text, chr(10))[i] as linha,
+       len(string_split(text, chr(10))) as n_linhas
+from conversations, range(1, len(string_split(text, chr(10))) + 1) t(i)
+""")
+def q_json_explode(spark, d):
+    """split_parent_child (one parse -> a turn table and a line table),
+    explode_children (parent key injected), inject_context (the role comes
+    from the folder the record was written to)."""
+    path = work_dir(spark, "json-conv")
+    conv = table(spark, d, "conversations")
+    (conv.select("role", F.to_json(F.struct(F.col("conv_id").alias("conv"), "turn",
+                                            F.split("text", "\n", -1).alias("linhas"))).alias("v"))
+         .write.mode("overwrite").partitionBy("role").text(path))
+    parsed = parse_records(scan_json_lines(spark, path), "json", TURN_SCHEMA)
+    parsed = parsed.select(F.col("r.conv").alias("conv_id"), F.col("r.turn").alias("turn"),
+                           path_value("role").alias("role"), F.col("r.linhas").alias("linhas"))
+    # two outputs from one parse, both written (parent / child tables)
+    parent_path, child_path = path + "-turns", path + "-lines"
+    parsed.select("conv_id", "turn", "role", F.size("linhas").alias("n_linhas")) \
+        .write.mode("overwrite").parquet(parent_path)
+    parsed.select("conv_id", "turn", F.posexplode("linhas").alias("line_no", "linha")) \
+        .write.mode("overwrite").parquet(child_path)
+    parent = spark.read.parquet(parent_path)
+    child = spark.read.parquet(child_path)
+    return (child.join(parent, ["conv_id", "turn"])
+                 .select("conv_id", "turn", "role", F.col("line_no").cast("bigint").alias("line_no"),
+                         "linha", F.col("n_linhas").cast("bigint").alias("n_linhas")))
+
+
+# ----------------------------------------------------------------- CSV ----
+
+CSV_TARGET = StructType([StructField(n, StringType(), True) for n in
+                         ["ID_PEDIDO", "CLIENTE", "SITUACAO", "VALOR", "DATA"]])
+BANNER = "Relatório de pedidos"
+NEW_ID, OLD_ID = "ID_PEDIDO", "ORDERKEY"
+
+
+def _write_bulk_csv(spark, d, root):
+    """Fixture files derived from orders: even keys as UTF-8 per-state files
+    with a BOM'd, padded header (two id spellings) plus a national file that
+    repeats every row; odd keys as ISO-8859-1 files with a banner line."""
+    o = table(spark, d, "orders")
+    rows = o.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.col("o_custkey").cast("string").alias("cliente"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("#NULO#"))
+         .otherwise(F.col("o_orderstatus")).alias("situacao"),
+        F.translate(F.format_number("o_totalprice", 2), ",.", ".,").alias("valor"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("data"),
+        F.col("o_orderpriority").alias("uf"), (F.col("o_orderkey") % 2).alias("par"))
+    even = rows.where(F.col("par") == 0)
+    for id_name, prios in ((NEW_ID, ["1-URGENT", "2-HIGH"]),
+                           (OLD_ID, ["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])):
+        part = even.where(F.col("uf").isin(*prios))
+        names = ["﻿" + id_name, ' "CLIENTE" ', "SITUACAO", "VALOR", "DATA "]
+        (part.select(F.col("id").alias(names[0]), F.col("cliente").alias(names[1]),
+                     F.col("situacao").alias(names[2]), F.col("valor").alias(names[3]),
+                     F.col("data").alias(names[4]), "uf")
+             .write.mode("append").option("sep", ";").option("header", "true").option("escape", '"')
+             .partitionBy("uf").csv(f"{root}/kind=estado"))
+    (even.select(F.col("id").alias(NEW_ID), F.col("cliente").alias("CLIENTE"),
+                 F.col("situacao").alias("SITUACAO"), F.col("valor").alias("VALOR"),
+                 F.col("data").alias("DATA"), F.lit("BR_BRASIL").alias("uf"))
+         .write.mode("append").option("sep", ";").option("header", "true").option("escape", '"')
+         .partitionBy("uf").csv(f"{root}/kind=estado"))
+    odd = rows.where(F.col("par") == 1)
+    cols = ["id", "cliente", "situacao", "valor", "data"]
+    banner = odd.select("uf").distinct().select(
+        F.lit(BANNER + " — emitido pelo órgão").alias("id"),
+        *[F.lit(None).cast("string").alias(c) for c in cols[1:]], "uf", F.lit(0).alias("ord"))
+    header = odd.select("uf").distinct().select(
+        F.lit(OLD_ID).alias("id"), F.lit("CLIENTE").alias("cliente"),
+        F.lit("SITUACAO").alias("situacao"), F.lit("VALOR").alias("valor"),
+        F.lit("DATA").alias("data"), "uf", F.lit(1).alias("ord"))
+    body = odd.select(*cols, "uf", F.lit(2).alias("ord"))
+    (banner.unionByName(header).unionByName(body)
+           .repartition("uf").sortWithinPartitions("uf", "ord")
+           .drop("ord").write.mode("append").option("sep", ";").option("header", "false")
+           .option("encoding", "ISO-8859-1").partitionBy("uf").csv(f"{root}/kind=banner"))
+
+
+@register("q_csv_roundtrip", """
+select o_orderkey, o_custkey, nullif(o_orderstatus, 'P') as o_orderstatus,
+       cast(cast(o_totalprice as decimal(18,2)) as double) as o_totalprice,
+       cast(o_orderdate as date) as o_orderdate, o_orderpriority,
+       year(o_orderdate) as ano,
+       case when o_orderkey % 2 = 0 then 'estado' else 'banner' end as kind
+from orders
+""")
+def q_csv_roundtrip(spark, d):
+    """scan_csv_bulk, scan_csv_skip_banner, scan_csv_multi_part (national
+    file excluded), route_files_by_kind, bom_header_clean, rename_if_present
+    (two id spellings), conform_schema, inject_period, null tokens."""
+    root = work_dir(spark, "csv-orders")
+    _write_bulk_csv(spark, d, root)
+
+    def read_estado():
+        # one glob over every per-state file; the national aggregate is
+        # skipped by its path, each file's own header names its columns
+        df = scan_csv_headered(
+            spark, f"{root}/kind=estado/*", 5,
+            {"ID_PEDIDO": [NEW_ID, OLD_ID], "CLIENTE": ["CLIENTE"], "SITUACAO": ["SITUACAO"],
+             "VALOR": ["VALOR"], "DATA": ["DATA"]},
+            id_spellings=[NEW_ID, OLD_ID], exclude_pattern=r"_BRASIL")
+        return df.withColumn("UF", path_value("uf", F.col("__file"))).drop("__file")
+
+    def read_estado_by_header():
+        # the same files read through Spark's header option, one group per
+        # header spelling: bom_header_clean + rename_if_present + conform
+        parts = []
+        for prios in (["1-URGENT", "2-HIGH"], ["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]):
+            paths = [f"{root}/kind=estado/uf={p}" for p in prios]
+            df = bom_header_clean(scan_csv_bulk(spark, paths, None, ";", "UTF-8", header=True)
+                                  .select("*", path_value("uf").alias("__UF")))
+            parts.append(rename_if_present(df, {"ID_PEDIDO": [NEW_ID, OLD_ID], "CLIENTE": "CLIENTE",
+                                                "SITUACAO": "SITUACAO", "VALOR": "VALOR",
+                                                "DATA": "DATA", "UF": "__UF"}))
+        out = parts[0].unionByName(parts[1], allowMissingColumns=True)
+        return conform_schema(out, StructType(CSV_TARGET.fields + [StructField("UF", StringType())]))
+
+    def read_banner():
+        df = scan_csv_skip_banner(spark, f"{root}/kind=banner/*", list(CSV_TARGET.fieldNames()),
+                                  BANNER, ";", "ISO-8859-1", header_values=[NEW_ID, OLD_ID])
+        return df.withColumn("UF", path_value("uf"))
+
+    both = route_files_by_kind({"estado": read_estado, "banner": read_banner})
+    both = null_tokens(both, ["SITUACAO"])
+    typed = both.select(
+        F.col("ID_PEDIDO").try_cast("bigint").alias("o_orderkey"),
+        F.col("CLIENTE").try_cast("bigint").alias("o_custkey"),
+        F.col("SITUACAO").alias("o_orderstatus"),
+        brl_to_decimal("VALOR", 18, 2).cast("double").alias("o_totalprice"),
+        date_dmy("DATA").alias("o_orderdate"),
+        F.col("UF").alias("o_orderpriority"), "kind")
+    return inject_period(typed, "ano", from_col="o_orderdate").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+        "o_orderpriority", "ano", "kind")
+
+
+REGION_SEED = StructType([StructField("r_regionkey", IntegerType()),
+                          StructField("r_name", StringType())])
+
+
+@register("q_party_counts", """
+with cnt as (select s_nationkey, count(*) as n_fornecedores from supplier group by 1)
+select r.r_name as regiao, n.n_name as nacao, coalesce(cnt.n_fornecedores, 0) as n_fornecedores
+from nation n left join region r on n.n_regionkey = r.r_regionkey
+left join cnt on n.n_nationkey = cnt.s_nationkey
+""")
+def q_party_counts(spark, d):
+    """scan_csv_seed (region written as a CSV seed, read with its schema),
+    join_counts_zero_fill (nations without suppliers count 0),
+    agg_distribution_by_type / agg_group_ordinal (explicit group columns)."""
+    seed = work_dir(spark, "seed-region")
+    table(spark, d, "region").write.mode("overwrite").option("header", "true").csv(seed)
+    region = read_seed(spark, seed, REGION_SEED)
+    n = table(spark, d, "nation")
+    counts = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")) \
+        .agg(count_rows().alias("n_fornecedores"))
+    nat = n.join(broadcast_if_small(region), n.n_regionkey == region.r_regionkey, "left")
+    out = join_counts_zero_fill(nat, counts, "n_nationkey", ["n_fornecedores"])
+    return out.select(F.col("r_name").alias("regiao"), F.col("n_name").alias("nacao"),
+                      "n_fornecedores")
