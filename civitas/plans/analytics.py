@@ -9,7 +9,8 @@ from civitas.operators.aggregates import count_rows, exact_ratio_sql
 from civitas.operators.analytics import (deliberation_timeline, divisive, outlier_iqr,
                                          outlier_median_ratio, presence_scorecard,
                                          salary_distribution, timeline_summary)
-from civitas.operators.link import join_left_dim
+from civitas.functions.text import upper_safe
+from civitas.operators.link import broadcast_if_small, join_left_dim
 from civitas.operators.topk import topn
 from civitas.plans.clean import EVENT_VOTE
 from civitas.plans.registry import register
@@ -204,3 +205,62 @@ def q_outlier_median(spark, d):
     out = outlier_median_ratio(e, ["user_id"], "value", 3.0)
     return out.select("event_id", "user_id", "event_type", "value", "mediana_cat",
                       "razao_mediana")
+
+
+EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+LICENSE_RE = r"(MIT|Apache|GNU General Public) License"
+
+
+@register("q_search", f"""
+with src as (select d.source, max(l.quality) as q_fonte
+             from documents d join labels l on d.doc_id = l.doc_id
+             where d.source is not null and d.source <> '' group by 1),
+x as (select d.doc_id, d.lang, d.source, l.quality as q_id,
+             regexp_matches(d.text, '{EMAIL_RE}') as tem_email,
+             upper(d.text) like '%LICENSE%' as tem_licenca,
+             nullif(regexp_extract(d.text, '{LICENSE_RE}', 1), '') as licenca
+      from documents d left join labels l on d.doc_id = l.doc_id)
+select x.doc_id, x.lang, x.tem_email, x.tem_licenca, x.licenca,
+       coalesce(x.q_id, src.q_fonte) as qualidade,
+       case when x.q_id is not null then 'id' when src.q_fonte is not null then 'nome' end as origem
+from x left join src on x.q_id is null and x.source = src.source
+""")
+def q_search(spark, d):
+    """search_text_ci (case-insensitive literal), search_regex (emails,
+    license names) over whole texts, name_fallback_lookup: the label by
+    document id, else by the document's source name (second join only for
+    the unmatched rows, the registry unique per name)."""
+    docs = table(spark, d, "documents")
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("q_id"))
+    src = (docs.select("doc_id", "source").join(labels, "doc_id")
+               .where(F.col("source").isNotNull() & (F.col("source") != ""))
+               .groupBy("source").agg(F.max("q_id").alias("q_fonte")))
+    x = docs.join(labels, "doc_id", "left").select(
+        "doc_id", "lang", "source", "q_id",
+        F.col("text").rlike(EMAIL_RE).alias("tem_email"),
+        upper_safe("text").contains("LICENSE").alias("tem_licenca"),
+        F.nullif(F.regexp_extract("text", LICENSE_RE, 1), F.lit("")).alias("licenca"))
+    j = x.join(broadcast_if_small(src), F.col("q_id").isNull() & (x.source == src.source), "left")
+    return j.select("doc_id", "lang", "tem_email", "tem_licenca", "licenca",
+                    F.coalesce("q_id", "q_fonte").alias("qualidade"),
+                    F.when(F.col("q_id").isNotNull(), "id")
+                     .when(F.col("q_fonte").isNotNull(), "nome").alias("origem"))
+
+
+@register("q_search_pages", f"""
+select page_id, url like 'https://%' as https, url like '%?%' as tem_query,
+       nullif(regexp_extract(url, '/([a-z]{{2}})/', 1), '') as idioma,
+       upper(html) like '%LICENSE%' as tem_licenca,
+       regexp_matches(html, '{EMAIL_RE}') as tem_email,
+       length(html) as tamanho
+from pages where url like 'http%'
+""".replace("{{", "{").replace("}}", "}"))
+def q_search_pages(spark, d):
+    """filter_like on URLs, search over the whole HTML of every page."""
+    p = table(spark, d, "pages").where(F.col("url").like("http%"))
+    return p.select("page_id", F.col("url").like("https://%").alias("https"),
+                    F.col("url").like("%?%").alias("tem_query"),
+                    F.nullif(F.regexp_extract("url", r"/([a-z]{2})/", 1), F.lit("")).alias("idioma"),
+                    upper_safe("html").contains("LICENSE").alias("tem_licenca"),
+                    F.col("html").rlike(EMAIL_RE).alias("tem_email"),
+                    F.length("html").cast("bigint").alias("tamanho"))
