@@ -39,7 +39,7 @@ def year_from_date_or_text(year_text, date_col) -> Column:
 
 
 def month_label(month) -> Column:
-    return F.element_at(F.array(*[F.lit(m) for m in MONTH_ABBR]), col(month).cast("int"))
+    return F.try_element_at(F.array(*[F.lit(m) for m in MONTH_ABBR]), col(month).cast("int"))
 
 
 def period_label(year, month) -> Column:

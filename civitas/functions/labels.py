@@ -15,7 +15,7 @@ def coalesce_label(c, label: str = "N/D") -> Column:
 def label_map(c, mapping: dict[str, str]) -> Column:
     """Short literal map (a handful of codes): code -> label, default the code."""
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return F.coalesce(F.element_at(m, col(c)), col(c))
+    return F.coalesce(F.try_element_at(m, col(c)), col(c))
 
 
 def lookup_label(spark: SparkSession, df: DataFrame, key_expr: Column,

@@ -120,20 +120,43 @@ def upsert_by_key(spark: SparkSession, batch: DataFrame, path: str, keys: Sequen
         touched = touched.union(target.join(batch_keys, keys, "left_semi").select(*partition_by))
     touched_vals = [tuple(r) for r in touched.distinct().collect()]
 
-    cond = F.lit(False)
-    for vals in touched_vals:
-        c = F.lit(True)
-        for name, v in zip(partition_by, vals):
-            c = c & (F.col(name).isNull() if v is None else (F.col(name) == F.lit(v)))
-        cond = cond | c
-    affected = schema_sync(target.where(cond), schema)
+    affected = schema_sync(target.where(_partition_condition(partition_by, touched_vals)), schema)
     merged = affected.join(batch_keys, keys, "left_anti").unionByName(batch)
 
     staged = work_dir(spark, "upsert-stage")
     write_parquet_keyed(merged, staged, [], partition_by, sort_by)
     restaged = spark.read.schema(schema).parquet(staged)
-    return write_parquet_keyed(restaged, path, [], partition_by, sort_by,
-                               mode="overwrite", dynamic=True)
+    written = restaged.select(*partition_by).distinct().collect()
+    emptied = set(touched_vals) - {tuple(r) for r in written}
+    n = write_parquet_keyed(restaged, path, [], partition_by, sort_by,
+                            mode="overwrite", dynamic=True)
+    if emptied:  # every row left these partitions (keys moved): drop their files
+        _remove_partition_files(spark, path, partition_by, emptied)
+    return n
+
+
+def _partition_condition(partition_by, values):
+    cond = F.lit(False)
+    for vals in values:
+        c = F.lit(True)
+        for name, v in zip(partition_by, vals):
+            c = c & (F.col(name).isNull() if v is None else (F.col(name) == F.lit(v)))
+        cond = cond | c
+    return cond
+
+
+def _remove_partition_files(spark: SparkSession, path: str, partition_by, values) -> None:
+    """Dynamic overwrite never touches a partition that receives no rows, so a
+    partition emptied by the merge is removed file by file.  Its files are
+    found through the file-path metadata column under the partition filter
+    (pruned to those partitions; no path-escaping rules copied)."""
+    files = [r[0] for r in read_target(spark, path)
+             .where(_partition_condition(partition_by, values))
+             .select(F.col("_metadata.file_path")).distinct().collect()]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(conf).delete(p, False)
 
 
 LEDGER_SCHEMA = "source string, watermark string, rows bigint, loaded_at timestamp"
