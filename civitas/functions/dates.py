@@ -55,3 +55,16 @@ def month_windows(start, end, as_of=None) -> Column:
     return F.transform(months, lambda m: F.struct(
         m.alias("month_start"),
         F.least(F.last_day(m), e, cap).alias("month_end")))
+
+
+def year_between(ts_col, first_year: int | None, last_year: int | None) -> Column:
+    """``year(ts) between a and b`` written as a range on the raw column, so
+    the predicate reaches the Parquet reader (row-group min/max skipping)
+    instead of being evaluated after the scan."""
+    c = col(ts_col)
+    cond = F.lit(True)
+    if first_year is not None:
+        cond = cond & (c >= F.lit(f"{first_year:04d}-01-01 00:00:00").cast("timestamp_ntz"))
+    if last_year is not None:
+        cond = cond & (c < F.lit(f"{last_year + 1:04d}-01-01 00:00:00").cast("timestamp_ntz"))
+    return cond

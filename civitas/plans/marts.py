@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civitas.functions import brl_to_decimal, coalesce_label, month_windows, period_label
+from civitas.functions.dates import year_between
 from civitas.operators.aggregates import (avg_coalesced, avg_round, exact_ratio_sql, coalesce_max, count_distinct_if,
                                           count_if, count_rows, gross_pay, rollup_additive,
                                           sum_if_money, sum_money, unpivot_components)
@@ -112,7 +113,7 @@ from orders where year(o_orderdate) between 1996 and 2000
 def q_agg_contracts(spark, d):
     """filter_between, sum_multi_row_amendment (sum of money parsed from
     text), agg_avg_max, agg_global_kpi (keyless aggregate) per status + total."""
-    o = table(spark, d, "orders").where(F.year("o_orderdate").between(1996, 2000))
+    o = table(spark, d, "orders").where(year_between("o_orderdate", 1996, 2000))
     o = o.withColumn("valor_texto", F.translate(F.format_number("o_totalprice", 2), ",.", ".,"))
     aggs = [count_rows().alias("n_contratos"),
             F.sum(brl_to_decimal("valor_texto", 18, 2)).cast("double").alias("total"),
@@ -196,7 +197,7 @@ limit 100
 def q_top_rows(spark, d, n: int = 100, descending: bool = True):
     """topn_rows / topn_within_filtered / rank_asc_or_desc / order_multi:
     the n largest receipts of a period, one label excluded, labels defaulted."""
-    li = table(spark, d, "lineitem").where(F.year("l_shipdate").between(1996, 2000)
+    li = table(spark, d, "lineitem").where(year_between("l_shipdate", 1996, 2000)
                                            & (F.col("l_returnflag") != "N"))
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     f = li.join(o, li.l_orderkey == o.o_orderkey, "left")
@@ -318,11 +319,7 @@ def q_geo(spark, d, year_from: int | None = 1996, year_to: int | None = 2000,
     """geo_rollup by supplier nation; filter_in_list (valid names, sentinels
     excluded, null-safe), filter_range_optional (either bound may be None),
     filter_multi_select (chained isin)."""
-    li = table(spark, d, "lineitem")
-    if year_from is not None:
-        li = li.where(F.year("l_shipdate") >= year_from)
-    if year_to is not None:
-        li = li.where(F.year("l_shipdate") <= year_to)
+    li = table(spark, d, "lineitem").where(year_between("l_shipdate", year_from, year_to))
     if flags:
         li = li.where(F.col("l_returnflag").isin(*flags))
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
