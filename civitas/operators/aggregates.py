@@ -91,11 +91,16 @@ def exact_ratio_sql(num_units: str, den: str, digits: int, unit_scale: int,
     the rounding never depends on floating point or on the order in which
     partial sums were merged; only the final result becomes a double.
     """
-    a = f"(abs({num_units}) * {10 ** digits})"
-    b = f"({den} * {10 ** unit_scale})"
     if dialect == "spark":
+        # per-row work stays in bigint; the once-per-group rounding is done in
+        # decimal(38,0) so scaling by 10**digits cannot overflow
+        n = f"cast({num_units} as decimal(38,0))"
+        a = f"(abs({n}) * {10 ** digits})"
+        b = f"(cast({den} as decimal(38,0)) * {10 ** unit_scale})"
         q = f"((2 * {a} + {b}) div (2 * nullif({b}, 0)))"
-        return f"cast(signum({num_units}) * {q} / {10 ** digits} as double)"
+        return f"cast(signum({n}) * {q} / {10 ** digits} as double)"
+    a = f"(abs({num_units}) * {10 ** digits})"
+    b = f"({den} * {10 ** unit_scale})"
     q = f"((2 * {a} + {b}) // (2 * nullif({b}, 0)))"
     return f"cast(sign({num_units}) * {q} / {10 ** digits} as double)"
 
@@ -103,7 +108,8 @@ def exact_ratio_sql(num_units: str, den: str, digits: int, unit_scale: int,
 def units_sum_sql(c: str, scale: int = 2, dialect: str = "spark", zero_null: bool = False) -> str:
     """sum of ``c`` in integer units of 10**-scale (exact)."""
     v = f"coalesce({c}, 0)" if zero_null else c
-    t = "decimal(38,0)" if dialect == "spark" else "hugeint"
+    # bigint per row (ANSI mode raises on overflow, it never wraps)
+    t = "bigint" if dialect == "spark" else "hugeint"
     return f"sum(cast(cast({v} as decimal(18,{scale})) * {10 ** scale} as {t}))"
 
 

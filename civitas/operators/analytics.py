@@ -22,10 +22,10 @@ def outlier_iqr(df: DataFrame, group: Sequence[str], value: str, min_n: int = 4,
     with the group median, the limit and the deviation from the median.
     Q1/Q3 use ``quantile_method`` (the reference's frame library defaults to
     nearest-rank); the median is the interpolated one."""
-    q = exact_quantiles(df, group, value, [0.25, 0.75], quantile_method, names=["q1", "q3"])
-    med = exact_quantiles(df, group, value, [0.5], "linear", names=["mediana_grupo"],
-                          with_count=False)
-    stats = (q.join(med, list(group)).where(F.col("n") >= min_n)
+    q = exact_quantiles(df, group, value, [0.25, 0.5, 0.75],
+                        [quantile_method, "linear", quantile_method],
+                        names=["q1", "mediana_grupo", "q3"])
+    stats = (q.where(F.col("n") >= min_n)
                .withColumn("limite_iqr", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))))
     return (df.join(broadcast_if_small(stats), list(group))
               .where(F.col(value) > F.col("limite_iqr"))

@@ -45,10 +45,11 @@ def _rank_exprs(p: float, method: str) -> tuple[Column, Column, Column]:
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
-                    probs: Sequence[float], method: str = "linear",
+                    probs: Sequence[float], method: str | Sequence[str] = "linear",
                     bins: int = 1024, names: Sequence[str] | None = None,
                     with_count: bool = True) -> DataFrame:
-    """One row per group: ``n`` plus one column per probability."""
+    """One row per group: ``n`` plus one column per probability.  ``method``
+    may be one name or one per probability (all share a single pass)."""
     group = list(group)
     if not group:  # global quantiles: one constant group
         out = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value, probs,
@@ -74,9 +75,10 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
     per_bin = per_bin.withColumn("__before", F.coalesce(F.sum("__bc").over(wb), F.lit(0)))
 
     # wanted ranks per group: (prob index, lo rank, hi rank, fraction)
+    methods = [method] * len(probs) if isinstance(method, str) else list(method)
     specs = []
-    for i, p in enumerate(probs):
-        lo, hi, frac = _rank_exprs(p, method)
+    for i, (p, m) in enumerate(zip(probs, methods)):
+        lo, hi, frac = _rank_exprs(p, m)
         specs.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"),
                               frac.alias("frac")))
     wanted = stats.select(*group, "__n", F.explode(F.array(*specs)).alias("__w")).select(

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -77,14 +78,19 @@ def union_schema(a: StructType, b: StructType) -> StructType:
 
 def write_parquet_keyed(df: DataFrame, path: str, keys: Sequence[str],
                         partition_by: Sequence[str] = (), sort_by: Sequence[str] = (),
-                        mode: str = "overwrite", dynamic: bool = False) -> int:
+                        mode: str = "overwrite", dynamic: bool = False,
+                        cluster: bool = True) -> int:
     """Dedup on the key (deterministic), cluster rows by partition, sort within
     files for min/max row-group skipping, write; returns the rows written
     (counted by an ``Observation`` riding the write, no second pass)."""
     out = dedup_on_keys(df, keys) if keys else df
-    if partition_by:
-        out = out.repartition(*partition_by)
-    if sort_by or partition_by:
+    if partition_by and cluster:
+        # range partitioning on (partition, sort key): rows of one partition
+        # land in few files, and a partition holding a third of the data is
+        # split over several tasks (hash on the partition column alone would
+        # give it a single task)
+        out = out.repartitionByRange(*partition_by, *(list(sort_by) or list(keys)))
+    if cluster and (sort_by or partition_by):
         out = out.sortWithinPartitions(*partition_by, *sort_by)
     obs = Observation("write_parquet_keyed")
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
@@ -107,11 +113,22 @@ def upsert_by_key(spark: SparkSession, batch: DataFrame, path: str, keys: Sequen
     with a key in the batch are replaced, new keys inserted, other rows kept.
     Returns the number of rows written to the touched partitions."""
     keys, partition_by = list(keys), list(partition_by)
-    batch = dedup_on_keys(batch, keys, prefer)
+    sort_by = list(sort_by) or keys
     target = read_target(spark, path)
     if target is None:
-        return write_parquet_keyed(batch, path, [], partition_by, sort_by)
+        return write_parquet_keyed(dedup_on_keys(batch, keys, prefer), path, [],
+                                   partition_by, sort_by)
+    # the deduplicated batch feeds three steps (touched partitions, merge,
+    # key list): keep it for the duration of this merge (memory and disk,
+    # recomputed from its lineage if an executor is lost)
+    batch = dedup_on_keys(batch, keys, prefer).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _merge(spark, batch, target, path, keys, partition_by, sort_by, keys_may_move)
+    finally:
+        batch.unpersist()
+
 
+def _merge(spark, batch, target, path, keys, partition_by, sort_by, keys_may_move) -> int:
     schema = union_schema(target.schema, batch.schema)
     batch = schema_sync(batch, schema)
     batch_keys = batch.select(*keys)
@@ -124,7 +141,9 @@ def upsert_by_key(spark: SparkSession, batch: DataFrame, path: str, keys: Sequen
     merged = affected.join(batch_keys, keys, "left_anti").unionByName(batch)
 
     staged = work_dir(spark, "upsert-stage")
-    write_parquet_keyed(merged, staged, [], partition_by, sort_by)
+    # the staged copy is written as it comes (no sampling pass over the merge
+    # plan); the final write clusters it, sampling the cheap Parquet copy
+    write_parquet_keyed(merged, staged, [], partition_by, sort_by, cluster=False)
     restaged = spark.read.schema(schema).parquet(staged)
     written = restaged.select(*partition_by).distinct().collect()
     emptied = set(touched_vals) - {tuple(r) for r in written}

@@ -75,7 +75,10 @@ def _land(events, landing, day_from, day_to, skip_existing_of=None, spark=None):
     if skip_existing_of is not None:
         existing = spark.read.schema(EVENTS_LANDING).parquet(skip_existing_of).select("dia").distinct()
         part = part.join(existing, "dia", "left_anti")
-    part.write.mode("append").partitionBy("dia").parquet(landing)
+    # a few files per period: range-partitioned on (period, id), so a busy
+    # day is still written by several tasks
+    part.repartitionByRange("dia", "event_id").write.mode("append") \
+        .partitionBy("dia").parquet(landing)
 
 
 @register("q_stream_upsert", """
@@ -92,7 +95,7 @@ def q_stream_upsert(spark, d):
     _land(ev, landing, 1, 20)
     _land(ev, landing, 15, 31)                                  # re-delivery: days 15-20 twice
     _land(ev, landing, 1, 31, skip_existing_of=landing, spark=spark)  # nothing new: skipped
-    stream = stream_period_files(spark, landing, EVENTS_LANDING, max_files_per_trigger=8)
+    stream = stream_period_files(spark, landing, EVENTS_LANDING, max_files_per_trigger=32)
     stream_upsert(spark, stream, target, ["event_id"], ["dia"], f"{root}/checkpoint")
     return read_target(spark, target).select("event_id", "ts", "user_id", "event_type", "value",
                                              "props", "dia")
@@ -112,7 +115,7 @@ def q_stream_monthly(spark, d, delay: str = "7 days"):
     ev = table(spark, d, "events")
     for lo in range(1, 32, 7):
         _land(ev, landing, lo, min(lo + 6, 31))
-    stream = stream_period_files(spark, landing, EVENTS_LANDING, max_files_per_trigger=7)
+    stream = stream_period_files(spark, landing, EVENTS_LANDING, max_files_per_trigger=16)
     # watermarks need TIMESTAMP; the session runs in UTC, so the wall clock is kept
     stream = stream.withColumn("ts_utc", F.col("ts").cast("timestamp"))
     agg = stream_event_time_agg(
