@@ -1,6 +1,8 @@
 """Column expressions: every function takes and returns a
 ``Column`` built from ``pyspark.sql.functions`` so it stays inside
-whole-stage codegen.  Nothing here is a Python UDF."""
+whole-stage codegen.  Nothing here is a Python UDF: the per-row Python
+helpers of the source (hash, classify, cap, mask, format — udf_rowwise) are
+all built-in expressions."""
 
 from civitas.functions.dates import (date_dmy, date_iso_prefix, date_two_formats,  # noqa: F401
                                      month_key, month_label, month_windows,

@@ -51,8 +51,9 @@ def current_watermark(spark: SparkSession, path: str, col: str, default: Any = N
 
 def watermark_filter(src: DataFrame, col: str, watermark: Any, strict: bool = False,
                      lookback: Any = None) -> DataFrame:
-    """``>=`` (re-read the last period) or strict ``>`` (loses late rows in
-    the last loaded period, SURVEY 2.13-4).  ``lookback`` is subtracted from
+    """watermark_filter_ge: ``>=`` (re-read the last period) or
+    watermark_filter_gt: strict ``>`` (loses late rows in the last loaded
+    period, SURVEY 2.13-4).  ``lookback`` is subtracted from
     the watermark to re-read late arrivals."""
     if watermark is None:
         return src

@@ -53,8 +53,9 @@ from events group by 1
 order by sessao desc limit 50
 """)
 def q_session_dedup(spark, d, n: int = 50):
-    """agg_session_dedup (repeated session attributes collapsed by max — the
-    repeatable form of any_value) + topn_recent: the latest n sessions."""
+    """agg_session_dedup (repeated session attributes collapsed by max),
+    agg_any_value (max is the repeatable form of any_value, nulls skipped) +
+    topn_recent: the latest n sessions."""
     e = table(spark, d, "events")
     s = e.groupBy(F.date_trunc("hour", "ts").alias("sessao")).agg(
         count_rows().alias("n_eventos"),
@@ -172,7 +173,8 @@ where e.value > st.limite_iqr
 """)
 def q_outlier_iqr(spark, d):
     """outlier_iqr / agg_quantile_nearest: values above Q3 + 1.5 IQR per
-    event type (groups of >= 4), nearest-rank quartiles, interpolated median."""
+    event type (groups of >= 4), nearest-rank quartiles, interpolated median.
+    union_groups: every group in one grouped query, no per-group loop."""
     e = table(spark, d, "events").select("event_id", "event_type", "user_id", "value")
     out = outlier_iqr(e, ["event_type"], "value", min_n=4, k=1.5, quantile_method="nearest")
     return out.select("event_id", "event_type", "user_id", "value", "mediana_grupo",

@@ -32,8 +32,9 @@ from customer c left join nation n on c.c_nationkey = n.n_nationkey
 where c.c_custkey is not null and nullif(trim(c.c_name), '') is not null
 """)
 def q_staging_clean(spark, d):
-    """project_rename_cast, filter_required_key, upper_trim, blank_to_null,
-    null_to_blank, prefer_other_source (dimension value, else raw code)."""
+    """scan_parquet (explicit schema), project_rename_cast,
+    filter_required_key, upper_trim, blank_to_null, null_to_blank,
+    prefer_other_source (dimension value, else raw code)."""
     c = table(spark, d, "customer")
     nation = table(spark, d, "nation").select("n_nationkey", "n_name")
     staged = (c.where(F.col("c_custkey").isNotNull() & blank_to_null("c_name").isNotNull())
@@ -159,7 +160,8 @@ select l_orderkey, l_linenumber,
 from lineitem
 """)
 def q_stable_ids(spark, d):
-    """stable_id (sha256 prefix), surrogate_md5 — expressions, no row UDF."""
+    """stable_id (sha256 prefix), surrogate_md5 — udf_rowwise re-aimed:
+    built-in expressions, no row UDF."""
     li = table(spark, d, "lineitem")
     return li.select("l_orderkey", "l_linenumber",
                      stable_id("li", "l_orderkey", "l_linenumber").alias("line_id"),

@@ -132,3 +132,31 @@ def q_stream_monthly(spark, d, delay: str = "7 days"):
             upsert_by_key(spark, batch, target, ["dia", "event_type"], ["mes"])
     run_available_now(rows, merge, f"{root}/checkpoint", output_mode="update")
     return read_target(spark, target).select("dia", "event_type", "n_eventos", "total")
+
+
+@register("q_upsert_strict", """
+with o as (select *, year(o_orderdate) * 100 + month(o_orderdate) as periodo from orders),
+wm as (select max(periodo) as p from o where o_orderdate < timestamp '1999-01-01')
+select o_orderkey, o_custkey, o_orderstatus,
+       case when periodo > (select p from wm)
+            then cast(round(cast(o_totalprice as decimal(18,2)) * 1.1, 2) as double)
+            else o_totalprice end as o_totalprice,
+       o_orderdate,
+       case when periodo > (select p from wm) then o_orderpriority end as o_orderpriority,
+       periodo, year(o_orderdate) as ano
+from o
+""")
+def q_upsert_strict(spark, d):
+    """watermark_filter_gt: the same two deliveries as q_upsert with a strict
+    ``>`` watermark — revised rows of the last loaded period are not
+    reloaded (the late-row loss the ``>=`` form avoids)."""
+    root = work_dir(spark, "upsert-strict")
+    target = f"{root}/fct_orders"
+    b1, b2 = _orders_batches(spark, d)
+    full_refresh(b1, target, ["o_orderkey"], ["ano"], ["o_orderkey"])
+    wm = current_watermark(spark, target, "periodo")
+    upsert_by_key(spark, watermark_filter(b2, "periodo", wm, strict=True), target,
+                  ["o_orderkey"], ["ano"], ["o_orderkey"])
+    return read_target(spark, target).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+        "o_orderpriority", "periodo", "ano")

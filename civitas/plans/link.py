@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from civitas.functions import normalize_name_sql, upper_trim
 from civitas.operators.aggregates import avg_round, count_rows, exact_ratio_sql, sum_money
 from civitas.operators.analytics import kpis_latest_period
-from civitas.operators.dedup import dedup_on_keys, earliest_per_key, latest_per_key
+from civitas.operators.dedup import dedup_on_keys, first_seen_unique, latest_per_key
 from civitas.operators.link import (broadcast_if_small, join_crossref, join_left_dim,
                                     join_on_derived_key, join_priority_fallback,
                                     unique_registry)
@@ -69,11 +69,11 @@ from (select *, row_number() over (partition by l_partkey
 where rn = 1
 """)
 def q_earliest_per_key(spark, d):
-    """win_dedup_earliest: earliest shipment per part (nulls last, keys break ties)."""
+    """win_dedup_earliest / first_seen_unique: the first shipment of every
+    part (date, then order and line as the position; nulls last)."""
     li = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber",
                                             "l_shipdate", "l_extendedprice")
-    return earliest_per_key(li, ["l_partkey"], ["l_shipdate"],
-                            tie_break=["l_orderkey", "l_linenumber"])
+    return first_seen_unique(li, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"])
 
 
 @register("q_dedup_keys", """
@@ -292,3 +292,26 @@ def q_semi_latest(spark, d):
         avg_round("o_totalprice").alias("ticket_medio"),
         F.max("o_totalprice").alias("maior"),
         F.count_distinct("o_custkey").cast("bigint").alias("n_clientes")])
+
+
+@register("q_sector_top", f"""
+with pay as (select l_suppkey, {money_sum('l_extendedprice')} as total, count(*) as n_itens
+             from lineitem group by 1),
+j as (select s.s_nationkey as setor, s.s_suppkey, s.s_name, pay.total, pay.n_itens
+      from pay join supplier s on pay.l_suppkey = s.s_suppkey),
+r as (select *, row_number() over (partition by setor order by total desc, s_suppkey asc) as posicao from j)
+select setor, s_suppkey, s_name, total, n_itens, posicao from r where posicao <= 3
+""")
+def q_sector_top(spark, d, k: int = 3):
+    """sector_top: the k largest payees of every sector (nation), over the
+    full data; join_inner_link: the per-payee aggregate is inner-joined to
+    the registry through its link id (only linked payees are ranked)."""
+    from civitas.operators.topk import topk_per_group
+    pay = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
+        sum_money("l_extendedprice").alias("total"), count_rows().alias("n_itens"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("setor"), "s_suppkey", "s_name")
+    j = pay.join(broadcast_if_small(s), pay.l_suppkey == s.s_suppkey, "inner").drop("l_suppkey")
+    top = topk_per_group(j, ["setor"], [F.col("total").desc(), F.col("s_suppkey").asc()], k,
+                         salt_on=F.col("s_suppkey"))
+    return top.select("setor", "s_suppkey", "s_name", "total", "n_itens",
+                      F.col("rank_in_group").cast("bigint").alias("posicao"))

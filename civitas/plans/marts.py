@@ -27,7 +27,8 @@ from lineitem group by 1, 2
 def q_agg_monthly(spark, d):
     """agg_wide_null_group (six-column monthly mart, null groups labelled),
     agg_sum_count, then agg_rollup_from_agg of its additive measures to
-    (year, flag) — equal to aggregating the fact directly."""
+    (year, flag) — equal to aggregating the fact directly
+    (totals_by_year_entity / payroll_breakdowns are this shape)."""
     li = table(spark, d, "lineitem")
     mart = li.groupBy(F.year("l_shipdate").alias("ano"), F.month("l_shipdate").alias("mes"),
                       coalesce_label("l_returnflag").alias("situacao"),
@@ -526,3 +527,22 @@ def q_adhoc(spark, d, min_saldo: float = 0.0):
     text = ADHOC_TEXT.format(min_saldo=":min_saldo", avg=avg_exact_sql("s.s_acctbal", 2))
     return adhoc_sql(spark, text,
                      {"min_saldo": min_saldo})
+
+
+@register("q_top_filter", f"""
+with f as (select l.*, p.p_type from lineitem l join part p on l.l_partkey = p.p_partkey),
+top as (select p_type from f group by 1
+        order by sum(cast(l_extendedprice as decimal(18,2))) desc, p_type asc limit 3)
+select year(l_shipdate) as ano, p_type, count(*) as n_itens, {money_sum('l_extendedprice')} as total
+from f where p_type in (select p_type from top) group by 1, 2
+""")
+def q_top_filter(spark, d, k: int = 3):
+    """topn_then_filter: every row of the k largest categories (semi join
+    with the k-row top frame), then totals by year."""
+    from civitas.operators.topk import topn_then_filter
+    li = table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
+    p = table(spark, d, "part").select("p_partkey", "p_type")
+    f = li.join(broadcast_if_small(p), li.l_partkey == p.p_partkey)
+    kept = topn_then_filter(f, "p_type", F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), k)
+    return kept.groupBy(F.year("l_shipdate").alias("ano"), "p_type").agg(
+        count_rows().alias("n_itens"), sum_money("l_extendedprice").alias("total"))
