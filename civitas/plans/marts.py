@@ -416,9 +416,11 @@ def q_committee(spark, d, as_of: str = AS_OF):
     per = join_counts_zero_fill(n, counts.withColumnRenamed("c_nationkey", "n_nationkey"),
                                 "n_nationkey", ["membros_atuais", "titulares"])
     mean = per.agg(F.expr(exact_ratio_sql("sum(membros_atuais)", "count(*)", 4, 0))
-                   .alias("media_membros"))
-    # one-row global aggregate attached to every committee row
-    return per.join(F.broadcast(mean), how="left", on=F.lit(True))
+                   .alias("media_membros")).withColumn("__one", F.lit(1))
+    # the one-row global aggregate is attached by an equi-join on a constant
+    # (broadcast hash join of one row; no nested-loop join)
+    return (per.withColumn("__one", F.lit(1))
+               .join(F.broadcast(mean), "__one", "left").drop("__one"))
 
 
 @register("q_months", f"""
@@ -458,13 +460,14 @@ select sum(n) as n_linhas, round(100.0 * sum(nulos) / sum(n), 4) as pct_chave_nu
        min(mn) as saldo_min, max(mx) as saldo_max,
        """ + exact_ratio_sql("sum(cast(soma * 100 as hugeint))", "sum(nv)", 4, 2, "duckdb") + """ as saldo_medio,
        arg_max(c_mktsegment, (n, c_mktsegment)) as segmento_top,
-       string_agg(c_mktsegment, ',' order by c_mktsegment) as segmentos
+       count(c_mktsegment) as n_segmentos
 from s
 """)
 def q_load_stats(spark, d):
-    """load_stats (rows, % null key, min/mean/max, top category) and
-    distinct_values in one two-level aggregation; schema_sniff_validate
-    (>= 2 columns and rows present)."""
+    """load_stats (rows, % null key, min/mean/max, top category, number of
+    categories) in one two-level aggregation; schema_sniff_validate (>= 2
+    columns and rows present).  The category list itself is q_distinct_values
+    (rows, not one concatenated cell)."""
     c = table(spark, d, "customer")
     s = c.groupBy("c_mktsegment").agg(
         count_rows().alias("n"), F.count_if(F.col("c_custkey").isNull()).alias("nulos"),
@@ -481,7 +484,7 @@ def q_load_stats(spark, d):
         F.expr(exact_ratio_sql("sum(cast(soma * 100 as decimal(38,0)))", "sum(nv)", 4, 2))
         .alias("saldo_medio"),
         F.max_by("c_mktsegment", F.struct("n", "c_mktsegment")).alias("segmento_top"),
-        F.array_join(F.sort_array(F.collect_list("c_mktsegment")), ",").alias("segmentos"))
+        F.count("c_mktsegment").cast("bigint").alias("n_segmentos"))
 
 
 @register("q_dq", """
@@ -546,3 +549,21 @@ def q_top_filter(spark, d, k: int = 3):
     kept = topn_then_filter(f, "p_type", F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), k)
     return kept.groupBy(F.year("l_shipdate").alias("ano"), "p_type").agg(
         count_rows().alias("n_itens"), sum_money("l_extendedprice").alias("total"))
+
+
+@register("q_distinct_values", """
+select distinct c_mktsegment as valor, 'c_mktsegment' as coluna from customer where c_mktsegment is not null
+union all
+select distinct cast(year(o_orderdate) as varchar), 'ano' from orders where o_orderdate is not null
+""")
+def q_distinct_values(spark, d):
+    """distinct_values: the sorted distinct values offered as filters
+    (segments; order years, latest first) as rows — a distributed distinct
+    followed by a sort, never a list gathered into one cell."""
+    seg = (table(spark, d, "customer").where(F.col("c_mktsegment").isNotNull())
+           .select(F.col("c_mktsegment").alias("valor"), F.lit("c_mktsegment").alias("coluna"))
+           .distinct())
+    anos = (table(spark, d, "orders").where(F.col("o_orderdate").isNotNull())
+            .select(F.year("o_orderdate").cast("string").alias("valor"), F.lit("ano").alias("coluna"))
+            .distinct())
+    return seg.unionByName(anos).orderBy("coluna", F.col("valor").desc())
