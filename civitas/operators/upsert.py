@@ -86,11 +86,12 @@ def write_parquet_keyed(df: DataFrame, path: str, keys: Sequence[str],
     (counted by an ``Observation`` riding the write, no second pass)."""
     out = dedup_on_keys(df, keys) if keys else df
     if partition_by and cluster:
-        # range partitioning on (partition, sort key): rows of one partition
-        # land in few files, and a partition holding a third of the data is
-        # split over several tasks (hash on the partition column alone would
-        # give it a single task)
-        out = out.repartitionByRange(*partition_by, *(list(sort_by) or list(keys)))
+        # REBALANCE on the partition columns: rows of one partition land in
+        # few files, and AQE splits a partition holding a third of the data
+        # over several tasks and merges tiny ones (a plain hash repartition
+        # would give a hot partition a single task; range partitioning would
+        # need a sampling pass over the input plan)
+        out = out.hint("rebalance", *partition_by)
     if cluster and (sort_by or partition_by):
         out = out.sortWithinPartitions(*partition_by, *sort_by)
     obs = Observation("write_parquet_keyed")

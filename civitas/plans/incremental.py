@@ -75,10 +75,8 @@ def _land(events, landing, day_from, day_to, skip_existing_of=None, spark=None):
     if skip_existing_of is not None:
         existing = spark.read.schema(EVENTS_LANDING).parquet(skip_existing_of).select("dia").distinct()
         part = part.join(existing, "dia", "left_anti")
-    # a few files per period: range-partitioned on (period, id), so a busy
-    # day is still written by several tasks
-    part.repartitionByRange("dia", "event_id").write.mode("append") \
-        .partitionBy("dia").parquet(landing)
+    # a few files per period; AQE splits a busy day over several tasks
+    part.hint("rebalance", "dia").write.mode("append").partitionBy("dia").parquet(landing)
 
 
 @register("q_stream_upsert", """
