@@ -85,7 +85,9 @@ def deliberation_timeline(votes: DataFrame, bill: Sequence[str], session: str,
         known = known & F.col(b).isNotNull()
     return (sessions.where(known)
             .groupBy(*bill).agg(
-                F.count_distinct(session).cast("bigint").alias("num_sessoes"),
+                # one row per (bill, session) after the first level, so a
+                # plain count is the distinct count (no Expand)
+                F.count(session).cast("bigint").alias("num_sessoes"),
                 F.min("data_sessao").alias("primeira_sessao"),
                 F.max("data_sessao").alias("ultima_sessao"),
                 F.datediff(F.max("data_sessao"), F.min("data_sessao")).alias("dias_deliberacao"),

@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civitas.session import materialize_table
+
 
 def _rank_exprs(p: float, method: str) -> tuple[Column, Column, Column]:
     h = F.lit(p) * (F.col("__n") - 1)
@@ -47,19 +49,25 @@ def _rank_exprs(p: float, method: str) -> tuple[Column, Column, Column]:
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
                     probs: Sequence[float], method: str | Sequence[str] = "linear",
                     bins: int = 1024, names: Sequence[str] | None = None,
-                    with_count: bool = True) -> DataFrame:
+                    with_count: bool = True, materialize: bool = True) -> DataFrame:
     """One row per group: ``n`` plus one column per probability.  ``method``
     may be one name or one per probability (all share a single pass)."""
     group = list(group)
     if not group:  # global quantiles: one constant group
         out = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value, probs,
-                              method, bins, names, with_count)
+                              method, bins, names, with_count, materialize)
         return out.drop("__g")
     names = list(names or [f"q{int(round(p * 1000)):03d}" for p in probs])
     v = F.col(value)
 
     freq = (df.where(v.isNotNull())
               .groupBy(*group, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    if materialize:
+        # freq is read by five branches below; without this each branch
+        # recomputes the whole input.  It is written once as Parquet in the
+        # shared checkpoint folder (survives executor loss, cuts lineage;
+        # columnar and computed once, unlike an RDD checkpoint).
+        freq = materialize_table(freq, "quantile-freq")
     stats = freq.groupBy(*group).agg(F.sum("__c").alias("__n"),
                                      F.min("__v").alias("__lo_v"),
                                      F.max("__v").alias("__hi_v"))

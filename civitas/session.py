@@ -74,3 +74,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     if path.startswith("/") or path.startswith("file:"):
         os.makedirs(path.removeprefix("file:"), exist_ok=True)
     return path
+
+
+def materialize_table(df, purpose: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a DataFrame reading it: for intermediates read by several
+    branches of a plan (each would otherwise recompute the input).  Lineage
+    is cut and the data survives the loss of the executors that computed it."""
+    spark = df.sparkSession
+    path = work_dir(spark, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
