@@ -156,6 +156,32 @@ def _write_bulk_csv(spark, d, root):
            .option("encoding", "ISO-8859-1").partitionBy("uf").csv(f"{root}/kind=banner"))
 
 
+def _read_estado_headered(spark, root):
+    """One glob over every per-state file; the national aggregate is skipped
+    by its path and each file's own header names its columns."""
+    df = scan_csv_headered(
+        spark, f"{root}/kind=estado/*", 5,
+        {"ID_PEDIDO": [NEW_ID, OLD_ID], "CLIENTE": ["CLIENTE"], "SITUACAO": ["SITUACAO"],
+         "VALOR": ["VALOR"], "DATA": ["DATA"]},
+        id_spellings=[NEW_ID, OLD_ID], exclude_pattern=r"_BRASIL")
+    return df.withColumn("UF", path_value("uf", F.col("__file"))).drop("__file")
+
+
+def _read_estado_by_header(spark, root):
+    """The same files through Spark's header option, one read per header
+    spelling: bom_header_clean + rename_if_present + conform_schema."""
+    parts = []
+    for prios in (["1-URGENT", "2-HIGH"], ["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]):
+        paths = [f"{root}/kind=estado/uf={p}" for p in prios]
+        df = bom_header_clean(scan_csv_bulk(spark, paths, None, ";", "UTF-8", header=True)
+                              .select("*", path_value("uf").alias("__UF")))
+        parts.append(rename_if_present(df, {"ID_PEDIDO": [NEW_ID, OLD_ID], "CLIENTE": "CLIENTE",
+                                            "SITUACAO": "SITUACAO", "VALOR": "VALOR",
+                                            "DATA": "DATA", "UF": "__UF"}))
+    out = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return conform_schema(out, StructType(CSV_TARGET.fields + [StructField("UF", StringType())]))
+
+
 @register("q_csv_roundtrip", """
 select o_orderkey, o_custkey, nullif(o_orderstatus, 'P') as o_orderstatus,
        cast(cast(o_totalprice as decimal(18,2)) as double) as o_totalprice,
@@ -164,36 +190,18 @@ select o_orderkey, o_custkey, nullif(o_orderstatus, 'P') as o_orderstatus,
        case when o_orderkey % 2 = 0 then 'estado' else 'banner' end as kind
 from orders
 """)
-def q_csv_roundtrip(spark, d):
+def q_csv_roundtrip(spark, d, estado_reader: str = "headered"):
     """scan_csv_bulk, scan_csv_skip_banner, scan_csv_multi_part (national
     file excluded), route_files_by_kind, bom_header_clean, rename_if_present
-    (two id spellings), conform_schema, inject_period, null tokens."""
+    (two id spellings), conform_schema, inject_period, null tokens.
+    ``estado_reader``: "headered" (one glob, per-file headers) or "header_option"
+    (Spark's header option, one read per header spelling)."""
     root = work_dir(spark, "csv-orders")
     _write_bulk_csv(spark, d, root)
+    readers = {"headered": _read_estado_headered, "header_option": _read_estado_by_header}
 
     def read_estado():
-        # one glob over every per-state file; the national aggregate is
-        # skipped by its path, each file's own header names its columns
-        df = scan_csv_headered(
-            spark, f"{root}/kind=estado/*", 5,
-            {"ID_PEDIDO": [NEW_ID, OLD_ID], "CLIENTE": ["CLIENTE"], "SITUACAO": ["SITUACAO"],
-             "VALOR": ["VALOR"], "DATA": ["DATA"]},
-            id_spellings=[NEW_ID, OLD_ID], exclude_pattern=r"_BRASIL")
-        return df.withColumn("UF", path_value("uf", F.col("__file"))).drop("__file")
-
-    def read_estado_by_header():
-        # the same files read through Spark's header option, one group per
-        # header spelling: bom_header_clean + rename_if_present + conform
-        parts = []
-        for prios in (["1-URGENT", "2-HIGH"], ["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]):
-            paths = [f"{root}/kind=estado/uf={p}" for p in prios]
-            df = bom_header_clean(scan_csv_bulk(spark, paths, None, ";", "UTF-8", header=True)
-                                  .select("*", path_value("uf").alias("__UF")))
-            parts.append(rename_if_present(df, {"ID_PEDIDO": [NEW_ID, OLD_ID], "CLIENTE": "CLIENTE",
-                                                "SITUACAO": "SITUACAO", "VALOR": "VALOR",
-                                                "DATA": "DATA", "UF": "__UF"}))
-        out = parts[0].unionByName(parts[1], allowMissingColumns=True)
-        return conform_schema(out, StructType(CSV_TARGET.fields + [StructField("UF", StringType())]))
+        return readers[estado_reader](spark, root)
 
     def read_banner():
         df = scan_csv_skip_banner(spark, f"{root}/kind=banner/*", list(CSV_TARGET.fieldNames()),

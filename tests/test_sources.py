@@ -51,3 +51,13 @@ def test_singleton_to_list(spark):
                                "j string")
     r = df.select(F.size(singleton_to_list("j", "$.m", "struct<k: int>")).alias("n")).collect()
     assert [x.n for x in r] == [1, 2, 0]
+
+
+def test_csv_roundtrip_readers_agree(spark):
+    from conftest import SF_SMALL
+    from civitas.plans.ingest import q_csv_roundtrip
+    a = q_csv_roundtrip(spark, SF_SMALL, estado_reader="headered")
+    b = q_csv_roundtrip(spark, SF_SMALL, estado_reader="header_option")
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
+    assert a.count() > 0
