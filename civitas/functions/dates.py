@@ -68,3 +68,55 @@ def year_between(ts_col, first_year: int | None, last_year: int | None) -> Colum
     if last_year is not None:
         cond = cond & (c < F.lit(f"{last_year + 1:04d}-01-01 00:00:00").cast("timestamp_ntz"))
     return cond
+
+
+def ntz_as_utc_instant(ts_ntz) -> Column:
+    """TIMESTAMP_NTZ wall clock -> the TIMESTAMP instant of that wall clock in
+    UTC, independent of the session time zone (a plain cast would read it in
+    the session zone).  Needed where Spark requires TIMESTAMP, e.g. the event
+    time of a watermark."""
+    c = col(ts_ntz)
+    secs = (F.second(c) + F.date_format(c, "SSSSSS").cast("int") / F.lit(1_000_000)) \
+        .cast("decimal(8,6)")
+    return F.make_timestamp_ltz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c),
+                                F.minute(c), secs, F.lit("UTC"))
+
+
+# Pattern letters understood by ``format_ntz`` -> (field function, width).
+_NTZ_FIELDS = {"yyyy": (F.year, 4), "MM": (F.month, 2), "dd": (F.dayofmonth, 2),
+               "HH": (F.hour, 2), "mm": (F.minute, 2), "ss": (F.second, 2)}
+
+
+def format_ntz(ts_ntz, pattern: str) -> Column:
+    """Format a TIMESTAMP_NTZ / DATE from its wall-clock fields.
+
+    ``date_format`` converts to a zoned timestamp first, so in a session zone
+    with daylight saving a midnight that does not exist there is printed as
+    01:00; building the text from the fields keeps the wall clock exactly.
+    Supports yyyy MM dd HH mm ss and quoted literals ('T')."""
+    c = col(ts_ntz)
+    fmt, args, i = "", [], 0
+    while i < len(pattern):
+        if pattern[i] == "'":
+            j = pattern.index("'", i + 1)
+            fmt += pattern[i + 1:j].replace("%", "%%")
+            i = j + 1
+            continue
+        for tok, (fn, width) in _NTZ_FIELDS.items():
+            if pattern.startswith(tok, i):
+                fmt += f"%0{width}d"
+                args.append(fn(c))
+                i += len(tok)
+                break
+        else:
+            fmt += pattern[i].replace("%", "%%")
+            i += 1
+    return F.format_string(fmt, *args)
+
+
+def trunc_hour_ntz(ts_ntz) -> Column:
+    """Hour bucket of a TIMESTAMP_NTZ as TIMESTAMP_NTZ (``date_trunc`` would
+    return a zoned TIMESTAMP and truncate in the session zone)."""
+    c = col(ts_ntz)
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c),
+                                F.lit(0), F.lit(0))

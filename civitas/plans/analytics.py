@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civitas.functions import vote_flags
+from civitas.functions.dates import trunc_hour_ntz
 from civitas.operators.aggregates import count_rows, exact_ratio_sql
 from civitas.operators.analytics import (deliberation_timeline, divisive, outlier_iqr,
                                          outlier_median_ratio, presence_scorecard,
@@ -57,7 +58,7 @@ def q_session_dedup(spark, d, n: int = 50):
     agg_any_value (max is the repeatable form of any_value, nulls skipped) +
     topn_recent: the latest n sessions."""
     e = table(spark, d, "events")
-    s = e.groupBy(F.date_trunc("hour", "ts").alias("sessao")).agg(
+    s = e.groupBy(trunc_hour_ntz("ts").alias("sessao")).agg(
         count_rows().alias("n_eventos"),
         F.count_distinct("user_id").cast("bigint").alias("n_membros"),
         F.max("value").alias("valor_max"), F.max("event_type").alias("tipo"),
@@ -140,11 +141,11 @@ def q_divisive(spark, d):
     """divisive_votes / filter_close_margin: hourly sessions of events are
     votes (yes = clicks, no = views) on a daily "bill"; the 30 closest."""
     e = table(spark, d, "events")
-    s = e.groupBy(F.date_trunc("hour", "ts").alias("sessao")).agg(
+    s = e.groupBy(trunc_hour_ntz("ts").alias("sessao")).agg(
         F.count_if(F.col("event_type") == "click").cast("bigint").alias("sim"),
         F.count_if(F.col("event_type") == "view").cast("bigint").alias("nao"),
         F.max("event_type").alias("resultado"))
-    v = s.select(F.date_format("sessao", "EEE").alias("sigla_materia"),
+    v = s.select(F.date_format(F.col("sessao").cast("date"), "EEE").alias("sigla_materia"),
                  F.col("sessao").cast("date").alias("materia_identificacao"),
                  "sessao", F.col("sessao").cast("date").alias("data"), "resultado", "sim", "nao")
     t = deliberation_timeline(v, ["sigla_materia", "materia_identificacao"], "sessao", "data",

@@ -13,6 +13,7 @@ from civitas.functions import (blank_to_null, bool_parse_3, brl_to_decimal,
                                normalize_name_nfkd, normalize_name_sql, null_flag,
                                null_to_blank, stable_id, surrogate_md5, to_money,
                                upper_trim, vote_flags, year_from_date_or_text)
+from civitas.functions.dates import format_ntz
 from civitas.functions.text import NAME_ACCENTS_FROM, NAME_ACCENTS_TO
 from civitas.operators.aggregates import count_rows, sum_money
 from civitas.operators.link import broadcast_if_small
@@ -195,9 +196,9 @@ def q_dates(spark, d):
     failed job), month_key (month 13 guarded), year_from_date_or_text."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     k = F.col("o_orderkey")
-    txt = (F.when(k % 5 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-            .when(k % 5 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
-            .when(k % 5 == 2, F.date_format("o_orderdate", "dd/MM/yyyy"))
+    txt = (F.when(k % 5 == 0, format_ntz("o_orderdate", "yyyy-MM-dd"))
+            .when(k % 5 == 1, format_ntz("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+            .when(k % 5 == 2, format_ntz("o_orderdate", "dd/MM/yyyy"))
             .when(k % 5 == 3, F.concat(F.lit("31/02/"), F.year("o_orderdate").cast("string")))
             .otherwise(F.lit("")))
     r = o.select("o_orderkey", "o_orderdate", txt.alias("data_texto"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from civitas.functions.dates import trunc_hour_ntz
 from civitas.operators.aggregates import count_rows, exact_ratio_sql
 from civitas.operators.asof import asof_join
 from civitas.operators.link import join_left_dim
@@ -59,7 +60,7 @@ def q_party_line(spark, d):
     e = table(spark, d, "events").select("user_id", "ts", "event_type")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("partido"))
     v = join_left_dim(e, c, e.user_id == c.c_custkey).where(F.col("c_custkey").isNotNull()) \
-        .select("user_id", F.date_trunc("hour", "ts").alias("sessao"), "event_type", "partido")
+        .select("user_id", trunc_hour_ntz("ts").alias("sessao"), "event_type", "partido")
     line = (v.groupBy("sessao", "partido", "event_type").agg(count_rows().alias("n"))
               .groupBy("sessao", "partido")
               .agg(F.max_by("event_type", F.struct("n", "event_type")).alias("linha")))

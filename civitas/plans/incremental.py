@@ -12,6 +12,7 @@ from civitas.plans.registry import register
 from civitas.schemas import TABLES
 from civitas.session import work_dir
 from civitas.sources.tables import table
+from civitas.functions.dates import format_ntz, ntz_as_utc_instant
 from civitas.streaming.files import (run_available_now, stream_event_time_agg,
                                      stream_period_files, stream_upsert)
 
@@ -114,16 +115,18 @@ def q_stream_monthly(spark, d, delay: str = "7 days"):
     for lo in range(1, 32, 7):
         _land(ev, landing, lo, min(lo + 6, 31))
     stream = stream_period_files(spark, landing, EVENTS_LANDING, max_files_per_trigger=16)
-    # watermarks need TIMESTAMP; the session runs in UTC, so the wall clock is kept
-    stream = stream.withColumn("ts_utc", F.col("ts").cast("timestamp"))
+    # watermarks need TIMESTAMP: the wall-clock time is read as UTC whatever
+    # the session time zone, and windows are mapped back to days by epoch
+    stream = stream.withColumn("ts_utc", ntz_as_utc_instant("ts"))
     agg = stream_event_time_agg(
         stream, "ts_utc", "1 day", delay, [F.col("event_type")],
         [F.count(F.lit(1)).alias("n_eventos"),
          F.sum(F.col("value").cast("decimal(18,2)")).alias("total")])
-    rows = agg.select(F.col("w.start").cast("date").alias("dia"), "event_type",
+    dia = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+    rows = agg.select(dia.alias("dia"), "event_type",
                       F.col("n_eventos").cast("bigint").alias("n_eventos"),
                       F.col("total").cast("double").alias("total"),
-                      F.date_format("w.start", "yyyyMM").alias("mes"))
+                      format_ntz(dia, "yyyyMM").alias("mes"))
 
     def merge(batch, batch_id):
         if not batch.isEmpty():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from civitas.functions import (brl_to_decimal, date_dmy, id_to_text, safe_int)
+from civitas.functions.dates import format_ntz
 from civitas.operators.aggregates import count_rows
 from civitas.operators.link import broadcast_if_small, join_counts_zero_fill
 from civitas.plans.registry import register
@@ -123,7 +124,7 @@ def _write_bulk_csv(spark, d, root):
         F.when(F.col("o_orderstatus") == "P", F.lit("#NULO#"))
          .otherwise(F.col("o_orderstatus")).alias("situacao"),
         F.translate(F.format_number("o_totalprice", 2), ",.", ".,").alias("valor"),
-        F.date_format("o_orderdate", "dd/MM/yyyy").alias("data"),
+        format_ntz("o_orderdate", "dd/MM/yyyy").alias("data"),
         F.col("o_orderpriority").alias("uf"), (F.col("o_orderkey") % 2).alias("par"))
     even = rows.where(F.col("par") == 0)
     for id_name, prios in ((NEW_ID, ["1-URGENT", "2-HIGH"]),

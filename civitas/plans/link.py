@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civitas.functions import normalize_name_sql, upper_trim
+from civitas.functions.dates import trunc_hour_ntz
 from civitas.operators.aggregates import avg_round, count_rows, exact_ratio_sql, sum_money
 from civitas.operators.analytics import kpis_latest_period
 from civitas.operators.dedup import dedup_on_keys, first_seen_unique, latest_per_key
@@ -245,7 +246,7 @@ def q_votes_fact(spark, d):
     """join_inner_then_left: votes inner join sessions (the watermark filter
     on sessions prunes the votes too), then left join the member dimension."""
     e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
-    votes = e.withColumn("sessao", F.date_trunc("hour", "ts"))
+    votes = e.withColumn("sessao", trunc_hour_ntz("ts"))
     sessions = (votes.groupBy("sessao")
                      .agg(count_rows().alias("n_votos_sessao"), F.min("ts").alias("abertura"))
                      .where(F.col("sessao") >= F.lit(SESSION_WATERMARK).cast("timestamp_ntz")))

@@ -98,3 +98,22 @@ def test_stable_ids_null_safe(spark):
     assert len(r[0].s) == 16
     import hashlib
     assert r[0].s == hashlib.sha256(b"p_a||b").hexdigest()[:16]
+
+
+def test_ntz_helpers_ignore_session_zone(spark):
+    from civitas.functions.dates import format_ntz, ntz_as_utc_instant, trunc_hour_ntz
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        df = spark.createDataFrame([(dt.datetime(1995, 10, 15, 0, 0, 0),),
+                                    (dt.datetime(2024, 1, 1, 13, 45, 7, 123456),)],
+                                   "t timestamp_ntz")
+        r = df.select(format_ntz("t", "yyyy-MM-dd'T'HH:mm:ss").alias("f"),
+                      trunc_hour_ntz("t").alias("h"),
+                      F.unix_micros(ntz_as_utc_instant("t")).alias("u")).collect()
+        assert r[0].f == "1995-10-15T00:00:00"       # a midnight that DST skips there
+        assert r[1].h == dt.datetime(2024, 1, 1, 13, 0)
+        assert r[1].u == int(dt.datetime(2024, 1, 1, 13, 45, 7, 123456,
+                                         tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
