@@ -121,3 +121,15 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
 def median_by(df: DataFrame, group: Sequence[str], value: str, name: str = "median",
               **kw) -> DataFrame:
     return exact_quantiles(df, group, value, [0.5], "linear", names=[name], **kw)
+
+
+def approx_quantiles(df: DataFrame, group: Sequence[str], value: str,
+                     probs: Sequence[float], accuracy: int = 10000,
+                     names: Sequence[str] | None = None) -> DataFrame:
+    """Separately named approximate variant (``percentile_approx``): a sketch
+    of fixed size per group, rank error about 1/``accuracy``.  For groups too
+    large even for the binned exact form; never mixed with exact results."""
+    names = list(names or [f"q{int(round(p * 1000)):03d}" for p in probs])
+    qs = F.percentile_approx(F.col(value), list(probs), accuracy)
+    return (df.groupBy(*group).agg(F.count(F.col(value)).alias("n"), qs.alias("__qs"))
+              .select(*group, "n", *[F.col("__qs")[i].alias(nm) for i, nm in enumerate(names)]))

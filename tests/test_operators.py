@@ -110,3 +110,17 @@ def test_outlier_iqr_skips_small_groups(spark):
     out = outlier_iqr(df, ["g"], "v").collect()
     assert [(r.g, r.v) for r in out] == [("big", 100.0)]
     assert out[0].mediana_grupo == 5.0
+
+
+def test_approx_variants_within_bounds(spark):
+    from civitas.operators.aggregates import count_distinct_approx
+    from civitas.operators.quantiles import approx_quantiles
+    rng = random.Random(5)
+    rows = [("g", rng.randint(0, 5000)) for _ in range(20000)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    n_exact = len({v for _, v in rows})
+    n_approx = df.agg(count_distinct_approx("v", 0.02).alias("n")).first().n
+    assert abs(n_approx - n_exact) / n_exact < 0.08
+    q = approx_quantiles(df, ["g"], "v", [0.5], accuracy=10000).first()
+    exact = float(np.quantile([v for _, v in rows], 0.5))
+    assert abs(q.q500 - exact) <= 5000 / 10000 * 20 + 1
