@@ -415,12 +415,10 @@ def q_committee(spark, d, as_of: str = AS_OF):
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     per = join_counts_zero_fill(n, counts.withColumnRenamed("c_nationkey", "n_nationkey"),
                                 "n_nationkey", ["membros_atuais", "titulares"])
-    mean = per.agg(F.expr(exact_ratio_sql("sum(membros_atuais)", "count(*)", 4, 0))
-                   .alias("media_membros")).withColumn("__one", F.lit(1))
-    # the one-row global aggregate is attached by an equi-join on a constant
-    # (broadcast hash join of one row; no nested-loop join)
-    return (per.withColumn("__one", F.lit(1))
-               .join(F.broadcast(mean), "__one", "left").drop("__one"))
+    mean = per.agg(F.expr(exact_ratio_sql("sum(membros_atuais)", "count(*)", 4, 0)))
+    # the one-row global aggregate is a scalar subquery: computed once and
+    # used as a value on every row (no join, no nested loop)
+    return per.withColumn("media_membros", mean.scalar())
 
 
 @register("q_months", f"""

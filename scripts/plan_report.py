@@ -22,18 +22,18 @@ sys.path.insert(0, ROOT)
 from civitas.session import build_session  # noqa: E402
 
 OPS = {
-    "shuffles": r"^\s*[:+\- ]*Exchange \(\d+\)",
-    "broadcasts": r"BroadcastExchange \(\d+\)",
-    "bhj": r"BroadcastHashJoin \(\d+\)",
-    "smj": r"SortMergeJoin \(\d+\)",
-    "bnlj": r"BroadcastNestedLoopJoin \(\d+\)",
-    "cartesian": r"CartesianProduct \(\d+\)",
-    "hash_agg": r"[^a-zA-Z]HashAggregate \(\d+\)",
-    "sort_agg": r"SortAggregate \(\d+\)",
-    "obj_agg": r"ObjectHashAggregate \(\d+\)",
-    "window": r"[^a-zA-Z]Window \(\d+\)",
-    "topk": r"TakeOrderedAndProject \(\d+\)",
-    "python_udf": r"(BatchEvalPython|ArrowEvalPython) \(\d+\)",
+    "shuffles": r"(?<![A-Za-z])Exchange(?: [^\n(]*)?\(\d+\)",
+    "broadcasts": r"BroadcastExchange(?: [^\n(]*)?\(\d+\)",
+    "bhj": r"BroadcastHashJoin(?: [^\n(]*)?\(\d+\)",
+    "smj": r"SortMergeJoin(?: [^\n(]*)?\(\d+\)",
+    "bnlj": r"BroadcastNestedLoopJoin(?: [^\n(]*)?\(\d+\)",
+    "cartesian": r"CartesianProduct(?: [^\n(]*)?\(\d+\)",
+    "hash_agg": r"(?<![A-Za-z])HashAggregate(?: [^\n(]*)?\(\d+\)",
+    "sort_agg": r"SortAggregate(?: [^\n(]*)?\(\d+\)",
+    "obj_agg": r"ObjectHashAggregate(?: [^\n(]*)?\(\d+\)",
+    "window": r"(?<![A-Za-z])Window(?:GroupLimit)?(?: [^\n(]*)?\(\d+\)",
+    "topk": r"TakeOrderedAndProject(?: [^\n(]*)?\(\d+\)",
+    "python_udf": r"(?:BatchEvalPython|ArrowEvalPython)(?: [^\n(]*)?\(\d+\)",
 }
 
 
