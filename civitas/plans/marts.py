@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from civitas.functions import brl_to_decimal, coalesce_label, month_windows, period_label
 from civitas.functions.dates import year_between
-from civitas.operators.aggregates import (avg_coalesced, avg_round, exact_ratio_sql, coalesce_max, count_distinct_if,
+from civitas.operators.aggregates import (avg_coalesced, avg_round, count_distinct_many,
+                                          exact_ratio_sql, coalesce_max, count_distinct_if,
                                           count_if, count_rows, gross_pay, rollup_additive,
                                           sum_if_money, sum_money, unpivot_components)
 from civitas.operators.link import broadcast_if_small, join_counts_zero_fill, join_left_dim
@@ -54,19 +55,18 @@ from lineitem l join orders o on l.l_orderkey = o.o_orderkey
 group by o.o_custkey
 """)
 def q_agg_author(spark, d):
-    """agg_count_distinct (three at once), agg_coalesce_max, agg_bool_or,
-    agg_avg_coalesced per buyer."""
+    """agg_count_distinct (three at once, without row expansion),
+    agg_coalesce_max, agg_bool_or, agg_avg_coalesced per buyer."""
     li = table(spark, d, "lineitem")
     o = table(spark, d, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
-    return j.groupBy("o_custkey").agg(
-        F.count_distinct("l_orderkey").cast("bigint").alias("n_pedidos"),
-        F.count_distinct("l_partkey").cast("bigint").alias("n_pecas"),
-        F.count_distinct("l_suppkey").cast("bigint").alias("n_fornecedores"),
-        coalesce_max(F.when(F.col("l_linestatus") == "F", F.col("o_orderstatus")),
-                     "o_orderpriority").alias("atributo"),
-        F.bool_or(F.col("l_returnflag") == "R").alias("tem_devolucao"),
-        avg_coalesced("l_discount").alias("desconto_medio"))
+    return count_distinct_many(
+        j, ["o_custkey"],
+        {"n_pedidos": "l_orderkey", "n_pecas": "l_partkey", "n_fornecedores": "l_suppkey"},
+        [coalesce_max(F.when(F.col("l_linestatus") == "F", F.col("o_orderstatus")),
+                      "o_orderpriority").alias("atributo"),
+         F.bool_or(F.col("l_returnflag") == "R").alias("tem_devolucao"),
+         avg_coalesced("l_discount").alias("desconto_medio")])
 
 
 @register("q_agg_phase", """
@@ -83,17 +83,19 @@ from lineitem group by 1
 def q_agg_phase(spark, d):
     """agg_phase_split_sum (committed vs paid in one scan),
     agg_conditional_count (count -> 0, sum -> null when nothing matches),
-    agg_conditional_distinct."""
-    li = table(spark, d, "lineitem")
+    agg_conditional_distinct (count_distinct_many over when(cond, c);
+    count_distinct_if is the single-aggregate form)."""
+    li = table(spark, d, "lineitem").withColumn("ano", F.year("l_shipdate"))
     st, fl = F.col("l_linestatus"), F.col("l_returnflag")
-    return li.groupBy(F.year("l_shipdate").alias("ano")).agg(
-        sum_if_money(st == "O", "l_extendedprice").alias("empenhado"),
-        sum_if_money(st == "F", "l_extendedprice").alias("pago"),
-        sum_if_money(st == "X", "l_extendedprice").alias("cancelado"),
-        count_if(fl == "R").alias("n_devolvidos"),
-        count_if(st == "X").alias("n_cancelados"),
-        count_distinct_if(st == "F", "l_suppkey").alias("fornecedores_pagos"),
-        count_distinct_if(fl == "R", "l_orderkey").alias("pedidos_devolvidos"))
+    return count_distinct_many(
+        li, ["ano"],
+        {"fornecedores_pagos": F.when(st == "F", F.col("l_suppkey")),
+         "pedidos_devolvidos": F.when(fl == "R", F.col("l_orderkey"))},
+        [sum_if_money(st == "O", "l_extendedprice").alias("empenhado"),
+         sum_if_money(st == "F", "l_extendedprice").alias("pago"),
+         sum_if_money(st == "X", "l_extendedprice").alias("cancelado"),
+         count_if(fl == "R").alias("n_devolvidos"),
+         count_if(st == "X").alias("n_cancelados")])
 
 
 _CONTRACT_SQL = """

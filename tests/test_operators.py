@@ -124,3 +124,19 @@ def test_approx_variants_within_bounds(spark):
     q = approx_quantiles(df, ["g"], "v", [0.5], accuracy=10000).first()
     exact = float(np.quantile([v for _, v in rows], 0.5))
     assert abs(q.q500 - exact) <= 5000 / 10000 * 20 + 1
+
+
+def test_count_distinct_many_matches_count_distinct(spark):
+    from civitas.operators.aggregates import count_distinct_many
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 else f"g{i % 11}", rng.choice([None, 1, 2, 3, 4]), rng.randint(0, 30))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, a int, b int")
+    got = {r.g: (r.na, r.nb, r.nbc, r.s) for r in count_distinct_many(
+        df, ["g"], {"na": "a", "nb": "b", "nbc": F.when(F.col("a") == 1, F.col("b"))},
+        [F.sum("b").alias("s")]).collect()}
+    exp = {r.g: (r.na, r.nb, r.nbc, r.s) for r in df.groupBy("g").agg(
+        F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"),
+        F.count_distinct(F.when(F.col("a") == 1, F.col("b"))).alias("nbc"),
+        F.sum("b").alias("s")).collect()}
+    assert got == exp
