@@ -15,7 +15,7 @@ from civitas.session import work_dir
 from civitas.sources.csv_bulk import (bom_header_clean, conform_schema, scan_csv_headered,
                                       inject_period, null_tokens, path_value, read_seed,
                                       rename_if_present, route_files_by_kind, scan_csv_bulk,
-                                      scan_csv_skip_banner, text_schema)
+                                      scan_csv_skip_banner)
 from civitas.sources.json_records import (JSON_OPTS, parse_records, scan_json_lines,
                                           singleton_to_list)
 from civitas.sources.tables import table

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from civitas.functions import brl_to_decimal, coalesce_label, month_windows, period_label
 from civitas.functions.dates import year_between
 from civitas.operators.aggregates import (avg_coalesced, avg_round, count_distinct_many,
-                                          exact_ratio_sql, coalesce_max, count_distinct_if,
-                                          count_if, count_rows, gross_pay, rollup_additive,
+                                          exact_ratio_sql, coalesce_max,                                           count_if, count_rows, gross_pay, rollup_additive,
                                           sum_if_money, sum_money, unpivot_components)
 from civitas.operators.link import broadcast_if_small, join_counts_zero_fill, join_left_dim
 from civitas.operators.quality import dq_report

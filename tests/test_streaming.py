@@ -1,7 +1,5 @@
 """A file stream processed with availableNow equals the batch result."""
 
-from pyspark.sql import functions as F
-
 from civitas.operators.upsert import read_target
 from civitas.session import work_dir
 from civitas.streaming.files import stream_period_files, stream_upsert

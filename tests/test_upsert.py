@@ -1,7 +1,5 @@
 """Keyed upsert on partitioned Parquet: idempotence, order, schema sync, watermarks."""
 
-from pyspark.sql import functions as F
-
 from civitas.operators.upsert import (current_watermark, read_target, upsert_by_key,
                                       watermark_filter)
 from civitas.session import work_dir
