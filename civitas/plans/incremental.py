@@ -13,7 +13,8 @@ from civitas.schemas import TABLES
 from civitas.session import work_dir
 from civitas.sources.tables import table
 from civitas.functions.dates import format_ntz, ntz_as_utc_instant
-from civitas.streaming.files import (run_available_now, stream_event_time_agg,
+from civitas.streaming.files import (run_available_now, skip_existing_periods,
+                                     stream_event_time_agg,
                                      stream_period_files, stream_upsert)
 
 
@@ -74,8 +75,7 @@ def _land(events, landing, day_from, day_to, skip_existing_of=None, spark=None):
     part = events.where(F.dayofmonth("ts").between(day_from, day_to)).withColumn(
         "dia", F.col("ts").cast("date"))
     if skip_existing_of is not None:
-        existing = spark.read.schema(EVENTS_LANDING).parquet(skip_existing_of).select("dia").distinct()
-        part = part.join(existing, "dia", "left_anti")
+        part = skip_existing_periods(spark, part, skip_existing_of, "dia", EVENTS_LANDING)
     # a few files per period; AQE splits a busy day over several tasks
     part.hint("rebalance", "dia").write.mode("append").partitionBy("dia").parquet(landing)
 

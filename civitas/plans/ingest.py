@@ -13,6 +13,7 @@ from civitas.operators.link import broadcast_if_small, join_counts_zero_fill
 from civitas.plans.registry import register
 from civitas.session import work_dir
 from civitas.sources.csv_bulk import (bom_header_clean, conform_schema, scan_csv_headered,
+                                      schema_sniff_validate,
                                       inject_period, null_tokens, path_value, read_seed,
                                       rename_if_present, route_files_by_kind, scan_csv_bulk,
                                       scan_csv_skip_banner)
@@ -194,11 +195,16 @@ from orders
 def q_csv_roundtrip(spark, d, estado_reader: str = "headered"):
     """scan_csv_bulk, scan_csv_skip_banner, scan_csv_multi_part (national
     file excluded), route_files_by_kind, bom_header_clean, rename_if_present
-    (two id spellings), conform_schema, inject_period, null tokens.
+    (two id spellings), conform_schema, inject_period, null tokens,
+    schema_sniff_validate (bounded check of each file kind before loading).
     ``estado_reader``: "headered" (one glob, per-file headers) or "header_option"
     (Spark's header option, one read per header spelling)."""
     root = work_dir(spark, "csv-orders")
     _write_bulk_csv(spark, d, root)
+    for kind, enc in (("estado", "UTF-8"), ("banner", "ISO-8859-1")):
+        check = schema_sniff_validate(spark, f"{root}/kind={kind}/*", ";", enc)
+        if not check["ok"]:
+            raise ValueError(f"{kind} files failed the input check: {check}")
     readers = {"headered": _read_estado_headered, "header_option": _read_estado_by_header}
 
     def read_estado():

@@ -169,3 +169,22 @@ def route_files_by_kind(readers: Mapping[str, callable]) -> DataFrame:
 def read_seed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """scan_csv_seed: small typed CSV with a header."""
     return spark.read.option("header", "true").schema(schema).csv(path)
+
+
+def schema_sniff_validate(spark: SparkSession, paths, sep: str = ";", encoding: str = "UTF-8",
+                          sample_rows: int = 10, min_columns: int = 2,
+                          max_corrupt_rate: float = 0.0) -> dict:
+    """Bounded input check before a load: read the first ``sample_rows`` lines
+    with the header's columns plus a corrupt-record column and require at
+    least ``min_columns`` columns, rows present and at most
+    ``max_corrupt_rate`` malformed lines.  Only the sample reaches the driver."""
+    head = scan_csv_bulk(spark, paths, None, sep, encoding, header=True)
+    names = head.columns
+    schema = text_schema(names).add("_corrupt_record", StringType())
+    sample = (spark.read.option("sep", sep).option("header", "true").option("encoding", encoding)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+              .schema(schema).csv(paths).limit(sample_rows).collect())
+    corrupt = sum(1 for r in sample if r["_corrupt_record"] is not None)
+    rate = corrupt / len(sample) if sample else 1.0
+    ok = len(names) >= min_columns and len(sample) > 0 and rate <= max_corrupt_rate
+    return {"ok": ok, "columns": len(names), "rows_sampled": len(sample), "corrupt_rate": rate}

@@ -73,3 +73,15 @@ def stream_event_time_agg(stream: DataFrame, event_time: str, window: str, delay
     dropped once the watermark passes its end, so state stays bounded."""
     return (stream.withWatermark(event_time, delay)
                   .groupBy(F.window(event_time, window).alias("w"), *group).agg(*aggs))
+
+
+def skip_existing_periods(spark: SparkSession, df: DataFrame, landing: str, period: str,
+                          schema: StructType) -> DataFrame:
+    """period_skip_existing: rows of periods already present under
+    ``landing`` are dropped before writing (anti-join on the period values
+    found there), so re-running a landing job does not duplicate a period."""
+    try:
+        existing = spark.read.schema(schema).parquet(landing).select(period).distinct()
+    except Exception:  # noqa: BLE001 - nothing landed yet
+        return df
+    return df.join(existing, period, "left_anti")

@@ -61,3 +61,13 @@ def test_csv_roundtrip_readers_agree(spark):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
     assert a.count() > 0
+
+
+def test_schema_sniff_validate(spark):
+    from civitas.sources.csv_bulk import schema_sniff_validate
+    root = work_dir(spark, "t-sniff")
+    _write(f"{root}/ok/a.csv", "A;B\n1;2\n3;4\n")
+    _write(f"{root}/one/a.csv", "ONLY\n1\n")
+    assert schema_sniff_validate(spark, f"{root}/ok/*")["ok"]
+    bad = schema_sniff_validate(spark, f"{root}/one/*")
+    assert not bad["ok"] and bad["columns"] == 1
