@@ -65,7 +65,7 @@ def watermark_filter(src: DataFrame, col: str, watermark: Any, strict: bool = Fa
 
 def schema_sync(df: DataFrame, schema: StructType) -> DataFrame:
     """conform to ``schema``: missing columns become typed nulls, extra ones
-    are dropped, order follows the schema (dbt's sync_all_columns)."""
+    are dropped, order follows the schema (sync all columns on merge)."""
     have = set(df.columns)
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None))
                        .cast(f.dataType).alias(f.name) for f in schema.fields])
