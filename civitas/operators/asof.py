@@ -12,7 +12,9 @@ filtering: quadratic for a heavy key.  Here it is linear:
    an earlier month: one row per (key, month) with a period, carried forward
    by a window over the months of a key (bounded by the number of months).
 
-A key holding a third of the rows is spread over its months, each a task.
+A key holding a third of the rows is spread over its months, each a task;
+``bucket="day"`` bounds a task by one key-day instead, for keys that are hot
+even within a month (the carry table then has a row per active key-day).
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _bucket(t, bucket: str):
+    d = t.cast("date")
+    return d if bucket == "day" else F.trunc(d, bucket)
+
+
 def asof_join(events: DataFrame, periods: DataFrame, key: str, event_time: str,
               start_time: str, attrs: Sequence[str], tie_break: Sequence[str] = (),
               end_time: str | None = None, bucket: str = "MM") -> DataFrame:
@@ -50,7 +57,7 @@ def asof_join(events: DataFrame, periods: DataFrame, key: str, event_time: str,
                                          .schema[0].dataType).alias("__ev"),
                         pstruct.alias("__p"),
                         *[F.col(c).alias(f"__tb{i}") for i, c in enumerate(tie_break)])
-    u = ev.unionByName(pr).withColumn("__m", F.trunc(F.col("__t").cast("date"), bucket))
+    u = ev.unionByName(pr).withColumn("__m", _bucket(F.col("__t"), bucket))
 
     order = [F.col("__t").asc_nulls_first(), F.col("__kind").asc()] + \
             [F.col(f"__tb{i}").asc_nulls_first() for i in range(len(tie_break))]
@@ -59,7 +66,7 @@ def asof_join(events: DataFrame, periods: DataFrame, key: str, event_time: str,
     u = u.withColumn("__in", F.last("__p", ignorenulls=True).over(w_in))
 
     # last period of each (key, month), then carried into later months
-    last_in_month = (pr.withColumn("__m", F.trunc(F.col("__t").cast("date"), bucket))
+    last_in_month = (pr.withColumn("__m", _bucket(F.col("__t"), bucket))
                        .groupBy("__k", "__m")
                        .agg(F.max_by("__p", F.struct("__t", *[f"__tb{i}" for i in range(len(tie_break))]))
                             .alias("__lp")))

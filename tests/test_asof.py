@@ -33,3 +33,17 @@ def test_asof_with_end_leaves_gaps(spark):
                                 ("b", dt.datetime(2024, 1, 5), 3)], "key string, t timestamp_ntz, i int")
     got = {r.i: r.v for r in asof_join(ev, p, "key", "t", "s", ["v"], end_time="e").collect()}
     assert got == {1: "x", 2: None, 3: None}
+
+
+def test_asof_day_buckets_same_result(spark):
+    rng = random.Random(2)
+    base = dt.datetime(2024, 1, 1)
+    periods = [("k", base + dt.timedelta(hours=rng.randint(0, 2000)), f"a{i}", i) for i in range(60)]
+    events = [("k", base + dt.timedelta(hours=rng.randint(0, 2100)), i) for i in range(300)]
+    p = spark.createDataFrame(periods, "key string, start timestamp_ntz, attr string, pid int")
+    e = spark.createDataFrame(events, "key string, t timestamp_ntz, eid int")
+    by_month = {r.eid: r.attr for r in asof_join(e, p, "key", "t", "start", ["attr"],
+                                                   tie_break=["pid"]).collect()}
+    by_day = {r.eid: r.attr for r in asof_join(e, p, "key", "t", "start", ["attr"],
+                                                 tie_break=["pid"], bucket="day").collect()}
+    assert by_month == by_day
