@@ -5,14 +5,17 @@ single task and a ``row_number`` window sorts the whole group in one task:
 both break when one group holds a third of all rows.  Here:
 
 1. ``freq``    distinct (group, value) with counts — partial aggregation,
-               shuffled on (group, value), so a hot group is spread.
-2. ``stats``   n / min / max per group.
-3. bins        each distinct value falls into one of ``bins`` equal-width
-               bins of its group's range; counts per (group, bin) are tiny.
-4. locate      a running sum over the <= ``bins`` rows of a group tells in
-               which bin each wanted rank lies.
-5. select      only the distinct values of those bins are ranked (window on
-               (group, rank)), and the value at the rank is read off.
+               shuffled on (group, value), so a hot group is spread; written
+               once to the shared folder because every step below reads it.
+2. ``stats``   n / min / max per group -> the wanted 0-based ranks.
+3. narrow      while an interval holds more than ``max_candidates``
+               distinct values (at most ``levels`` times): the distinct values
+               inside each rank's interval fall into ``bins`` equal-width
+               bins; counts per bin are tiny, a running sum over <= ``bins``
+               rows tells which bin holds the rank, and that bin's observed
+               min / max become the next interval.
+4. select      only the distinct values left in the final interval are
+               ranked (window on (group, rank)) and the value is read off.
 
 All ranks are 0-based positions in the sorted group.  ``method``:
 ``linear`` (position p*(n-1), interpolated: DuckDB quantile_cont, Spark
@@ -49,13 +52,15 @@ def _rank_exprs(p: float, method: str) -> tuple[Column, Column, Column]:
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
                     probs: Sequence[float], method: str | Sequence[str] = "linear",
                     bins: int = 1024, names: Sequence[str] | None = None,
-                    with_count: bool = True, materialize: bool = True) -> DataFrame:
+                    with_count: bool = True, materialize: bool = True,
+                    levels: int = 3, max_candidates: int = 1_000_000) -> DataFrame:
     """One row per group: ``n`` plus one column per probability.  ``method``
     may be one name or one per probability (all share a single pass)."""
     group = list(group)
     if not group:  # global quantiles: one constant group
         out = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value, probs,
-                              method, bins, names, with_count, materialize)
+                              method, bins, names, with_count, materialize, levels,
+                              max_candidates)
         return out.drop("__g")
     names = list(names or [f"q{int(round(p * 1000)):03d}" for p in probs])
     v = F.col(value)
@@ -69,19 +74,10 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
         # columnar and computed once, unlike an RDD checkpoint).
         freq = materialize_table(freq, "quantile-freq")
     stats = freq.groupBy(*group).agg(F.sum("__c").alias("__n"),
+                                     F.count(F.lit(1)).alias("__nd"),
                                      F.min("__v").alias("__lo_v"),
                                      F.max("__v").alias("__hi_v"))
 
-    span = F.col("__hi_v") - F.col("__lo_v")
-    bin_of = F.when(span == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("__v") - F.col("__lo_v")) / span * bins).cast("int"),
-                F.lit(bins - 1)))
-    # stats has one row per group; AQE splits a skewed freq partition here.
-    binned = freq.join(stats.select(*group, "__lo_v", "__hi_v"), group).withColumn("__b", bin_of)
-    per_bin = binned.groupBy(*group, "__b").agg(F.sum("__c").alias("__bc"))
-    wb = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = per_bin.withColumn("__before", F.coalesce(F.sum("__bc").over(wb), F.lit(0)))
-
     # wanted ranks per group: (prob index, lo rank, hi rank, fraction)
     methods = [method] * len(probs) if isinstance(method, str) else list(method)
     specs = []
@@ -94,14 +90,65 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
     ranks = (wanted.select(*group, F.col("lo").alias("__r"))
                    .union(wanted.select(*group, F.col("hi").alias("__r"))).distinct())
 
-    located = ranks.join(per_bin, group).where(
-        (F.col("__r") >= F.col("__before")) & (F.col("__r") < F.col("__before") + F.col("__bc")))
-    cand = binned.join(located.select(*group, "__b", "__r", "__before"), group + ["__b"])
-    wr = (Window.partitionBy(*group, "__r").orderBy("__v")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cand = cand.withColumn("__run", F.col("__before") + F.sum("__c").over(wr))
-    at_rank = (cand.where(F.col("__run") > F.col("__r"))
-                   .groupBy(*group, "__r").agg(F.min("__v").alias("__val")))
+    # Locate every wanted rank by narrowing a value interval, ``levels`` times:
+    # bin the distinct values inside the interval into ``bins`` equal-width
+    # bins, count them, and keep the bin holding the rank (with its observed
+    # min / max as the next interval and the rows before it as an offset).
+    cur = (ranks.join(stats.select(*group, "__lo_v", "__hi_v", "__nd"), group)
+                .select(*group, "__r", F.col("__lo_v").alias("__a"),
+                        F.col("__hi_v").alias("__z"), F.lit(0).cast("long").alias("__before"),
+                        F.col("__nd").alias("__bd")))
+    # a level runs only while some interval still holds more than
+    # ``max_candidates`` distinct values (one scalar per check; the first
+    # comes from the per-group distinct counts); the (group, rank) intervals
+    # (groups x ranks rows) are written once per level that runs
+    widest = stats.agg(F.max("__nd")).first()[0]
+    narrowed = False
+    for _ in range(levels):
+        if widest is None or widest <= max_candidates:
+            break
+        inside = (freq.join(cur, group)
+                      .where((F.col("__v") >= F.col("__a")) & (F.col("__v") <= F.col("__z"))))
+        span = F.col("__z") - F.col("__a")
+        bin_of = F.when(span == 0, F.lit(0)).otherwise(
+            F.least(F.floor((F.col("__v") - F.col("__a")) / span * bins).cast("int"),
+                    F.lit(bins - 1)))
+        per_bin = (inside.withColumn("__b", bin_of)
+                         .groupBy(*group, "__r", "__before", "__b")
+                         .agg(F.sum("__c").alias("__bc"), F.count(F.lit(1)).alias("__bd"),
+                              F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax")))
+        wb = (Window.partitionBy(*group, "__r").orderBy("__b")
+              .rowsBetween(Window.unboundedPreceding, -1))
+        per_bin = per_bin.withColumn(
+            "__start", F.col("__before") + F.coalesce(F.sum("__bc").over(wb), F.lit(0)))
+        cur = (per_bin.where((F.col("__r") >= F.col("__start"))
+                             & (F.col("__r") < F.col("__start") + F.col("__bc")))
+                      .select(*group, "__r", F.col("__bmin").alias("__a"),
+                              F.col("__bmax").alias("__z"),
+                              F.col("__start").alias("__before"), "__bd"))
+        cur = materialize_table(cur, "quantile-ranks") if materialize else cur
+        widest = cur.agg(F.max("__bd")).first()[0]
+        narrowed = True
+
+    if narrowed:
+        # each rank's interval holds few distinct values: rank them exactly
+        cand = (freq.join(cur, group)
+                    .where((F.col("__v") >= F.col("__a")) & (F.col("__v") <= F.col("__z"))))
+        wr = (Window.partitionBy(*group, "__r").orderBy("__v")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        cand = cand.withColumn("__run", F.col("__before") + F.sum("__c").over(wr))
+        at_rank = (cand.where(F.col("__run") > F.col("__r"))
+                       .groupBy(*group, "__r").agg(F.min("__v").alias("__val")))
+    else:
+        # every group has at most max_candidates distinct values: one running
+        # count per group, then each rank takes the value whose run covers it
+        wg = (Window.partitionBy(*group).orderBy("__v")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        run = freq.withColumn("__run", F.sum("__c").over(wg))
+        at_rank = (run.join(ranks, group)
+                      .where((F.col("__run") - F.col("__c") <= F.col("__r"))
+                             & (F.col("__r") < F.col("__run")))
+                      .select(*group, "__r", F.col("__v").alias("__val")))
 
     lo_v = at_rank.select(*group, F.col("__r").alias("lo"), F.col("__val").alias("__lov"))
     hi_v = at_rank.select(*group, F.col("__r").alias("hi"), F.col("__val").alias("__hiv"))

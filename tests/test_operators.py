@@ -71,7 +71,7 @@ def test_exact_quantiles_skewed(spark):
     rows += [(f"g{i % 40}", round(rng.uniform(0, 1000), 2)) for i in range(2000)]
     rows += [("one", 5.0), ("dup", 2.0), ("dup", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    lin = {r.g: r for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], "linear",
+    lin = {r.g: r for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], "linear", max_candidates=50,
                                            bins=16).collect()}
     near = {r.g: r for r in exact_quantiles(df, ["g"], "v", [0.25, 0.75], "nearest",
                                             bins=8).collect()}
@@ -140,3 +140,18 @@ def test_count_distinct_many_matches_count_distinct(spark):
         F.count_distinct(F.when(F.col("a") == 1, F.col("b"))).alias("nbc"),
         F.sum("b").alias("s")).collect()}
     assert got == exp
+
+
+def test_exact_quantiles_clustered_values(spark):
+    # 5000 distinct values packed near zero and one far outlier: the first
+    # level puts nearly everything in one bin, the second level splits it
+    rng = random.Random(13)
+    vals = [round(rng.uniform(0, 0.001), 9) for _ in range(5000)] + [1e9]
+    df = spark.createDataFrame([("g", v) for v in vals], "g string, v double")
+    r = exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.99], "linear", bins=32,
+                        max_candidates=100).first()
+    for p, name in ((0.1, "q100"), (0.5, "q500"), (0.99, "q990")):
+        assert abs(r[name] - float(np.quantile(vals, p))) < 1e-15
+    r1 = exact_quantiles(df, ["g"], "v", [0.5], "nearest", bins=32, levels=1,
+                         max_candidates=100).first()
+    assert r1.q500 == _np_nearest(vals, 0.5)
