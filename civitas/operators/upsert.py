@@ -28,13 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from civitas.operators.dedup import dedup_on_keys
-from civitas.session import work_dir
+from civitas.session import path_exists, work_dir
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path`` (schemas of all its files merged), or None."""
+    if not path_exists(spark, path):
+        return None
     try:
         return spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException:
+    except AnalysisException:  # folder present but no data files yet
         return None
 
 

@@ -85,3 +85,11 @@ def materialize_table(df, purpose: str):
     path = work_dir(spark, purpose)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a dataset folder exists, asked of the cluster's file system
+    (works for HDFS/S3/ABFS/local alike) instead of provoking a failed read."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))

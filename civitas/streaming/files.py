@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from civitas.operators.dedup import dedup_on_keys
 from civitas.operators.upsert import upsert_by_key
+from civitas.session import path_exists
 
 
 def stream_period_files(spark: SparkSession, landing: str, schema: StructType,
@@ -80,8 +81,7 @@ def skip_existing_periods(spark: SparkSession, df: DataFrame, landing: str, peri
     """period_skip_existing: rows of periods already present under
     ``landing`` are dropped before writing (anti-join on the period values
     found there), so re-running a landing job does not duplicate a period."""
-    try:
-        existing = spark.read.schema(schema).parquet(landing).select(period).distinct()
-    except Exception:  # noqa: BLE001 - nothing landed yet
+    if not path_exists(spark, landing):
         return df
+    existing = spark.read.schema(schema).parquet(landing).select(period).distinct()
     return df.join(existing, period, "left_anti")
