@@ -31,13 +31,37 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster (100 TB inputs, ~1000 executors).  Shuffle
+# partitions start high and AQE coalesces them to ~256 MB; scans split files
+# into 256 MB pieces; the static broadcast threshold stays modest because
+# AQE re-plans joins from runtime sizes; skewed partitions (5x median and
+# above 512 MB) are split; output files are capped in rows.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.files.maxRecordsPerFile": "20000000",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def build_session(master: str | None = None, app: str = "civitas",
                   shuffle_partitions: int | None = None,
-                  extra: dict[str, str] | None = None) -> SparkSession:
+                  extra: dict[str, str] | None = None,
+                  profile: str = "local") -> SparkSession:
+    """``profile="cluster"`` adds CLUSTER_CONF; ``extra`` overrides both."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
