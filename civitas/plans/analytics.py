@@ -10,7 +10,6 @@ from civitas.operators.aggregates import count_rows, exact_ratio_sql
 from civitas.operators.analytics import (deliberation_timeline, divisive, outlier_iqr,
                                          outlier_median_ratio, presence_scorecard,
                                          salary_distribution, timeline_summary)
-from civitas.functions.text import upper_safe
 from civitas.operators.link import broadcast_if_small, join_left_dim
 from civitas.operators.topk import topn
 from civitas.plans.clean import EVENT_VOTE
@@ -229,7 +228,9 @@ select x.doc_id, x.lang, x.tem_email, x.tem_licenca, x.licenca,
 from x left join src on x.q_id is null and x.source = src.source
 """)
 def q_search(spark, d):
-    """search_text_ci (case-insensitive literal), search_regex (emails,
+    """search_text_ci (case-insensitive literal; plain upper() suffices here:
+    the engines differ only on the sharp s, which can neither make nor break
+    the word searched), search_regex (emails,
     license names) over whole texts, name_fallback_lookup: the label by
     document id, else by the document's source name (second join only for
     the unmatched rows, the registry unique per name)."""
@@ -241,7 +242,7 @@ def q_search(spark, d):
     x = docs.join(labels, "doc_id", "left").select(
         "doc_id", "lang", "source", "q_id",
         F.col("text").rlike(EMAIL_RE).alias("tem_email"),
-        upper_safe("text").contains("LICENSE").alias("tem_licenca"),
+        F.upper("text").contains("LICENSE").alias("tem_licenca"),
         F.nullif(F.regexp_extract("text", LICENSE_RE, 1), F.lit("")).alias("licenca"))
     j = x.join(broadcast_if_small(src), F.col("q_id").isNull() & (x.source == src.source), "left")
     return j.select("doc_id", "lang", "tem_email", "tem_licenca", "licenca",
@@ -264,6 +265,6 @@ def q_search_pages(spark, d):
     return p.select("page_id", F.col("url").like("https://%").alias("https"),
                     F.col("url").like("%?%").alias("tem_query"),
                     F.nullif(F.regexp_extract("url", r"/([a-z]{2})/", 1), F.lit("")).alias("idioma"),
-                    upper_safe("html").contains("LICENSE").alias("tem_licenca"),
+                    F.upper("html").contains("LICENSE").alias("tem_licenca"),
                     F.col("html").rlike(EMAIL_RE).alias("tem_email"),
                     F.length("html").cast("bigint").alias("tamanho"))
