@@ -90,10 +90,11 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
     ranks = (wanted.select(*group, F.col("lo").alias("__r"))
                    .union(wanted.select(*group, F.col("hi").alias("__r"))).distinct())
 
-    # Locate every wanted rank by narrowing a value interval, ``levels`` times:
-    # bin the distinct values inside the interval into ``bins`` equal-width
-    # bins, count them, and keep the bin holding the rank (with its observed
-    # min / max as the next interval and the rows before it as an offset).
+    # Locate every wanted rank by narrowing a value interval (up to ``levels``
+    # times, only while needed): bin the distinct values inside the interval
+    # into ``bins`` equal-width bins, count them, and keep the bin holding the
+    # rank (its observed min / max are the next interval, the rows before it
+    # an offset).
     cur = (ranks.join(stats.select(*group, "__lo_v", "__hi_v", "__nd"), group)
                 .select(*group, "__r", F.col("__lo_v").alias("__a"),
                         F.col("__hi_v").alias("__z"), F.lit(0).cast("long").alias("__before"),
