@@ -9,12 +9,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from civitas import plans
 from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = plans.QUERIES
+ORACLES = plans.ORACLES
 
 
 def _norm(v):
@@ -40,6 +41,11 @@ def test_entry_runs(spark):
     assert df.columns and df.count() >= 0
 
 
+def test_entry_offers_every_plan():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_every_query_has_an_oracle():
     missing = set(QUERIES) - set(ORACLES)
     assert missing == set(), missing
