@@ -81,3 +81,21 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
+def tokenizer_file() -> str:
+    """The public byte-level vocabulary; the operator takes any path."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civitas.llm import bpe
+    docs = table(spark, sf_dir, "documents")
+    vocab = bpe.Vocabulary.read(tokenizer_file())
+    codec = bpe.publish(spark, vocab, bpe.frequent_words(docs, "text"))
+    out = bpe.decode(bpe.encode(docs, "doc_id", "text", codec), "doc_id", codec)
+    return out.select("doc_id", bpe.n_tokens().alias("n_tokens"),
+                      F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("text"), 256).alias("decoded_sha256"))
