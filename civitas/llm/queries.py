@@ -99,3 +99,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", bpe.n_tokens().alias("n_tokens"),
                       F.sha2(F.col("ids"), 256).alias("ids_sha256"),
                       F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+
+
+@register("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civitas.llm import pii
+    out = pii.personal_data(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE],
+                      F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"),
+                      pii.joined().alias("spans"))
