@@ -108,3 +108,15 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE],
                       F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"),
                       pii.joined().alias("spans"))
+
+
+@register("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written, then read back; every figure comes from the archives."""
+    from civitas.llm import warc
+    from civitas.session import work_dir
+    out = work_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), out)
+    return warc.read_archives(spark, out, payloads=False).select(
+        F.col("id").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type",
+        "refers_to")
