@@ -120,3 +120,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, out, payloads=False).select(
         F.col("id").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type",
         "refers_to")
+
+
+@register("op2_main_text")
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civitas.llm import main_text
+    pages = table(spark, sf_dir, "pages")
+    weights = main_text.fit_weights(pages, "page_id", "html")
+    out = main_text.extract_main_text(pages, weights)
+    return out.select("page_id", "url", "text",
+                      F.char_length("text").cast("long").alias("n_chars"))
