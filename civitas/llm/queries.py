@@ -130,3 +130,30 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = main_text.extract_main_text(pages, weights)
     return out.select("page_id", "url", "text",
                       F.char_length("text").cast("long").alias("n_chars"))
+
+
+@register("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: its declared language and its source as the host."""
+    from civitas.llm import langid
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, "doc_id", "text", "lang", "source")
+    return out.select(F.col("id").alias("doc_id"), "lang", "posterior", "accepted", "text_lang",
+                      "n_grams")
+
+
+@register("language_id_pages")
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page: main text, markup language, host and address suffix."""
+    from civitas.llm import langid, main_text
+    from civitas.session import materialize_table
+    pages = table(spark, sf_dir, "pages")
+    texts = main_text.extract_main_text(pages, main_text.fit_weights(pages, "page_id", "html"))
+    marked = pages.select("page_id", F.regexp_extract(
+        F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("declared"))
+    rows = materialize_table(
+        texts.join(marked, "page_id").withColumn("host", F.try_parse_url("url", F.lit("HOST"))),
+        "page-texts")
+    out = langid.identify(rows, "page_id", "text", "declared", "host")
+    return out.select(F.col("id").alias("page_id"), "lang", "posterior", "accepted", "text_lang",
+                      "n_grams")
