@@ -157,3 +157,11 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(rows, "page_id", "text", "declared", "host")
     return out.select(F.col("id").alias("page_id"), "lang", "posterior", "accepted", "text_lang",
                       "n_grams")
+
+
+@register("op5_near_dedup")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civitas.llm import near_dedup
+    out = near_dedup.near_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size",
+                      F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
