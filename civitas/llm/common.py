@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,9 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def arrow_batches(spark, rows: int):
-    """Rows per Arrow batch handed to Python, for texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Fewer rows per Arrow batch for tables of whole texts, unless the session
+    has set a number itself."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(rows))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civitas.llm.common import small_batches
 from civitas.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +93,7 @@ def tokenizer_file() -> str:
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from civitas.llm import bpe
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     vocab = bpe.Vocabulary.read(tokenizer_file())
     codec = bpe.publish(spark, vocab, bpe.frequent_words(docs, "text"))
@@ -165,3 +167,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size",
                       F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+@register("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items: the matches."""
+    from civitas.llm import decontam
+    out = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"),
+                      F.round("lcs", 6).alias("lcs"), F.round("answer", 6).alias("answer"))
