@@ -42,11 +42,12 @@ from pyspark.sql import functions as F
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
            r"|\s+(?!\S)|\s+")
 
-LEXICON_SIZE = 32_768       # words compiled on the driver
-MIN_TASK_COUNT = 8          # rarer words of a task are not proposed for the lexicon
+LEXICON_SIZE = 131_072      # words compiled on the driver
+MIN_TASK_COUNT = 4          # rarer words of a task are not proposed for the lexicon
 WORDS_KEPT = 300_000        # entries of a task's word table before it starts anew
 LONGEST_KEPT = 64           # longer words are merged each time
-BLOCK_CHARS = 1_000_000     # texts are worked on in blocks of about this size
+SHORT = 48                  # bytes up to which words are merged in batches
+BLOCK_CHARS = 2_000_000     # texts are worked on in blocks of about this size
 
 
 def byte_letters() -> list[str]:
@@ -87,7 +88,7 @@ class Vocabulary:
 
 def merge_word(symbols: list[int], merges: dict) -> list[int]:
     """Repeatedly joins the pair of lowest rank, leftmost first."""
-    if len(symbols) > 48:
+    if len(symbols) > SHORT:
         return _merge_long(symbols, merges)
     get = merges.get
     while len(symbols) > 1:
@@ -129,6 +130,77 @@ def _merge_long(symbols: list[int], merges: dict) -> list[int]:
     return [s for s, ok in zip(symbols, alive) if ok]
 
 
+NO_RANK = 1 << 30
+
+
+class BatchMerger:
+    """``merge_word`` for many words at once: one row per word, the ranks of its
+    neighbouring pairs beside it; every round joins the best pair of each row."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]], byte_ids: list[int]):
+        pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in merges.items())
+        table = np.array(pairs, np.int64).reshape(-1, 3)
+        self.keys, self.rank = table[:, 0].copy(), table[:, 1].copy()
+        self.new = np.zeros(len(pairs), np.int64)
+        self.new[table[:, 1]] = table[:, 2]
+        self.byte_ids = np.array(byte_ids, np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(a.shape, NO_RANK, np.int64)
+        want = (a.astype(np.int64) << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where(self.keys[at] == want, self.rank[at], NO_RANK)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (at least one byte) as little-endian 32 bits."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        out: list[bytes] = [b""] * len(words)
+        order = np.argsort(length, kind="stable")
+        for group in np.split(order, np.searchsorted(length[order], [9, 13, 21, 49])):
+            if len(group):
+                self._merge_group([words[i] for i in group], length[group], group, out)
+        return out
+
+    def _merge_group(self, words, length, at, out) -> None:
+        wide = int(length.max())
+        symbols = np.full((len(words), wide + 1), -1, np.int32)
+        inside = np.arange(wide + 1) < length[:, None]
+        symbols[inside] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = np.full((len(words), wide + 1), NO_RANK, np.int32)
+        pair = inside[:, 1:]
+        ranks[:, :-1][pair] = self.ranks(symbols[:, :-1][pair], symbols[:, 1:][pair])
+        column = np.arange(wide + 1)
+        while len(at):
+            best = ranks.argmin(axis=1)
+            row = np.arange(len(at))
+            rank = ranks[row, best]
+            go = rank < NO_RANK
+            if not go.all():
+                self._emit(symbols[~go], length[~go], at[~go], out)
+                symbols, ranks, length, at = symbols[go], ranks[go], length[go], at[go]
+                best, rank, row = best[go], rank[go], np.arange(int(go.sum()))
+            if not len(at):
+                break
+            take = np.minimum(column + (column > best[:, None]), wide)
+            symbols = np.take_along_axis(symbols, take, 1)
+            ranks = np.take_along_axis(ranks, take, 1)
+            symbols[row, best] = self.new[rank]
+            length = length - 1
+            for left in (best, best - 1):
+                ok = (left >= 0) & (left + 1 < length)
+                r, c = row[ok], left[ok]
+                ranks[r, c] = self.ranks(symbols[r, c], symbols[r, c + 1])
+                ranks[row[~ok & (left >= 0)], left[~ok & (left >= 0)]] = NO_RANK
+
+    @staticmethod
+    def _emit(symbols, length, at, out) -> None:
+        flat = symbols[np.arange(symbols.shape[1]) < length[:, None]].astype("<u4").tobytes()
+        end = np.cumsum(length) * 4
+        for i, a, b in zip(at.tolist(), (end - length * 4).tolist(), end.tolist()):
+            out[i] = flat[a:b]
+
+
 # ---- the lexicon ------------------------------------------------------------
 
 class _Builder:
@@ -258,6 +330,7 @@ class Codec:
         raw, at = part["token_bytes"].astype(np.uint8).tobytes(), part["token_at"].tolist()
         self.tokens = [raw[a:b] for a, b in zip(at, at[1:])]
         self.byte_ids = part["byte_ids"].tolist()
+        self.batch = BatchMerger(self.merges, self.byte_ids)
         self.added = json.loads(part["added"].astype(np.uint8).tobytes())
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(
@@ -271,8 +344,13 @@ class Codec:
     def learn(self, new: list[str]) -> dict[str, bytes]:
         raw = [w.encode() for w in new]
         found = find_words(self.lex, raw).tolist()
-        return {w: self.out[self.out_at[k]:self.out_at[k + 1]] if k >= 0 else self.merged(r)
-                for w, r, k in zip(new, raw, found)}
+        out = {w: self.out[self.out_at[k]:self.out_at[k + 1]]
+               for w, k in zip(new, found) if k >= 0}
+        short = [(w, r) for w, r, k in zip(new, raw, found) if k < 0 and len(r) <= SHORT]
+        out.update(zip([w for w, _ in short], self.batch.merge([r for _, r in short])))
+        out.update((w, self.merged(r)) for w, r, k in zip(new, raw, found)
+                   if k < 0 and len(r) > SHORT)
+        return out
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         split = []
@@ -351,10 +429,11 @@ def lexicon_of(vocab: Vocabulary, words: list[str]) -> dict[bytes, list[int]]:
     """Ids of each frequent word as it stands in a text: pieces of the split
     pattern, the first also after a space."""
     import regex
-    split, one = regex.compile(PATTERN).findall, vocab.byte_ids()
-    pieces = {p for w in words for p in split(" " + w) + split(w)}
-    return {(b := p.encode()): merge_word([one[x] for x in b], vocab.merges)
-            for p in pieces if p}
+    split = regex.compile(PATTERN).findall
+    pieces = sorted({p.encode() for w in words for p in split(" " + w) + split(w)
+                     if len(p) <= LONGEST_KEPT})
+    ids = BatchMerger(vocab.merges, vocab.byte_ids()).merge(pieces)
+    return {p: np.frombuffer(x, "<u4").tolist() for p, x in zip(pieces, ids)}
 
 
 _SENT: dict[tuple[str, str], str] = {}

@@ -62,6 +62,16 @@ def test_long_and_short_merges_agree(vocab):
             assert bpe.merge_word(list(s), vocab.merges) == bpe._merge_long(list(s), vocab.merges)
 
 
+def test_batch_and_single_merges_agree(vocab):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("theandio é") for _ in range(rng.randrange(1, 24))).encode()
+             for _ in range(3000)]
+    batch = bpe.BatchMerger(vocab.merges, vocab.byte_ids()).merge(words)
+    one = vocab.byte_ids()
+    assert [np.frombuffer(b, "<u4").tolist() for b in batch] == [
+        bpe.merge_word([one[x] for x in w], vocab.merges) for w in words]
+
+
 def test_lexicon_is_minimal_and_numbers_words():
     words = {b"tap": [1], b"taps": [2], b"top": [3], b"tops": [4], b"": [5], b"s": [6]}
     lex = bpe.compile_lexicon(words)
