@@ -176,3 +176,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"),
                       F.round("lcs", 6).alias("lcs"), F.round("answer", 6).alias("answer"))
+
+
+@register("op9_lm_score")
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civitas.llm import lm_score
+    small_batches(spark)
+    out = lm_score.pseudo_likelihood(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.withColumnRenamed("id", "doc_id")
