@@ -6,14 +6,17 @@
    key with a probability that follows their edit similarity.  A text with
    repeated shingles has keys over first occurrences too.  Short texts take
    fewer shingles per key; near a change of that number both keys are made.
-2. In each bucket every text is paired with the bucket's least text only (an
-   aggregation and a join, so a hot bucket is split).  Pairs are verified by a
+2. In each bucket every text is paired with one text only, that which shares the
+   most keys with others (aggregations and joins, so a hot bucket is split).  Pairs are verified by a
    banded alignment of their shingle sequences, then, for moved blocks, by the
    exact similarity of the shingle sets.
-3. Buckets whose texts are not all in one component go on: pairs of different
-   components whose sizes, and whose similarities to the least text, do not
-   exclude a link (Jaccard distance is a metric) are verified as well.  No pair
-   is dropped for the size of its bucket.
+3. Buckets whose texts are not all in one component go on: their texts are
+   joined exactly by the prefix filter.  With the shingles in one order, rare
+   ones first, two similar texts share one of the first fifth of each; pairs of
+   different components that do, and where enough is left behind the first
+   common one (the positional filter), are verified.
+   Texts that share only what many share are not paired, and no pair is dropped
+   for the size of its bucket.
 4. Components of the links are the classes; exact copies share a text key and
    take part once.
 
@@ -47,6 +50,8 @@ BANDS = 28
 # may have fewer than a bound has the keys below it too
 SIZES = ((1, 1), (8, 3), (24, 5))
 MATRIX = 1 << 20            # hash values held at once
+FREQUENCY_BITS = 18
+FREQUENCY_BUCKETS = 1 << FREQUENCY_BITS
 
 
 def _sizes(n: int, threshold: float) -> list[int]:
@@ -82,17 +87,21 @@ def order_min_hash(x: np.ndarray, ell: int, bands: int = BANDS) -> np.ndarray:
 
 def bucket_keys(text: str, k: int = WORDS, threshold: float = THRESHOLD,
                 bands: int = BANDS) -> tuple[np.ndarray, int]:
-    """(bucket keys, number of different shingles)."""
+    """(bucket keys, number of different shingles).  Occurrences are labelled by
+    the power of two they reach, so a line repeated a hundred times has seven
+    labels and does not outweigh the rest of its text."""
     x = shingles(word_hashes(text), k)
     if not len(x):
         return x, 0
     n = occurrences(x)
-    first = n == 0
-    labelled = mix(x + n.astype(U) * U(0xA0761D6478BD642F))
-    once = labelled[first]
+    label = np.floor(np.log2(n + 1)).astype(U)
+    labelled = mix(x + label * U(0xA0761D6478BD642F))
+    new = (n & (n + 1)) == 0  # the first occurrence with each label
+    once = labelled[n == 0]
     keys = [order_min_hash(once, ell, bands) for ell in _sizes(len(once), threshold)]
-    if len(once) < len(x):
-        keys += [order_min_hash(labelled, ell, bands) for ell in _sizes(len(x), threshold)]
+    if len(once) < new.sum():
+        keys += [order_min_hash(labelled[new], ell, bands)
+                 for ell in _sizes(int(new.sum()), threshold)]
     return np.unique(np.concatenate(keys)), len(once)
 
 
@@ -174,6 +183,18 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
         per_task, "a1 long, a2 long, b1 long, b2 long, aligned double, similarity double")
 
 
+def _with_leader(members: DataFrame) -> DataFrame:
+    """Adds a1, a2: the text of the bucket that shares the most keys with others.
+    The origin of a group of copies shares more with each copy than two copies
+    with each other, so the group is linked through it."""
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    degree = members.join(size, "key").groupBy("k1", "k2").agg(F.sum("size").alias("degree"))
+    lead = members.join(degree, ["k1", "k2"]).groupBy("key").agg(
+        F.max(F.struct("degree", "k1", "k2")).alias("x"))
+    return members.join(lead, "key").select("key", "k1", "k2", "n", F.col("x.k1").alias("a1"),
+                                            F.col("x.k2").alias("a2"))
+
+
 def _roots(tested: DataFrame, threshold: float) -> DataFrame:
     """k1, k2, r1, r2: the component's root of each text that has a link."""
     links = tested.where(F.col("similarity") >= threshold)
@@ -195,24 +216,23 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, k: int = WORDS,
         .select("id", "text", *key128(F.col("text")))
     sk = materialize_table(sketches(docs.select("k1", "k2", "text"), k, threshold, bands), "omh")
     rows = sk.select("k1", "k2", "n", F.explode("keys").alias("key"))
-    # the least text of each bucket; copies fall together in the partial step
-    least = rows.groupBy("key").agg(F.min("k1").alias("a1"), F.max("k1").alias("hi"),
-                                    F.min("k2").alias("lo2"), F.max("k2").alias("hi2")) \
-        .where("a1 <> hi or lo2 <> hi2").select("key", "a1")
-    members = materialize_table(rows.distinct().join(least, "key"), "omh-members")
-    # of equal k1 (a collision of 64 bits) the least k2 leads
-    lead = members.where("k1 = a1").groupBy("key").agg(F.min("k2").alias("a2"))
-    members = members.join(lead, "key").select(
-        "key", "k1", "k2", "n", "a1", "a2",
-        ((F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2"))).alias("leads"))
-    pairs = members.where("not leads").select(
+    # copies fall together in the partial step
+    shared = rows.groupBy("key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"),
+                                     F.min("k2").alias("lo2"), F.max("k2").alias("hi2")) \
+        .where("lo <> hi or lo2 <> hi2").select("key")
+    members = materialize_table(rows.distinct().join(shared, "key"), "omh-members")
+    members = materialize_table(_with_leader(members), "omh-led")
+    pairs = members.where("k1 <> a1 or k2 <> a2").select(
         "a1", "a2", F.col("k1").alias("b1"), F.col("k2").alias("b2")).distinct()
-    texts = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    taking_part = members.select("k1", "k2").distinct()
+    texts = materialize_table(
+        docs.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(taking_part, ["k1", "k2"]),
+        "omh-texts")
     tested = materialize_table(verify(pairs, texts, k, threshold), "omh-tested")
     roots = materialize_table(_roots(tested, threshold), "omh-roots")
 
-    more = _open_pairs(members, tested, roots, threshold)
-    more = materialize_table(more, "omh-open")
+    mixed = materialize_table(_mixed_texts(members, roots, texts), "omh-mixed")
+    more = materialize_table(_open_pairs(mixed, tested, k, threshold), "omh-open")
     if not more.isEmpty():
         tested = tested.unionByName(verify(more, texts, k, threshold))
         roots = materialize_table(_roots(materialize_table(tested, "omh-tested"), threshold),
@@ -220,33 +240,88 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, k: int = WORDS,
 
     found = docs.select("id", "k1", "k2").join(roots, ["k1", "k2"], "left").select(
         "id", "k1", "k2", F.coalesce("r1", "k1").alias("c1"), F.coalesce("r2", "k2").alias("c2"))
-    sizes = found.groupBy("c1", "c2").agg(F.min("id").alias("class_id"),
-                                          F.count(F.lit(1)).alias("class_size"))
+    sizes = materialize_table(found.groupBy("c1", "c2").agg(
+        F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "omh-classes")
     return found.join(sizes, ["c1", "c2"]).select("id", "k1", "k2", "class_id", "class_size")
 
 
-def _open_pairs(members: DataFrame, tested: DataFrame, roots: DataFrame,
-                threshold: float) -> DataFrame:
-    """Pairs of a bucket in different components that may still be linked."""
-    sims = tested.select("a1", "a2", F.col("b1").alias("k1"), F.col("b2").alias("k2"), "similarity")
-    m = members.join(sims, ["a1", "a2", "k1", "k2"], "left") \
-        .join(roots, ["k1", "k2"], "left") \
-        .select("key", "k1", "k2", "n", "leads",
-                F.when(F.col("leads"), 1.0).otherwise(F.col("similarity")).alias("s"),
-                F.coalesce("r1", "k1").alias("c1"), F.coalesce("r2", "k2").alias("c2"))
-    m = m.withColumn("c", F.xxhash64("c1", "c2"))
+def _mixed_texts(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """k1, k2, c (a component's number), text of buckets with several components."""
+    m = members.join(roots, ["k1", "k2"], "left").select(
+        "key", "k1", "k2", F.xxhash64(F.coalesce("r1", "k1"), F.coalesce("r2", "k2")).alias("c"))
     mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")) \
         .where("lo <> hi").select("key")
-    m = m.join(mixed, "key").where("not leads")
-    x = m.select("key", *[F.col(c).alias(f"x_{c}") for c in ("k1", "k2", "n", "s", "c")])
-    y = m.select("key", *[F.col(c).alias(f"y_{c}") for c in ("k1", "k2", "n", "s", "c")])
-    lo, hi = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    return m.join(mixed, "key").select("k1", "k2", "c").distinct().join(texts, ["k1", "k2"])
+
+
+def _frequencies(texts: DataFrame, k: int) -> np.ndarray:
+    """How many texts have a shingle of each of FREQUENCY_BUCKETS hash buckets."""
+    def per_task(batches):
+        n = np.zeros(FREQUENCY_BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                n += np.bincount(_bucket(first_shingles(t.as_py(), k)), minlength=FREQUENCY_BUCKETS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()),
+                                          "n": pa.array(n[some], pa.int64())})
+
+    got = texts.select("text").mapInArrow(per_task, "bucket int, n long").groupBy("bucket") \
+        .agg(F.sum("n").alias("n")).toPandas()  # at most FREQUENCY_BUCKETS rows
+    out = np.zeros(FREQUENCY_BUCKETS, np.int64)
+    out[got["bucket"].to_numpy(int)] = got["n"].to_numpy()
+    return out
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return (x >> U(64 - FREQUENCY_BITS)).astype(np.int64)
+
+
+def prefix_of(x: np.ndarray, frequency: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles of ``x``, rare ones first, of which two texts with the
+    threshold's similarity share at least one."""
+    order = np.lexsort((x, frequency[_bucket(x)]))
+    return x[order][:len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1]
+
+
+def _open_pairs(texts: DataFrame, tested: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs of different components of ``texts`` (k1, k2, c, text) that the
+    prefix and positional filters allow to be linked, without those tested."""
+    frequency = _frequencies(texts, k)
+
+    def per_task(batches):
+        for b in batches:
+            row, n, place, out = [], [], [], [np.zeros(0, U)]
+            for i, t in enumerate(b.column(3)):
+                x = first_shingles(t.as_py(), k)
+                if len(x):
+                    out.append(prefix_of(x, frequency, threshold))
+                    row += [i] * len(out[-1])
+                    n += [len(x)] * len(out[-1])
+                    place += range(len(out[-1]))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out).view(np.int64)), *(b.column(i).take(at) for i in range(3)),
+                 pa.array(n, pa.int32()), pa.array(place, pa.int32())],
+                names=["key", "k1", "k2", "c", "n", "place"])
+
+    rows = materialize_table(
+        texts.select("k1", "k2", "c", "text").mapInArrow(
+            per_task, "key long, k1 long, k2 long, c long, n int, place int"), "omh-prefixes")
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")) \
+        .where("lo <> hi").select("key")
+    rows = materialize_table(rows.join(mixed, "key"), "omh-shared")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("k1", "k2", "n", "c", "place")])
+            for p in "xy")
     before = (F.col("x_k1") < F.col("y_k1")) | ((F.col("x_k1") == F.col("y_k1"))
                                                 & (F.col("x_k2") < F.col("y_k2")))
-    may = before & (F.col("x_c") != F.col("y_c")) & (lo >= hi * threshold) \
-        & (F.abs(F.col("x_s") - F.col("y_s")) <= 1 - threshold + 1e-9)
+    # what is common from the first common shingle on must be enough for a link
+    rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    need = (F.col("x_n") + F.col("y_n")) * (threshold / (1 + threshold))
+    may = before & (F.col("x_c") != F.col("y_c")) & (rest >= need - 1e-9)
     got = x.join(y, "key").where(may).select(
         F.col("x_k1").alias("a1"), F.col("x_k2").alias("a2"),
         F.col("y_k1").alias("b1"), F.col("y_k2").alias("b2")).distinct()
-    done = tested.select("a1", "a2", "b1", "b2")
-    return got.join(done, ["a1", "a2", "b1", "b2"], "left_anti")
+    both = tested.select("a1", "a2", "b1", "b2").unionByName(tested.select(
+        F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"),
+        F.col("a2").alias("b2")))
+    return got.join(both, ["a1", "a2", "b1", "b2"], "left_anti")
