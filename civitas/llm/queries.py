@@ -184,3 +184,9 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     out = lm_score.pseudo_likelihood(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.withColumnRenamed("id", "doc_id")
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
