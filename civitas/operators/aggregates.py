@@ -134,20 +134,10 @@ def count_distinct_approx(c, rsd: float = 0.01) -> Column:
 
 def count_distinct_many(df: DataFrame, group: Sequence[str], distinct: dict,
                         other_aggs: Sequence[Column] = ()) -> DataFrame:
-    """Several exact distinct counts per group without the row expansion
-    Spark uses for multiple DISTINCT aggregates (one copy of every row per
-    distinct column).  Each counted column is first reduced to its distinct
-    (group, value) pairs — a hash aggregate that combines on the map side and
-    spreads a hot group over tasks by value — then counted per group; the
-    counts and ``other_aggs`` are joined on the group key, all already
-    partitioned by it.  ``distinct`` maps output name -> column name or
-    expression (``when(cond, c)`` gives a conditional distinct count)."""
-    group = list(group)
-    base = df.groupBy(*group).agg(*other_aggs) if other_aggs else df.select(*group).distinct()
-    out = base
-    for name, c in distinct.items():
-        counted = (df.select(*group, col(c).alias("__v")).distinct()
-                     .groupBy(*group).agg(F.count("__v").cast("bigint").alias(name)))
-        out = out.join(counted, group, "left").withColumn(
-            name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
-    return out
+    """Several exact distinct counts per group, with ``other_aggs``, in one pass
+    over the input and one row per group, a null group included.  Spark reduces
+    the rows to (group, column, value) on the map side and spreads a hot group
+    over tasks by value before it counts.  ``distinct`` maps output name ->
+    column name or expression (``when(cond, c)`` gives a conditional count)."""
+    return df.groupBy(*group).agg(*other_aggs, *[
+        F.count_distinct(col(c)).cast("bigint").alias(name) for name, c in distinct.items()])

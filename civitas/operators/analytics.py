@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civitas.operators.aggregates import count_if, count_rows, exact_ratio_sql
-from civitas.operators.link import broadcast_if_small
 from civitas.operators.quantiles import exact_quantiles
 
 
@@ -27,7 +26,7 @@ def outlier_iqr(df: DataFrame, group: Sequence[str], value: str, min_n: int = 4,
                         names=["q1", "mediana_grupo", "q3"])
     stats = (q.where(F.col("n") >= min_n)
                .withColumn("limite_iqr", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))))
-    return (df.join(broadcast_if_small(stats), list(group))
+    return (df.join(stats, list(group))
               .where(F.col(value) > F.col("limite_iqr"))
               .withColumn("desvio_mediana", F.col(value) - F.col("mediana_grupo")))
 
@@ -44,7 +43,7 @@ def outlier_median_ratio(df: DataFrame, group: Sequence[str], value: str,
     Runs on all rows (the reference first caps the input at 5000 rows)."""
     med = exact_quantiles(df, group, value, [0.5], "linear", names=["mediana_cat"],
                           with_count=False)
-    return (df.join(broadcast_if_small(med), list(group), "left")
+    return (df.join(med, list(group), "left")
               .withColumn("razao_mediana", F.col(value) / F.col("mediana_cat"))
               .where(F.col("razao_mediana") > ratio))
 

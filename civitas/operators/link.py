@@ -1,5 +1,4 @@
-"""Joins: size-checked broadcasts, derived-key joins that cannot
-fan out, priority fallback and cross-references over pre-aggregates."""
+"""Joins: dimension joins, derived-key joins that cannot fan out, priority fallback and cross-references over pre-aggregates."""
 
 from __future__ import annotations
 
@@ -10,24 +9,11 @@ from pyspark.sql import functions as F
 
 from civitas.operators.dedup import earliest_per_key
 
-# A dimension is hinted for broadcast only after a bounded count proves it has
-# at most this many rows; otherwise the optimiser (size threshold) and AQE
-# (runtime sizes) choose, and a skewed sort-merge join is split by AQE.
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it provably has <= ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()``: it stops reading once the
-    bound is exceeded, so it is cheap for both small and huge inputs."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def join_left_dim(fact: DataFrame, dim: DataFrame, on, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Fact left join dimension (denormalise), dim broadcast only when small."""
-    return fact.join(broadcast_if_small(dim, max_rows), on, "left")
+def join_left_dim(fact: DataFrame, dim: DataFrame, on) -> DataFrame:
+    """Fact left join dimension (denormalise).  No hint: the optimiser's byte
+    threshold and AQE's measured sizes choose the join, and AQE splits a skewed
+    sort-merge join."""
+    return fact.join(dim, on, "left")
 
 
 def unique_registry(reg: DataFrame, key: str, id_col: str) -> DataFrame:

@@ -2,20 +2,21 @@
 
 Built-in ``percentile``/``median`` merge a value->count map per group in a
 single task and a ``row_number`` window sorts the whole group in one task:
-both break when one group holds a third of all rows.  Here:
-
-1. ``freq``    distinct (group, value) with counts — partial aggregation,
-               shuffled on (group, value), so a hot group is spread; written
-               once to the shared folder because every step below reads it.
-2. ``stats``   n / min / max per group -> the wanted 0-based ranks.
-3. narrow      while an interval holds more than ``max_candidates``
-               distinct values (at most ``levels`` times): the distinct values
-               inside each rank's interval fall into ``bins`` equal-width
-               bins; counts per bin are tiny, a running sum over <= ``bins``
-               rows tells which bin holds the rank, and that bin's observed
-               min / max become the next interval.
-4. select      only the distinct values left in the final interval are
-               ranked (window on (group, rank)) and the value is read off.
+both break when one group holds a third of all rows.  Here, for every size:
+
+1. ``freq``    distinct (group, value) with counts - partial aggregation,
+               shuffled on (group, value), so a hot group is spread; then
+               dealt into ranges of (group, value) and written once with the
+               number of its range.
+2. offsets     counts per (group, range): one row per range that a group
+               touches; a running sum over them gives each range's offset and
+               the group's n.
+3. ranks       a running sum inside (group, range), never more rows than one
+               range holds, plus the offset; the values whose runs cover the
+               wanted ranks are read off in one aggregation.
+
+Null groups are groups; a group whose values are all null has n = 0 and null
+quantiles.
 
 All ranks are 0-based positions in the sorted group.  ``method``:
 ``linear`` (position p*(n-1), interpolated: DuckDB quantile_cont, Spark
@@ -51,119 +52,48 @@ def _rank_exprs(p: float, method: str) -> tuple[Column, Column, Column]:
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
                     probs: Sequence[float], method: str | Sequence[str] = "linear",
-                    bins: int = 1024, names: Sequence[str] | None = None,
-                    with_count: bool = True, materialize: bool = True,
-                    levels: int = 3, max_candidates: int = 1_000_000) -> DataFrame:
+                    names: Sequence[str] | None = None, with_count: bool = True) -> DataFrame:
     """One row per group: ``n`` plus one column per probability.  ``method``
     may be one name or one per probability (all share a single pass)."""
     group = list(group)
     if not group:  # global quantiles: one constant group
         out = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value, probs,
-                              method, bins, names, with_count, materialize, levels,
-                              max_candidates)
+                              method, names, with_count)
         return out.drop("__g")
     names = list(names or [f"q{int(round(p * 1000)):03d}" for p in probs])
-    v = F.col(value)
-
-    freq = (df.where(v.isNotNull())
-              .groupBy(*group, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
-    if materialize:
-        # freq is read by five branches below; without this each branch
-        # recomputes the whole input.  It is written once as Parquet in the
-        # shared checkpoint folder (survives executor loss, cuts lineage;
-        # columnar and computed once, unlike an RDD checkpoint).
-        freq = materialize_table(freq, "quantile-freq")
-    stats = freq.groupBy(*group).agg(F.sum("__c").alias("__n"),
-                                     F.count(F.lit(1)).alias("__nd"),
-                                     F.min("__v").alias("__lo_v"),
-                                     F.max("__v").alias("__hi_v"))
-
-    # wanted ranks per group: (prob index, lo rank, hi rank, fraction)
     methods = [method] * len(probs) if isinstance(method, str) else list(method)
-    specs = []
-    for i, (p, m) in enumerate(zip(probs, methods)):
-        lo, hi, frac = _rank_exprs(p, m)
-        specs.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"),
-                              frac.alias("frac")))
-    wanted = stats.select(*group, "__n", F.explode(F.array(*specs)).alias("__w")).select(
-        *group, "__n", "__w.*")
-    ranks = (wanted.select(*group, F.col("lo").alias("__r"))
-                   .union(wanted.select(*group, F.col("hi").alias("__r"))).distinct())
-
-    # Locate every wanted rank by narrowing a value interval (up to ``levels``
-    # times, only while needed): bin the distinct values inside the interval
-    # into ``bins`` equal-width bins, count them, and keep the bin holding the
-    # rank (its observed min / max are the next interval, the rows before it
-    # an offset).
-    cur = (ranks.join(stats.select(*group, "__lo_v", "__hi_v", "__nd"), group)
-                .select(*group, "__r", F.col("__lo_v").alias("__a"),
-                        F.col("__hi_v").alias("__z"), F.lit(0).cast("long").alias("__before"),
-                        F.col("__nd").alias("__bd")))
-    # a level runs only while some interval still holds more than
-    # ``max_candidates`` distinct values (one scalar per check; the first
-    # comes from the per-group distinct counts); the (group, rank) intervals
-    # (groups x ranks rows) are written once per level that runs
-    widest = stats.agg(F.max("__nd")).first()[0]
-    narrowed = False
-    for _ in range(levels):
-        if widest is None or widest <= max_candidates:
-            break
-        inside = (freq.join(cur, group)
-                      .where((F.col("__v") >= F.col("__a")) & (F.col("__v") <= F.col("__z"))))
-        span = F.col("__z") - F.col("__a")
-        bin_of = F.when(span == 0, F.lit(0)).otherwise(
-            F.least(F.floor((F.col("__v") - F.col("__a")) / span * bins).cast("int"),
-                    F.lit(bins - 1)))
-        per_bin = (inside.withColumn("__b", bin_of)
-                         .groupBy(*group, "__r", "__before", "__b")
-                         .agg(F.sum("__c").alias("__bc"), F.count(F.lit(1)).alias("__bd"),
-                              F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax")))
-        wb = (Window.partitionBy(*group, "__r").orderBy("__b")
-              .rowsBetween(Window.unboundedPreceding, -1))
-        per_bin = per_bin.withColumn(
-            "__start", F.col("__before") + F.coalesce(F.sum("__bc").over(wb), F.lit(0)))
-        cur = (per_bin.where((F.col("__r") >= F.col("__start"))
-                             & (F.col("__r") < F.col("__start") + F.col("__bc")))
-                      .select(*group, "__r", F.col("__bmin").alias("__a"),
-                              F.col("__bmax").alias("__z"),
-                              F.col("__start").alias("__before"), "__bd"))
-        cur = materialize_table(cur, "quantile-ranks") if materialize else cur
-        widest = cur.agg(F.max("__bd")).first()[0]
-        narrowed = True
-
-    if narrowed:
-        # each rank's interval holds few distinct values: rank them exactly
-        cand = (freq.join(cur, group)
-                    .where((F.col("__v") >= F.col("__a")) & (F.col("__v") <= F.col("__z"))))
-        wr = (Window.partitionBy(*group, "__r").orderBy("__v")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        cand = cand.withColumn("__run", F.col("__before") + F.sum("__c").over(wr))
-        at_rank = (cand.where(F.col("__run") > F.col("__r"))
-                       .groupBy(*group, "__r").agg(F.min("__v").alias("__val")))
-    else:
-        # every group has at most max_candidates distinct values: one running
-        # count per group, then each rank takes the value whose run covers it
-        wg = (Window.partitionBy(*group).orderBy("__v")
+
+    freq = df.groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    freq = freq.withColumn("__c", F.when(F.col("__v").isNull(), 0).otherwise(F.col("__c")))
+    freq = freq.repartitionByRange(*group, "__v").withColumn("__range", F.spark_partition_id())
+    freq = materialize_table(freq, "quantile-freq")
+
+    ranges = freq.groupBy(*group, "__range").agg(F.sum("__c").alias("__rc"))
+    by_group = Window.partitionBy(*group)
+    before = by_group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(
+        *[F.col(g).alias(f"__o_{g}") for g in group], F.col("__range").alias("__o_range"),
+        F.coalesce(F.sum("__rc").over(before), F.lit(0)).alias("__before"),
+        F.sum("__rc").over(by_group).alias("__n"))
+    same = F.col("__range") == F.col("__o_range")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__o_{g}"))
+    inside = (Window.partitionBy(*group, "__range").orderBy("__v")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        run = freq.withColumn("__run", F.sum("__c").over(wg))
-        at_rank = (run.join(ranks, group)
-                      .where((F.col("__run") - F.col("__c") <= F.col("__r"))
-                             & (F.col("__r") < F.col("__run")))
-                      .select(*group, "__r", F.col("__v").alias("__val")))
-
-    lo_v = at_rank.select(*group, F.col("__r").alias("lo"), F.col("__val").alias("__lov"))
-    hi_v = at_rank.select(*group, F.col("__r").alias("hi"), F.col("__val").alias("__hiv"))
-    vals = (wanted.join(lo_v, group + ["lo"]).join(hi_v, group + ["hi"])
-                  .withColumn("__q", F.col("__lov").cast("double")
-                              + F.col("frac") * (F.col("__hiv").cast("double")
-                                                 - F.col("__lov").cast("double"))))
-    wide = vals.groupBy(*group, "__n").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("__q"))).alias(nm) for i, nm in enumerate(names)])
-    if with_count:
-        wide = wide.withColumnRenamed("__n", "n")
-    else:
-        wide = wide.drop("__n")
-    return wide
+    run = (freq.withColumn("__in", F.sum("__c").over(inside)).join(offsets, same)
+               .withColumn("__run", F.col("__before") + F.col("__in")))
+
+    def at(rank: Column) -> Column:
+        here = (F.col("__run") - F.col("__c") <= rank) & (rank < F.col("__run"))
+        return F.max(F.when(here, F.col("__v"))).cast("double")
+
+    cols = []
+    for p, m, name in zip(probs, methods, names):
+        lo, hi, frac = _rank_exprs(p, m)
+        low, high = at(lo), at(hi)
+        cols.append((low + F.max(frac) * (high - low)).alias(name))
+    out = run.groupBy(*group).agg(F.max("__n").alias("n"), *cols)
+    return out if with_count else out.drop("n")
 
 
 def median_by(df: DataFrame, group: Sequence[str], value: str, name: str = "median",

@@ -10,7 +10,7 @@ from civitas.operators.aggregates import count_rows, exact_ratio_sql
 from civitas.operators.analytics import (deliberation_timeline, divisive, outlier_iqr,
                                          outlier_median_ratio, presence_scorecard,
                                          salary_distribution, timeline_summary)
-from civitas.operators.link import broadcast_if_small, join_left_dim
+from civitas.operators.link import join_left_dim
 from civitas.operators.topk import topn
 from civitas.plans.clean import EVENT_VOTE
 from civitas.plans.registry import register
@@ -244,7 +244,7 @@ def q_search(spark, d):
         F.col("text").rlike(EMAIL_RE).alias("tem_email"),
         F.upper("text").contains("LICENSE").alias("tem_licenca"),
         F.nullif(F.regexp_extract("text", LICENSE_RE, 1), F.lit("")).alias("licenca"))
-    j = x.join(broadcast_if_small(src), F.col("q_id").isNull() & (x.source == src.source), "left")
+    j = x.join(src, F.col("q_id").isNull() & (x.source == src.source), "left")
     return j.select("doc_id", "lang", "tem_email", "tem_licenca", "licenca",
                     F.coalesce("q_id", "q_fonte").alias("qualidade"),
                     F.when(F.col("q_id").isNotNull(), "id")

@@ -16,7 +16,6 @@ from civitas.functions import (blank_to_null, bool_parse_3, brl_to_decimal,
 from civitas.functions.dates import format_ntz
 from civitas.functions.text import NAME_ACCENTS_FROM, NAME_ACCENTS_TO
 from civitas.operators.aggregates import count_rows, sum_money
-from civitas.operators.link import broadcast_if_small
 from civitas.plans.registry import register
 from civitas.sources.tables import table
 
@@ -45,7 +44,7 @@ def q_staging_clean(spark, d):
                        null_to_blank("c_mktsegment").alias("segmento_txt"),
                        "c_nationkey",
                        to_money("c_acctbal", 12, 2).cast("double").alias("saldo")))
-    joined = staged.join(broadcast_if_small(nation),
+    joined = staged.join(nation,
                          staged.c_nationkey == nation.n_nationkey, "left")
     return joined.select("customer_id", "nome", "segmento", "segmento_txt", "c_nationkey",
                          "saldo", F.coalesce("n_name", F.col("c_nationkey").cast("string"))
@@ -241,7 +240,7 @@ def q_category_map(spark, d):
     li = table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_shipdate",
                                             "l_extendedprice")
     part = table(spark, d, "part").select("p_partkey", "p_type")
-    j = li.join(broadcast_if_small(part), li.l_partkey == part.p_partkey, "left")
+    j = li.join(part, li.l_partkey == part.p_partkey, "left")
     j = lookup_label(spark, j, upper_trim("p_type"), PART_TYPE_LABELS, "categoria",
                      default=F.lower(F.trim("p_type")))
     j = j.select("categoria",

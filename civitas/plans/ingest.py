@@ -9,7 +9,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from civitas.functions import (brl_to_decimal, date_dmy, id_to_text, safe_int)
 from civitas.functions.dates import format_ntz
 from civitas.operators.aggregates import count_rows
-from civitas.operators.link import broadcast_if_small, join_counts_zero_fill
+from civitas.operators.link import join_counts_zero_fill
 from civitas.plans.registry import register
 from civitas.session import work_dir
 from civitas.sources.csv_bulk import (bom_header_clean, conform_schema, scan_csv_headered,
@@ -249,7 +249,7 @@ def q_party_counts(spark, d):
     n = table(spark, d, "nation")
     counts = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")) \
         .agg(count_rows().alias("n_fornecedores"))
-    nat = n.join(broadcast_if_small(region), n.n_regionkey == region.r_regionkey, "left")
+    nat = n.join(region, n.n_regionkey == region.r_regionkey, "left")
     out = join_counts_zero_fill(nat, counts, "n_nationkey", ["n_fornecedores"])
     return out.select(F.col("r_name").alias("regiao"), F.col("n_name").alias("nacao"),
                       "n_fornecedores")

@@ -9,7 +9,7 @@ from civitas.functions.dates import trunc_hour_ntz
 from civitas.operators.aggregates import avg_round, count_rows, exact_ratio_sql, sum_money
 from civitas.operators.analytics import kpis_latest_period
 from civitas.operators.dedup import dedup_on_keys, first_seen_unique, latest_per_key
-from civitas.operators.link import (broadcast_if_small, join_crossref, join_left_dim,
+from civitas.operators.link import (join_crossref, join_left_dim,
                                     join_on_derived_key, join_priority_fallback,
                                     unique_registry)
 from civitas.operators.quality import dq_key_links
@@ -178,15 +178,15 @@ def q_name_link(spark, d):
                  .when(k == 1, F.lower(F.replace(F.col("n_name"), F.lit("A"), F.lit("Á"))))
                  .when(k == 2, F.replace(F.col("n_name"), F.lit("_"), F.lit("-")))
                  .otherwise(F.lit("")))
-    cust = (c.join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey, "left")
+    cust = (c.join(n, c.c_nationkey == n.n_nationkey, "left")
              .select("c_custkey", "c_mktsegment", declared.alias("declarado")))
     reg_u = unique_registry(n.select(upper_trim("n_name").alias("ku"),
                                      F.col("n_nationkey").alias("nk_upper")), "ku", "nk_upper")
     reg_n = unique_registry(n.select(normalize_name_sql("n_name").alias("kn"),
                                      F.col("n_nationkey").alias("nk_norm")), "kn", "nk_norm")
-    l1 = join_on_derived_key(cust, broadcast_if_small(reg_u), upper_trim("declarado"),
+    l1 = join_on_derived_key(cust, reg_u, upper_trim("declarado"),
                              F.col("ku"), key="__ku").drop("__ku", "ku")
-    l2 = join_on_derived_key(l1, broadcast_if_small(reg_n), normalize_name_sql("declarado"),
+    l2 = join_on_derived_key(l1, reg_n, normalize_name_sql("declarado"),
                              F.col("kn"), key="__kn").drop("__kn", "kn")
     up = dq_key_links(l2, "nk_upper", ["c_mktsegment"]).withColumnsRenamed(
         {"matched": "matched_upper", "match_rate": "match_rate_upper"})
@@ -311,7 +311,7 @@ def q_sector_top(spark, d, k: int = 3):
     pay = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
         sum_money("l_extendedprice").alias("total"), count_rows().alias("n_itens"))
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("setor"), "s_suppkey", "s_name")
-    j = pay.join(broadcast_if_small(s), pay.l_suppkey == s.s_suppkey, "inner").drop("l_suppkey")
+    j = pay.join(s, pay.l_suppkey == s.s_suppkey, "inner").drop("l_suppkey")
     top = topk_per_group(j, ["setor"], [F.col("total").desc(), F.col("s_suppkey").asc()], k,
                          salt_on=F.col("s_suppkey"))
     return top.select("setor", "s_suppkey", "s_name", "total", "n_itens",

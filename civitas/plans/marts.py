@@ -9,7 +9,7 @@ from civitas.functions.dates import year_between
 from civitas.operators.aggregates import (avg_coalesced, avg_round, count_distinct_many,
                                           exact_ratio_sql, coalesce_max,                                           count_if, count_rows, gross_pay, rollup_additive,
                                           sum_if_money, sum_money, unpivot_components)
-from civitas.operators.link import broadcast_if_small, join_counts_zero_fill, join_left_dim
+from civitas.operators.link import join_counts_zero_fill, join_left_dim
 from civitas.operators.quality import dq_report
 from civitas.operators.topk import topk_per_group, topn, topn_other_bucket, topn_sum
 from civitas.plans._sql import avg4, money_sum
@@ -330,10 +330,10 @@ def q_geo(spark, d, year_from: int | None = 1996, year_to: int | None = 2000,
     r = table(spark, d, "region")
     if regions:
         r = r.where(F.col("r_name").isin(*regions))
-    geo = (n.join(broadcast_if_small(r), n.n_regionkey == r.r_regionkey)
+    geo = (n.join(r, n.n_regionkey == r.r_regionkey)
             .select("n_nationkey", "n_name", "r_name"))
-    sup = s.join(broadcast_if_small(geo), s.s_nationkey == geo.n_nationkey)
-    f = li.join(broadcast_if_small(sup), li.l_suppkey == sup.s_suppkey)
+    sup = s.join(geo, s.s_nationkey == geo.n_nationkey)
+    f = li.join(sup, li.l_suppkey == sup.s_suppkey)
     return f.groupBy(F.col("r_name").alias("regiao"), F.col("n_name").alias("nacao")).agg(
         sum_money("l_extendedprice").alias("total"), count_rows().alias("n_itens"),
         F.count_distinct("l_suppkey").cast("bigint").alias("n_fornecedores"))
@@ -544,7 +544,7 @@ def q_top_filter(spark, d, k: int = 3):
     from civitas.operators.topk import topn_then_filter
     li = table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
     p = table(spark, d, "part").select("p_partkey", "p_type")
-    f = li.join(broadcast_if_small(p), li.l_partkey == p.p_partkey)
+    f = li.join(p, li.l_partkey == p.p_partkey)
     kept = topn_then_filter(f, "p_type", F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), k)
     return kept.groupBy(F.year("l_shipdate").alias("ano"), "p_type").agg(
         count_rows().alias("n_itens"), sum_money("l_extendedprice").alias("total"))

@@ -86,8 +86,7 @@ def scan_csv_headered(spark: SparkSession, paths, max_cols: int,
     is_header = F.coalesce(first.isin(*[h.upper() for h in id_spellings]), F.lit(False))
     headers = raw.where(is_header).select(
         "__file", F.array(*[clean_header_expr(n) for n in names]).alias("__hdr"))
-    from civitas.operators.link import broadcast_if_small  # noqa: PLC0415
-    data = raw.where(~is_header).join(broadcast_if_small(headers), "__file", "left")
+    data = raw.where(~is_header).join(headers, "__file", "left")
     vals = F.array(*[F.col(n) for n in names])
     out = []
     for target, raws in mapping.items():

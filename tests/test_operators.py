@@ -71,10 +71,8 @@ def test_exact_quantiles_skewed(spark):
     rows += [(f"g{i % 40}", round(rng.uniform(0, 1000), 2)) for i in range(2000)]
     rows += [("one", 5.0), ("dup", 2.0), ("dup", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    lin = {r.g: r for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], "linear", max_candidates=50,
-                                           bins=16).collect()}
-    near = {r.g: r for r in exact_quantiles(df, ["g"], "v", [0.25, 0.75], "nearest",
-                                            bins=8).collect()}
+    lin = {r.g: r for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], "linear").collect()}
+    near = {r.g: r for r in exact_quantiles(df, ["g"], "v", [0.25, 0.75], "nearest").collect()}
     groups = {}
     for g, v in rows:
         groups.setdefault(g, []).append(v)
@@ -148,10 +146,19 @@ def test_exact_quantiles_clustered_values(spark):
     rng = random.Random(13)
     vals = [round(rng.uniform(0, 0.001), 9) for _ in range(5000)] + [1e9]
     df = spark.createDataFrame([("g", v) for v in vals], "g string, v double")
-    r = exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.99], "linear", bins=32,
-                        max_candidates=100).first()
+    r = exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.99], "linear").first()
     for p, name in ((0.1, "q100"), (0.5, "q500"), (0.99, "q990")):
         assert abs(r[name] - float(np.quantile(vals, p))) < 1e-15
-    r1 = exact_quantiles(df, ["g"], "v", [0.5], "nearest", bins=32, levels=1,
-                         max_candidates=100).first()
+    r1 = exact_quantiles(df, ["g"], "v", [0.5], "nearest").first()
     assert r1.q500 == _np_nearest(vals, 0.5)
+
+
+def test_null_groups_and_all_null_groups(spark):
+    from civitas.operators.aggregates import count_distinct_many
+    df = spark.createDataFrame([(None, 1.0, "a"), (None, 3.0, "b"), ("x", None, None), ("x", None, None),
+                                ("y", 2.0, "a"), ("y", None, None)], "g string, v double, k string")
+    got = {r.g: (r.n, r.q500) for r in exact_quantiles(df, ["g"], "v", [0.5]).collect()}
+    assert got == {None: (2, 2.0), "x": (0, None), "y": (1, 2.0)}
+    got = {r.g: (r.nk, r.nv) for r in count_distinct_many(df, ["g"], {"nk": "k", "nv": "v"}).collect()}
+    assert got == {None: (2, 2), "x": (0, 0), "y": (1, 1)}
+    assert exact_quantiles(df.where("false"), ["g"], "v", [0.5]).count() == 0
