@@ -10,7 +10,8 @@ from civitas.functions.dates import (date_dmy, date_iso_prefix, date_two_formats
 from civitas.functions.flags import (bool_parse_3, flag_map, flag_prefix,  # noqa: F401
                                      null_flag, vote_flags)
 from civitas.functions.ids import (digits_only, doc_format, doc_type, id_to_text,  # noqa: F401
-                                   mask_sentinel, safe_int, stable_id, surrogate_md5)
+                                   mask_sentinel, parse_identifier, safe_int, stable_id,
+                                   surrogate_md5)
 from civitas.functions.labels import coalesce_label, label_map, lookup_label  # noqa: F401
 from civitas.functions.money import (brl_to_decimal, brl_to_number_lenient,  # noqa: F401
                                      cap_value, money_format, to_money)

@@ -62,3 +62,15 @@ def stable_id(prefix: str, *cols, sep: str = "|", length: int = 16) -> Column:
 
 def surrogate_md5(*cols, sep: str = "|") -> Column:
     return F.md5(F.concat_ws(sep, *_parts(cols)))
+
+
+def parse_identifier(c) -> tuple[Column, Column, Column]:
+    """(type, number as text, year) of ``TYPE NUMBER/YEAR``: split at the first
+    space, then at the slash; without a space all is the type; parts that are
+    missing, or a year that is no number, are null."""
+    text = col(c)
+    space = F.instr(text, " ")
+    kind = F.when(space > 0, F.substr(text, F.lit(1), space - 1)).otherwise(text)
+    rest = F.when(space > 0, F.substr(text, space + 1)).otherwise(F.lit(""))
+    part = lambda i: F.nullif(F.split_part(rest, F.lit("/"), F.lit(i)), F.lit(""))
+    return F.nullif(kind, F.lit("")), part(1), part(2).try_cast("int")

@@ -23,9 +23,9 @@ def brl_to_decimal(c, precision: int = 12, scale: int = 2) -> Column:
 
 
 def brl_to_number_lenient(c, precision: int = 18, scale: int = 2) -> Column:
-    """Lenient parse: strips ``R$`` and spaces; only text containing a comma is
+    """Lenient parse: strips every ``R``, ``$`` and space; only text containing a comma is
     read as locale-formatted (so ``5013.5`` stays 5013.5); bad text -> 0."""
-    txt = F.regexp_replace(F.trim(col(c)), r"R\$|\s", "")
+    txt = F.regexp_replace(F.trim(col(c)), r"[R$\s]", "")
     locale = F.replace(F.replace(txt, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     parsed = F.when(txt.contains(","), locale).otherwise(txt)
     return F.coalesce(parsed.try_cast(f"decimal({precision},{scale})"),
@@ -38,8 +38,10 @@ def cap_value(c, cap: float = 1e10) -> Column:
     return F.when(v > F.lit(cap), F.lit(None)).otherwise(v)
 
 
-def money_format(c, symbol: str = "R$ ") -> Column:
+def money_format(c, symbol: str = "R$ ", scale: str | None = None) -> Column:
     """``1234.5`` -> ``R$ 1.234,50``: format with grouping, then swap the two
-    separators in one ``translate`` (both at once, so no placeholder)."""
-    return F.concat(F.lit(symbol),
-                    F.translate(F.format_number(col(c), 2), ",.", ".,"))
+    separators in one ``translate`` (both at once, so no placeholder).
+    ``scale`` "B" or "M" gives billions with two digits, millions with one."""
+    unit, digits, suffix = {None: (1, 2, ""), "B": (10 ** 9, 2, "B"), "M": (10 ** 6, 1, "M")}[scale]
+    v = col(c) if scale is None else col(c) / F.lit(float(unit))
+    return F.concat(F.lit(symbol), F.translate(F.format_number(v, digits), ",.", ".,"), F.lit(suffix))

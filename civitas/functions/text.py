@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -20,21 +21,32 @@ NAME_ACCENTS_TO = "aAaAaAaAeEeEeEiIiIoOoOoOuUuUcCnN"
 _SHARP_S = ("ß", "ẞ")
 
 
-def _latin_fold_table() -> tuple[str, str]:
-    """Built from a rule, not typed in: every Latin-1 / Latin Extended-A/B
-    letter whose canonical decomposition is one base letter plus marks."""
-    src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+HANGUL = range(0xAC00, 0xD7A4)  # syllables stay whole
+
+
+def _compatibility_tables() -> tuple[str, str, dict[str, str]]:
+    """Built from a rule, not typed in: for every code point what is left of its
+    compatibility decomposition without marks; one character to one as a
+    ``translate`` pair, the others (ligatures, fractions) as a map."""
+    src, dst, longer = [], [], {}
+    for cp in range(0x80, 0x30000):
         ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFD", ch)
+        if cp in HANGUL or 0xD800 <= cp < 0xE000 or unicodedata.combining(ch):
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFKD", ch)
                        if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
+        if base == ch:
+            continue
+        if len(base) == 1 and cp < 0x10000 and ord(base) < 0x10000:
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+        else:
+            longer[ch] = base
+    return "".join(src), "".join(dst), longer
 
 
-LATIN_FOLD_FROM, LATIN_FOLD_TO = _latin_fold_table()
+FOLD_FROM, FOLD_TO, FOLD_LONGER = _compatibility_tables()
+MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c)))
 
 
 def upper_safe(c) -> Column:
@@ -64,9 +76,14 @@ def normalize_name_sql(c) -> Column:
 
 
 def normalize_name_nfkd(c) -> Column:
-    """Python-side folding: trim, upper, strip marks, collapse whitespace.
-    Marks are stripped with a rule-built ``translate`` over the Latin blocks
-    (Spark has no NFKD); null stays null."""
-    t = F.translate(col(c), LATIN_FOLD_FROM, LATIN_FOLD_TO)
-    t = F.regexp_replace(t, r"\s+", " ")
-    return upper_safe(F.trim(t))
+    """Python-side folding: trim, upper, compatibility decomposition, marks
+    removed, white space runs to one space; null and blank give ''.
+    One ``translate`` does single characters and drops marks; only texts that
+    hold ligatures and the like go through a map, character by character."""
+    t = upper_safe(F.coalesce(col(c), F.lit("")))
+    t = F.translate(t, FOLD_FROM + MARKS, FOLD_TO)
+    table = F.from_json(F.lit(json.dumps(FOLD_LONGER)), "map<string,string>")
+    odd = t.rlike("[" + "".join(sorted(FOLD_LONGER)) + "]")
+    spelled = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(
+        F.element_at(table, x), x)), "")
+    return F.trim(F.regexp_replace(F.when(odd, spelled).otherwise(t), r"(?U)\s+", " "))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from civitas.operators.dedup import dedup_on_keys
-from civitas.session import path_exists, work_dir
+from civitas.session import path_exists, remove_path, work_dir
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame | None:
@@ -37,8 +37,10 @@ def read_target(spark: SparkSession, path: str) -> DataFrame | None:
         return None
     try:
         return spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException:  # folder present but no data files yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # a folder without data files yet
+            return None
+        raise
 
 
 def current_watermark(spark: SparkSession, path: str, col: str, default: Any = None) -> Any:
@@ -66,6 +68,29 @@ def watermark_filter(src: DataFrame, col: str, watermark: Any, strict: bool = Fa
     return src.where(F.col(col) > wm) if strict else src.where(F.col(col) >= wm)
 
 
+def check_types(target: StructType, batch: StructType) -> None:
+    """Refuses a batch whose column has another type than in the target: files
+    of two types under one table can no longer be read together."""
+    have = {f.name: f.dataType for f in target.fields}
+    odd = [f"{f.name}: {have[f.name].simpleString()} -> {f.dataType.simpleString()}"
+           for f in batch.fields if f.name in have and have[f.name] != f.dataType]
+    if odd:
+        raise ValueError("the batch changes column types; cast it or rewrite the table: "
+                         + ", ".join(odd))
+
+
+def same_keys(keys: Sequence[str], prefix: str = "__k_"):
+    """Null-safe equality of ``keys`` with columns renamed by ``same_key_columns``."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(prefix + k))
+    return cond
+
+
+def same_key_columns(df: DataFrame, keys: Sequence[str], prefix: str = "__k_") -> DataFrame:
+    return df.select(*[F.col(k).alias(prefix + k) for k in keys])
+
+
 def schema_sync(df: DataFrame, schema: StructType) -> DataFrame:
     """conform to ``schema``: missing columns become typed nulls, extra ones
     are dropped, order follows the schema (sync all columns on merge)."""
@@ -113,11 +138,20 @@ def full_refresh(df: DataFrame, path: str, keys: Sequence[str],
 
 def upsert_by_key(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
                   partition_by: Sequence[str], sort_by: Sequence[str] = (),
-                  keys_may_move: bool = False, prefer: Sequence | None = None) -> int:
+                  keys_may_move: bool | None = None, prefer: Sequence | None = None) -> int:
     """Merge ``batch`` into the partitioned Parquet table at ``path``: rows
     with a key in the batch are replaced, new keys inserted, other rows kept.
-    Returns the number of rows written to the touched partitions."""
+    The key alone decides: a key that arrives with another partition value
+    leaves its old partition.  That search over the target's keys is left out
+    only where the partition columns are part of the key, or where the caller
+    vouches for it with ``keys_may_move=False``.  Null keys are equal.
+    Returns the number of rows written to the touched partitions.
+
+    The batch is idempotent by key: after a crash in the middle of the last
+    write, running it again completes it."""
     keys, partition_by = list(keys), list(partition_by)
+    if keys_may_move is None:
+        keys_may_move = not set(partition_by) <= set(keys)
     sort_by = list(sort_by) or keys
     target = read_target(spark, path)
     if target is None:
@@ -134,16 +168,18 @@ def upsert_by_key(spark: SparkSession, batch: DataFrame, path: str, keys: Sequen
 
 
 def _merge(spark, batch, target, path, keys, partition_by, sort_by, keys_may_move) -> int:
+    check_types(target.schema, batch.schema)
     schema = union_schema(target.schema, batch.schema)
     batch = schema_sync(batch, schema)
-    batch_keys = batch.select(*keys)
+    batch_keys = same_key_columns(batch, keys)
     touched = batch.select(*partition_by)
     if keys_may_move:  # a key may leave its old partition: find it globally
-        touched = touched.union(target.join(batch_keys, keys, "left_semi").select(*partition_by))
+        touched = touched.union(target.join(batch_keys, same_keys(keys), "left_semi")
+                                .select(*partition_by))
     touched_vals = [tuple(r) for r in touched.distinct().collect()]
 
     affected = schema_sync(target.where(_partition_condition(partition_by, touched_vals)), schema)
-    merged = affected.join(batch_keys, keys, "left_anti").unionByName(batch)
+    merged = affected.join(batch_keys, same_keys(keys), "left_anti").unionByName(batch)
 
     staged = work_dir(spark, "upsert-stage")
     # the staged copy is written as it comes (no sampling pass over the merge
@@ -156,6 +192,7 @@ def _merge(spark, batch, target, path, keys, partition_by, sort_by, keys_may_mov
                             mode="overwrite", dynamic=True)
     if emptied:  # every row left these partitions (keys moved): drop their files
         _remove_partition_files(spark, path, partition_by, emptied)
+    remove_path(spark, staged)
     return n
 
 

@@ -11,7 +11,8 @@ from civitas.functions import (blank_to_null, bool_parse_3, brl_to_decimal,
                                flag_prefix, id_to_text, label_map, lookup_label,
                                mask_sentinel, money_format, month_key, month_label,
                                normalize_name_nfkd, normalize_name_sql, null_flag,
-                               null_to_blank, stable_id, surrogate_md5, to_money,
+                               null_to_blank, parse_identifier, stable_id, surrogate_md5,
+                               to_money,
                                upper_trim, vote_flags, year_from_date_or_text)
 from civitas.functions.dates import format_ntz
 from civitas.functions.text import NAME_ACCENTS_FROM, NAME_ACCENTS_TO
@@ -59,7 +60,7 @@ with t as (
 p as (
   select *,
     cast(try_cast(replace(replace(trim(valor_texto), '.', ''), ',', '.') as decimal(18,2)) as double) as valor_estrito,
-    regexp_replace(trim('R$ ' || valor_texto), 'R\$|\s', '', 'g') as lx,
+    regexp_replace(trim('R$ ' || valor_texto), '[R$\s]', '', 'g') as lx,
     cast(o_totalprice as varchar) as nx
   from t)
 select o_orderkey, valor_texto, valor_estrito,
@@ -297,10 +298,13 @@ with ids as (
   union all
   select 'customer', c_custkey, {_IDENT_SQL.format(k='c_custkey', n='c_name')} from customer)
 select entidade, chave, identificacao,
-  nullif(regexp_extract(identificacao, '^([A-Za-z]+)', 1), '') as sigla,
-  try_cast(nullif(regexp_extract(identificacao, '([0-9]+)', 1), '') as bigint) as numero,
-  try_cast(nullif(regexp_extract(identificacao, '/([0-9]{{4}})$', 1), '') as integer) as ano
-from ids
+  nullif(case when instr(identificacao, ' ') > 0
+              then left(identificacao, instr(identificacao, ' ') - 1) else identificacao end, '') as sigla,
+  nullif(split_part(resto, '/', 1), '') as numero,
+  try_cast(nullif(split_part(resto, '/', 2), '') as integer) as ano
+from (select *, case when instr(identificacao, ' ') > 0
+                     then substr(identificacao, instr(identificacao, ' ') + 1) else '' end as resto
+      from ids) as ids
 """.replace("{{", "{").replace("}}", "}"))
 def q_parse_identifier(spark, d):
     """parse_identifier: ``TYPE NUMBER/YEAR`` with missing parts tolerated,
@@ -317,10 +321,6 @@ def q_parse_identifier(spark, d):
                                            ident.alias("identificacao"))
     u = ids("supplier", "s_suppkey", "s_name", "supplier").unionByName(
         ids("customer", "c_custkey", "c_name", "customer"))
-    idf = F.col("identificacao")
-    return u.select("entidade", "chave", "identificacao",
-                    F.nullif(F.regexp_extract(idf, r"^([A-Za-z]+)", 1), F.lit("")).alias("sigla"),
-                    F.nullif(F.regexp_extract(idf, r"([0-9]+)", 1), F.lit(""))
-                    .try_cast("bigint").alias("numero"),
-                    F.nullif(F.regexp_extract(idf, r"/([0-9]{4})$", 1), F.lit(""))
-                    .try_cast("int").alias("ano"))
+    sigla, numero, ano = parse_identifier("identificacao")
+    return u.select("entidade", "chave", "identificacao", sigla.alias("sigla"),
+                    numero.alias("numero"), ano.alias("ano"))

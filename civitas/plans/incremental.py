@@ -12,10 +12,8 @@ from civitas.plans.registry import register
 from civitas.schemas import TABLES
 from civitas.session import work_dir
 from civitas.sources.tables import table
-from civitas.functions.dates import format_ntz, ntz_as_utc_instant
-from civitas.streaming.files import (run_available_now, skip_existing_periods,
-                                     stream_event_time_agg,
-                                     stream_period_files, stream_upsert)
+from civitas.streaming.files import (read_additive_agg, skip_existing_periods,
+                                     stream_additive_agg, stream_period_files, stream_upsert)
 
 
 def _orders_batches(spark, d):
@@ -68,12 +66,14 @@ def q_upsert(spark, d):
 EVENTS_LANDING = StructType(TABLES["events"].fields + [StructField("dia", DateType())])
 
 
-def _land(events, landing, day_from, day_to, skip_existing_of=None, spark=None):
-    """Write events of days [day_from, day_to] as per-day period folders.
-    ``skip_existing_of``: period_skip_existing — periods already landed are
-    left alone (anti-join against the periods present in the landing)."""
-    part = events.where(F.dayofmonth("ts").between(day_from, day_to)).withColumn(
-        "dia", F.col("ts").cast("date"))
+def _land(events, landing, days=None, skip_existing_of=None, spark=None):
+    """Write events as one period folder per calendar date; ``days`` is an
+    optional condition on ``dia``.  ``skip_existing_of``: period_skip_existing —
+    periods already landed are left alone (anti-join against the periods
+    present in the landing)."""
+    part = events.withColumn("dia", F.col("ts").cast("date"))
+    if days is not None:
+        part = part.where(days)
     if skip_existing_of is not None:
         part = skip_existing_periods(spark, part, skip_existing_of, "dia", EVENTS_LANDING)
     # a few files per period; AQE splits a busy day over several tasks
@@ -91,9 +91,10 @@ def q_stream_upsert(spark, d):
     root = work_dir(spark, "stream-events")
     landing, target = f"{root}/landing", f"{root}/fct_events"
     ev = table(spark, d, "events")
-    _land(ev, landing, 1, 20)
-    _land(ev, landing, 15, 31)                                  # re-delivery: days 15-20 twice
-    _land(ev, landing, 1, 31, skip_existing_of=landing, spark=spark)  # nothing new: skipped
+    day = F.dayofmonth("dia")
+    _land(ev, landing, (day <= 20) | F.col("dia").isNull())
+    _land(ev, landing, day >= 15)               # re-delivery: days 15-20 of each month twice
+    _land(ev, landing, skip_existing_of=landing, spark=spark)   # nothing new: skipped
     stream = stream_period_files(spark, landing, EVENTS_LANDING, max_files_per_trigger=32)
     stream_upsert(spark, stream, target, ["event_id"], ["dia"], f"{root}/checkpoint")
     return read_target(spark, target).select("event_id", "ts", "user_id", "event_type", "value",
@@ -105,34 +106,20 @@ select cast(ts as date) as dia, event_type, count(*) as n_eventos,
        cast(sum(cast(value as decimal(18,2))) as double) as total
 from events group by 1, 2
 """)
-def q_stream_monthly(spark, d, delay: str = "7 days"):
-    """stream_monthly_agg: daily windows per event type with a watermark
-    (update mode), each micro-batch's updated groups merged by key into the
-    pre-aggregate table.  Periods land in time order, one week at a time."""
+def q_stream_monthly(spark, d):
+    """stream_monthly_agg: partial sums per day and event type of each
+    micro-batch, added up on reading.  Every period lands by its calendar date;
+    rows of any lateness count, so events in = events counted."""
     root = work_dir(spark, "stream-agg")
-    landing, target = f"{root}/landing", f"{root}/agg_daily"
-    ev = table(spark, d, "events")
-    for lo in range(1, 32, 7):
-        _land(ev, landing, lo, min(lo + 6, 31))
+    landing, deltas = f"{root}/landing", f"{root}/agg_deltas"
+    _land(table(spark, d, "events"), landing)
     stream = stream_period_files(spark, landing, EVENTS_LANDING, max_files_per_trigger=16)
-    # watermarks need TIMESTAMP: the wall-clock time is read as UTC whatever
-    # the session time zone, and windows are mapped back to days by epoch
-    stream = stream.withColumn("ts_utc", ntz_as_utc_instant("ts"))
-    agg = stream_event_time_agg(
-        stream, "ts_utc", "1 day", delay, [F.col("event_type")],
-        [F.count(F.lit(1)).alias("n_eventos"),
-         F.sum(F.col("value").cast("decimal(18,2)")).alias("total")])
-    dia = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
-    rows = agg.select(dia.alias("dia"), "event_type",
-                      F.col("n_eventos").cast("bigint").alias("n_eventos"),
-                      F.col("total").cast("double").alias("total"),
-                      format_ntz(dia, "yyyyMM").alias("mes"))
-
-    def merge(batch, batch_id):
-        if not batch.isEmpty():
-            upsert_by_key(spark, batch, target, ["dia", "event_type"], ["mes"])
-    run_available_now(rows, merge, f"{root}/checkpoint", output_mode="update")
-    return read_target(spark, target).select("dia", "event_type", "n_eventos", "total")
+    stream_additive_agg(spark, stream, deltas, [F.col("dia"), F.col("event_type")],
+                        {"n_eventos": F.count(F.lit(1)),
+                         "total": F.sum(F.col("value").cast("decimal(18,2)"))},
+                        f"{root}/checkpoint")
+    return read_additive_agg(spark, deltas, ["dia", "event_type"], ["n_eventos", "total"]).select(
+        "dia", "event_type", "n_eventos", F.col("total").cast("double").alias("total"))
 
 
 @register("q_upsert_strict", """

@@ -117,3 +117,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this module's own (a staged copy) from its store."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

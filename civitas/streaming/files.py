@@ -7,8 +7,10 @@
   so a restarted job resumes instead of re-reading.
 * ``stream_upsert``        ``foreachBatch`` -> keyed upsert: replaying a
   micro-batch after a failure rewrites the same rows, so it is idempotent.
-* ``stream_event_time_agg`` windowed aggregate with a watermark (update mode),
-  merged into a keyed result table.
+* ``stream_event_time_agg`` windowed aggregate with a watermark, for results
+  that may leave late rows out.
+* ``stream_additive_agg``  complete for any lateness: every micro-batch appends
+  its partial sums once, and reading adds them up.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from civitas.operators.dedup import dedup_on_keys
 from civitas.operators.upsert import upsert_by_key
 from civitas.session import path_exists
 
@@ -47,13 +48,15 @@ def run_available_now(df: DataFrame, on_batch: Callable[[DataFrame, int], None],
 
 def stream_upsert(spark: SparkSession, stream: DataFrame, target: str, keys: Sequence[str],
                   partition_by: Sequence[str], checkpoint: str,
-                  prefer: Sequence | None = None, output_mode: str = "append") -> None:
+                  prefer: Sequence | None = None, output_mode: str = "append",
+                  keys_may_move: bool | None = None) -> None:
     """Merge every micro-batch into ``target`` by key (duplicates inside a
     batch are resolved by ``prefer`` then the whole row)."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        upsert_by_key(spark, dedup_on_keys(batch, keys, prefer), target, keys, partition_by)
+        upsert_by_key(spark, batch, target, keys, partition_by, prefer=prefer,
+                      keys_may_move=keys_may_move)
     run_available_now(stream, merge, checkpoint, output_mode)
 
 
@@ -76,6 +79,25 @@ def stream_event_time_agg(stream: DataFrame, event_time: str, window: str, delay
                   .groupBy(F.window(event_time, window).alias("w"), *group).agg(*aggs))
 
 
+def stream_additive_agg(spark: SparkSession, stream: DataFrame, deltas: str, group: Sequence[Column],
+                        sums: dict[str, Column], checkpoint: str) -> None:
+    """Writes one delta per micro-batch under ``deltas``: the sums of its rows by
+    group (``sums``: name -> an aggregate that can be added up).  A batch that is
+    repeated after a failure overwrites its own delta, so each row counts once;
+    nothing depends on the order in which rows arrive, and no state is kept."""
+    def append(batch: DataFrame, batch_id: int) -> None:
+        (batch.groupBy(*group).agg(*[c.alias(n) for n, c in sums.items()])
+              .write.mode("overwrite").parquet(f"{deltas}/batch={batch_id}"))
+    run_available_now(stream, append, checkpoint)
+
+
+def read_additive_agg(spark: SparkSession, deltas: str, group: Sequence[str],
+                      sums: Sequence[str]) -> DataFrame:
+    """The totals of all deltas: one row per group, a null group included."""
+    return (spark.read.option("basePath", deltas).parquet(deltas)
+            .groupBy(*group).agg(*[F.sum(n).alias(n) for n in sums]))
+
+
 def skip_existing_periods(spark: SparkSession, df: DataFrame, landing: str, period: str,
                           schema: StructType) -> DataFrame:
     """period_skip_existing: rows of periods already present under
@@ -84,4 +106,5 @@ def skip_existing_periods(spark: SparkSession, df: DataFrame, landing: str, peri
     if not path_exists(spark, landing):
         return df
     existing = spark.read.schema(schema).parquet(landing).select(period).distinct()
-    return df.join(existing, period, "left_anti")
+    found = existing.withColumnRenamed(period, "__period")
+    return df.join(found, F.col(period).eqNullSafe(F.col("__period")), "left_anti")

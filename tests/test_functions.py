@@ -1,6 +1,8 @@
 """Column functions on the trap rows of FIXTURES.md section B."""
 
 import datetime as dt
+import re
+import unicodedata
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ def test_names(spark):
     assert s[5] == "A  B"                  # one double-space pass only
     assert s[6] == "STRAẞE"                # same upper() as the reference engine
     n = [x.n for x in r]
-    assert n[3] is None and n[5] == "A B"  # collapses all runs of spaces
+    assert n[3] == "" and n[5] == "A B"    # null -> ''; collapses all runs of spaces
 
 
 def test_tax_ids(spark):
@@ -117,3 +119,32 @@ def test_ntz_helpers_ignore_session_zone(spark):
                                          tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_lenient_money_strips_each_sign_and_scales(spark):
+    df = spark.createDataFrame([("$ 1.234,56",), ("R 10,00",), ("R$ 2,50",), (None,)], "v string")
+    got = [r[0] for r in df.select(brl_to_number_lenient("v")).collect()]
+    assert got == [Decimal("1234.56"), Decimal("10.00"), Decimal("2.50"), Decimal("0.00")]
+    one = spark.createDataFrame([(1234567890.0,)], "v double").select(
+        money_format("v", scale="B"), money_format("v", scale="M")).first()
+    assert tuple(one) == ("R$ 1,23B", "R$ 1.234,6M")
+
+
+def test_names_decomposed_or_compatible(spark):
+    names = ["Jose\u0301  da\tSilva", "NGUY\u1ec5N", "\ufb01lho", "\uff21\u00bd", None, "  ", "\u2126mega"]
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    got = [r[0] for r in df.select(normalize_name_nfkd("v")).collect()]
+
+    def want(n):
+        t = unicodedata.normalize("NFKD", (n or "").strip().upper())
+        return re.sub(r"\s+", " ", "".join(c for c in t if not unicodedata.combining(c)))
+    assert got == [want(n) for n in names]
+
+
+def test_parse_identifier_splits_at_space_and_slash(spark):
+    from civitas.functions import parse_identifier
+    rows = ["PL 2253/2022", "Supplier#000000001", "REQ\u00c7 007", "PEC 1/x", "", None, "A B C/2001"]
+    df = spark.createDataFrame([(r,) for r in rows], "v string")
+    got = [tuple(r) for r in df.select(*parse_identifier("v")).collect()]
+    assert got == [("PL", "2253", 2022), ("Supplier#000000001", None, None), ("REQ\u00c7", "007", None),
+                   ("PEC", "1", None), (None, None, None), (None, None, None), ("A", "B C", 2001)]

@@ -1,8 +1,11 @@
 """A file stream processed with availableNow equals the batch result."""
 
+from pyspark.sql import functions as F
+
 from civitas.operators.upsert import read_target
 from civitas.session import work_dir
-from civitas.streaming.files import stream_period_files, stream_upsert
+from civitas.streaming.files import (read_additive_agg, stream_additive_agg, stream_period_files,
+                                     stream_upsert)
 
 
 def test_stream_upsert_equals_batch(spark):
@@ -20,3 +23,28 @@ def test_stream_upsert_equals_batch(spark):
     stream_upsert(spark, stream, f"{root}/t", ["k"], ["p"], f"{root}/ckpt")
     assert sorted(tuple(r) for r in read_target(spark, f"{root}/t")
                   .select("p", "k", "v").collect()) == got
+
+
+def test_additive_aggregate_counts_every_late_row(spark):
+    import datetime as dt
+    root = work_dir(spark, "t-additive")
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(70)]
+    rows = [(days[i % 70], f"e{i % 3}", float(i)) for i in range(700)] + [(None, None, 1.0)]
+    df = spark.createDataFrame(rows, "dia date, kind string, v double")
+    # the newest days land first, then the older ones, then one very late row
+    for part in (df.where("dia >= '2024-02-01'"), df.where("dia < '2024-02-01' or dia is null")):
+        part.write.mode("append").partitionBy("dia").parquet(f"{root}/landing")
+    sums = {"n": F.count(F.lit(1)), "total": F.sum("v")}
+
+    def run():
+        stream = stream_period_files(spark, f"{root}/landing", df.schema, max_files_per_trigger=20)
+        stream_additive_agg(spark, stream, f"{root}/deltas", [F.col("dia"), F.col("kind")], sums,
+                            f"{root}/ckpt")
+        return {tuple(r) for r in read_additive_agg(spark, f"{root}/deltas", ["dia", "kind"],
+                                                    ["n", "total"]).collect()}
+    expect = lambda d: {tuple(r) for r in d.groupBy("dia", "kind").agg(
+        F.count(F.lit(1)), F.sum("v")).collect()}
+    assert run() == expect(df)
+    late = spark.createDataFrame([(days[0], "e0", 5.0)], df.schema)
+    late.write.mode("append").partitionBy("dia").parquet(f"{root}/landing")
+    assert run() == expect(df.unionByName(late))

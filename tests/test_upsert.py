@@ -1,5 +1,7 @@
 """Keyed upsert on partitioned Parquet: idempotence, order, schema sync, watermarks."""
 
+import pytest
+
 from civitas.operators.upsert import (current_watermark, read_target, upsert_by_key,
                                       watermark_filter)
 from civitas.session import work_dir
@@ -40,3 +42,16 @@ def test_watermark_ge_vs_gt_late_rows(spark):
     late = spark.createDataFrame([(3, 202402, "late"), (4, 202403, "new")], "k int, p int, v string")
     assert watermark_filter(late, "p", wm, strict=True).count() == 1      # late row lost
     assert watermark_filter(late, "p", wm, strict=False).count() == 2     # re-read last period
+
+
+def test_key_alone_decides_null_keys_and_types(spark):
+    t = work_dir(spark, "t-upsert3") + "/t"
+    a = spark.createDataFrame([(1, 1, "a"), (None, 1, "n")], "k int, p int, v string")
+    upsert_by_key(spark, a, t, ["k"], ["p"])
+    upsert_by_key(spark, spark.createDataFrame([(1, 2, "b"), (None, 2, "m")], a.schema), t, ["k"], ["p"])
+    rows = {tuple(r) for r in read_target(spark, t).select("k", "p", "v").collect()}
+    assert rows == {(1, 2, "b"), (None, 2, "m")}
+    odd = spark.createDataFrame([(1, 2, 5)], "k int, p int, v int")
+    with pytest.raises(ValueError, match="v: string -> int"):
+        upsert_by_key(spark, odd, t, ["k"], ["p"])
+    assert read_target(spark, t).count() == 2
