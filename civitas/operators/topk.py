@@ -23,24 +23,13 @@ def topn_sum(df: DataFrame, group: Sequence[str], measure: Column, n: int,
 
 
 def topk_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                   k: int, salt_buckets: int = 32, salt_on: Column | None = None) -> DataFrame:
-    """k best rows per group, safe for a group holding a third of the data.
-
-    Stage 1 ranks inside (group, salt) sub-groups, so a hot group is split
-    over ``salt_buckets`` tasks and cut to k rows each; stage 2 ranks the at
-    most ``k * salt_buckets`` survivors per group.  Equal to one window over
-    the group because the global top k of a group is inside the union of the
-    per-salt top k.  ``order`` must be a total order (end with a unique key).
-    """
-    salt = F.pmod(F.xxhash64(salt_on if salt_on is not None else F.struct(*df.columns)),
-                  F.lit(salt_buckets))
-    w1 = Window.partitionBy(*group, "__salt").orderBy(*order)
-    stage1 = (df.withColumn("__salt", salt)
-                .withColumn("__r", F.row_number().over(w1))
-                .where(F.col("__r") <= k).drop("__r"))
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    return (stage1.withColumn("rank_in_group", F.row_number().over(w2))
-                  .where(F.col("rank_in_group") <= k).drop("__salt"))
+                   k: int) -> DataFrame:
+    """k best rows per group in one shuffle, safe for a group holding a third
+    of the data: Spark limits every group to k rows in each task before the
+    exchange (WindowGroupLimit) and again behind it.  ``order`` must be a total
+    order (end with a unique key)."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= k)
 
 
 def top_keys(df: DataFrame, key: str, weight: Column, k: int) -> DataFrame:

@@ -61,13 +61,17 @@ def q_party_line(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("partido"))
     v = join_left_dim(e, c, e.user_id == c.c_custkey).where(F.col("c_custkey").isNotNull()) \
         .select("user_id", trunc_hour_ntz("ts").alias("sessao"), "event_type", "partido")
-    line = (v.groupBy("sessao", "partido", "event_type").agg(count_rows().alias("n"))
+    # the votes are reduced once; line, fidelity and cohesion all come from it
+    v = v.groupBy("sessao", "partido", "user_id", "event_type").agg(count_rows().alias("k"))
+    line = (v.groupBy("sessao", "partido", "event_type").agg(F.sum("k").alias("n"))
               .groupBy("sessao", "partido")
               .agg(F.max_by("event_type", F.struct("n", "event_type")).alias("linha")))
+    same = F.col("event_type") == F.col("linha")
     m = (v.join(line, ["sessao", "partido"])
           .groupBy("user_id", "partido")
-          .agg(count_rows().alias("n_votos"),
-               F.count_if(F.col("event_type") == F.col("linha")).cast("bigint").alias("n_alinhados")))
+          .agg(F.sum("k").alias("n_votos"),
+               F.coalesce(F.sum(F.when(same, F.col("k"))), F.lit(0).cast("bigint"))
+               .alias("n_alinhados")))
     coh = m.groupBy("partido").agg(F.sum("n_alinhados").alias("a"), F.sum("n_votos").alias("t"))
     return (m.join(coh, "partido")
              .select("user_id", "partido", "n_votos", "n_alinhados",

@@ -312,7 +312,6 @@ def q_sector_top(spark, d, k: int = 3):
         sum_money("l_extendedprice").alias("total"), count_rows().alias("n_itens"))
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("setor"), "s_suppkey", "s_name")
     j = pay.join(s, pay.l_suppkey == s.s_suppkey, "inner").drop("l_suppkey")
-    top = topk_per_group(j, ["setor"], [F.col("total").desc(), F.col("s_suppkey").asc()], k,
-                         salt_on=F.col("s_suppkey"))
+    top = topk_per_group(j, ["setor"], [F.col("total").desc(), F.col("s_suppkey").asc()], k)
     return top.select("setor", "s_suppkey", "s_name", "total", "n_itens",
                       F.col("rank_in_group").cast("bigint").alias("posicao"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from civitas.functions import brl_to_decimal, coalesce_label, month_windows, period_label
+from civitas.functions import brl_to_decimal, coalesce_label, month_windows, period_label, to_money
 from civitas.functions.dates import year_between
 from civitas.operators.aggregates import (avg_coalesced, avg_round, count_distinct_many,
                                           exact_ratio_sql, coalesce_max,                                           count_if, count_rows, gross_pay, rollup_additive,
                                           sum_if_money, sum_money, unpivot_components)
+from civitas.operators.dedup import earliest_per_key
 from civitas.operators.link import join_counts_zero_fill, join_left_dim
 from civitas.operators.quality import dq_report
 from civitas.operators.topk import topk_per_group, topn, topn_other_bucket, topn_sum
@@ -174,16 +175,18 @@ group by s.s_suppkey, s.s_name, s.s_nationkey
 order by total desc nulls last, s_suppkey asc nulls last limit 15
 """)
 def q_top_n(spark, d):
-    """Flagship: clean (locale money text -> decimal), denormalise (size-
-    checked supplier join), aggregate, top 15 payees (topn_sum with the key
-    as tie-break; planned as TakeOrderedAndProject)."""
+    """Flagship: clean (locale money text -> decimal), aggregate by the payee's
+    key, denormalise the aggregate, top 15 payees (topn_sum with the key as
+    tie-break; planned as TakeOrderedAndProject)."""
     li = table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice")
     li = li.select("l_suppkey", brl_to_decimal(
         F.translate(F.format_number("l_extendedprice", 2), ",.", ".,"), 18, 2).alias("valor"))
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    f = join_left_dim(li, s, li.l_suppkey == s.s_suppkey)
+    paid = li.groupBy("l_suppkey").agg(F.sum("valor").alias("valor"), count_rows().alias("n"))
+    f = join_left_dim(paid, s, paid.l_suppkey == s.s_suppkey)
+    # keys without a supplier fall together in one null row
     top = topn_sum(f, ["s_suppkey", "s_name", "s_nationkey"], F.sum("valor"), 15,
-                   extra_aggs=[count_rows().alias("n_itens")])
+                   extra_aggs=[F.sum("n").alias("n_itens")])
     return top.select("s_suppkey", "s_name", "s_nationkey",
                       F.col("total").cast("double").alias("total"), "n_itens")
 
@@ -202,10 +205,13 @@ def q_top_rows(spark, d, n: int = 100, descending: bool = True):
     li = table(spark, d, "lineitem").where(year_between("l_shipdate", 1996, 2000)
                                            & (F.col("l_returnflag") != "N"))
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    f = li.join(o, li.l_orderkey == o.o_orderkey, "left")
     price = F.col("l_extendedprice").desc() if descending else F.col("l_extendedprice").asc()
-    top = topn(f, [price, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], n)
-    return top.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+    top = topn(li, [price, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], n)
+    # the limit comes first: orders is only filtered by the n keys, not shuffled
+    keys = top.select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    few = earliest_per_key(o.join(F.broadcast(keys), "o_orderkey", "left_semi"), ["o_orderkey"],
+                           [F.col("o_orderpriority")])
+    return top.join(few, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
                       coalesce_label("o_orderpriority").alias("prioridade"))
 
 
@@ -216,12 +222,11 @@ from (select *, row_number() over (partition by o_custkey order by o_orderdate d
 where rank_in_group <= 3
 """)
 def q_top_recent(spark, d, k: int = 3):
-    """topn_recent for every member at once: latest k orders per customer,
-    salted two-stage top-k so a hot customer is ranked over many tasks."""
+    """topn_recent for every member at once: latest k orders per customer; each
+    task sends its k best rows of a customer, so a hot customer stays small."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     return topk_per_group(o, ["o_custkey"], [F.col("o_orderdate").desc(),
-                                             F.col("o_orderkey").desc()], k,
-                          salt_on=F.col("o_orderkey")).withColumn(
+                                             F.col("o_orderkey").desc()], k).withColumn(
         "rank_in_group", F.col("rank_in_group").cast("bigint"))
 
 
@@ -236,13 +241,16 @@ group by 1, 2
 """)
 def q_top_other(spark, d):
     """topn_other_bucket (top 8 brands kept, the rest 'Outros', re-aggregated
-    by year); the top-k frame has 8 rows, so broadcasting it is bounded."""
+    by year): the facts are reduced to (brand, year) once, both the top 8 and
+    the result come from that frame; 8 rows are broadcast."""
     li = table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
     p = table(spark, d, "part").select("p_partkey", "p_brand")
     f = join_left_dim(li, p, li.l_partkey == p.p_partkey).withColumn("ano", F.year("l_shipdate"))
-    g = topn_other_bucket(f, "p_brand", F.count(F.lit(1)), 8, out="marca")
-    return g.groupBy("ano", "marca").agg(count_rows().alias("n_itens"),
-                                         sum_money("l_extendedprice").alias("total"))
+    f = f.groupBy("p_brand", "ano").agg(count_rows().alias("n"),
+                                        F.sum(to_money("l_extendedprice")).alias("valor"))
+    g = topn_other_bucket(f, "p_brand", F.sum("n"), 8, out="marca")
+    return g.groupBy("ano", "marca").agg(F.sum("n").alias("n_itens"),
+                                         F.sum("valor").cast("double").alias("total"))
 
 
 @register("q_unpivot", """
@@ -539,15 +547,17 @@ select year(l_shipdate) as ano, p_type, count(*) as n_itens, {money_sum('l_exten
 from f where p_type in (select p_type from top) group by 1, 2
 """)
 def q_top_filter(spark, d, k: int = 3):
-    """topn_then_filter: every row of the k largest categories (semi join
-    with the k-row top frame), then totals by year."""
+    """topn_then_filter: the k largest categories (semi join with the k-row top
+    frame) with totals by year, all from one reduction of the facts to
+    (category, year)."""
     from civitas.operators.topk import topn_then_filter
     li = table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
     p = table(spark, d, "part").select("p_partkey", "p_type")
     f = li.join(p, li.l_partkey == p.p_partkey)
-    kept = topn_then_filter(f, "p_type", F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), k)
-    return kept.groupBy(F.year("l_shipdate").alias("ano"), "p_type").agg(
-        count_rows().alias("n_itens"), sum_money("l_extendedprice").alias("total"))
+    f = f.groupBy(F.year("l_shipdate").alias("ano"), "p_type").agg(
+        count_rows().alias("n_itens"), F.sum(to_money("l_extendedprice")).alias("valor"))
+    kept = topn_then_filter(f, "p_type", F.sum("valor"), k)
+    return kept.select("ano", "p_type", "n_itens", F.col("valor").cast("double").alias("total"))
 
 
 @register("q_distinct_values", """
