@@ -128,9 +128,9 @@ def _write_bulk_csv(spark, d, root):
         format_ntz("o_orderdate", "dd/MM/yyyy").alias("data"),
         F.col("o_orderpriority").alias("uf"), (F.col("o_orderkey") % 2).alias("par"))
     even = rows.where(F.col("par") == 0)
-    for id_name, prios in ((NEW_ID, ["1-URGENT", "2-HIGH"]),
-                           (OLD_ID, ["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])):
-        part = even.where(F.col("uf").isin(*prios))
+    first = F.coalesce(F.col("uf").isin("1-URGENT", "2-HIGH"), F.lit(False))
+    for id_name, chosen in ((NEW_ID, first), (OLD_ID, ~first)):  # every priority lands
+        part = even.where(chosen)
         names = ["﻿" + id_name, ' "CLIENTE" ', "SITUACAO", "VALOR", "DATA "]
         (part.select(F.col("id").alias(names[0]), F.col("cliente").alias(names[1]),
                      F.col("situacao").alias(names[2]), F.col("valor").alias(names[3]),
@@ -162,10 +162,10 @@ def _read_estado_headered(spark, root):
     """One glob over every per-state file; the national aggregate is skipped
     by its path and each file's own header names its columns."""
     df = scan_csv_headered(
-        spark, f"{root}/kind=estado/*", 5,
+        spark, f"{root}/kind=estado/*",
         {"ID_PEDIDO": [NEW_ID, OLD_ID], "CLIENTE": ["CLIENTE"], "SITUACAO": ["SITUACAO"],
          "VALOR": ["VALOR"], "DATA": ["DATA"]},
-        id_spellings=[NEW_ID, OLD_ID], exclude_pattern=r"_BRASIL")
+        exclude_pattern=r"_BRASIL")
     return df.withColumn("UF", path_value("uf", F.col("__file"))).drop("__file")
 
 

@@ -67,35 +67,57 @@ def clean_header_expr(c) -> Column:
     return F.upper(F.trim(F.regexp_replace(F.trim(t), '^"|"$', "")))
 
 
-def scan_csv_headered(spark: SparkSession, paths, max_cols: int,
-                      mapping: Mapping[str, Sequence[str]], id_spellings: Sequence[str],
+def scan_csv_headered(spark: SparkSession, paths, mapping: Mapping[str, Sequence[str]],
                       sep: str = ";", encoding: str = "UTF-8",
                       exclude_pattern: str | None = None) -> DataFrame:
     """Many files whose headers differ (BOM, quotes, padding, renamed
-    columns), read in one scan: every line is read positionally, each file's
-    header line is recognised by content (its first cell is a known id
-    spelling), and a one-row-per-file table of cleaned header names maps
-    positions to the canonical ``mapping`` (target -> raw spellings, first
-    present wins).  The per-file table is as large as the number of files."""
-    names = [f"_c{i}" for i in range(max_cols)]
+    columns): ``mapping`` is target -> raw spellings, first present wins.
+
+    A header line is a line of which the first cell is a known spelling and no
+    cell but known ones repeats the mapping: at least half of the targets are
+    named in it.  The first pass reads lines as text and gives one header per
+    file, from which the number of columns follows; rows are then read by
+    position and joined with their file's header.  A file without a known
+    header fails the job with its path instead of losing its values."""
+    spellings = {t: [x.upper() for x in ([r] if isinstance(r, str) else r)]
+                 for t, r in mapping.items()}
+    known = sorted({x for r in spellings.values() for x in r})
+    need = max(1, (len(spellings) + 1) // 2)
+
+    def header_test(cells: Column) -> Column:
+        named = F.size(F.array_intersect(cells, F.array(*[F.lit(k) for k in known])))
+        return F.coalesce(F.element_at(cells, 1).isin(*known) & (named >= need), F.lit(False))
+
+    def cleaned(cells: Column) -> Column:
+        return F.transform(cells, clean_header_expr)
+
+    lines = spark.read.option("encoding", encoding).text(paths).withColumn("__file", file_path())
+    if exclude_pattern:
+        lines = lines.where(~F.col("__file").rlike(exclude_pattern))
+    def unquoted(x: Column) -> Column:
+        inner = F.replace(F.regexp_replace(x, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))
+        return F.when(x.rlike(r'^\s*".*"\s*$'), inner).otherwise(x)
+
+    # header names hold no separator
+    cells = cleaned(F.transform(F.split("value", "\\Q" + sep + "\\E"), unquoted))
+    headers = lines.withColumn("__hdr", cells).where(header_test(F.col("__hdr"))) \
+        .groupBy("__file").agg(F.max("__hdr").alias("__hdr"))  # repeated headers are equal
+    width = headers.agg(F.max(F.size("__hdr"))).first()[0] or 1
+
+    names = [f"_c{i}" for i in range(width)]
     raw = scan_csv_bulk(spark, paths, text_schema(names), sep, encoding, header=False)
     raw = raw.withColumn("__file", file_path())
     if exclude_pattern:
         raw = raw.where(~F.col("__file").rlike(exclude_pattern))
-    first = clean_header_expr(names[0])
-    is_header = F.coalesce(first.isin(*[h.upper() for h in id_spellings]), F.lit(False))
-    headers = raw.where(is_header).select(
-        "__file", F.array(*[clean_header_expr(n) for n in names]).alias("__hdr"))
-    data = raw.where(~is_header).join(headers, "__file", "left")
     vals = F.array(*[F.col(n) for n in names])
+    data = raw.where(~header_test(cleaned(vals))).join(headers, "__file", "left")
+    found = F.coalesce("__hdr", F.raise_error(F.concat(
+        F.lit("no known header in "), F.col("__file"))).cast("array<string>"))
+    data = data.withColumn("__hdr", found)
     out = []
-    for target, raws in mapping.items():
-        raws = [raws] if isinstance(raws, str) else list(raws)
-        picks = [F.element_at(vals, F.array_position("__hdr", r.upper()).cast("int"))
-                 for r in raws]
-        picks = [F.when(F.array_position("__hdr", r.upper()) > 0, p)
-                 for r, p in zip(raws, picks)]
-        out.append(F.coalesce(*picks).alias(target))
+    for target, raws in spellings.items():
+        at = [F.array_position("__hdr", r).cast("int") for r in raws]
+        out.append(F.coalesce(*[F.when(a > 0, F.get(vals, a - 1)) for a in at]).alias(target))
     return data.select(*out, "__file")
 
 
@@ -137,7 +159,7 @@ def path_value(key: str, path: Column | None = None) -> Column:
     """``key=value`` folder of the file a row came from (inject_context)."""
     p = file_path() if path is None else path
     raw = F.nullif(F.regexp_extract(p, rf"{key}=([^/]+)", 1), F.lit(""))
-    return F.url_decode(raw)
+    return F.nullif(F.url_decode(raw), F.lit("__HIVE_DEFAULT_PARTITION__"))
 
 
 def exclude_files(df: DataFrame, pattern: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Readers: CSV with banners / BOM / drifting headers, polymorphic JSON."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from civitas.session import work_dir
@@ -41,8 +42,8 @@ def test_headered_reader_two_spellings(spark):
     _write(f"{root}/x/a.csv", "﻿ID;VAL\n1;a\n")
     _write(f"{root}/x/b.csv", "VAL;CODE\nb;2\n")
     _write(f"{root}/x/c_BRASIL.csv", "ID;VAL\n9;z\n")
-    df = scan_csv_headered(spark, f"{root}/x/*.csv", 2, {"id": ["ID", "CODE"], "val": ["VAL"]},
-                           id_spellings=["ID", "CODE", "VAL"], exclude_pattern="_BRASIL")
+    df = scan_csv_headered(spark, f"{root}/x/*.csv", {"id": ["ID", "CODE"], "val": ["VAL"]},
+                           exclude_pattern="_BRASIL")
     assert sorted((r.id, r.val) for r in df.collect()) == [("1", "a"), ("2", "b")]
 
 
@@ -71,3 +72,15 @@ def test_schema_sniff_validate(spark):
     assert schema_sniff_validate(spark, f"{root}/ok/*")["ok"]
     bad = schema_sniff_validate(spark, f"{root}/one/*")
     assert not bad["ok"] and bad["columns"] == 1
+
+
+def test_headered_reader_width_header_words_and_unknown_headers(spark):
+    root = work_dir(spark, "t-csv4")
+    mapping = {"id": ["ID"], "val": ["VAL"], "far": ["FAR"]}
+    _write(f"{root}/a.csv", "ID;X;Y;Z;VAL;FAR\nID;1;2;3;a;z\n2;;;;b\n")  # a value like a header word
+    df = scan_csv_headered(spark, f"{root}/*.csv", mapping)
+    assert sorted(((r.id, r.val, r.far) for r in df.collect()), key=str) == [
+        ("2", "b", None), ("ID", "a", "z")]
+    _write(f"{root}/b.csv", "CODIGO;VALOR\n2;b\n")
+    with pytest.raises(Exception, match="no known header in .*b.csv"):
+        scan_csv_headered(spark, f"{root}/*.csv", mapping).collect()
