@@ -5,4 +5,4 @@ most carry the equivalent DuckDB SQL used as the correctness oracle."""
 
 from civitas.plans.registry import ORACLES, QUERIES  # noqa: F401
 from civitas.plans import (clean, ingest, link, marts, analytics, incremental,  # noqa: F401,E402
-                           designed)
+                           designed, serving)

@@ -33,6 +33,7 @@ ORACLE_TYPES: dict[str, dict[str, str]] = {
     "q_divisive": {"dias_deliberacao": "INTEGER"},
     "q_upsert": {"periodo": "INTEGER", "ano": "INTEGER"},
     "q_upsert_strict": {"periodo": "INTEGER", "ano": "INTEGER"},
+    "q_upsert_lookback": {"periodo": "INTEGER"},
 }
 
 
