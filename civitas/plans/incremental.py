@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from civitas.operators.upsert import (current_watermark, full_refresh, ledger_watermark,
                                       read_target, record_watermark, upsert_by_key,
@@ -11,9 +11,10 @@ from civitas.operators.upsert import (current_watermark, full_refresh, ledger_wa
 from civitas.plans.registry import register
 from civitas.schemas import TABLES
 from civitas.session import work_dir
-from civitas.sources.tables import table
-from civitas.streaming.files import (read_additive_agg, skip_existing_periods,
-                                     stream_additive_agg, stream_period_files, stream_upsert)
+from civitas.sources.tables import scan_parquet_glob, table
+from civitas.streaming.files import (read_additive_agg, run_available_now,
+                                     skip_existing_periods, stream_additive_agg, stream_dedup,
+                                     stream_period_files, stream_upsert)
 
 
 def _orders_batches(spark, d):
@@ -101,6 +102,28 @@ def q_stream_upsert(spark, d):
                                              "props", "dia")
 
 
+@register("q_stream_dedup", """
+select event_id, user_id, event_type, value from events
+""")
+def q_stream_dedup(spark, d):
+    """stream_dedup: every period file lands twice; keys are remembered until
+    the watermark, whose delay covers the whole landing here, so no row is
+    late and the second copies go.  scan_parquet_glob reads the result."""
+    root = work_dir(spark, "stream-dedup")
+    landing, out = f"{root}/landing", f"{root}/events"
+    ev = table(spark, d, "events")
+    _land(ev, landing)
+    _land(ev, landing)
+    stream = stream_period_files(spark, landing, EVENTS_LANDING)
+    # the time of arrival: one watermark for all rows of a run
+    stream = stream.withColumn("arrived", F.current_timestamp())
+    once = stream_dedup(stream, ["event_id"], "arrived", "1 day")
+    run_available_now(once, lambda b, i: b.drop("arrived").withColumn("batch", F.lit(i))
+                      .write.mode("append").partitionBy("batch").parquet(out), f"{root}/checkpoint")
+    schema = StructType(EVENTS_LANDING.fields + [StructField("batch", IntegerType())])
+    return scan_parquet_glob(spark, out, schema).select("event_id", "user_id", "event_type", "value")
+
+
 @register("q_stream_monthly", """
 select cast(ts as date) as dia, event_type, count(*) as n_eventos,
        cast(sum(cast(value as decimal(18,2))) as double) as total

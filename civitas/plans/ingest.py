@@ -184,14 +184,17 @@ def _read_estado_by_header(spark, root):
     return conform_schema(out, StructType(CSV_TARGET.fields + [StructField("UF", StringType())]))
 
 
-@register("q_csv_roundtrip", """
+_CSV_ORACLE = """
 select o_orderkey, o_custkey, nullif(o_orderstatus, 'P') as o_orderstatus,
        cast(cast(o_totalprice as decimal(18,2)) as double) as o_totalprice,
        cast(o_orderdate as date) as o_orderdate, o_orderpriority,
        year(o_orderdate) as ano,
        case when o_orderkey % 2 = 0 then 'estado' else 'banner' end as kind
 from orders
-""")
+"""
+
+
+@register("q_csv_roundtrip", _CSV_ORACLE)
 def q_csv_roundtrip(spark, d, estado_reader: str = "headered"):
     """scan_csv_bulk, scan_csv_skip_banner, scan_csv_multi_part (national
     file excluded), route_files_by_kind, bom_header_clean, rename_if_present
@@ -229,6 +232,13 @@ def q_csv_roundtrip(spark, d, estado_reader: str = "headered"):
         "o_orderpriority", "ano", "kind")
 
 
+@register("q_csv_header_option", _CSV_ORACLE)
+def q_csv_header_option(spark, d):
+    """The same files through bom_header_clean, rename_if_present and
+    conform_schema."""
+    return q_csv_roundtrip(spark, d, estado_reader="header_option")
+
+
 REGION_SEED = StructType([StructField("r_regionkey", IntegerType()),
                           StructField("r_name", StringType())])
 

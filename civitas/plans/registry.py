@@ -13,6 +13,7 @@ ORACLES: dict[str, str] = {}
 ORACLE_TYPES: dict[str, dict[str, str]] = {
     "q_dates": {"ano": "INTEGER"},
     "q_csv_roundtrip": {"ano": "INTEGER"},
+    "q_csv_header_option": {"ano": "INTEGER"},
     "q_semi_latest": {"ano": "INTEGER", "mes": "INTEGER"},
     "q_agg_monthly": {"ano": "INTEGER"},
     "q_agg_phase": {"ano": "INTEGER"},

@@ -70,7 +70,7 @@ def clean_header_expr(c) -> Column:
 def scan_csv_headered(spark: SparkSession, paths, mapping: Mapping[str, Sequence[str]],
                       sep: str = ";", encoding: str = "UTF-8",
                       exclude_pattern: str | None = None) -> DataFrame:
-    """Many files whose headers differ (BOM, quotes, padding, renamed
+    """scan_csv_multi_part: many files whose headers differ (BOM, quotes, renamed
     columns): ``mapping`` is target -> raw spellings, first present wins.
 
     A header line is a line of which the first cell is a known spelling and no
@@ -163,7 +163,7 @@ def path_value(key: str, path: Column | None = None) -> Column:
 
 
 def exclude_files(df: DataFrame, pattern: str) -> DataFrame:
-    """scan_csv_multi_part: skip aggregate files (e.g. ``*_BRASIL*``) by a
+    """Skip aggregate files (e.g. ``*_BRASIL*``) by a
     predicate on the file path, evaluated before any row is parsed."""
     return df.where(~file_path().rlike(pattern))
 
