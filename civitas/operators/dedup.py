@@ -34,23 +34,32 @@ def _key_struct(cols, nulls_rank_low: bool) -> Column:
     return F.struct(*parts)
 
 
+def _pick(df: DataFrame, keys: Sequence[str], order: list, tie_break: Sequence | None,
+          newest: bool) -> DataFrame:
+    """The row of the extreme ordering key.  Without a tie-break the whole row
+    ends the ordering key and is read from it, so it is carried once."""
+    if tie_break is None:
+        best = F.max if newest else F.min
+        picked = df.groupBy(*keys).agg(
+            best(_key_struct([*order, _row(df)], newest)).alias("__best"))
+        return picked.select(f"__best.v{len(order)}.*")
+    by = F.max_by if newest else F.min_by
+    picked = df.groupBy(*keys).agg(
+        by(_row(df), _key_struct([*order, *tie_break], newest)).alias("__pick"))
+    return picked.select("__pick.*")
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence,
                    tie_break: Sequence | None = None) -> DataFrame:
     """Row with the greatest ``order`` tuple per key, nulls last
     (``row_number() over (partition by keys order by ... desc nulls last) = 1``)."""
-    tb = list(tie_break) if tie_break is not None else [_row(df)]
-    picked = df.groupBy(*keys).agg(
-        F.max_by(_row(df), _key_struct(list(order) + tb, True)).alias("__pick"))
-    return picked.select("__pick.*")
+    return _pick(df, keys, list(order), tie_break, True)
 
 
 def earliest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence,
                      tie_break: Sequence | None = None) -> DataFrame:
     """Row with the least ``order`` tuple per key, nulls last."""
-    tb = list(tie_break) if tie_break is not None else [_row(df)]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(_row(df), _key_struct(list(order) + tb, False)).alias("__pick"))
-    return picked.select("__pick.*")
+    return _pick(df, keys, list(order), tie_break, False)
 
 
 def dedup_on_keys(df: DataFrame, keys: Sequence[str],
