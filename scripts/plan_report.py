@@ -1,7 +1,9 @@
-"""Write docs/PLANS.md: the physical plan shape of every registered query.
+"""Write docs/PLANS.md: the executed plan shape of every registered query of
+``civitas.plans``.
 
-Uses ``DataFrame.explain(mode="formatted")`` (captured from stdout) on the
-initial adaptive plan.  Per query: shuffles, broadcasts, join strategies,
+Each query runs (its rows are counted where they are, nothing is collected);
+then ``DataFrame.explain(mode="formatted")`` shows the final adaptive plan, in
+which exchanges that Spark has reused appear once.  Per query: shuffles, broadcasts, join strategies,
 aggregate strategies, windows, top-k nodes, Python UDF nodes, and for every
 Parquet scan the number of columns read and the filters pushed into it.
 
@@ -41,6 +43,20 @@ def tree_part(text: str) -> str:
     return text.split("\n\n\n")[0]
 
 
+def final_part(text: str) -> str:
+    """Without the initial plan that an adaptive plan also prints, and without
+    the details of its nodes."""
+    tree, _, details = text.partition("\n\n\n")
+    initial = tree.find("== Initial Plan ==")
+    if initial < 0:
+        return text
+    final = tree[:initial]
+    kept = set(re.findall(r"\((\d+)\)", final))
+    blocks = re.split(r"\n(?=\(\d+\) )", "\n" + details)
+    return final + "\n\n\n" + "\n".join(
+        b for b in blocks if (m := re.match(r"\((\d+)\) ", b)) and m[1] in kept)
+
+
 def analyse(text: str) -> dict:
     tree = tree_part(text)
     out = {k: len(re.findall(p, tree, flags=re.M)) for k, p in OPS.items()}
@@ -59,18 +75,21 @@ def analyse(text: str) -> dict:
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = build_session("local[8]", shuffle_partitions=16)
-    import __spark_entry__ as entry  # noqa: PLC0415
+    spark = build_session(
+        "local[8]", shuffle_partitions=16, extra={"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    from civitas.plans import QUERIES  # noqa: PLC0415
     rows = []
-    for key, fn in entry.queries().items():
+    for key, fn in QUERIES.items():
+        df = fn(spark, sf)
+        df._jdf.queryExecution().toRdd().count()  # runs this plan, so AQE makes it final
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
-            fn(spark, sf).explain(mode="formatted")
-        rows.append((key, analyse(buf.getvalue())))
-    lines = ["# Physical plans (initial adaptive plans)", "",
+            df.explain(mode="formatted")
+        rows.append((key, analyse(final_part(buf.getvalue()))))
+    lines = ["# Physical plans (executed plans)", "",
              f"Generated by `scripts/plan_report.py` at `{sf}` with 16 shuffle partitions.",
-             "AQE may still coalesce partitions, switch a sort-merge join to a broadcast",
-             "join from runtime sizes, or split skewed partitions.  Columns: shuffles",
+             "Final adaptive plans, after every query has run; jobs that a query runs before",
+             "(written tables, streams, upserts) are not part of its last plan.  Columns: shuffles",
              "(Exchange), broadcasts, BHJ / SMJ / nested-loop / cartesian joins, hash /",
              "sort / object-hash aggregates, windows, TakeOrderedAndProject, Python UDF",
              "nodes; then each Parquet scan as table(columns read; pushed filters).", "",
