@@ -38,11 +38,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civitas.llm.common import most_frequent
+from civitas.session import materialize_table
+
 # The byte-level split pattern of the public vocabulary.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
            r"|\s+(?!\S)|\s+")
 
-LEXICON_SIZE = 131_072      # words compiled on the driver
+LEXICON_SIZE = 65_536       # words compiled on the driver
 MIN_TASK_COUNT = 4          # rarer words of a task are not proposed for the lexicon
 WORDS_KEPT = 300_000        # entries of a task's word table before it starts anew
 LONGEST_KEPT = 64           # longer words are merged each time
@@ -421,8 +424,8 @@ def count_words(df: DataFrame, text_col: str, min_task_count: int = MIN_TASK_COU
 
 
 def frequent_words(df: DataFrame, text_col: str, size: int = LEXICON_SIZE) -> list[str]:
-    top = count_words(df, text_col).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]  # at most ``size`` words
+    counts = materialize_table(count_words(df, text_col), "word-counts")
+    return sorted(r.word for r in most_frequent(counts, size).collect())
 
 
 def lexicon_of(vocab: Vocabulary, words: list[str]) -> dict[bytes, list[int]]:

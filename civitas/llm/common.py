@@ -35,3 +35,19 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
     if spark.conf.get(name, default) == default:
         spark.conf.set(name, str(rows))
+
+
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The rows of ``counts`` with the largest ``n``, at most ``size`` of them.
+
+    A sum over eighths of octaves of ``n`` (a few hundred rows, whatever the
+    data) tells from which on they are few enough, so no task or driver sees a
+    list of ``size`` rows per task.  Rows of one eighth stay or go together.
+    """
+    eighth = F.floor(F.log2("n") * 8)
+    left, least = size, None
+    for r in counts.groupBy(eighth.alias("e")).count().orderBy(F.desc("e")).collect():
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r.e
+    return counts.where(F.lit(False) if least is None else eighth >= least)
