@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civitas.llm.common import text_or_empty
+from civitas.llm.common import most_frequent, text_or_empty
 from civitas.llm.words import U, word_hashes
+from civitas.session import materialize_table
 
 SIDE = 48                        # classes, and words per class
 UNKNOWN = 64
@@ -184,8 +185,9 @@ def count_hashes(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary_of(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    top = count_hashes(docs).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    words = np.array([r.word for r in top], np.int64).view(U)
+    counts = materialize_table(count_hashes(docs), "word-counts")
+    top = sorted(((-r.n, r.word) for r in most_frequent(counts, VOCABULARY).collect()))
+    words = np.array([w for _, w in top], np.int64).view(U)
     # neighbours in rank go to different classes, so classes are of like weight
     rank = np.arange(len(words))
     ids = np.sort((np.arange(VOCABULARY) % SIDE) * SIDE + np.arange(VOCABULARY) // SIDE)
