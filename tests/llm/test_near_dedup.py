@@ -114,6 +114,25 @@ def test_keys_recall_grows_with_similarity():
     assert hits == 200
 
 
+def moved(rng, words, parts):
+    size = -(-len(words) // parts)
+    cut = [words[i:i + size] for i in range(0, len(words), size)]
+    rng.shuffle(cut)
+    return [w for x in cut for w in x]
+
+
+def test_moved_paragraphs_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(240):
+        words = [f"m{i}_{j}" for j in range((400, 400, 800)[i % 3])]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(moved(rng, words, (2, 10, 10)[i % 3])))]
+    want = brute(rows)
+    assert len({c for _, c in want}) < 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.id, r.class_id) for r in nd.near_classes(df, "doc_id", "text").collect()} == want
+
+
 def test_words_equal_the_pattern():
     rng = random.Random(9)
     for _ in range(300):
