@@ -19,8 +19,9 @@ A row is accepted if its best language is not ``und``, has a posterior of
 
 Defined cases: null text is empty; a row without letters keeps the language its
 other evidence says but is not accepted.  Null declared, host or suffix are
-values of their own (no evidence: they are as likely as the table says).  A declared value of fewer than ``MIN_LABELLED`` rows or
-``MIN_SHARE`` of them is no language of its own.  Ties
+values of their own (no evidence: they are as likely as the table says).  A declared value of fewer than ``MIN_LABELLED`` rows is no
+language of its own, however large the table; of more than ``MAX_LANGS`` values
+the commonest are languages.  Ties
 go to the first language in name order.  Repeated rows get equal results.  With
 no labelled row every language is null and nothing is accepted.  Only the named
 columns are read.
@@ -41,7 +42,7 @@ from civitas.session import materialize_table
 BUCKETS = 1 << 14
 SAMPLE_PER_LANG = 500
 MAX_LANGS = 200
-MIN_LABELLED, MIN_SHARE = 2, 1e-4   # rows a declared value needs to be a language
+MIN_LABELLED = 2       # rows a declared value needs to be a language, in a table of any size
 MAX_SUFFIXES = 2_000
 TEMPER = 1 / 3
 KAPPA = 20.0           # rows that a parent's prior counts for
@@ -101,8 +102,8 @@ def fit_text_model(df: DataFrame, id_col: str, text_col: str, lang_col: str,
                      normal_lang(F.col(lang_col)).alias("lang"))
     n = rows.where("lang is not null").groupBy("lang").count() \
         .orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    least = max(MIN_LABELLED, MIN_SHARE * sum(r["count"] for r in n))
-    share = {r.lang: min(1.0, sample_per_lang / r["count"]) for r in n if r["count"] >= least}
+    share = {r.lang: min(1.0, sample_per_lang / r["count"]) for r in n
+             if r["count"] >= MIN_LABELLED}
     langs = sorted(share)
     if not langs:
         return TextModel([], np.zeros((BUCKETS, 1)))

@@ -49,6 +49,16 @@ def test_empty_and_unlabelled_tables(spark, small):
     assert all(r.lang is None and not r.accepted for r in rows) and len(rows) == small.count()
 
 
+def test_a_rare_language_stays_one_in_a_large_table(spark):
+    text = F.when(F.col("id") < 40_000, WORDS["en"]).otherwise(WORDS["fr"])
+    df = spark.range(40_003).select(
+        "id", F.concat_ws(" ", text, text).alias("text"),
+        F.when(F.col("id") < 40_000, "en").otherwise("fr").alias("lang"))
+    assert langid.fit_text_model(df, "id", "text", "lang").langs == ["en", "fr"]
+    out = langid.identify(df, "id", "text", "lang")
+    assert [(r.lang, r.accepted) for r in out.where("id >= 40000").collect()] == [("fr", True)] * 3
+
+
 def test_priors_are_smoothed_by_level(spark):
     rows = [("a.x.org", "x.org", [900_000, 100_000], 5), ("b.x.org", "x.org", [0, 1_000_000], 5),
             ("c.y.org", "y.org", [500_000, 500_000], 5), ("d.y.org", "y.org", [1_000_000, 0], 0)]
