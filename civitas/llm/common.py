@@ -37,17 +37,47 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def _first(rows: DataFrame, v: Column, lo: int, hi: int, left: int) -> tuple[int, int]:
+    """(bound, what is left): rows with ``v`` under the bound are at most ``left``,
+    with those equal to it they are more.  Histograms of 256 bins."""
+    while lo < hi and left:
+        step = (hi - lo) // 256 + 1
+        bins = rows.where(v.between(lo, hi)).groupBy(
+            ((v - lo) - F.pmod(v - lo, F.lit(step))).alias("b")).count().orderBy("b").collect()
+        for r in bins:
+            if r["count"] > left:
+                lo, hi = lo + r.b, min(hi, lo + r.b + step - 1)
+                break
+            left -= r["count"]
+        else:
+            return hi + 1, left
+    return lo, left
+
+
 def most_frequent(counts: DataFrame, size: int) -> DataFrame:
-    """The rows of ``counts`` with the largest ``n``, at most ``size`` of them.
+    """The ``size`` rows of ``counts`` with the largest ``n``, of equals those of
+    the smallest hash; all rows if they are fewer.
 
     A sum over eighths of octaves of ``n`` (a few hundred rows, whatever the
     data) tells from which on they are few enough, so no task or driver sees a
-    list of ``size`` rows per task.  Rows of one eighth stay or go together.
+    list of ``size`` rows per task.  The eighth at the border is filled by finer
+    histograms, of ``n`` and then of the hash.
     """
     eighth = F.floor(F.log2("n") * 8)
-    left, least = size, None
-    for r in counts.groupBy(eighth.alias("e")).count().orderBy(F.desc("e")).collect():
+    left, border = size, None
+    for r in counts.groupBy(eighth.alias("e")).agg(
+            F.count(F.lit(1)).alias("count"), F.min("n").alias("lo"),
+            F.max("n").alias("hi")).orderBy(F.desc("e")).collect():
         if r["count"] > left:
+            border = r
             break
-        left, least = left - r["count"], r.e
-    return counts.where(F.lit(False) if least is None else eighth >= least)
+        left -= r["count"]
+    if border is None:
+        return counts
+    inside = counts.where(eighth == border.e)
+    down = F.lit(border.hi) - F.col("n")
+    bound, left = _first(inside, down, 0, border.hi - border.lo, left)
+    n = border.hi - bound
+    rank = F.shiftrightunsigned(F.xxhash64(*[c for c in counts.columns if c != "n"]), 1)
+    last, _ = _first(counts.where(F.col("n") == n), rank, 0, 2 ** 63 - 1, left) if left else (0, 0)
+    return counts.where((F.col("n") > n) | ((F.col("n") == n) & (rank < last)))

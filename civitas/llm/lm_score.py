@@ -2,8 +2,7 @@
 every word of a document from its two neighbours on each side; the sum of the
 conditional log-probabilities scores the document.
 
-* Vocabulary: words are counted over all documents (a task leaves out words it
-  met under ``MIN_TASK_COUNT`` times); the most frequent ``VOCABULARY`` words have
+* Vocabulary: words are counted over all documents; the most frequent ``VOCABULARY`` words have
   ids, all others share ``UNKNOWN`` ids by their hash.
 * Network: per neighbour position an embedding, summed, tanh; then two softmaxes,
   for the word's class and for the word in its class.
@@ -39,7 +38,6 @@ PAD = SIDE * SIDE
 REACH = 2
 HIDDEN = 24
 EVERY = 16
-MIN_TASK_COUNT = 3
 DOCS_PER_TRAINER = 8_000
 MAX_TRAINERS = 1_024
 BATCH = 256
@@ -176,9 +174,8 @@ def count_hashes(docs: DataFrame) -> DataFrame:
             every, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
             n = np.bincount(back, np.concatenate([n, m]), len(every)).astype(np.int64)
             keys = every
-        some = n >= MIN_TASK_COUNT
-        yield pa.RecordBatch.from_pydict({"word": pa.array(keys[some].view(np.int64)),
-                                          "n": pa.array(n[some])})
+        yield pa.RecordBatch.from_pydict({"word": pa.array(keys.view(np.int64)),
+                                          "n": pa.array(n)})
 
     return docs.select("text").mapInArrow(per_task, "word long, n long").groupBy("word").agg(
         F.sum("n").alias("n"))

@@ -7,6 +7,7 @@ import numpy as np
 
 from civitas.llm import lm_score as lm
 from civitas.llm import queries
+from civitas.llm.common import most_frequent
 from civitas.llm.words import word_hashes
 from conftest import SF_SMALL
 
@@ -76,6 +77,24 @@ def test_learns_word_order_and_any_partitioning_agrees(spark):
     assert good > bad + 0.3 and good > -math.log(lm.SIDE ** 2) + 2
 
 
+def test_vocabulary_is_full_at_ties_and_counts_every_row(spark):
+    df = spark.createDataFrame([(i, " ".join(f"v{i}_{j}" for j in range(100))) for i in range(30)]
+                               + [(100 + i, "often") for i in range(2)], "id long, text string")
+    words, _ = lm.vocabulary_of(df.repartition(16))
+    other, _ = lm.vocabulary_of(df.coalesce(1))
+    assert len(words) == lm.VOCABULARY and (words == other).all()
+    assert word_hashes("often")[0] in words
+
+
+def test_most_frequent_takes_the_largest_counts(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([1, 2, 3, 900, 901, 905, 960, 5000])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "word long, n long")
+    for size in (0, 1, 300, 1999, 2000, 3000):
+        got = sorted((r.n for r in most_frequent(df, size).collect()), reverse=True)
+        assert got == sorted((n for _, n in rows), reverse=True)[:size]
+
+
 def test_query_covers_all_rows(spark):
     out = queries.op9_lm_score(spark, SF_SMALL).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
