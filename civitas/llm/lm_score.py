@@ -6,8 +6,8 @@ conditional log-probabilities scores the document.
   ids, all others share ``UNKNOWN`` ids by their hash.
 * Network: per neighbour position an embedding, summed, tanh; then two softmaxes,
   for the word's class and for the word in its class.
-* Training: every document gives one window in ``EVERY`` of its words.  Windows
-  go to trainers by a hash, the number of trainers grows with the documents.
+* Training: every word of every document is a target once.  Windows go to
+  trainers by a hash, the number of trainers grows with the documents.
   Each trainer runs SGD over its windows in hash order from common weights; the
   weights are averaged (sums of whole numbers: any partitioning gives the same).
 * Scoring reads every word of every document.
@@ -37,7 +37,6 @@ VOCABULARY = SIDE * SIDE - UNKNOWN
 PAD = SIDE * SIDE
 REACH = 2
 HIDDEN = 24
-EVERY = 16
 DOCS_PER_TRAINER = 8_000
 MAX_TRAINERS = 1_024
 BATCH = 256
@@ -200,9 +199,9 @@ def train(docs: DataFrame, vocabulary: np.ndarray, number: np.ndarray) -> Net:
     def examples(batches):
         for b in batches:
             out = []
-            for h, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for t in b.column(1):
                 near, word = windows([word_ids(word_hashes(t.as_py()), vocabulary, number)])
-                part = np.column_stack([near, word])[h % EVERY::EVERY]
+                part = np.column_stack([near, word])
                 out.append(part.astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())],
                                              names=["h", "windows"])

@@ -95,6 +95,13 @@ def test_most_frequent_takes_the_largest_counts(spark):
         assert got == sorted((n for _, n in rows), reverse=True)[:size]
 
 
+def test_every_short_text_is_trained_on(spark):
+    start = lm.Net.start().flat()
+    for i in range(4):
+        docs = spark.createDataFrame([(i, f"short{i} text")], "id long, text string")
+        assert np.abs(lm.train(docs, *NONE).flat() - start).max() > 1e-5
+
+
 def test_query_covers_all_rows(spark):
     out = queries.op9_lm_score(spark, SF_SMALL).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
