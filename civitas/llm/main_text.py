@@ -95,7 +95,7 @@ def page_tokens(t: str) -> list[tuple]:
     """(key, words, text, block, left out, main element) in page order: a text
     run has its container's key and its number of words, a tag -1."""
     out: list[tuple] = []
-    # name, container key, left out, number of the innermost article or main
+    # name, container key, left out, number of the outermost article or main
     stack: list[tuple] = [("", "page", False, 0)]
     is_open: dict[str, int] = {}  # how often each name is on the stack
     block, mains, i, n = 0, 0, 0, len(t)
@@ -168,7 +168,7 @@ def page_tokens(t: str) -> list[tuple]:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(t, i)
             i = n if close is None else close.end()
             continue
-        if name in MAIN and not cue:
+        if name in MAIN and not cue and not main:  # nested ones are part of it
             mains += 1
             main = mains
         named = (name in NOT_MAIN or cue) and not (main and name in ("header", *MAIN) and not cue) \
@@ -236,8 +236,8 @@ def main_text(t: str, weights: dict[str, float]) -> str:
         if words > 0 and not left:
             held[main] = held.get(main, 0.0) + s
     element = max(sorted(held), key=held.get, default=0)
-    if element:  # the article that holds most of the run, as a whole
-        run = [x for x in tokens if x[5] == element]
+    if element:  # the run, and the whole of the elements that it lies in
+        run = [x for i, x in enumerate(tokens) if start <= i < end or x[5] in held and x[5]]
     pieces: dict[int, list[str]] = {}
     for _, words, raw, block, left, _ in run:
         if words >= 0 and not left:

@@ -81,6 +81,13 @@ def test_rich_page():
     assert mt.main_text(RICH, mt.weights_of(counts)) == want
 
 
+def test_nested_articles_belong_to_the_main_element():
+    page = ("<main><h1>Title here</h1><p>The lead of it</p><article><p>One part of text</p></article>"
+            "<article><p>Another part of the text</p></article></main>")
+    assert mt.main_text(page, {}) == \
+        "Title here\nThe lead of it\nOne part of text\nAnother part of the text"
+
+
 def test_page_without_article():
     words = " ".join(f"word{i}" for i in range(40))
     page = (f"<body><div class=top><a>x</a> <a>y</a></div><div id=text><p>{words}</p><p>{words}</p></div>"
