@@ -188,6 +188,85 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def rank_file() -> str:
+    """The public byte-level ranks; the operator takes any path."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@register("op11_rank_bpe")
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civitas.llm import bpe, rank_bpe
+    small_batches(spark)
+    ranks = rank_bpe.publish(spark, rank_file())
+    out = rank_bpe.decode(rank_bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", ranks),
+                          "doc_id", ranks)
+    return out.select("doc_id", bpe.n_tokens().alias("n_tokens"),
+                      F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("bytes"), 256).alias("decoded_sha256"))
+
+
+@register("op12_source_divergence", r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents
+), w as (
+  select r, lang, source,
+         unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), kept as (
+  select lang, term from w group by lang, term having count(distinct r) >= 10
+), n as (
+  select w.lang, w.source, w.term, count(*) as n from w join kept using (lang, term) group by all
+), groups as (
+  select distinct lang, source from d
+), v as (
+  select lang, count(*) as v from kept group by lang
+), p as (
+  select g.lang, g.source, k.term, coalesce(n.n, 0) as n,
+         1 + (1000000000::hugeint * (coalesce(n.n, 0) + 2)) //
+           (sum(coalesce(n.n, 0)) over (partition by g.lang, g.source) + 2 * v.v) as p
+  from groups g join kept k on k.lang = g.lang join v on v.lang = g.lang
+  left join n on n.lang = g.lang and n.source = g.source and n.term = k.term
+), q as (
+  select k.lang, k.term,
+         1 + (1000000000::hugeint * (sum(n.n) + 2)) //
+           (sum(sum(n.n)) over (partition by k.lang) + 2 * max(v.v)) as q
+  from kept k join v on v.lang = k.lang join n on n.lang = k.lang and n.term = k.term
+  group by k.lang, k.term
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item,
+         sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+  group by all
+), results as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all
+  select p.lang, p.source, 'term', p.term, ((p - q) * (p - q)) // (p + q)
+  from p join q on p.lang = q.lang and p.term = q.term where n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part
+                               order by value desc, encode(item)) as rank
+  from results
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from ranked where part = 'pair' or rank <= 10
+""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civitas.llm import divergence
+    small_batches(spark)
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), "lang", "source", "text")
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civitas.llm import whitening
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return out.withColumnRenamed("id", "vec_id")
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
