@@ -24,6 +24,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from civitas.functions.dates import ntz_as_utc_instant
+from civitas.session import materialize_table
+
 
 def _bucket(t, bucket: str):
     d = t.cast("date")
@@ -83,3 +86,134 @@ def asof_join(events: DataFrame, periods: DataFrame, key: str, event_time: str,
             F.col(f"__hit.{end_time}").isNull() | (F.col("__t") < F.col(f"__hit.{end_time}")),
             F.col("__hit")))
     return out.select("__ev.*", *[F.col(f"__hit.{c}").alias(c) for c in attrs])
+
+
+# ---- prefix scan over range partitions --------------------------------------
+
+def asof_scan(events: DataFrame, periods: DataFrame, key: str, event_time: str, start_time: str,
+              attrs: Sequence[str], tie_break: Sequence[str] = (), end_time: str | None = None,
+              overlapping: bool = False) -> DataFrame:
+    """``events`` plus ``attrs`` of the period active at ``event_time``, by a
+    distributed prefix scan: nothing is grouped by key, so a key that holds a
+    third of all rows lies in as many tasks as its rows need.
+
+    1. events and period starts are dealt into ranges of (key, time), starts
+       before events of the same instant, equal events apart by their hash, and
+       written once with the number of their range;
+    2. a running ``last`` inside each range finds the latest start;
+    3. rows before a range's first start take the last start of the ranges
+       before it: one row per range, carried over the borders.
+
+    Among periods that start at the same instant the greatest ``tie_break`` wins.
+    With ``end_time`` a period stops at its end (exclusive; null: never).  A later
+    start replaces the period before it for good, unless ``overlapping``: then
+    the latest start among the periods still open counts (``flatten_periods``).
+    Null keys match nothing, null times of events have no period, periods without
+    a start are left out."""
+    attrs, tie_break = list(attrs), list(tie_break)
+    if overlapping:
+        if end_time is None:
+            raise ValueError("overlapping periods need an end_time")
+        flat = flatten_periods(periods, key, start_time, end_time, attrs, tie_break)
+        return _scan(events, flat, key, event_time, attrs)
+    order = [F.col(c) for c in tie_break]
+    flat = periods.select(
+        F.col(key).alias("__k"), F.col(start_time).alias("__t"),
+        F.struct(*[F.col(c).alias(f"a{i}") for i, c in enumerate(attrs)],
+                 (F.col(end_time) if end_time else F.lit(None).cast(periods.schema[start_time].dataType))
+                 .alias("end")).alias("__p"),
+        F.struct(*(order or [F.lit(0)])).alias("__tie"))
+    return _scan(events, flat, key, event_time, attrs)
+
+
+def _scan(events, starts, key, event_time, attrs) -> DataFrame:
+    """``starts``: __k, __t, __p (a0.., end; or null: no period), __tie."""
+    plain = [c for c, t in events.dtypes if not t.startswith(("map", "variant"))]
+    ev = events.select(
+        F.col(key).alias("__k"), F.col(event_time).alias("__t"), F.lit(1).alias("__kind"),
+        F.lit(None).cast(starts.schema["__tie"].dataType).alias("__tie"),
+        F.xxhash64(*plain).alias("__apart"),
+        F.lit(None).cast(starts.schema["__p"].dataType).alias("__p"),
+        F.struct(*[F.col(c) for c in events.columns]).alias("__ev"))
+    st = starts.where(F.col("__k").isNotNull() & F.col("__t").isNotNull()).select(
+        "__k", "__t", F.lit(0).alias("__kind"), "__tie", F.lit(0).cast("long").alias("__apart"), "__p",
+        F.lit(None).cast(ev.schema["__ev"].dataType).alias("__ev"))
+    order = ["__k", "__t", "__kind", "__tie", "__apart"]
+    dealt = materialize_table(ev.unionByName(st).repartitionByRange(*order)
+                              .withColumn("__range", F.spark_partition_id()), "asof-ranges")
+
+    # the struct is null at events, so the last one that is not is the latest start
+    start = F.when(F.col("__kind") == 0, F.struct("__k", "__p"))
+    so_far = Window.partitionBy("__range").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    ends = dealt.groupBy("__range").agg(
+        F.max_by(start, F.when(F.col("__kind") == 0, F.struct("__k", "__t", "__tie"))).alias("__last"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__range", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
+
+    out = dealt.withColumn("__in", F.last(start, ignorenulls=True).over(so_far)) \
+        .where(F.col("__kind") == 1).join(ends, "__range")
+    hit = F.coalesce("__in", "__carry")
+    hit = F.when((hit["__k"] == F.col("__k")) & F.col("__t").isNotNull(), hit["__p"])
+    out = out.withColumn("__hit", hit)
+    open_ = F.col("__hit.end").isNull() | (F.col("__t") < F.col("__hit.end"))
+    return out.select("__ev.*", *[F.when(open_, F.col(f"__hit.a{i}")).alias(c)
+                                  for i, c in enumerate(attrs)])
+
+
+def _micros(c, kind: str):
+    """A number that orders like the time, from wall-clock fields."""
+    if kind == "date":
+        return F.unix_date(c).cast("long") * 86_400_000_000
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind.startswith("timestamp_ntz"):
+        return F.unix_micros(ntz_as_utc_instant(c))
+    return c.cast("long")
+
+
+def flatten_periods(periods: DataFrame, key: str, start_time: str, end_time: str,
+                    attrs: Sequence[str], tie_break: Sequence[str] = ()) -> DataFrame:
+    """Overlapping periods as changes: at every start and every end of a key the
+    period active from there on, which is the latest start (then the greatest
+    ``tie_break``) among those still open, or null.  Periods that do not end
+    after their start hold nowhere.
+
+    A period is cut into aligned power-of-two pieces of time, about two per
+    level.  Only the best period of a piece matters, as all of its periods cover
+    it whole; an end asks one piece per level.  So there is no window and no
+    pairing of periods with each other, however many of a key are open."""
+    kind = periods.schema[start_time].dataType.simpleString()
+    rows = periods.select(
+        F.col(key).alias("__k"), F.col(start_time).alias("__t"), F.col(end_time).alias("__e"),
+        F.struct(*[F.col(c).alias(f"a{i}") for i, c in enumerate(attrs)],
+                 F.lit(None).cast(periods.schema[start_time].dataType).alias("end")).alias("__p"),
+        F.struct(*([F.col(c) for c in tie_break] or [F.lit(0)])).alias("__tie")) \
+        .where(F.col("__k").isNotNull() & F.col("__t").isNotNull()
+               & (F.col("__e").isNull() | (F.col("__t") < F.col("__e"))))
+    first = F.struct(_micros(F.col("__t"), kind).alias("s"), F.col("__tie").alias("tie"))
+    shift = 1 << 62  # times count from -2**62, so that levels below 63 cover all
+    rows = rows.select(
+        "*", first.alias("__first"), (_micros(F.col("__t"), kind) + F.lit(shift)).alias("__s"),
+        F.coalesce(_micros(F.col("__e"), kind) + F.lit(shift), F.lit(2 ** 63 - 1)).alias("__x"))
+
+    # level l holds pieces [i 2**l, (i + 1) 2**l); those of [s, x) as in a segment tree
+    level = F.explode(F.sequence(F.lit(0), F.lit(62))).alias("__l")
+    up = F.expr("shiftright(__s, __l) + if(shiftleft(shiftright(__s, __l), __l) < __s, 1L, 0L)")
+    cut = rows.select("*", level).select(
+        "*", up.alias("__lo"), F.expr("shiftright(__x, __l)").alias("__hi")) \
+        .where("__lo < __hi").select("*", F.explode(F.array_compact(F.array(
+            F.when(F.col("__lo") % 2 == 1, F.col("__lo")),
+            F.when(F.col("__hi") % 2 == 1, F.col("__hi") - 1)))).alias("__i"))
+    best = cut.groupBy("__k", "__l", "__i").agg(
+        F.max_by(F.struct("__first", "__p"), "__first").alias("__best"))
+    ends = rows.where(F.col("__e").isNotNull()).select(
+        "__k", F.col("__e").alias("__t"), F.col("__x").alias("__at")).distinct()
+    asked = ends.select("*", level).withColumn("__i", F.expr("shiftright(__at, __l)"))
+    after = asked.join(best, ["__k", "__l", "__i"]).select("__k", "__t", "__best")
+    changes = (after.unionByName(ends.select("__k", "__t", F.lit(None).cast(
+                   after.schema["__best"].dataType).alias("__best")))
+               .unionByName(rows.select("__k", "__t", F.struct("__first", "__p").alias("__best"))))
+    found = changes.groupBy("__k", "__t").agg(F.max_by("__best", "__best.__first").alias("__best"))
+    return found.select("__k", "__t", F.col("__best.__p").alias("__p"),
+                        F.struct(F.lit(0)).alias("__tie"))

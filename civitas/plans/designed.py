@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civitas.functions.dates import trunc_hour_ntz
 from civitas.operators.aggregates import count_rows, exact_ratio_sql
-from civitas.operators.asof import asof_join
+from civitas.operators.asof import asof_scan
 from civitas.operators.link import join_left_dim
 from civitas.plans.registry import register
 from civitas.sources.tables import table
@@ -26,19 +26,52 @@ select l_orderkey, l_linenumber, l_shipdate, o_custkey, afiliacao, periodo_id fr
 def q_scd2(spark, d):
     """scd2_affiliation: each order opens a customer's affiliation (its
     priority) until the next order; every shipped line gets the affiliation
-    in force at its ship date (as-of join, linear in the rows)."""
+    in force at its ship date (prefix scan over ranges of customer and time)."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     o = table(spark, d, "orders")
     events = li.join(o.select("o_orderkey", "o_custkey"), li.l_orderkey == o.o_orderkey) \
         .select("l_orderkey", "l_linenumber", "l_shipdate", "o_custkey")
     periods = o.select("o_custkey", "o_orderdate", "o_orderpriority",
                        F.col("o_orderkey").alias("periodo_id"))
-    out = asof_join(events, periods, "o_custkey", "l_shipdate", "o_orderdate",
+    out = asof_scan(events, periods, "o_custkey", "l_shipdate", "o_orderdate",
                     ["o_orderpriority", "periodo_id"], tie_break=["periodo_id"])
     return out.select("l_orderkey", "l_linenumber", "l_shipdate", "o_custkey",
                       F.col("o_orderpriority").alias("afiliacao"), "periodo_id")
 
 
+@register("q_scd2_overlap", """
+with p as (select o_custkey, o_orderdate, o_orderpriority, o_orderkey,
+                  case when o_orderpriority <> '5-LOW'
+                       then o_orderdate + to_days(cast(left(o_orderpriority, 1) as integer) * 100) end as fim
+           from orders),
+lo as (select row_number() over () as rid, l.l_orderkey, l.l_linenumber, l.l_shipdate, o.o_orderstatus,
+              o.o_custkey
+       from lineitem l join orders o on l.l_orderkey = o.o_orderkey)
+select lo.l_orderkey, lo.l_linenumber, lo.o_custkey,
+       arg_max(p.o_orderpriority, (p.o_orderdate, p.o_orderkey)) as afiliacao,
+       arg_max(p.o_orderkey, (p.o_orderdate, p.o_orderkey)) as periodo_id
+from lo left join p on p.o_custkey = lo.o_custkey and p.o_orderdate <= lo.l_shipdate
+                   and (p.fim is null or lo.l_shipdate < p.fim)
+group by lo.rid, lo.l_orderkey, lo.l_linenumber, lo.o_custkey
+""")
+def q_scd2_overlap(spark, d):
+    """scd2_affiliation with overlapping periods: an affiliation lasts 100 days
+    per priority step (the lowest for good); when the newest has ended, an older
+    one that is still open holds again."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    o = table(spark, d, "orders")
+    events = li.join(o.select("o_orderkey", "o_custkey"), li.l_orderkey == o.o_orderkey) \
+        .select("l_orderkey", "l_linenumber", "l_shipdate", "o_custkey")
+    days = F.left("o_orderpriority", F.lit(1)).cast("int") * 100
+    periods = o.select("o_custkey", "o_orderdate", F.col("o_orderpriority").alias("afiliacao"),
+                       F.col("o_orderkey").alias("periodo_id"),
+                       F.when(F.col("o_orderpriority") != "5-LOW",
+                              F.col("o_orderdate") + F.make_dt_interval(days)).alias("fim"))
+    out = asof_scan(events, periods, "o_custkey", "l_shipdate", "o_orderdate",
+                    ["afiliacao", "periodo_id"], ["periodo_id"], "fim", overlapping=True)
+    return out.select("l_orderkey", "l_linenumber", "o_custkey", "afiliacao", "periodo_id")
+
+
 @register("q_party_line", """
 with v as (select e.user_id, date_trunc('hour', e.ts) as sessao, e.event_type, c.c_mktsegment as partido
            from events e join customer c on e.user_id = c.c_custkey),

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
+from civitas.functions.dates import ntz_as_utc_instant
+from civitas.operators.distinct_state import dense_ids, distinct_mart, roll_up_levels
+from civitas.operators.file_merge import merge_keyed_files, read_keyed_files, write_keyed_files
 from civitas.operators.upsert import (current_watermark, full_refresh, ledger_watermark,
                                       read_target, record_watermark, upsert_by_key,
                                       watermark_filter)
 from civitas.plans.registry import register
 from civitas.schemas import TABLES
-from civitas.session import work_dir
+from civitas.session import materialize_table, work_dir
 from civitas.sources.tables import scan_parquet_glob, table
+from civitas.streaming.dedup_state import dedup_available_now, read_outcomes
 from civitas.streaming.files import (read_additive_agg, run_available_now,
                                      skip_existing_periods, stream_additive_agg, stream_dedup,
                                      stream_period_files, stream_upsert)
@@ -118,8 +122,9 @@ def q_stream_dedup(spark, d):
     # the time of arrival: one watermark for all rows of a run
     stream = stream.withColumn("arrived", F.current_timestamp())
     once = stream_dedup(stream, ["event_id"], "arrived", "1 day")
-    run_available_now(once, lambda b, i: b.drop("arrived").withColumn("batch", F.lit(i))
-                      .write.mode("append").partitionBy("batch").parquet(out), f"{root}/checkpoint")
+    # a replayed batch replaces its own folder
+    run_available_now(once, lambda b, i: b.drop("arrived").write.mode("overwrite")
+                      .parquet(f"{out}/batch={i}"), f"{root}/checkpoint")
     schema = StructType(EVENTS_LANDING.fields + [StructField("batch", IntegerType())])
     return scan_parquet_glob(spark, out, schema).select("event_id", "user_id", "event_type", "value")
 
@@ -171,3 +176,104 @@ def q_upsert_strict(spark, d):
     return read_target(spark, target).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority", "periodo", "ano")
+
+
+@register("q_upsert_files", """
+select o_orderkey, o_custkey, o_orderstatus,
+       case when o_orderdate >= timestamp '1998-01-01' and o_orderdate < timestamp '1998-07-01'
+            then cast(round(cast(o_totalprice as decimal(18,2)) * 1.1, 2) as double)
+            else o_totalprice end as o_totalprice,
+       case when o_orderdate >= timestamp '1998-01-01' and o_orderdate < timestamp '1998-07-01'
+            then 1999 else year(o_orderdate) end as ano,
+       case when o_orderdate >= timestamp '1999-01-01'
+              or (o_orderdate >= timestamp '1998-01-01' and o_orderdate < timestamp '1998-07-01')
+            then o_orderpriority end as o_orderpriority
+from orders
+""")
+def q_upsert_files(spark, d):
+    """upsert_by_key by files: a table partitioned by year is loaded, then a
+    batch brings the orders of the first half of 1998 with a new price and
+    another year (their keys leave the partition) and all orders from 1999 on;
+    only files that hold a touched key are rewritten.  schema_sync: the batch no
+    longer has ``obs``, which leaves the table, and adds ``o_orderpriority``."""
+    path = f"{work_dir(spark, 'upsert-files')}/fct_orders"
+    o = table(spark, d, "orders").withColumn("ano", F.year("o_orderdate"))
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    first = o.where(F.col("o_orderdate").isNull() | (F.col("o_orderdate") < day("1999-01-01"))).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.lit("v1").alias("obs"), "ano")
+    moved = (F.col("o_orderdate") >= day("1998-01-01")) & (F.col("o_orderdate") < day("1998-07-01"))
+    price = F.round(F.col("o_totalprice").cast("decimal(18,2)") * F.lit(1.1).cast("decimal(2,1)"), 2)
+    batch = o.where(moved | (F.col("o_orderdate") >= day("1999-01-01"))).select(
+        "o_orderkey", "o_custkey", "o_orderstatus",
+        F.when(moved, price.cast("double")).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
+        "o_orderpriority", F.when(moved, F.lit(1999)).otherwise(F.col("ano")).alias("ano"))
+    write_keyed_files(spark, first, path, ["o_orderkey"], ["ano"])
+    merge_keyed_files(spark, batch, path, ["o_orderkey"], ["ano"], drop_missing=True)
+    return read_keyed_files(spark, path)
+
+
+@register("q_distinct_rollup", """
+with o as (select year(o_orderdate) as ano, month(o_orderdate) as mes, nullif(o_orderstatus, 'P') as situacao,
+                  o_custkey, cast(o_orderdate as date) as dia, cast(o_totalprice as decimal(18,2)) as v
+           from orders)
+select 'mes' as nivel, ano, mes, situacao, cast(sum(v) as double) as total, count(*) as n_pedidos,
+       count(distinct o_custkey) as n_clientes, count(distinct dia) as n_dias
+from o group by ano, mes, situacao
+union all
+select 'ano', ano, null, situacao, cast(sum(v) as double), count(*), count(distinct o_custkey), count(distinct dia)
+from o group by ano, situacao
+union all
+select 'situacao', null, null, situacao, cast(sum(v) as double), count(*), count(distinct o_custkey),
+       count(distinct dia) from o group by situacao
+union all
+select 'total', null, null, null, cast(sum(v) as double), count(*), count(distinct o_custkey), count(distinct dia)
+from o
+""")
+def q_distinct_rollup(spark, d):
+    """agg_rollup_from_agg with distinct counts: a monthly mart (null status
+    included) of two loads with mergeable bitmaps of customers and days, rolled
+    up to years, statuses and the total without reading the fact again."""
+    o = table(spark, d, "orders").select(
+        F.year("o_orderdate").alias("ano"), F.month("o_orderdate").alias("mes"),
+        F.expr("nullif(o_orderstatus, 'P')").alias("situacao"), "o_custkey",
+        F.col("o_orderdate").cast("date").alias("dia"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("valor"))
+    root, ids = work_dir(spark, "distinct-mart"), {"o_custkey": None, "dia": None}
+    old = F.coalesce(F.col("ano") < 1998, F.lit(True))
+    for load in (o.where(old), o.where(~old)):
+        ids = {c: materialize_table(dense_ids(load, c, known), f"ids-{c}") for c, known in ids.items()}
+        distinct_mart(load, ["ano", "mes", "situacao"],
+                      {"total": F.sum("valor"), "n_pedidos": F.count(F.lit(1))},
+                      {"n_clientes": ("o_custkey", ids["o_custkey"]), "n_dias": ("dia", ids["dia"])}) \
+            .write.mode("append").parquet(f"{root}/mart")
+    mart = spark.read.parquet(f"{root}/mart")
+    out = roll_up_levels(mart, {"mes": ["ano", "mes", "situacao"], "ano": ["ano", "situacao"],
+                                "situacao": ["situacao"], "total": []},
+                         ["total", "n_pedidos"], ["n_clientes", "n_dias"])
+    return out.withColumn("total", F.col("total").cast("double"))
+
+
+@register("q_stream_outcomes", """
+with e as (select *, date_trunc('milliseconds', max(ts) over ()) - interval 30 day as limite from events)
+select event_id, 'kept' as outcome, 1 as n from e where ts >= limite or ts is null
+union all select event_id, 'duplicate', 1 from e where ts >= limite
+union all select event_id, 'late', 1 from e where ts < limite
+""")
+def q_stream_outcomes(spark, d):
+    """stream_dedup without loss: the last 30 days land first, then everything
+    again.  The second delivery's rows are duplicates, or late where they are
+    older than 30 days before the newest row; each row leaves once, with its
+    outcome, also when a micro-batch is replayed."""
+    root = work_dir(spark, "stream-outcomes")
+    landing, out = f"{root}/landing", f"{root}/events"
+    ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value",
+                                          ntz_as_utc_instant("ts").alias("at"))
+    newest = ev.agg(F.max(F.unix_millis("at"))).first()[0]
+    recent = ev.where(F.col("at").isNull() | (F.unix_millis("at") >= F.lit(newest) - 30 * 86_400_000)) \
+        if newest is not None else ev
+    for delivery in (recent, ev.where(F.col("at").isNotNull())):
+        delivery.write.mode("append").parquet(landing)
+        stream = stream_period_files(spark, landing, ev.schema)
+        dedup_available_now(spark, stream, ["event_id"], "at", "30 days", out, f"{root}/checkpoint")
+    return read_outcomes(spark, out, ev.schema).groupBy("event_id", "outcome").agg(
+        F.count(F.lit(1)).cast("int").alias("n"))

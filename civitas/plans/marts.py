@@ -10,6 +10,7 @@ from civitas.operators.aggregates import (avg_coalesced, avg_round, count_distin
                                           exact_ratio_sql, coalesce_max,                                           count_if, count_rows, gross_pay, rollup_additive,
                                           sum_if_money, sum_money, unpivot_components)
 from civitas.operators.dedup import earliest_per_key
+from civitas.operators.distinct_state import totals_by_level
 from civitas.operators.link import join_counts_zero_fill, join_left_dim
 from civitas.operators.quality import dq_report
 from civitas.operators.topk import topk_per_group, topn, topn_other_bucket, topn_sum
@@ -576,3 +577,37 @@ def q_distinct_values(spark, d):
             .select(F.year("o_orderdate").cast("string").alias("valor"), F.lit("ano").alias("coluna"))
             .distinct())
     return seg.unionByName(anos).orderBy("coluna", F.col("valor").desc())
+
+
+_LEVEL_SQL = """
+  cast(sum(cast(c_acctbal as decimal(18,2))) as double) as total, count(*) as n_clientes,
+  cast(max(c_acctbal) as double) as maior"""
+_LEVEL_ROWS = """(select case when n_nationkey > 20 then null else n_name end as pais, r_name as regiao,
+  nullif(c_mktsegment, 'MACHINERY') as segmento, c_acctbal
+  from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey) as x"""
+
+
+@register("q_levels", f"""
+select 'segmento' as nivel, regiao, pais, segmento, {_LEVEL_SQL} from {_LEVEL_ROWS} group by regiao, pais, segmento
+union all
+select 'pais', regiao, pais, null, {_LEVEL_SQL} from {_LEVEL_ROWS} group by regiao, pais
+union all
+select 'regiao', regiao, null, null, {_LEVEL_SQL} from {_LEVEL_ROWS} group by regiao
+union all
+select 'por segmento', null, null, segmento, {_LEVEL_SQL} from {_LEVEL_ROWS} group by segmento
+union all
+select 'total', null, null, null, {_LEVEL_SQL} from {_LEVEL_ROWS}
+""")
+def q_levels(spark, d):
+    """payroll_breakdowns / geo_rollup with totals by level in one aggregate
+    (grouping sets): country, region and segment totals; an unknown country or
+    segment (null) is a group of its own and no total."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
+        F.when(F.col("n_nationkey") <= 20, F.col("n_name")).alias("pais"), F.col("r_name").alias("regiao"),
+        F.expr("nullif(c_mktsegment, 'MACHINERY')").alias("segmento"), "c_acctbal")
+    return totals_by_level(
+        rows, {"segmento": ["regiao", "pais", "segmento"], "pais": ["regiao", "pais"], "regiao": ["regiao"],
+               "por segmento": ["segmento"], "total": []},
+        [sum_money("c_acctbal").alias("total"), count_rows().alias("n_clientes"),
+         F.max("c_acctbal").alias("maior")])

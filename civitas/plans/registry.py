@@ -35,6 +35,8 @@ ORACLE_TYPES: dict[str, dict[str, str]] = {
     "q_upsert": {"periodo": "INTEGER", "ano": "INTEGER"},
     "q_upsert_strict": {"periodo": "INTEGER", "ano": "INTEGER"},
     "q_upsert_lookback": {"periodo": "INTEGER"},
+    "q_upsert_files": {"ano": "INTEGER"},
+    "q_distinct_rollup": {"ano": "INTEGER", "mes": "INTEGER"},
 }
 
 

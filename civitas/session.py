@@ -105,10 +105,13 @@ def materialize_table(df, purpose: str):
     return a DataFrame reading it: for intermediates read by several
     branches of a plan (each would otherwise recompute the input).  Lineage
     is cut and the data survives the loss of the executors that computed it."""
-    spark = df.sparkSession
-    path = work_dir(spark, purpose)
+    return materialize_table_at(df, work_dir(df.sparkSession, purpose))
+
+
+def materialize_table_at(df, path: str):
+    """``materialize_table`` in a folder the caller names, and may remove."""
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
