@@ -48,6 +48,7 @@ ONE = 1_000_000_000
 SPILL = 500_000             # entries of a task's stripes before they are sent on
 CHUNK = 1 << 20             # bytes of a text folded at a time
 CELLS = 1 << 20             # numbers of a dense block
+SHARE = 4_096               # terms of a language that one share holds at least
 STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
 ARROW = pa.schema([("lang", pa.string()), ("term", pa.string()), ("df", pa.int64()),
                    ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
@@ -263,9 +264,10 @@ class Totals:
              pa.array(cols[3], pa.int64())], names=["lang", "source", "part", "item", "value"])
 
 
-def language_totals(stripes: DataFrame, shares: int) -> DataFrame:
+def language_totals(stripes: DataFrame) -> DataFrame:
     """One row per language: V as df, its sources in order with their N, the
-    number of blocks of sources and of shares of the terms."""
+    number of blocks of sources and of shares of the terms.  A share returns a sum
+    per pair of sources, so it holds several terms per source."""
     terms = stripes.where(F.col("term") != DOCUMENTS)
     n = terms.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("e")) \
         .groupBy("lang", F.col("e.sources").alias("source")).agg(F.sum("e.counts").alias("n"))
@@ -276,21 +278,20 @@ def language_totals(stripes: DataFrame, shares: int) -> DataFrame:
             "source", F.coalesce("n", F.lit(0)).alias("n")))).alias("each"))
     size = F.size("each").cast("long")
     blocks = F.ceil(size / F.greatest(F.lit(1), F.floor(F.lit(CELLS) / size)))
+    v_or_0 = F.coalesce("df", F.lit(0))
     return each.join(v, "lang", "left").select(
-        "lang", F.coalesce("df", F.lit(0)).alias("df"), F.col("each.source").alias("sources"),
+        "lang", v_or_0.alias("df"), F.col("each.source").alias("sources"),
         F.col("each.n").alias("counts"), blocks.alias("blocks"),
-        F.greatest(F.lit(1), F.floor(F.lit(shares) / blocks)).alias("shares"))
+        F.greatest(F.lit(1), F.ceil(v_or_0 / F.greatest(F.lit(SHARE), 16 * size))).alias("shares"))
 
 
 def source_divergence(df: DataFrame, lang_col: str, source_col: str, text_col: str,
                       min_docs: int = MIN_DOCS, top: int = TOP, spill: int = SPILL) -> DataFrame:
     """lang, source, part ('pair', 'term'), item, value, rank."""
-    spark = df.sparkSession
     docs = df.select(text_or_empty(lang_col).alias("lang"), text_or_empty(source_col).alias("source"),
                      text_or_empty(text_col).alias("text"))
     stripes = materialize_table(merged_stripes(partial_stripes(docs, spill), min_docs), "stripes")
-    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    totals = materialize_table(language_totals(stripes, shares), "language-totals")
+    totals = materialize_table(language_totals(stripes), "language-totals")
 
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     heads = totals.select("*", block).select(

@@ -74,7 +74,9 @@ def test_spills_change_nothing(spark, spill):
 
 def test_blocks_of_sources(spark, monkeypatch):
     monkeypatch.setattr(divergence, "CELLS", 20)  # 10 sources: five blocks of two
-    rows = [("en", f"s{i % 10}", f"Alpha beta {'gamma ' * (i % 4)}w{i % 7} x{i}") for i in range(80)]
+    monkeypatch.setattr(divergence, "SHARE", 1)
+    rows = [("en", f"s{i % 10}", f"Alpha beta {'gamma ' * (i % 4)}{chr(97 + i % 26) * 3} "
+             + " ".join(chr(0xE0 + i % 9) * k for k in range(1, 40))) for i in range(80)]
     df = spark.createDataFrame(rows, "lang string, source string, text string")
     assert _run(df, min_docs=3) == brute(rows, 3)
 
