@@ -15,6 +15,16 @@ from civitas.operators.aggregates import count_if, count_rows, exact_ratio_sql
 from civitas.operators.quantiles import exact_quantiles
 
 
+def join_group_stat_back(df: DataFrame, stats: DataFrame, group: Sequence[str],
+                         how: str = "inner") -> DataFrame:
+    """Rows with their group's statistics; the null group is a group."""
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    renamed = stats.withColumnsRenamed({g: f"__g_{g}" for g in group})
+    return df.join(renamed, same, how).drop(*[f"__g_{g}" for g in group])
+
+
 def outlier_iqr(df: DataFrame, group: Sequence[str], value: str, min_n: int = 4,
                 k: float = 1.5, quantile_method: str = "nearest") -> DataFrame:
     """Rows above Q3 + k*IQR of their group (groups with >= ``min_n`` rows),
@@ -26,7 +36,7 @@ def outlier_iqr(df: DataFrame, group: Sequence[str], value: str, min_n: int = 4,
                         names=["q1", "mediana_grupo", "q3"])
     stats = (q.where(F.col("n") >= min_n)
                .withColumn("limite_iqr", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))))
-    return (df.join(stats, list(group))
+    return (join_group_stat_back(df, stats, group)
               .where(F.col(value) > F.col("limite_iqr"))
               .withColumn("desvio_mediana", F.col(value) - F.col("mediana_grupo")))
 
@@ -43,7 +53,7 @@ def outlier_median_ratio(df: DataFrame, group: Sequence[str], value: str,
     Runs on all rows (the reference first caps the input at 5000 rows)."""
     med = exact_quantiles(df, group, value, [0.5], "linear", names=["mediana_cat"],
                           with_count=False)
-    return (df.join(med, list(group), "left")
+    return (join_group_stat_back(df, med, group, "left")
               .withColumn("razao_mediana", F.col(value) / F.col("mediana_cat"))
               .where(F.col("razao_mediana") > ratio))
 
@@ -113,7 +123,7 @@ def timeline_summary(timeline: DataFrame, kind: str, id_col: str, min_n: int = 5
                  F.struct(~multi, days, F.col(id_col))).alias("mais_rapida_multi"))
     med = exact_quantiles(timeline, [kind], "dias_deliberacao", [0.5], "linear",
                           names=["mediana_dias"], with_count=False)
-    return base.where(F.col("num_materias") >= min_n).join(med, kind, "left")
+    return join_group_stat_back(base.where(F.col("num_materias") >= min_n), med, [kind], "left")
 
 
 def divisive(timeline: DataFrame, id_col: str, max_margin: int = 10, n: int = 30) -> DataFrame:

@@ -11,9 +11,12 @@ from civitas.operators.analytics import (deliberation_timeline, divisive, outlie
                                          outlier_median_ratio, presence_scorecard,
                                          salary_distribution, timeline_summary)
 from civitas.operators.link import join_left_dim
+from civitas.operators.quantiles import quantiles_of_counts, value_counts
 from civitas.operators.topk import topn
+from civitas.operators.trigram import build_trigram_index, search_trigrams
 from civitas.plans.clean import EVENT_VOTE
 from civitas.plans.registry import register
+from civitas.session import work_dir
 from civitas.sources.tables import table
 
 
@@ -268,3 +271,67 @@ def q_search_pages(spark, d):
                     F.upper("html").contains("LICENSE").alias("tem_licenca"),
                     F.col("html").rlike(EMAIL_RE).alias("tem_email"),
                     F.length("html").cast("bigint").alias("tamanho"))
+
+
+SEARCH_TERMS = ("License", "@example", "SRC1", "ção", "th", "Zq", "é", "no such words")
+
+
+@register("q_search_terms", "\nunion all\n".join(
+    f"select '{t}' as term, doc_id from documents where contains(lower(text), lower('{t}')) "
+    f"or contains(lower(source), lower('{t}'))" for t in SEARCH_TERMS))
+def q_search_terms(spark, d):
+    """search_text_ci for a caller's terms on two columns: an inverted index of
+    trigrams is built over all documents; long terms are looked up in it and
+    verified, short ones scanned."""
+    docs = table(spark, d, "documents")
+    path = work_dir(spark, "trigram-index")
+    build_trigram_index(docs, "doc_id", ["text", "source"], path)
+    return search_trigrams(docs, path, "doc_id", ["text", "source"], SEARCH_TERMS) \
+        .withColumnRenamed("id", "doc_id")
+
+
+@register("q_outlier_null_group", """
+with e as (select event_id, nullif(event_type, 'view') as tipo, value from events),
+q as (select tipo, count(value) as n, median(value) as mediana,
+             quantile_disc(value, 0.75) as q3_disc from e group by 1),
+s as (select tipo, list(value order by value) as v, count(value) as n from e where value is not null group by 1),
+st as (select s.tipo, q.mediana, v[cast(round(0.25 * (s.n - 1)) as bigint) + 1] as q1,
+              v[cast(round(0.75 * (s.n - 1)) as bigint) + 1] as q3
+       from s join q on s.tipo is not distinct from q.tipo where s.n >= 4)
+select 'iqr' as regra, e.event_id, e.tipo, e.value, st.mediana as referencia
+from e join st on e.tipo is not distinct from st.tipo where e.value > q3 + 1.5 * (q3 - q1)
+union all
+select 'mediana', e.event_id, e.tipo, e.value, st.mediana
+from e join st on e.tipo is not distinct from st.tipo where e.value / st.mediana > 3.0
+""")
+def q_outlier_null_group(spark, d):
+    """outlier_iqr, outlier_median_ratio and join_group_stat_back where a group's
+    name is null: its outliers are found like any other's."""
+    e = table(spark, d, "events").select(
+        "event_id", F.expr("nullif(event_type, 'view')").alias("tipo"), "value")
+    cols = ["event_id", "tipo", "value"]
+    iqr = outlier_iqr(e, ["tipo"], "value").select(
+        F.lit("iqr").alias("regra"), *cols, F.col("mediana_grupo").alias("referencia"))
+    ratio = outlier_median_ratio(e, ["tipo"], "value", 3.0).select(
+        F.lit("mediana").alias("regra"), *cols, F.col("mediana_cat").alias("referencia"))
+    return iqr.unionByName(ratio)
+
+
+@register("q_quantile_state", """
+select nullif(l_returnflag, 'N') as situacao, count(l_extendedprice) as n,
+       quantile_cont(l_extendedprice, 0.5) as mediana, quantile_cont(l_extendedprice, 0.9) as p90
+from lineitem group by 1
+""")
+def q_quantile_state(spark, d):
+    """agg_median_group / agg_quantile_nearest kept current: three loads add
+    their value counts to a state; quantiles are read from the state alone and
+    equal those of all rows."""
+    li = table(spark, d, "lineitem").select(
+        F.expr("nullif(l_returnflag, 'N')").alias("situacao"), "l_extendedprice",
+        F.year("l_shipdate").alias("ano"))
+    state = f"{work_dir(spark, 'quantile-state')}/state"
+    for load in (F.coalesce(F.col("ano") <= 1996, F.lit(True)), F.col("ano").between(1997, 1998),
+                 F.col("ano") >= 1999):
+        value_counts(li.where(load), ["situacao"], "l_extendedprice").write.mode("append").parquet(state)
+    return quantiles_of_counts(spark.read.parquet(state), ["situacao"], [0.5, 0.9], "linear",
+                               names=["mediana", "p90"])

@@ -9,6 +9,7 @@ from civitas.functions.dates import trunc_hour_ntz
 from civitas.operators.aggregates import avg_round, count_rows, exact_ratio_sql, sum_money
 from civitas.operators.analytics import kpis_latest_period
 from civitas.operators.dedup import dedup_on_keys, first_seen_unique, latest_per_key
+from civitas.operators.fuzzy_link import link_names
 from civitas.operators.link import (join_crossref, join_left_dim,
                                     join_on_derived_key, join_priority_fallback,
                                     unique_registry)
@@ -315,3 +316,52 @@ def q_sector_top(spark, d, k: int = 3):
     top = topk_per_group(j, ["setor"], [F.col("total").desc(), F.col("s_suppkey").asc()], k)
     return top.select("setor", "s_suppkey", "s_name", "total", "n_itens",
                       F.col("rank_in_group").cast("bigint").alias("posicao"))
+
+
+# ids and seeds as letters: names that are far from each other
+_LETTERS = "translate(md5(cast({c} as {t})), '0123456789abcdef', 'ABCDEILMNOPRSTUV')"
+
+
+@register("q_name_fuzzy", f"""
+with reg as (select c_custkey as rid, substr({_LETTERS.format(c='c_custkey', t='varchar')}, 1, 14) as nome
+             from customer),
+decl as (select c_custkey, c_mktsegment, case c_custkey % 6
+            when 0 then lower(nome)
+            when 1 then substr(nome, 1, 4) || substr(nome, 6)
+            when 2 then substr(nome, 1, 8) || 'X' || substr(nome, 10)
+            when 3 then 'Z' || substr(nome, 1, 6) || 'Y' || substr(nome, 7)
+            when 4 then substr({_LETTERS.format(c='c_custkey + 1000000', t='varchar')}, 3, 14)
+            else null end as declarado
+         from customer join reg on c_custkey = rid),
+n as (select distinct upper(declarado) as l from decl where declarado is not null),
+r as (select nome as r, min(rid) as rid from reg group by 1),
+ol as (select l from n where l not in (select r from r)),
+orr as (select r from r where r not in (select l from n)),
+pr as (select l, r, levenshtein(l, r) as dist from ol, orr where levenshtein(l, r) <= 2),
+bl as (select l, arg_min(r, dist) as r, min(dist) as dist from pr
+       where (l, dist) in (select l, min(dist) from pr group by l) group by l having count(*) = 1),
+br as (select r, arg_min(l, dist) as l from pr
+       where (r, dist) in (select r, min(dist) from pr group by r) group by r having count(*) = 1),
+k as (select l, rid, 'exact' as m, 0 as dist from n join r on l = r
+      union all select bl.l, r.rid, 'fuzzy', bl.dist from bl join br on bl.l = br.l and bl.r = br.r
+      join r on r.r = bl.r)
+select c_custkey, c_mktsegment, declarado, k.rid as linked_id, k.m as link_method,
+       cast(k.dist as integer) as link_distance
+from decl left join k on upper(declarado) = k.l
+""")
+def q_name_fuzzy(spark, d):
+    """join_name_normalized over misspelt names: a letter left out, replaced or
+    added, names of strangers and none; exact links first, then edit distance 2
+    with mutual best matches.  Every left row once (no fan-out)."""
+    letters = _LETTERS.format(c="{c}", t="string")
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.substr(
+        F.expr(letters.format(c="c_custkey")), F.lit(1), F.lit(14)).alias("nome"))
+    part = lambda a, n=None: F.substr("nome", F.lit(a), F.lit(n or 99))
+    k = F.col("c_custkey") % 6
+    declared = (F.when(k == 0, F.lower("nome"))
+                .when(k == 1, F.concat(part(1, 4), part(6)))
+                .when(k == 2, F.concat(part(1, 8), F.lit("X"), part(10)))
+                .when(k == 3, F.concat(F.lit("Z"), part(1, 6), F.lit("Y"), part(7)))
+                .when(k == 4, F.substr(F.expr(letters.format(c="c_custkey + 1000000")), F.lit(3), F.lit(14))))
+    left = c.select("c_custkey", "c_mktsegment", declared.alias("declarado"))
+    return link_names(left, "declarado", c, "nome", "c_custkey")
