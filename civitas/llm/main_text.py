@@ -8,6 +8,9 @@ of containers that are not main text (see ``NOT_MAIN``) is left out; where the
 run lies in an article or main element, the rest of that element belongs to it
 too, so an advert between paragraphs cannot cut an article.
 
+Names do not outvote the page: a class counts as a whole ("no-sidebar" and
+"article-header" are no cues), and one that holds the article is none either.
+
 Weights come from about ``LABEL_PAGES`` labelled pages: pages that mark their
 main text with an article or main element and whose id hash is under a bound set
 by their number, so no task gathers them.
@@ -36,12 +39,21 @@ TOP = 3.0               # weights are within this
 
 MAIN = frozenset(("article", "main"))
 NOT_MAIN = frozenset("""head nav header footer aside form script style noscript template iframe
-    button select menu dialog svg object canvas audio video figcaption""".split())
+    button select menu dialog svg object canvas audio video""".split())
 CUES = frozenset("""ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies
     consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer
     header masthead comment comments disqus reply replies respond share sharing social related
-    recommended newsletter subscribe signup login popup modal overlay widget pagination pager
+    recommended newsletter subscribe signup login popup modal overlay widget widgets pagination pager
     toolbar search complementary contentinfo alert""".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+# words beside a cue that say how it is laid out, not what it is
+LAYOUT = frozenset("""area bar block box container content inner outer wrap wrapper section list item items
+    link links button buttons form panel slot unit row col column group holder top bottom left right sticky
+    fixed main primary secondary site page global text posts stories thread""".split())
+# words that turn a cue around: no-sidebar, has-related, page-with-menu
+TURNED = frozenset("no not non without with has have is hide disable disabled".split())
+TITLES = frozenset("header masthead".split())
+WHOLE = frozenset("article entry post story content blog page text section".split())
 CONTAINERS = frozenset("""article main nav header footer aside form section div ul ol dl table body
     head figure blockquote menu dialog details""".split())
 BLOCKS = CONTAINERS | frozenset("""p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre address hr fieldset
@@ -55,28 +67,44 @@ NAME = re.compile(r"[A-Za-z][^\s/>]*")
 ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""",
                   re.I)
 TOKEN = re.compile(r"[A-Za-z]+")
+WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[a-z]{2,}")
+STEP = re.compile(r"""[^>=]*(?:(>)|=\s*(["'])?)""")
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
 
-def tag_end(t: str, i: int) -> int:
-    """Where the tag that begins at ``i`` ends (its ``>``), -1 if it does not.
-    A ``>`` inside a quoted value does not end it, if the quote is closed."""
-    end = t.find(">", i)
-    for _ in range(8):
-        if end < 0:
-            break
-        cut = t[i:end]
-        quote = next((q for q in "\"'" if cut.count(q) % 2 and f"={q}" in cut.replace(" ", "")), None)
-        close = t.find(quote, end, end + 4096) if quote else -1
-        if close < 0:
-            break
-        end = t.find(">", close)
-    return end
-
-
-def describe(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """(key, named as not main text, hidden) of an opening tag."""
-    key, cue, hidden = name, False, False
+def tag_end(t: str, i: int, last: dict[str, int]) -> int:
+    """Where the tag whose name ends at ``i`` ends (its ``>``), -1 if it does not.
+    A ``>`` inside a quoted value does not end it, if the quote is closed; ``last``
+    is where each quote stands for the last time."""
+    while True:
+        m = STEP.match(t, i)
+        if m is None:
+            return -1
+        if m[1]:
+            return m.end() - 1
+        i = m.end()
+        if m[2] and last[m[2]] >= i:
+            i = t.find(m[2], i) + 1
+
+
+def is_cue(name: str) -> bool:
+    """Whether a class, id or role as a whole names what is not main text: its
+    last word that is not layout is a cue and no word turns it around.  The header
+    of an article is a part of it."""
+    words = [x.lower() for x in WORD.findall(name)]
+    if any(x in TURNED for x in words):
+        return False
+    told = [i for i, x in enumerate(words) if x not in LAYOUT]
+    if not told or words[told[-1]] not in CUES:
+        return False
+    return not (words[told[-1]] in TITLES and any(x in WHOLE for x in words[:told[-1]]))
+
+
+def describe(name: str, attrs: str) -> tuple[str, str, bool]:
+    """(key, the cue's kind or '', hidden) of an opening tag.  An article or main
+    element has a cue only if a name of it is nothing but a comment's or an
+    advert's."""
+    key, cue, hidden = name, "", False
     if attrs:
         for m in ATTR.finditer(attrs):
             what, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -84,27 +112,39 @@ def describe(name: str, attrs: str) -> tuple[str, bool, bool]:
                     or (what == "style" and HIDDEN.search(value)):
                 hidden = True
             elif what in ("class", "id", "role"):
-                tokens = [x.lower() for x in TOKEN.findall(value)]
-                cue = cue or any(x in CUES for x in tokens)
-                if what == "class" and tokens and key == name:
-                    key = f"{name}.{tokens[0]}"
+                names = value.split()
+                for x in names:
+                    if name == "article" and x.lower() in CUES - TITLES or name not in MAIN and is_cue(x):
+                        cue = "comment" if cue == "comment" or any(
+                            y.lower() in COMMENTS for y in WORD.findall(x)) else "cue"
+                first = TOKEN.findall(value)
+                if what == "class" and first and key == name:
+                    key = f"{name}.{first[0].lower()}"
     return key, cue, hidden
 
 
 def page_tokens(t: str) -> list[tuple]:
     """(key, words, text, block, left out, main element) in page order: a text
-    run has its container's key and its number of words, a tag -1."""
+    run has its container's key and its number of words, a tag -1.
+
+    A container with a cue in its names is left out, unless it holds an article or
+    main element, or, on a page without one, more than half of the page's words
+    (comments aside): then its name says nothing."""
     out: list[tuple] = []
-    # name, container key, left out, number of the outermost article or main
-    stack: list[tuple] = [("", "page", False, 0)]
+    # name, container key, left out, number of the outermost article or main, of
+    # the innermost container with a cue
+    stack: list[tuple] = [("", "page", False, 0, 0)]
+    cues: list[list] = [[0, "", 0, False]]  # outer cue, kind, words, holds a main element
+    last = {q: t.rfind(q) for q in "\"'"}
     is_open: dict[str, int] = {}  # how often each name is on the stack
     block, mains, i, n = 0, 0, 0, len(t)
 
     def text(raw: str) -> None:
         words = len(raw.split())
         if words or raw:
-            _, key, left, main = stack[-1]
-            out.append((key, words, raw, block, left, main))
+            _, key, left, main, cue = stack[-1]
+            cues[cue][2] += 0 if left else words
+            out.append((key, words, raw, block, left, main, cue))
 
     def pop_to(name: str, stop: frozenset = frozenset()) -> None:
         """Ends the innermost open ``name``, unless one of ``stop`` is inside it."""
@@ -137,7 +177,7 @@ def page_tokens(t: str) -> list[tuple]:
             continue
         closing = nxt == "/"
         m = NAME.match(t, lt + 1 + closing) if nxt not in "!?" else None
-        end = tag_end(t, lt)
+        end = tag_end(t, m.end(), last) if m else t.find(">", lt)
         if end < 0:
             break
         i = end + 1
@@ -151,15 +191,15 @@ def page_tokens(t: str) -> list[tuple]:
             pop_to(name)
             if name in BLOCKS:
                 block += 1
-            out.append((f"/{name}", -1, "", block, False, stack[-1][3]))
+            out.append((f"/{name}", -1, "", block, False, stack[-1][3], 0))
             continue
         key, cue, hidden = describe(name, t[m.end():end])
         if name in CLOSES_P or name in CLOSES_OWN:
             pop_to(name if name in CLOSES_OWN else "p", CONTAINERS)
         if name in BLOCKS:
             block += 1
-        _, above, left, main = stack[-1]
-        out.append((key, -1, "", block, left, main))
+        _, above, left, main, outer = stack[-1]
+        out.append((key, -1, "", block, left, main, outer))
         if name in VOID:
             if name in ("br", "hr"):
                 text(" ")
@@ -171,12 +211,26 @@ def page_tokens(t: str) -> list[tuple]:
         if name in MAIN and not cue and not main:  # nested ones are part of it
             mains += 1
             main = mains
-        named = (name in NOT_MAIN or cue) and not (main and name in ("header", *MAIN) and not cue) \
-            and name not in ("body", "html")
+            at = outer
+            while at and not cues[at][3]:
+                cues[at][3] = True
+                at = cues[at][0]
+        named = name in NOT_MAIN and not (main and name == "header")
         if t[end - 1] != "/" or name in CONTAINERS:
+            if cue and not left and name not in ("body", "html"):
+                cues.append([outer, cue, 0, False])
+                outer = len(cues) - 1
             is_open[name] = is_open.get(name, 0) + 1
-            stack.append((name, key if name in CONTAINERS else above, left or hidden or named, main))
-    return out
+            stack.append((name, key if name in CONTAINERS else above, left or hidden or named, main, outer))
+
+    for c in reversed(cues[1:]):  # inner ones come later
+        cues[c[0]][2] += c[2] if c[1] != "comment" else 0
+    most = cues[0][2] / 2
+    drop = [False] * len(cues)
+    for k, (outer, kind, words, holds) in enumerate(cues[1:], 1):
+        means_it = not holds and not (not mains and kind == "cue" and words > most)
+        drop[k] = drop[outer] or means_it
+    return [(*x[:4], x[4] or drop[x[6]], x[5]) for x in out]
 
 
 def label_counts(t: str, counts: dict[str, list[int]]) -> None:

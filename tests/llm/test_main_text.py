@@ -88,6 +88,39 @@ def test_nested_articles_belong_to_the_main_element():
         "Title here\nThe lead of it\nOne part of text\nAnother part of the text"
 
 
+PROBES = [
+    ('<div class="content no-sidebar"><p>one two three</p></div>', "one two three"),
+    ('<article class="post comments-open"><p>one two three</p></article>', "one two three"),
+    ('<div id="page-with-menu"><main><p>one two three</p></main></div>', "one two three"),
+    ('<div id="menu"><article><p>one two</p></article></div>', "one two"),
+    ('<article><div class="article-header"><h1>Title</h1></div><p>one two</p></article>', "Title\none two"),
+    ('<article><p>one</p><figure><figcaption>cap</figcaption></figure><div class="has-related"><p>two</p></div></article>',
+     "one\ncap\ntwo"),
+    ('<article><p title="' + "x>" * 5000 + '">one two</p></article>', "one two"),
+    ('<article><p data-x=a>b title = "c>d" e=\'>\'>one two</p></article>', 'b title = "c>d" e=\'>\'>one two'),
+    # names that do say what a container is
+    ('<article><p>one</p><div class="related-posts">x</div><div id=comments>a b c d</div>'
+     '<div class="ad-slot top">q</div><div class="newsletterSignup">s</div></article>', "one"),
+    ('<article><p>one two</p><div class="article-comments">x y</div></article>', "one two"),
+    ('<main><article><p>one two</p></article><article class="comment"><p>so nice</p></article></main>', "one two"),
+    ('<body><div class="sidebar-left"><p>' + "w " * 50 + '</p></div><div class="comment-list">' + "c " * 200
+     + "</div></body>", ("w " * 50).strip()),
+    ('<body><div class="site-header">us</div><div class="x"><p>' + "w " * 50 + "</p></div></body>", ("w " * 50).strip()),
+]
+
+
+def test_names_do_not_outvote_the_page():
+    for page, want in PROBES:
+        assert mt.main_text(page, {}) == want, page[:80]
+
+
+def test_whole_names():
+    for x in "ad ads sidebar cookie-notice main-nav footer-links relatedPosts related_posts post-comments ad-300x250".split():
+        assert mt.is_cue(x), x
+    for x in "no-sidebar has-related article-header entry-header comments-open content with-menu thread download".split():
+        assert not mt.is_cue(x), x
+
+
 def test_page_without_article():
     words = " ".join(f"word{i}" for i in range(40))
     page = (f"<body><div class=top><a>x</a> <a>y</a></div><div id=text><p>{words}</p><p>{words}</p></div>"
