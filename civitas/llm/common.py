@@ -29,12 +29,14 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Fewer rows per Arrow batch for tables of whole texts, unless the session
-    has set a number itself."""
-    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(name, default) == default:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> None:
+    """Arrow batches of fewer rows and of about ``size`` bytes for tables of whole
+    texts, unless the session has set a number itself."""
+    for name, default, value in (
+            ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows),
+            ("spark.sql.execution.arrow.maxBytesPerBatch", str(2 ** 31 - 1), size)):
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, str(value))
 
 
 def _first(rows: DataFrame, v: Column, lo: int, hi: int, left: int) -> tuple[int, int]:
