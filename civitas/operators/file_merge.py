@@ -41,7 +41,8 @@ from pyspark.sql.types import DoubleType, FloatType, StructType
 from civitas.operators.dedup import dedup_on_keys
 from civitas.operators.upsert import (check_types, same_key_columns, same_keys, schema_sync,
                                       union_schema)
-from civitas.session import materialize_table_at, path_exists, remove_path, work_dir
+from civitas.session import (materialize_table_at, path_exists, plain_names, remove_path,
+                             work_dir)
 
 BITS_PER_KEY = 12
 BITS_SET = 4            # of one 64-bit word
@@ -58,15 +59,10 @@ class MergeResult:
 
 # ---- paths and versions -----------------------------------------------------
 
-def _hadoop_path(spark: SparkSession, uri: str):
-    jvm = spark.sparkContext._jvm
-    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
-
-
 def _same_spelling(spark: SparkSession, uris) -> list[str]:
     """File names as ``_metadata.file_path`` has them."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return [path(_hadoop_path(spark, u).toString()).toUri().toString() for u in uris]
+    return [path(p).toUri().toString() for p in plain_names(spark, uris)]
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -104,7 +100,7 @@ def live_files(spark: SparkSession, path: str, version: int | None = None) -> li
 def _read(spark: SparkSession, path: str, schema: StructType, files: Sequence[str]) -> DataFrame:
     if not files:
         return spark.createDataFrame([], schema)
-    names = [_hadoop_path(spark, f).toString() for f in files]
+    names = plain_names(spark, files)
     return spark.read.schema(schema).option("basePath", path).parquet(*names).select(*schema.names)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 from civitas.functions.dates import ntz_as_utc_instant
 from civitas.operators.distinct_state import dense_ids, distinct_mart, roll_up_levels
 from civitas.operators.file_merge import merge_keyed_files, read_keyed_files, write_keyed_files
+from civitas.operators.layout import save_bucketed, write_zordered
 from civitas.operators.upsert import (current_watermark, full_refresh, ledger_watermark,
                                       read_target, record_watermark, upsert_by_key,
                                       watermark_filter)
@@ -17,7 +18,8 @@ from civitas.session import materialize_table, work_dir
 from civitas.sources.tables import scan_parquet_glob, table
 from civitas.streaming.dedup_state import dedup_available_now, read_outcomes
 from civitas.streaming.files import (read_additive_agg, run_available_now,
-                                     skip_existing_periods, stream_additive_agg, stream_dedup,
+                                     skip_existing_periods, skipped_periods,
+                                     stream_additive_agg, stream_dedup,
                                      stream_period_files, stream_upsert)
 
 
@@ -277,3 +279,58 @@ def q_stream_outcomes(spark, d):
         dedup_available_now(spark, stream, ["event_id"], "at", "30 days", out, f"{root}/checkpoint")
     return read_outcomes(spark, out, ev.schema).groupBy("event_id", "outcome").agg(
         F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@register("q_period_skip", """
+select cast(ts as date) as dia, count(*) as n_linhas,
+       case when day(cast(ts as date)) <= 10 then count(*) else 0 end as n_puladas
+from events group by 1
+""")
+def q_period_skip(spark, d):
+    """period_skip_existing with its report: the first ten days of every month
+    are there; a second load brings all days, lands the new ones and says how
+    many rows of the others it skipped."""
+    landing = f"{work_dir(spark, 'period-skip')}/landing"
+    ev = table(spark, d, "events")
+    _land(ev, landing, F.dayofmonth("dia") <= 10)
+    skipped = materialize_table(skipped_periods(spark, ev.withColumn("dia", F.col("ts").cast("date")), landing,
+                                                "dia", EVENTS_LANDING), "skipped")
+    _land(ev, landing, skip_existing_of=landing, spark=spark)
+    landed = spark.read.schema(EVENTS_LANDING).parquet(landing).groupBy("dia").agg(
+        F.count(F.lit(1)).alias("n_linhas"))
+    s = skipped.select(F.col("dia").alias("d"), "rows")
+    return landed.join(s, F.col("dia").eqNullSafe(F.col("d")), "left").select(
+        "dia", "n_linhas", F.coalesce("rows", F.lit(0)).alias("n_puladas"))
+
+
+@register("q_sorted_zorder", """
+select l_suppkey, count(*) as n, cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantidade,
+       min(l_partkey) as menor_peca from lineitem group by 1
+""")
+def q_sorted_zorder(spark, d):
+    """sorted_write on two keys: lineitem is written along a space-filling curve
+    over part and supplier, read back and summed by supplier."""
+    path = f"{work_dir(spark, 'zorder')}/lineitem"
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    write_zordered(li, path, ["l_partkey", "l_suppkey"], 16)
+    return spark.read.parquet(path).groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantidade"),
+        F.min("l_partkey").alias("menor_peca"))
+
+
+@register("q_bucketed_join", """
+select l.l_orderkey, o.o_custkey, count(*) as n_itens,
+       cast(sum(cast(l.l_extendedprice as decimal(18,2))) as double) as total
+from lineitem l left join orders o on l.l_orderkey = o.o_orderkey group by 1, 2
+""")
+def q_bucketed_join(spark, d):
+    """join_left_dim of marts that share a key: fact and dimension are saved in
+    buckets of the order key once; the join and the aggregate on that key then
+    need no exchange."""
+    li = save_bucketed(table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice"), ["l_orderkey"], 8, "b-lines")
+    o = save_bucketed(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 8, "b-orders")
+    left, right = spark.table(li), spark.table(o).hint("merge")
+    return left.join(right, left.l_orderkey == right.o_orderkey, "left").groupBy("l_orderkey", "o_custkey").agg(
+        F.count(F.lit(1)).alias("n_itens"),
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total"))

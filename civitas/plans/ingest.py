@@ -11,14 +11,14 @@ from civitas.functions.dates import format_ntz
 from civitas.operators.aggregates import count_rows
 from civitas.operators.link import join_counts_zero_fill
 from civitas.plans.registry import register
-from civitas.session import work_dir
+from civitas.session import materialize_table, plain_names, work_dir
 from civitas.sources.csv_bulk import (bom_header_clean, conform_schema, scan_csv_headered,
-                                      schema_sniff_validate,
+                                      inspect_csv_files, schema_sniff_validate, text_schema,
                                       inject_period, null_tokens, path_value, read_seed,
                                       rename_if_present, route_files_by_kind, scan_csv_bulk,
                                       scan_csv_skip_banner)
-from civitas.sources.json_records import (JSON_OPTS, parse_records, scan_json_lines,
-                                          singleton_to_list)
+from civitas.sources.json_records import (JSON_OPTS, parse_records, scan_json_drifting,
+                                          scan_json_lines, singleton_to_list)
 from civitas.sources.tables import table
 
 # ---------------------------------------------------------------- JSON ----
@@ -263,3 +263,69 @@ def q_party_counts(spark, d):
     out = join_counts_zero_fill(nat, counts, "n_nationkey", ["n_fornecedores"])
     return out.select(F.col("r_name").alias("regiao"), F.col("n_name").alias("nacao"),
                       "n_fornecedores")
+
+
+@register("q_csv_quarantine", """
+with r as (select r_name, r_regionkey, count(*) as n from customer join nation on c_nationkey = n_nationkey
+           join region on n_regionkey = r_regionkey group by 1, 2)
+select r_name as regiao, n + 1 as linhas,
+       case r_regionkey when 1 then 'separator' when 2 then 'encoding' when 3 then 'ragged' end as motivo,
+       case when r_regionkey in (1, 2, 3) then 0 else n end as carregadas
+from r
+""")
+def q_csv_quarantine(spark, d):
+    """schema_sniff_validate per file: one CSV file per region, of which one has
+    another separator, one holds bytes that are no text and one lines of odd
+    width; each is told with its reason and only the others are loaded."""
+    root = f"{work_dir(spark, 'csv-quarantine')}/files"
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    sep = F.when(F.col("r_regionkey") == 1, F.lit(",")).otherwise(F.lit(";"))
+    name = F.when(F.col("r_regionkey") == 2, F.concat(F.lit("\x02"), F.col("c_name"))).otherwise(F.col("c_name"))
+    tail = F.when(F.col("r_regionkey") == 3, F.lit(";x")).otherwise(F.lit(""))
+    lines = rows.select(F.col("r_name").alias("regiao"), F.lit(1).alias("ord"), F.concat(
+        F.col("c_custkey").cast("string"), sep, name, sep, F.col("c_acctbal").cast("string"), tail).alias("value"))
+    heads = rows.select(F.col("r_name").alias("regiao"), F.lit(0).alias("ord"), F.concat(
+        F.lit("CHAVE"), sep, F.lit("NOME"), sep, F.lit("SALDO")).alias("value")).distinct()
+    lines.unionByName(heads).repartition("regiao").sortWithinPartitions("regiao", "ord") \
+        .select("regiao", "value").write.partitionBy("regiao").text(root)
+    report = materialize_table(inspect_csv_files(spark, root, required=["CHAVE", "SALDO"]), "csv-report")
+    good = plain_names(spark, [f.file for f in report.where("ok").select("file").collect()])
+    out = report.select(path_value("regiao", F.col("file")).alias("regiao"),
+                        F.col("lines").alias("linhas"), F.col("reason").alias("motivo"))
+    if not good:
+        return out.withColumn("carregadas", F.lit(0).cast("long"))
+    loaded = scan_csv_bulk(spark, good, text_schema(["chave", "nome", "saldo"])) \
+        .groupBy(path_value("regiao").alias("r")).agg(F.count("chave").alias("k"))
+    return out.join(loaded, F.col("regiao") == F.col("r"), "left").select(
+        "regiao", "linhas", "motivo", F.coalesce("k", F.lit(0)).alias("carregadas"))
+
+
+@register("q_json_drift", """
+select case when event_id % 6 in (3, 4, 5) then null else event_id end as event_id,
+       case event_id % 6 when 0 then value when 1 then value end as valor,
+       case when event_id % 6 = 2 then 'valor' else '' end as mudou,
+       case event_id % 6 when 3 then 'broken' when 4 then 'shape' when 5 then 'missing' end as motivo,
+       count(*) as n
+from events where value is not null group by all
+""")
+def q_json_drift(spark, d):
+    """scan_json_records / flatten_struct on drifting records: the amount is a
+    number, a text or an object, some lines are cut off, some are lists, some
+    lack the key.  Every line lands in a defined place and the counts add up."""
+    path = f"{work_dir(spark, 'json-drift')}/lines"
+    e = table(spark, d, "events").where(F.col("value").isNotNull())
+    rec = lambda *cols: F.to_json(F.struct(*cols))
+    key, k = F.col("event_id").alias("id"), F.col("event_id") % 6
+    whole = rec(key, F.col("value").alias("valor"))
+    e.select(F.when(k == 0, whole).when(k == 1, rec(key, F.col("value").cast("string").alias("valor")))
+             .when(k == 2, rec(key, F.struct(F.col("value").alias("total")).alias("valor")))
+             .when(k == 3, F.left(whole, F.length(whole) - 1)).when(k == 4, F.concat(F.lit("["), whole, F.lit("]")))
+             .otherwise(rec(F.col("value").alias("valor"))).alias("value")).write.text(path)
+    rows = scan_json_drifting(spark, path, {"event_id": ("$.id", "bigint"), "valor": ("$.valor", "double")},
+                              required=["event_id"])
+    kept = F.col("rejected").isNull()
+    return rows.groupBy(F.when(kept, F.col("event_id")).alias("event_id"),
+                        F.when(kept, F.col("valor")).alias("valor"),
+                        F.when(kept, F.array_join("drifted", ",")).otherwise("").alias("mudou"),
+                        F.col("rejected").alias("motivo")).agg(F.count(F.lit(1)).alias("n"))

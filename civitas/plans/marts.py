@@ -16,7 +16,8 @@ from civitas.operators.quality import dq_report
 from civitas.operators.topk import topk_per_group, topn, topn_other_bucket, topn_sum
 from civitas.plans._sql import avg4, money_sum
 from civitas.plans.registry import register
-from civitas.sources.tables import adhoc_sql, register_views, table
+from civitas.schemas import TABLES
+from civitas.sources.tables import adhoc_sql, list_tables, register_views, table
 
 AS_OF = "2001-06-01"
 
@@ -611,3 +612,16 @@ def q_levels(spark, d):
                "por segmento": ["segmento"], "total": []},
         [sum_money("c_acctbal").alias("total"), count_rows().alias("n_clientes"),
          F.max("c_acctbal").alias("maior")])
+
+
+@register("q_list_tables", "\nunion all\n".join(
+    f"select '{t}' as name, count(*) as n_linhas from {t}" for t in TABLES))
+def q_list_tables(spark, d):
+    """list_tables: what the catalog offers for ad-hoc queries, with the rows of
+    each table."""
+    register_views(spark, d)
+    out = None
+    for r in list_tables(spark).where(F.col("is_temporary") & F.col("name").isin(list(TABLES))).collect():
+        n = spark.table(r.name).agg(count_rows().alias("n_linhas")).select(F.lit(r.name).alias("name"), "n_linhas")
+        out = n if out is None else out.unionByName(n)
+    return out

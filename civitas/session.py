@@ -127,3 +127,10 @@ def remove_path(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def plain_names(spark: SparkSession, uris) -> list[str]:
+    """File names of ``_metadata.file_path`` or ``inputFiles()`` as readers take
+    them (white space and the like not escaped)."""
+    jvm = spark.sparkContext._jvm
+    return [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(u)).toString() for u in uris]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from civitas.functions._util import col
+from civitas.session import plain_names
 
 # Null spellings found in the bulk files.
 NULL_TOKENS = ("", "N/A", "-", "#NULO#")
@@ -192,13 +193,67 @@ def read_seed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.option("header", "true").schema(schema).csv(path)
 
 
+def inspect_csv_files(spark: SparkSession, paths, sep: str = ";", encoding: str = "UTF-8",
+                      min_columns: int = 2, required: Sequence[str] = (),
+                      max_bad_rate: float = 0.0) -> DataFrame:
+    """file, lines, columns, bad_width, undecodable, ok, reason: EVERY file of
+    ``paths`` on its own, every line of it, in one pass over the text.
+
+    The first line is the header; the other lines should have as many cells
+    (separators inside quotes do not count).  ``undecodable`` lines hold bytes
+    that are not text in ``encoding`` (UTF-8, or one with a byte per letter), or
+    control characters.  Reasons, in this order: 'encoding', 'separator' (fewer
+    than ``min_columns``), 'header' (a ``required`` name is missing), 'no rows',
+    'ragged' (more than ``max_bad_rate`` of the lines).  Files without any line
+    give no row here: see ``split_csv_files``."""
+    # the text source hands over the file's bytes as they are
+    utf8 = encoding.upper().replace("-", "") == "UTF8"
+    value = F.col("value") if utf8 else F.decode(F.col("value").cast("binary"), encoding)
+    lines = spark.read.text(paths).select(
+        value.alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    odd = ~F.is_valid_utf8("value") | F.col("value").rlike("[\\x00-\\x08\\x0E-\\x1F\uFFFD]")
+    # the lines of a file come down to one row per width on the map side
+    widths = lines.select("file", "at", "value", F.size(F.split(bare, "\\Q" + sep + "\\E")).alias("width"),
+                          odd.cast("int").alias("odd")) \
+        .groupBy("file", "width").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("odd").alias("odd"),
+            F.min(F.struct("at", F.col("value").alias("line"))).alias("first"))
+    heads = widths.groupBy("file").agg(F.min(F.struct("first", "width")).alias("h")).select(
+        "file", F.col("h.first.line").alias("line"), F.col("h.width").alias("columns"))
+    each = widths.join(heads, "file").groupBy("file", "columns", "line").agg(
+        F.sum("n").alias("lines"), F.sum("odd").alias("undecodable"),
+        F.sum(F.when(F.col("width") != F.col("columns"), F.col("n")).otherwise(0)).alias("bad_width"))
+    names = F.transform(F.split("line", "\\Q" + sep + "\\E"), clean_header_expr)
+    need = F.array(*[F.lit(r.upper()) for r in required]).cast("array<string>")
+    reason = (F.when(F.col("undecodable") > 0, "encoding")
+              .when(F.col("columns") < min_columns, "separator")
+              .when(F.size(F.array_except(need, names)) > 0, "header")
+              .when(F.col("lines") < 2, "no rows")
+              .when(F.col("bad_width") > F.lit(max_bad_rate) * F.col("lines"), "ragged"))
+    return each.withColumn("reason", reason).select(
+        "file", "lines", "columns", "bad_width", "undecodable", F.col("reason").isNull().alias("ok"), "reason")
+
+
+def split_csv_files(spark: SparkSession, paths, **kw) -> tuple[list[str], dict[str, str]]:
+    """(files fit to load, bad file -> reason) of ``inspect_csv_files``; files
+    without a line are bad ('empty').  Lists of files, as every scan has them."""
+    rows = inspect_csv_files(spark, paths, **kw).collect()
+    seen = dict(zip(plain_names(spark, [r.file for r in rows]), [r.reason for r in rows]))
+    every = plain_names(spark, spark.read.text(paths).inputFiles())
+    bad = {f: seen.get(f, "empty") for f in every if seen.get(f, "empty")}
+    return [f for f in every if f not in bad], bad
+
+
 def schema_sniff_validate(spark: SparkSession, paths, sep: str = ";", encoding: str = "UTF-8",
                           sample_rows: int = 10, min_columns: int = 2,
                           max_corrupt_rate: float = 0.0) -> dict:
     """Bounded input check before a load: read the first ``sample_rows`` lines
     with the header's columns plus a corrupt-record column and require at
     least ``min_columns`` columns, rows present and at most
-    ``max_corrupt_rate`` malformed lines.  Only the sample reaches the driver."""
+    ``max_corrupt_rate`` malformed lines; and no file of ``paths`` may be bad by
+    ``inspect_csv_files`` (``bad_files``: path -> reason)."""
     head = scan_csv_bulk(spark, paths, None, sep, encoding, header=True)
     names = head.columns
     schema = text_schema(names).add("_corrupt_record", StringType())
@@ -207,5 +262,8 @@ def schema_sniff_validate(spark: SparkSession, paths, sep: str = ";", encoding:
               .schema(schema).csv(paths).limit(sample_rows).collect())
     corrupt = sum(1 for r in sample if r["_corrupt_record"] is not None)
     rate = corrupt / len(sample) if sample else 1.0
-    ok = len(names) >= min_columns and len(sample) > 0 and rate <= max_corrupt_rate
-    return {"ok": ok, "columns": len(names), "rows_sampled": len(sample), "corrupt_rate": rate}
+    _, bad = split_csv_files(spark, paths, sep=sep, encoding=encoding, min_columns=min_columns,
+                             max_bad_rate=max_corrupt_rate)
+    ok = len(names) >= min_columns and len(sample) > 0 and rate <= max_corrupt_rate and not bad
+    return {"ok": ok, "columns": len(names), "rows_sampled": len(sample), "corrupt_rate": rate,
+            "bad_files": bad}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from civitas.operators.upsert import upsert_by_key
-from civitas.session import path_exists
+from civitas.session import path_exists, remove_path
 
 
 def stream_period_files(spark: SparkSession, landing: str, schema: StructType,
@@ -88,14 +88,50 @@ def stream_additive_agg(spark: SparkSession, stream: DataFrame, deltas: str, gro
     def append(batch: DataFrame, batch_id: int) -> None:
         (batch.groupBy(*group).agg(*[c.alias(n) for n, c in sums.items()])
               .write.mode("overwrite").parquet(f"{deltas}/batch={batch_id}"))
+    if not path_exists(spark, deltas):  # columns for a stream without rows
+        append(spark.createDataFrame([], stream.schema), -1)
     run_available_now(stream, append, checkpoint)
 
 
+def _numbered(spark: SparkSession, root: str, key: str) -> list[int]:
+    """The numbers n of the folders ``key=n`` under ``root``."""
+    if not path_exists(spark, root):
+        return []
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(root)
+    names = [s.getPath().getName() for s in
+             p.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(int(n[len(key) + 1:]) for n in names if n.startswith(f"{key}="))
+
+
 def read_additive_agg(spark: SparkSession, deltas: str, group: Sequence[str],
                       sums: Sequence[str]) -> DataFrame:
     """The totals of all deltas: one row per group, a null group included."""
-    return (spark.read.option("basePath", deltas).parquet(deltas)
-            .groupBy(*group).agg(*[F.sum(n).alias(n) for n in sums]))
+    rows, folds = spark.read.option("basePath", deltas).parquet(deltas), \
+        _numbered(spark, f"{deltas}/_folded", "upto")
+    if folds:
+        rows = rows.where(F.col("batch") > folds[-1]).select(*group, *sums).unionByName(
+            spark.read.parquet(f"{deltas}/_folded/upto={folds[-1]}"))
+    return rows.groupBy(*group).agg(*[F.sum(n).alias(n) for n in sums])
+
+
+def fold_additive_agg(spark: SparkSession, deltas: str, group: Sequence[str],
+                      sums: Sequence[str]) -> None:
+    """Adds all deltas up into one table, so that reading does not slow down as
+    batches come; the deltas it covers, and older folds, are then removed.  Not
+    while a reader is at work."""
+    batches, folds = _numbered(spark, deltas, "batch"), _numbered(spark, f"{deltas}/_folded", "upto")
+    last = batches[-1]
+    if folds and last <= folds[-1]:
+        return
+    read_additive_agg(spark, deltas, group, sums).write.mode("overwrite").parquet(f"{deltas}/_folded/.new")
+    sc = spark.sparkContext
+    src, dst = (sc._jvm.org.apache.hadoop.fs.Path(f"{deltas}/_folded/{n}") for n in (".new", f"upto={last}"))
+    src.getFileSystem(sc._jsc.hadoopConfiguration()).rename(src, dst)
+    for n in batches[:-1]:  # the last one keeps the columns of ``batch``
+        remove_path(spark, f"{deltas}/batch={n}")
+    for n in folds:
+        remove_path(spark, f"{deltas}/_folded/upto={n}")
 
 
 def skip_existing_periods(spark: SparkSession, df: DataFrame, landing: str, period: str,
@@ -108,3 +144,14 @@ def skip_existing_periods(spark: SparkSession, df: DataFrame, landing: str, peri
     existing = spark.read.schema(schema).parquet(landing).select(period).distinct()
     found = existing.withColumnRenamed(period, "__period")
     return df.join(found, F.col(period).eqNullSafe(F.col("__period")), "left_anti")
+
+
+def skipped_periods(spark: SparkSession, df: DataFrame, landing: str, period: str,
+                    schema: StructType) -> DataFrame:
+    """What ``skip_existing_periods`` would leave out: the period and its rows in
+    ``df``, for the load's report."""
+    if not path_exists(spark, landing):
+        return df.limit(0).groupBy(period).agg(F.count(F.lit(1)).alias("rows"))
+    existing = spark.read.schema(schema).parquet(landing).select(F.col(period).alias("__period")).distinct()
+    return df.groupBy(period).agg(F.count(F.lit(1)).alias("rows")) \
+        .join(existing, F.col(period).eqNullSafe(F.col("__period")), "left_semi")

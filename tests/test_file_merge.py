@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civitas.operators import file_merge as fm
-from civitas.session import path_exists, remove_path, work_dir
+from civitas.session import path_exists, plain_names, remove_path, work_dir
 
 SCHEMA = "k long, p string, v string"
 
@@ -26,7 +26,7 @@ def _rows(spark, path, version=None):
 def _bytes(spark, files):
     out = {}
     for f in files:
-        name = fm._hadoop_path(spark, f).toUri().getPath()
+        name = plain_names(spark, [f])[0].removeprefix("file:")
         with open(name, "rb") as h:
             out[f] = (os.stat(name).st_mtime_ns, hashlib.sha256(h.read()).hexdigest())
     return out

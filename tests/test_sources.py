@@ -84,3 +84,58 @@ def test_headered_reader_width_header_words_and_unknown_headers(spark):
     _write(f"{root}/b.csv", "CODIGO;VALOR\n2;b\n")
     with pytest.raises(Exception, match="no known header in .*b.csv"):
         scan_csv_headered(spark, f"{root}/*.csv", mapping).collect()
+
+
+def _put(root, name, data):
+    import os
+    os.makedirs(root, exist_ok=True)
+    with open(f"{root}/{name}", "wb") as f:
+        f.write(data)
+
+
+def test_one_garbage_file_of_a_folder_is_told(spark):
+    from civitas.sources.csv_bulk import inspect_csv_files, schema_sniff_validate, split_csv_files
+    root = work_dir(spark, "t-inspect").removeprefix("file:") + "/a b"
+    good = "\ufeffCHAVE;NOME\n1;José\n2;\"x;y\"\n".encode()
+    _put(root, "a.csv", good)
+    assert schema_sniff_validate(spark, root)["ok"]
+    _put(root, "b.csv", bytes(range(256)) * 20)
+    _put(root, "c.csv", b"CHAVE,NOME\n1,a\n")
+    _put(root, "d.csv", b"CHAVE;NOME\n1;a;b\n2;c\n")
+    _put(root, "e.csv", "CHAVE;NOME\n1;Jos\u00e9\n".encode("latin-1"))
+    _put(root, "f.csv", b"CHAVE;OUTRO\n1;a\n")
+    _put(root, "g.csv", b"")
+    _put(root, "h.csv", b"CHAVE;NOME\n")
+    res = schema_sniff_validate(spark, root)
+    assert not res["ok"]
+    files, bad = split_csv_files(spark, root, required=["CHAVE", "NOME"])
+    name = lambda f: f.rsplit("/", 1)[1]
+    assert [name(f) for f in files] == ["a.csv"]
+    assert {name(f): r for f, r in bad.items()} == {
+        "b.csv": "encoding", "c.csv": "separator", "d.csv": "ragged", "e.csv": "encoding", "f.csv": "header",
+        "g.csv": "empty", "h.csv": "no rows"}
+    assert spark.read.text(files).count() == 3
+    latin = inspect_csv_files(spark, f"{root}/e.csv", encoding="ISO-8859-1").first()
+    assert latin.ok and latin.lines == 2 and latin["columns"] == 2
+    some = inspect_csv_files(spark, f"{root}/d.csv", max_bad_rate=0.5).first()
+    assert some.ok and some.bad_width == 1
+
+
+def test_json_records_that_drift(spark):
+    from civitas.sources.json_records import observed_schema, scan_json_drifting
+    root = work_dir(spark, "t-drift").removeprefix("file:")
+    lines = ['{"id":1,"v":2.5,"p":{"q":"a"}}', '{"id":"2","v":"3.5"}', '{"id":3,"v":{"x":1},"p":"no object"}', '{"id":4',
+             '[{"id":5}]', '{"v":1}', '{"id":null}', '{"id":"x"}', "", "7", '{"id":8,"v":null}']
+    _put(root, "a.json", "\n".join(lines).encode())
+    rows = scan_json_drifting(spark, root, {"id": ("$.id", "bigint"), "v": ("$.v", "double"), "q": ("$.p.q", "string")},
+                              required=["id"]).collect()
+    assert len(rows) == len([x for x in lines if x])
+    got = {r.raw: (r.id, r.v, r.q, r.drifted, r.rejected) for r in rows}
+    assert got[lines[0]] == (1, 2.5, "a", [], None)
+    assert got[lines[1]] == (2, 3.5, None, [], None)
+    assert got[lines[2]] == (3, None, None, ["v"], None)
+    assert got[lines[10]] == (8, None, None, [], None)
+    assert {raw: g[4] for raw, g in got.items() if g[4]} == {
+        lines[3]: "broken", lines[4]: "shape", lines[5]: "missing", lines[6]: "missing", lines[7]: "missing", "7": "shape"}
+    assert observed_schema(spark, f"{root}/a.json")
+    assert spark.createDataFrame([], "a int").count() == 0
