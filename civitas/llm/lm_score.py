@@ -6,10 +6,10 @@ conditional log-probabilities scores the document.
   ids, all others share ``UNKNOWN`` ids by their hash.
 * Network: per neighbour position an embedding, summed, tanh; then two softmaxes,
   for the word's class and for the word in its class.
-* Training: every word of every document is a target once.  Windows go to
-  trainers by a hash, the number of trainers grows with the documents.
-  Each trainer runs SGD over its windows in hash order from common weights; the
-  weights are averaged (sums of whole numbers: any partitioning gives the same).
+* Training: every word of every document is a target once.  Documents go to
+  trainers by a hash as word ids, the number of trainers grows with the documents.
+  Each trainer makes the windows, ``TOKENS`` places at a time, and runs SGD over
+  them in hash order from common weights; the weights are averaged (sums of whole numbers: any partitioning gives the same).
 * Scoring reads every word of every document.
 
 Defined cases: null text is empty; a text without words has score 0 and a null
@@ -20,6 +20,7 @@ With no words at all the model is its start; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +40,10 @@ REACH = 2
 HIDDEN = 24
 DOCS_PER_TRAINER = 8_000
 MAX_TRAINERS = 1_024
-BATCH = 256
-RATE = 0.25
+BATCH = 4_096
+RATE = 0.5                       # of a row per 16 words it meets, of up to SHARE words a batch
+SHARE = 64
+RATE_CLASS = 1.0                 # of the class layer per batch
 SCALE = 1 << 24
 BLOCK = 4_096                    # weights per row when trainers are averaged
 TOKENS = 1 << 15                 # words scored at once
@@ -99,25 +102,33 @@ class Net:
                 out[rows] += _log_softmax_at(h[rows] @ self.out_word[c] + self.word_bias[c], at[rows])
         return out
 
-    def step(self, near: np.ndarray, word: np.ndarray, rate: float) -> None:
-        """One step of SGD on the mean loss of a batch."""
+    def step(self, near: np.ndarray, word: np.ndarray, part: float = 1.0) -> None:
+        """One step of SGD on the mean loss of a batch (``part`` of a whole one).
+        Words are taken class by class, so each class is a product of matrices."""
         h = self.hidden(near)
         n, cls, at = len(word), word // SIDE, word % SIDE
         g_class = _softmax(h @ self.out_class + self.class_bias)
         g_class[np.arange(n), cls] -= 1
-        own = self.out_word[cls]
-        g_word = _softmax(np.einsum("nh,nhk->nk", h, own) + self.word_bias[cls])
-        g_word[np.arange(n), at] -= 1
-        g_h = g_class @ self.out_class.T + np.einsum("nk,nhk->nh", g_word, own)
+        g_h = g_class @ self.out_class.T
+        order = np.argsort(cls, kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(SIDE + 1))
+        for c in range(SIDE):
+            rows = order[bounds[c]:bounds[c + 1]]
+            if not len(rows):
+                continue
+            g = _softmax(h[rows] @ self.out_word[c] + self.word_bias[c])
+            g[np.arange(len(rows)), at[rows]] -= 1
+            g_h[rows] += g @ self.out_word[c].T
+            # rare rows are stepped by their own sum, not drowned in the batch
+            rate = np.float32(part * RATE / 16 / max(1.0, len(rows) / SHARE))
+            self.out_word[c] -= rate * (h[rows].T @ g)
+            self.word_bias[c] -= rate * g.sum(axis=0)
         g_h *= 1 - h * h
-        lr = np.float32(rate / n)
+        lr = np.float32(part * RATE_CLASS / n)
         self.out_class -= lr * (h.T @ g_class)
         self.class_bias -= lr * g_class.sum(axis=0)
-        # rare rows are stepped by their own mean, not drowned in the batch
-        _add_rows(self.out_word, cls, h[:, :, None] * g_word[:, None, :], -rate / 16)
-        _add_rows(self.word_bias, cls, g_word, -rate / 16)
         for p in range(2 * REACH):
-            _add_rows(self.embed[p], near[:, p], g_h, -rate / 16)
+            _add_rows(self.embed[p], near[:, p], g_h, -part * RATE / 16)
         self.bias -= lr * g_h.sum(axis=0)
 
 
@@ -133,15 +144,14 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _add_rows(to: np.ndarray, row: np.ndarray, value: np.ndarray, rate: float) -> None:
-    """Adds to each row met the mean of its values, times ``rate`` and at most
-    its share of 16 values."""
+    """Adds to each row met the sum of its values times ``rate``, of more than
+    ``SHARE`` values their mean ``SHARE`` times."""
     order = np.argsort(row, kind="stable")
     r = row[order]
     new = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     count = np.diff(np.concatenate([new, [len(r)]]))
     total = np.add.reduceat(value[order], new, axis=0)
-    scale = (rate / np.maximum(1.0, count / 16)).astype(np.float32)
-    to[r[new]] += total * scale.reshape(-1, *[1] * (total.ndim - 1))
+    to[r[new]] += total * (rate / np.maximum(1.0, count / SHARE)).astype(np.float32)[:, None]
 
 
 def word_ids(hashes: np.ndarray, vocabulary: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -163,6 +173,29 @@ def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return near, line[place]
 
 
+def window_blocks(texts: Iterable[np.ndarray], size: int = TOKENS):
+    """(number of the text of each place, neighbours, words) of texts' ids, about
+    ``size`` places at a time; a longer text comes in pieces that know their
+    neighbours."""
+    block, at, held = [], [], 0
+    for i, ids in enumerate(texts):
+        if len(ids) > size:
+            line = np.concatenate([np.full(REACH, PAD), ids, np.full(REACH, PAD)])
+            for lo in range(0, len(ids), size):
+                place = np.arange(lo, min(lo + size, len(ids))) + REACH
+                yield (np.full(len(place), i), np.stack([line[place + d] for d in offsets()], axis=1),
+                       line[place].astype(np.int64))
+            continue
+        block.append(ids)
+        at.append(i)
+        held += len(ids)
+        if held >= size:
+            yield np.repeat(at, [len(x) for x in block]), *windows(block)
+            block, at, held = [], [], 0
+    if block:
+        yield np.repeat(at, [len(x) for x in block]), *windows(block)
+
+
 def count_hashes(docs: DataFrame) -> DataFrame:
     """word (its hash), n over all texts."""
     def per_task(batches):
@@ -198,26 +231,24 @@ def train(docs: DataFrame, vocabulary: np.ndarray, number: np.ndarray) -> Net:
 
     def examples(batches):
         for b in batches:
-            out = []
-            for t in b.column(1):
-                near, word = windows([word_ids(word_hashes(t.as_py()), vocabulary, number)])
-                part = np.column_stack([near, word])
-                out.append(part.astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())],
-                                             names=["h", "windows"])
+            out = [word_ids(word_hashes(t.as_py()), vocabulary, number).astype("<i2").tobytes()
+                   for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["h", "ids"])
 
     def fit(batches):
-        net, rest = Net.start(), np.zeros((0, 2 * REACH + 1), np.int64)
-        seen = 0
-        for b in batches:
-            raw = b"".join(b.column(b.schema.get_field_index("windows")).to_pylist())
-            rest = np.concatenate([rest, np.frombuffer(raw, "<i2").reshape(-1, 2 * REACH + 1)])
-            while len(rest) >= BATCH:
-                net.step(rest[:BATCH, :-1], rest[:BATCH, -1], RATE)
-                rest, seen = rest[BATCH:], seen + BATCH
-        if len(rest):
-            net.step(rest[:, :-1], rest[:, -1], RATE * len(rest) / BATCH)
-            seen += len(rest)
+        net, seen = Net.start(), 0
+        near, word = np.zeros((0, 2 * REACH), np.int64), np.zeros(0, np.int64)
+        texts = (np.frombuffer(x.as_py(), "<i2").astype(np.int64)
+                 for b in batches for x in b.column(b.schema.get_field_index("ids")))
+        for _, more, words in window_blocks(texts):
+            near, word = np.concatenate([near, more]), np.concatenate([word, words])
+            at = len(word) // BATCH * BATCH
+            for i in range(0, at, BATCH):
+                net.step(near[i:i + BATCH], word[i:i + BATCH])
+            near, word, seen = near[at:], word[at:], seen + at
+        if len(word):
+            net.step(near, word, len(word) / BATCH)
+            seen += len(word)
         if seen:
             flat = np.rint(net.flat().astype(np.float64) * SCALE).astype("<i8")
             cut = [flat[i:i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
@@ -230,7 +261,7 @@ def train(docs: DataFrame, vocabulary: np.ndarray, number: np.ndarray) -> Net:
         return pdf.iloc[:1].assign(weights=[out])
 
     rows = docs.select(F.xxhash64("id", "text").alias("h"), "text") \
-        .mapInArrow(examples, "h long, windows binary")
+        .mapInArrow(examples, "h long, ids binary")
     dealt = rows.withColumn("trainer", F.pmod(F.col("h"), F.lit(trainers)).cast("int")) \
         .repartitionById(trainers, F.col("trainer")).sortWithinPartitions("trainer", "h")
     blocks = dealt.mapInArrow(fit, "block int, weights binary").groupBy("block") \
@@ -244,31 +275,11 @@ def train(docs: DataFrame, vocabulary: np.ndarray, number: np.ndarray) -> Net:
 def score_texts(texts: list[str], net: Net, vocabulary: np.ndarray,
                 number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, summed log-probabilities) per text."""
-    n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    block, at = [], []
-
-    def flush():
-        near, word = windows(block)
-        log_p = np.concatenate([net.log_p(near[i:i + TOKENS], word[i:i + TOKENS])
-                                for i in range(0, len(word), TOKENS)] or [np.zeros(0)])
-        owner = np.repeat(at, [len(x) for x in block])
-        total[:] += np.bincount(owner, log_p.astype(np.float64), len(texts))
-        block.clear()
-        at.clear()
-
-    size = 0
-    for i, t in enumerate(texts):
-        ids = word_ids(word_hashes(t), vocabulary, number)
-        n[i] = len(ids)
-        block.append(ids)
-        at.append(i)
-        size += len(ids)
-        if size >= TOKENS:
-            flush()
-            size = 0
-    if block:
-        flush()
-    return n, total
+    ids = [word_ids(word_hashes(t), vocabulary, number).astype(np.int16) for t in texts]
+    total = np.zeros(len(texts))
+    for owner, near, word in window_blocks(x.astype(np.int64) for x in ids):
+        total += np.bincount(owner, net.log_p(near, word).astype(np.float64), len(texts))
+    return np.array([len(x) for x in ids], np.int64), total
 
 
 def pseudo_likelihood(df: DataFrame, id_col: str, text_col: str,

@@ -53,7 +53,7 @@ def test_step_lowers_the_loss():
     near, word = rng.integers(0, 50, (256, 4)), rng.integers(0, 50, 256)
     before = net.log_p(near, word).mean()
     for _ in range(30):
-        net.step(near, word, lm.RATE)
+        net.step(near, word)
     assert net.log_p(near, word).mean() > before + 0.5
 
 
@@ -120,3 +120,25 @@ def test_operator_cases(spark):
     assert by[1] == [(0, 0.0, None)] and by[3] == [(0, 0.0, None)]
     assert by[2][0] == by[2][1] == by[None][0] and by[2][0][1] < 0
     assert lm.pseudo_likelihood(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_pieces_of_long_texts_know_their_neighbours():
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, lm.PAD, n) for n in (0, 5, 900, 1, 37, 2)]
+    near, word = lm.windows(ids)
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    for size in (1, 2, 7, 100, 10_000):
+        parts = list(lm.window_blocks(ids, size))
+        assert max(len(w) for *_, w in parts) <= 2 * size + 40 if size > 30 else True
+        got = [np.concatenate(x) for x in zip(*parts)]
+        order = np.argsort(got[0], kind="stable")
+        assert (got[0][order] == owner).all() and (got[1][order] == near).all() and (got[2][order] == word).all()
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(40)}" for _ in range(200_000))
+    net, words, number = lm.Net.start(), np.zeros(0, lm.U), np.zeros(0, np.int64)
+    n, total = lm.score_texts([long, "w1 w2", ""], net, words, number)
+    near, word = lm.windows([lm.word_ids(lm.word_hashes(long), words, number)])
+    assert n.tolist() == [200_000, 2, 0] and abs(total[0] - net.log_p(near, word).sum()) < 1.0 and total[2] == 0
