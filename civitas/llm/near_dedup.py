@@ -1,18 +1,20 @@
-"""Near dedup by MinHash of several shingles a band.
+"""Near dedup by Order MinHash, with a second route for moved blocks.
 
 1. A text's 5-word shingles are labelled with their occurrence number.  For each
-   of ``BANDS`` hash functions the smallest few labelled shingles are taken; the
-   hash of that set is a bucket key.  Texts share a key with a probability that
-   follows the similarity of their shingle sets, also where blocks moved: at the
-   threshold 0.8 a pair has no common key with probability 1.5e-5 (five shingles
-   a key, 0.8 ** 5 a band).  Texts equal in order share the keys that Order
-   MinHash would give them.  A text with
-   repeated shingles has keys over first occurrences too.  Short texts take
-   fewer shingles per key; near a change of that number both keys are made.
+   of ``BANDS`` hash functions the smallest few labelled shingles are taken.
+   *Order route* (Order MinHash): they are hashed in the order in which they stand
+   in the text, so texts share a key with a probability that follows the
+   similarity of their sequences.  *Moved route*: the same shingles are hashed
+   as a set, so texts whose blocks changed places meet too.  At the threshold
+   0.8 a pair has no common set key with probability 1.5e-5 (five shingles a key,
+   0.8 ** 5 a band); order keys alone would miss many pairs with moved blocks.
+   A text with repeated shingles has keys over first occurrences too.  Short texts
+   take fewer shingles per key; near a change of that number both keys are made.
 2. In each bucket every text is paired with one text only, that which shares the
-   most keys with others (aggregations and joins, so a hot bucket is split).  Pairs are verified by a
-   banded alignment of their shingle sequences, then, for moved blocks, by the
-   exact similarity of the shingle sets.
+   most keys with others (aggregations and joins, so a hot bucket is split).  Pairs
+   are linked by a banded alignment of their shingle sequences; those it does not
+   link are, for moved blocks, told by the exact similarity of the shingle sets
+   (``moved_blocks=False`` leaves that out: then the alignment alone decides).
 3. Buckets whose texts are not all in one component go on: their texts are
    joined exactly by the prefix filter.  With the shingles in one order, rare
    ones first, two similar texts share one of the first fifth of each; pairs of
@@ -23,7 +25,8 @@
 4. Components of the links are the classes; exact copies share a text key and
    take part once.
 
-Two texts are linked when 0.8 or more of the union of their shingles is common.
+Two texts are linked when 0.8 or more of the union of their shingles is common,
+in order or in moved blocks.
 
 Defined cases: null text is empty; texts without words are in a class only with
 their exact copies; a text under 5 words is one shingle.  A class is named by
@@ -66,10 +69,12 @@ def _sizes(n: int, threshold: float) -> list[int]:
     return per_key[-2:] if len(per_key) > 1 and n * threshold < least else per_key[-1:]
 
 
-def order_min_hash(x: np.ndarray, ell: int, bands: int = BANDS) -> np.ndarray:
-    """One key per band over the labelled shingles ``x``: the smallest ``ell`` by
-    the band's hash, in the order of their values wherever they stand in the
-    text, so moved blocks do not change a key."""
+def order_min_hash(x: np.ndarray, ell: int, bands: int = BANDS,
+                   moved_blocks: bool = True) -> np.ndarray:
+    """Keys over the labelled shingles ``x`` of a text, given in text order: per
+    band the smallest ``ell`` by the band's hash, in the order in which they stand;
+    with ``moved_blocks`` a second key of the same shingles in the order of their
+    values, which is the same wherever they stand."""
     seeds = mix(np.arange(1, bands + 1, dtype=U) * U(0x632BE59BD9B4E019))
     step = max(1, MATRIX // len(x))
     out = []
@@ -82,16 +87,19 @@ def order_min_hash(x: np.ndarray, ell: int, bands: int = BANDS) -> np.ndarray:
             at = np.argpartition(v, ell - 1, axis=1)[:, :ell]
         else:
             at = np.broadcast_to(np.arange(len(x)), (len(s), len(x)))
-        least = np.sort(x[at], axis=1)
-        key = s[:, 0] + U(ell)
-        for j in range(at.shape[1]):
-            key = mix(key * U(0x100000001B3) + least[:, j])
-        out.append(key)
+        routes = [x[np.sort(at, axis=1)]]
+        if moved_blocks:
+            routes.append(np.sort(routes[0], axis=1))
+        for route, least in enumerate(routes):
+            key = s[:, 0] + U(ell + 1_000 * route)
+            for j in range(at.shape[1]):
+                key = mix(key * U(0x100000001B3) + least[:, j])
+            out.append(key)
     return np.concatenate(out)
 
 
 def bucket_keys(text: str, k: int = WORDS, threshold: float = THRESHOLD,
-                bands: int = BANDS) -> tuple[np.ndarray, int]:
+                bands: int = BANDS, moved_blocks: bool = True) -> tuple[np.ndarray, int]:
     """(bucket keys, number of different shingles).  Occurrences are labelled by
     the power of two they reach, so a line repeated a hundred times has seven
     labels and does not outweigh the rest of its text."""
@@ -103,9 +111,9 @@ def bucket_keys(text: str, k: int = WORDS, threshold: float = THRESHOLD,
     labelled = mix(x + label * U(0xA0761D6478BD642F))
     new = (n & (n + 1)) == 0  # the first occurrence with each label
     once = labelled[n == 0]
-    keys = [order_min_hash(once, ell, bands) for ell in _sizes(len(once), threshold)]
+    keys = [order_min_hash(once, ell, bands, moved_blocks) for ell in _sizes(len(once), threshold)]
     if len(once) < new.sum():
-        keys += [order_min_hash(labelled[new], ell, bands)
+        keys += [order_min_hash(labelled[new], ell, bands, moved_blocks)
                  for ell in _sizes(int(new.sum()), threshold)]
     return np.unique(np.concatenate(keys)), len(once)
 
@@ -143,11 +151,12 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tu
     return s / (total - s), whole
 
 
-def sketches(df: DataFrame, k: int, threshold: float, bands: int) -> DataFrame:
+def sketches(df: DataFrame, k: int, threshold: float, bands: int,
+             moved_blocks: bool = True) -> DataFrame:
     """k1, k2, n, keys per row of ``df`` (k1, k2, text)."""
     def per_task(batches):
         for b in batches:
-            found = [bucket_keys(t.as_py(), k, threshold, bands) for t in b.column(2)]
+            found = [bucket_keys(t.as_py(), k, threshold, bands, moved_blocks) for t in b.column(2)]
             at = np.cumsum([0, *(len(x) for x, _ in found)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, U), *(x for x, _ in found)]).astype(np.int64, copy=False)
             yield pa.RecordBatch.from_arrays(
@@ -200,9 +209,17 @@ def _with_leader(members: DataFrame) -> DataFrame:
                                             F.col("x.k2").alias("a2"))
 
 
-def _roots(tested: DataFrame, threshold: float) -> DataFrame:
+def links_of(tested: DataFrame, threshold: float, moved_blocks: bool = True) -> DataFrame:
+    """The linked pairs with their ``route``: 'order' by the alignment, else
+    'moved' by the sets."""
+    order = F.col("aligned") >= threshold
+    linked = order | (F.lit(moved_blocks) & (F.col("similarity") >= threshold))
+    return tested.where(linked).withColumn("route", F.when(order, "order").otherwise("moved"))
+
+
+def _roots(tested: DataFrame, threshold: float, moved_blocks: bool) -> DataFrame:
     """k1, k2, r1, r2: the component's root of each text that has a link."""
-    links = tested.where(F.col("similarity") >= threshold)
+    links = links_of(tested, threshold, moved_blocks)
     nodes = links.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")) \
         .unionByName(links.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
     nodes = materialize_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -215,11 +232,12 @@ def _roots(tested: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_classes(df: DataFrame, id_col: str, text_col: str, k: int = WORDS,
-                 threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+                 threshold: float = THRESHOLD, bands: int = BANDS,
+                 moved_blocks: bool = True) -> DataFrame:
     """One row per row: id, k1, k2 (the text's key), class_id, class_size."""
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")) \
         .select("id", "text", *key128(F.col("text")))
-    sk = materialize_table(sketches(docs.select("k1", "k2", "text"), k, threshold, bands), "omh")
+    sk = materialize_table(sketches(docs.select("k1", "k2", "text"), k, threshold, bands, moved_blocks), "omh")
     rows = sk.select("k1", "k2", "n", F.explode("keys").alias("key"))
     # copies fall together in the partial step
     shared = rows.groupBy("key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"),
@@ -234,14 +252,14 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, k: int = WORDS,
         docs.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(taking_part, ["k1", "k2"]),
         "omh-texts")
     tested = materialize_table(verify(pairs, texts, k, threshold), "omh-tested")
-    roots = materialize_table(_roots(tested, threshold), "omh-roots")
+    roots = materialize_table(_roots(tested, threshold, moved_blocks), "omh-roots")
 
     mixed = materialize_table(_mixed_texts(members, roots, texts), "omh-mixed")
     more = materialize_table(_open_pairs(mixed, tested, k, threshold), "omh-open")
     if not more.isEmpty():
         tested = tested.unionByName(verify(more, texts, k, threshold))
-        roots = materialize_table(_roots(materialize_table(tested, "omh-tested"), threshold),
-                                  "omh-roots")
+        roots = materialize_table(_roots(materialize_table(tested, "omh-tested"), threshold,
+                                         moved_blocks), "omh-roots")
 
     found = docs.select("id", "k1", "k2").join(roots, ["k1", "k2"], "left").select(
         "id", "k1", "k2", F.coalesce("r1", "k1").alias("c1"), F.coalesce("r2", "k2").alias("c2"))

@@ -114,6 +114,44 @@ def test_keys_recall_grows_with_similarity():
     assert hits == 200
 
 
+def test_order_keys_keep_the_text_order():
+    """Keys of a sequence and of its reverse differ, those of the moved route do not;
+    both find nearly all texts with small edits, only the second those with
+    shuffled paragraphs."""
+    rng = random.Random(6)
+    x = np.array([rng.getrandbits(63) for _ in range(200)], nd.U)
+    assert not set(nd.order_min_hash(x, 5, moved_blocks=False)) & set(nd.order_min_hash(x[::-1], 5, moved_blocks=False))
+    both, back = nd.order_min_hash(x, 5), nd.order_min_hash(x[::-1], 5)
+    assert set(both) & set(back) == set(both[nd.BANDS:]) == set(back[nd.BANDS:])
+    found = {"edit": 0, "move": 0, "move, both": 0}
+    meet = lambda a, b, m: bool(np.isin(nd.bucket_keys(" ".join(a), moved_blocks=m)[0],
+                                        nd.bucket_keys(" ".join(b), moved_blocks=m)[0]).any())
+    for _ in range(100):
+        words = [f"q{rng.random()}" for _ in range(400)]
+        edited = list(words)
+        for at in rng.sample(range(400), 6):
+            edited[at] = "zz"
+        found["edit"] += meet(words, edited, False)
+        turned = [w for i in range(9, -1, -1) for w in words[40 * i:40 * i + 40]]
+        found["move"] += meet(words, turned, False)
+        found["move, both"] += meet(words, turned, True)
+    assert found["edit"] >= 99 and found["move"] < 90 and found["move, both"] == 100
+
+
+def test_alignment_decides_without_the_moved_route(spark):
+    words = [f"r{i}" for i in range(400)]
+    turned = [w for i in range(9, -1, -1) for w in words[40 * i:40 * i + 40]]
+    edited = [*words[:200], "new", *words[201:]]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(turned)), (3, " ".join(edited))],
+                               "doc_id long, text string")
+    classes = lambda **kw: {r.id: r.class_id for r in nd.near_classes(df, "doc_id", "text", **kw).collect()}
+    assert classes(moved_blocks=False) == {1: 1, 2: 2, 3: 1}
+    assert classes() == {1: 1, 2: 1, 3: 1}
+    tested = spark.createDataFrame([(1, 0.9, 0.95), (2, 0.1, 0.95), (3, 0.1, 0.5)], "i int, aligned double, similarity double")
+    assert {(r.i, r.route) for r in nd.links_of(tested, 0.8).collect()} == {(1, "order"), (2, "moved")}
+    assert {r.i for r in nd.links_of(tested, 0.8, False).collect()} == {1}
+
+
 def moved(rng, words, parts):
     size = -(-len(words) // parts)
     cut = [words[i:i + size] for i in range(0, len(words), size)]
@@ -153,7 +191,8 @@ def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(words, "CHUNK", 64)
     assert (word_hashes(t) == whole).all()
     monkeypatch.setattr(nd, "MATRIX", 100)
-    assert len(nd.bucket_keys(t)[0]) == nd.BANDS
+    assert len(nd.bucket_keys(t)[0]) == 2 * nd.BANDS        # both routes
+    assert len(nd.bucket_keys(t, moved_blocks=False)[0]) == nd.BANDS
 
 
 def test_alignment():
