@@ -47,10 +47,12 @@ def current_watermark(spark: SparkSession, path: str, col: str, default: Any = N
     """Target high-watermark ``max(col)``: one scalar (a one-row aggregate).
     It is turned into a literal so the source filter is static and prunes
     partitions / row groups."""
-    tgt = read_target(spark, path)
-    if tgt is None:
-        return default
-    wm = tgt.agg(F.max(col)).first()[0]
+    return high_watermark(read_target(spark, path), col, default)
+
+
+def high_watermark(table: DataFrame | None, col: str, default: Any = None) -> Any:
+    """``max(col)`` of a table, however it is kept."""
+    wm = None if table is None else table.agg(F.max(col)).first()[0]
     return default if wm is None else wm
 
 

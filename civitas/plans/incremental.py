@@ -9,18 +9,17 @@ from civitas.functions.dates import ntz_as_utc_instant
 from civitas.operators.distinct_state import dense_ids, distinct_mart, roll_up_levels
 from civitas.operators.file_merge import merge_keyed_files, read_keyed_files, write_keyed_files
 from civitas.operators.layout import save_bucketed, write_zordered
-from civitas.operators.upsert import (current_watermark, full_refresh, ledger_watermark,
-                                      read_target, record_watermark, upsert_by_key,
+from civitas.operators.upsert import (high_watermark, ledger_watermark, record_watermark,
                                       watermark_filter)
 from civitas.plans.registry import register
 from civitas.schemas import TABLES
 from civitas.session import materialize_table, work_dir
 from civitas.sources.tables import scan_parquet_glob, table
 from civitas.streaming.dedup_state import dedup_available_now, read_outcomes
-from civitas.streaming.files import (read_additive_agg, run_available_now,
+from civitas.streaming.files import (fold_additive_agg, read_additive_agg, run_available_now,
                                      skip_existing_periods, skipped_periods,
                                      stream_additive_agg, stream_dedup,
-                                     stream_period_files, stream_upsert)
+                                     stream_merge_files, stream_period_files)
 
 
 def _orders_batches(spark, d):
@@ -52,20 +51,19 @@ from o
 def q_upsert(spark, d):
     """full_refresh (batch 1), watermark_table (Parquet ledger),
     watermark_filter_ge (the second batch re-reads the last loaded period
-    only), upsert_by_key (only touched year partitions rewritten, through a
-    staged copy), schema_sync (batch 2 adds a column), write_parquet_keyed /
-    sorted_write.  Returns the table's final state."""
+    only), upsert_by_key (only files with a touched key rewritten), schema_sync
+    (batch 2 adds a column), sorted_write.  Returns the table's final state."""
     root = work_dir(spark, "upsert-orders")
     target, ledger = f"{root}/fct_orders", f"{root}/ledger"
     b1, b2 = _orders_batches(spark, d)
-    n1 = full_refresh(b1, target, ["o_orderkey"], ["ano"], ["o_orderkey"])
-    record_watermark(spark, ledger, "orders", current_watermark(spark, target, "periodo"), n1)
-    wm = current_watermark(spark, target, "periodo")
-    assert str(wm) == ledger_watermark(spark, ledger, "orders")
+    n1 = write_keyed_files(spark, b1, target, ["o_orderkey"], ["ano"]).rows_written
+    record_watermark(spark, ledger, "orders", high_watermark(read_keyed_files(spark, target), "periodo"), n1)
+    wm = high_watermark(read_keyed_files(spark, target), "periodo")
+    assert str(wm) == str(ledger_watermark(spark, ledger, "orders"))
     fresh = watermark_filter(b2, "periodo", wm, strict=False)
-    n2 = upsert_by_key(spark, fresh, target, ["o_orderkey"], ["ano"], ["o_orderkey"])
-    record_watermark(spark, ledger, "orders", current_watermark(spark, target, "periodo"), n2)
-    return read_target(spark, target).select(
+    n2 = merge_keyed_files(spark, fresh, target, ["o_orderkey"], ["ano"]).rows_written
+    record_watermark(spark, ledger, "orders", high_watermark(read_keyed_files(spark, target), "periodo"), n2)
+    return read_keyed_files(spark, target).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority", "periodo", "ano")
 
@@ -92,7 +90,7 @@ select event_id, ts, user_id, event_type, value, props, cast(ts as date) as dia
 """)
 def q_stream_upsert(spark, d):
     """stream_period_files (file source, availableNow, checkpoint in the
-    shared folder), stream_upsert (foreachBatch -> keyed upsert; replays are
+    shared folder), stream_upsert (foreachBatch -> merge by file; replays are
     idempotent), stream_dedup (a re-delivered week of period files collapses
     on the key), period_skip_existing, scan_parquet_glob."""
     root = work_dir(spark, "stream-events")
@@ -103,9 +101,10 @@ def q_stream_upsert(spark, d):
     _land(ev, landing, day >= 15)               # re-delivery: days 15-20 of each month twice
     _land(ev, landing, skip_existing_of=landing, spark=spark)   # nothing new: skipped
     stream = stream_period_files(spark, landing, EVENTS_LANDING, max_files_per_trigger=32)
-    stream_upsert(spark, stream, target, ["event_id"], ["dia"], f"{root}/checkpoint")
-    return read_target(spark, target).select("event_id", "ts", "user_id", "event_type", "value",
-                                             "props", "dia")
+    stream_merge_files(spark, stream, target, ["event_id"], ["dia"], f"{root}/checkpoint")
+    done = read_keyed_files(spark, target)
+    done = spark.createDataFrame([], EVENTS_LANDING) if done is None else done
+    return done.select("event_id", "ts", "user_id", "event_type", "value", "props", "dia")
 
 
 @register("q_stream_dedup", """
@@ -138,7 +137,7 @@ from events group by 1, 2
 """)
 def q_stream_monthly(spark, d):
     """stream_monthly_agg: partial sums per day and event type of each
-    micro-batch, added up on reading.  Every period lands by its calendar date;
+    micro-batch, folded into one table at the end and added up on reading.  Every period lands by its calendar date;
     rows of any lateness count, so events in = events counted."""
     root = work_dir(spark, "stream-agg")
     landing, deltas = f"{root}/landing", f"{root}/agg_deltas"
@@ -148,6 +147,7 @@ def q_stream_monthly(spark, d):
                         {"n_eventos": F.count(F.lit(1)),
                          "total": F.sum(F.col("value").cast("decimal(18,2)"))},
                         f"{root}/checkpoint")
+    fold_additive_agg(spark, deltas, ["dia", "event_type"], ["n_eventos", "total"])
     return read_additive_agg(spark, deltas, ["dia", "event_type"], ["n_eventos", "total"]).select(
         "dia", "event_type", "n_eventos", F.col("total").cast("double").alias("total"))
 
@@ -171,11 +171,11 @@ def q_upsert_strict(spark, d):
     root = work_dir(spark, "upsert-strict")
     target = f"{root}/fct_orders"
     b1, b2 = _orders_batches(spark, d)
-    full_refresh(b1, target, ["o_orderkey"], ["ano"], ["o_orderkey"])
-    wm = current_watermark(spark, target, "periodo")
-    upsert_by_key(spark, watermark_filter(b2, "periodo", wm, strict=True), target,
-                  ["o_orderkey"], ["ano"], ["o_orderkey"])
-    return read_target(spark, target).select(
+    write_keyed_files(spark, b1, target, ["o_orderkey"], ["ano"])
+    wm = high_watermark(read_keyed_files(spark, target), "periodo")
+    merge_keyed_files(spark, watermark_filter(b2, "periodo", wm, strict=True), target,
+                      ["o_orderkey"], ["ano"])
+    return read_keyed_files(spark, target).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority", "periodo", "ano")
 

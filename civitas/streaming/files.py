@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from civitas.operators.file_merge import merge_keyed_files
 from civitas.operators.upsert import upsert_by_key
 from civitas.session import path_exists, remove_path
 
@@ -60,6 +61,18 @@ def stream_upsert(spark: SparkSession, stream: DataFrame, target: str, keys: Seq
     run_available_now(stream, merge, checkpoint, output_mode)
 
 
+def stream_merge_files(spark: SparkSession, stream: DataFrame, target: str, keys: Sequence[str],
+                       partition_by: Sequence[str], checkpoint: str,
+                       prefer: Sequence | None = None) -> None:
+    """``stream_upsert`` into a table of ``file_merge``: a micro-batch rewrites only
+    the files that hold one of its keys, and readers see a version before or after
+    it.  A replayed batch replaces its own rows."""
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            merge_keyed_files(spark, batch, target, keys, partition_by, prefer)
+    run_available_now(stream, merge, checkpoint)
+
+
 def stream_dedup(stream: DataFrame, keys: Sequence[str], event_time: str | None = None,
                  delay: str | None = None) -> DataFrame:
     """Streaming dedup with bounded state: only when an event-time watermark
