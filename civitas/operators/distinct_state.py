@@ -102,7 +102,8 @@ def totals_by_level(df: DataFrame, levels: Mapping[str, Sequence[str]], aggs: Se
                     level: str = "nivel") -> DataFrame:
     """One aggregate for all ``levels`` (grouping sets): name -> its dimensions.
     ``grouping_id`` names the level, so the total over a dimension and the group of
-    its null value stay apart though both show a null."""
+    its null value stay apart though both show a null.  A table without rows has no
+    group at any level, the total included."""
     dims = list(dict.fromkeys(c for group in levels.values() for c in group))
     sets = [[F.col(c) for c in group] for group in levels.values()]
     bits = {name: sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in group)

@@ -13,7 +13,7 @@ from civitas.operators.upsert import (high_watermark, ledger_watermark, record_w
                                       watermark_filter)
 from civitas.plans.registry import register
 from civitas.schemas import TABLES
-from civitas.session import materialize_table, work_dir
+from civitas.session import materialize_table, path_exists, work_dir
 from civitas.sources.tables import scan_parquet_glob, table
 from civitas.streaming.dedup_state import dedup_available_now, read_outcomes
 from civitas.streaming.files import (fold_additive_agg, read_additive_agg, run_available_now,
@@ -127,6 +127,8 @@ def q_stream_dedup(spark, d):
     run_available_now(once, lambda b, i: b.drop("arrived").write.mode("overwrite")
                       .parquet(f"{out}/batch={i}"), f"{root}/checkpoint")
     schema = StructType(EVENTS_LANDING.fields + [StructField("batch", IntegerType())])
+    if not path_exists(spark, out):  # no batch came
+        return spark.createDataFrame([], schema).select("event_id", "user_id", "event_type", "value")
     return scan_parquet_glob(spark, out, schema).select("event_id", "user_id", "event_type", "value")
 
 
