@@ -1,6 +1,8 @@
 """Held-out accuracy, fusion by hand, smoothing, defined cases."""
 
 import math
+import re
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -101,3 +103,85 @@ def test_long_texts_in_pieces(monkeypatch):
     whole = np.concatenate(list(langid.trigrams("the quick brown fox " * 50)))
     monkeypatch.setattr(langid, "CHUNK", 64)
     assert (np.concatenate(list(langid.trigrams("the quick brown fox " * 50))) == whole).all()
+
+
+def brute(rows, model):
+    """(lang, posterior, accepted, text_lang, n_grams) per row (text, lang, host),
+    from the formula alone."""
+    names, k = [*model.langs, langid.UND], len(model.langs) + 1
+    seen = []
+    for text, lang, host in rows:
+        ll, n = model.log_likelihood(text or "")
+        p = np.exp(langid.TEMPER * (ll - ll.max()))
+        m = re.match(r"\s*([A-Za-z]{2,8})", lang or "")
+        declared = m and (m[1].lower() if m[1].lower() in model.langs else "other")
+        host = host.lower() if host is not None else None
+        labels = host.split(".") if host is not None else []
+        domain, suffix = (".".join(labels[-2:]), labels[-1]) if len(labels) > 1 else (None, None)
+        seen.append((ll, n, np.rint(p / p.sum() * 1e6) / 1e6, declared, host, domain, suffix))
+
+    def sums(key):
+        out = {}
+        for row in seen:
+            if row[1]:
+                out[key(row)] = out.get(key(row), 0) + row[2]
+        return out
+    hosts, domains = sums(lambda r: (r[4], r[5])), sums(lambda r: r[5])
+    top = sum(domains.values(), np.zeros(k)) + 1
+    top = top / top.sum()
+    near = {d: (m + langid.KAPPA * top) / (m.sum() + langid.KAPPA) for d, m in domains.items()}
+    prior = {h: (m + langid.KAPPA * near[h[1]]) / (m.sum() + langid.KAPPA) for h, m in hosts.items()}
+
+    def table(at):
+        m = sums(lambda r: r[at])
+        whole = sum(m.values(), np.zeros(k)) + langid.ALPHA * (len(m) + 1)
+        return {**{v: np.log((x + langid.ALPHA) / whole) for v, x in m.items()}, "": np.log(langid.ALPHA / whole)}
+    said, ends = table(3), table(6)
+    out = []
+    for ll, n, _, declared, host, domain, suffix in seen:
+        x = np.log(prior.get((host, domain), top)) + said.get(declared, said[""]) + ends.get(suffix, ends[""]) \
+            + langid.TEMPER * ll
+        x[-1] += math.log(langid.UND_PRIOR)
+        post = 1 / np.exp(x - x.max()).sum()
+        lang = names[int(x.argmax())]
+        out.append((lang, post, lang != langid.UND and round(post, 6) >= langid.MIN_POSTERIOR and n > 0,
+                    names[int(ll.argmax())], n))
+    return out
+
+
+def check_fused(got, rows, model):
+    """``got``: id -> rows of the operator; ``rows``: (id, text, lang, host)."""
+    want = brute([r[1:] for r in rows], model)
+    assert sum(map(len, got.values())) == len(rows)
+    for (ident, *_), (lang, post, accepted, text_lang, n) in zip(rows, want):
+        assert any(g.lang == lang and abs(g.posterior - post) < 2e-6 and g.accepted == accepted
+                   and g.text_lang == text_lang and g.n_grams == n for g in got[ident]), ident
+
+
+def by_id(rows, col):
+    out = {}
+    for r in rows:
+        out.setdefault(r[col], []).append(r)
+    return out
+
+
+def test_fused_posterior_equals_the_formula(small):
+    model = langid.fit_text_model(small, "doc_id", "text", "lang")
+    got = by_id(langid.identify(small, "doc_id", "text", "lang", "host", model=model).collect(), "id")
+    check_fused(got, [tuple(r)[:4] for r in small.collect()], model)
+
+
+def test_queries_equal_the_formula(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    model = langid.fit_text_model(docs, "doc_id", "text", "lang")
+    got = by_id(queries.op1_language_id(spark, SF_SMALL).collect(), "doc_id")
+    check_fused(got, [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()], model)
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect()}
+    rows = []
+    for r in queries.op2_main_text(spark, SF_SMALL).collect():
+        marked = re.search(r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", pages[r.page_id].html or "")
+        rows.append((r.page_id, r.text, marked[1] if marked else "", urlsplit(r.url).hostname))
+    df = spark.createDataFrame(rows, "page_id long, text string, declared string, host string")
+    model = langid.fit_text_model(df, "page_id", "text", "declared")
+    check_fused(by_id(queries.language_id_pages(spark, SF_SMALL).collect(), "page_id"), rows, model)
