@@ -106,19 +106,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_pii")
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from civitas.llm import pii
+    small_batches(spark)
     out = pii.personal_data(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE],
                       F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"),
                       pii.joined().alias("spans"))
 
 
+ROLL_BYTES = 4 << 20    # of the query: shards of these pages roll over several files
+
+
 @register("op3_warc")
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written, then read back; every figure comes from the archives."""
     from civitas.llm import warc
     from civitas.session import work_dir
+    small_batches(spark)
     out = work_dir(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), out)
+    warc.write_archives(table(spark, sf_dir, "pages"), out, roll_bytes=ROLL_BYTES)
     return warc.read_archives(spark, out, payloads=False).select(
         F.col("id").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type",
         "refers_to")
@@ -127,6 +132,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_main_text")
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from civitas.llm import main_text
+    small_batches(spark)
     pages = table(spark, sf_dir, "pages")
     weights = main_text.fit_weights(pages, "page_id", "html")
     out = main_text.extract_main_text(pages, weights)
@@ -138,6 +144,7 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its declared language and its source as the host."""
     from civitas.llm import langid
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs, "doc_id", "text", "lang", "source")
     return out.select(F.col("id").alias("doc_id"), "lang", "posterior", "accepted", "text_lang",
@@ -149,6 +156,7 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page: main text, markup language, host and address suffix."""
     from civitas.llm import langid, main_text
     from civitas.session import materialize_table
+    small_batches(spark)
     pages = table(spark, sf_dir, "pages")
     texts = main_text.extract_main_text(pages, main_text.fit_weights(pages, "page_id", "html"))
     marked = pages.select("page_id", F.regexp_extract(
@@ -263,6 +271,7 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from civitas.llm import whitening
+    small_batches(spark)
     out = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return out.withColumnRenamed("id", "vec_id")
 

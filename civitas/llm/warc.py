@@ -155,12 +155,13 @@ MANIFEST_ARROW = pa.schema([("shard", pa.int64()), ("seq", pa.int64()), ("name",
 
 def shard_bounds(rows: DataFrame, n: int, shards: int) -> list[int]:
     """First ids of the shards after the first, from a sample set by hash alone:
-    at most SAMPLES_PER_SHARD * shards ids on average reach the driver."""
+    at most SAMPLES_PER_SHARD * shards ids on average reach the driver, each once
+    however often it is repeated."""
     if shards < 2:
         return []
     m = max(1, n // shards // SAMPLES_PER_SHARD)
     sample = rows.select("id").where("id is not null") \
-        .where(F.pmod(F.xxhash64("id"), F.lit(m)) == 0).orderBy("id")
+        .where(F.pmod(F.xxhash64("id"), F.lit(m)) == 0).distinct().orderBy("id")
     ids = np.array([r.id for r in sample.collect()], np.int64)
     step = max(1, len(ids) // shards)
     return sorted({int(x) for x in ids[step::step]})

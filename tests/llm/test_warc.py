@@ -4,7 +4,9 @@ import base64
 import hashlib
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from civitas.llm import queries, warc
 from conftest import SF_SMALL
@@ -84,3 +86,22 @@ def test_empty_table_and_damage(spark, pages, tmp_path):
     assert warc.read_archives(spark, f"{tmp_path}/e").count() == 0
     with pytest.raises(ValueError):
         warc.parse_record(b"WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+
+
+def test_an_id_repeated_often_is_sampled_once(spark, monkeypatch):
+    df = spark.range(2000).select((F.col("id") % 2 * 7).alias("id"))
+    seen = []
+    plain = np.array
+    monkeypatch.setattr(warc.np, "array", lambda x, *a, **k: (seen.append(len(x)), plain(x, *a, **k))[1])
+    bounds = warc.shard_bounds(df, 2000, 8)
+    assert max(seen) <= 2 and bounds == sorted(set(bounds))
+
+
+def test_query_rolls_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    pages = spark.createDataFrame([(i, "u", rng.bytes(3000).hex()) for i in range(200)],
+                                  "page_id long, url string, html string")
+    done = warc.write_archives(pages, str(tmp_path / "w"), roll_bytes=100_000).collect()
+    assert max(r.seq for r in done) >= 2 and sum(r.records for r in done) >= 200
+    back = warc.read_archives(spark, str(tmp_path / "w"), payloads=False)
+    assert back.select("id").distinct().count() == 200
