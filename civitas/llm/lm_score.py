@@ -40,7 +40,7 @@ REACH = 2
 HIDDEN = 24
 DOCS_PER_TRAINER = 8_000
 MAX_TRAINERS = 1_024
-BATCH = 4_096
+BATCH = 8_192
 RATE = 0.5                       # of a row per 16 words it meets, of up to SHARE words a batch
 SHARE = 64
 RATE_CLASS = 1.0                 # of the class layer per batch
@@ -110,7 +110,7 @@ class Net:
         g_class = _softmax(h @ self.out_class + self.class_bias)
         g_class[np.arange(n), cls] -= 1
         g_h = g_class @ self.out_class.T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(SIDE + 1))
         for c in range(SIDE):
             rows = order[bounds[c]:bounds[c + 1]]
@@ -146,7 +146,7 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _add_rows(to: np.ndarray, row: np.ndarray, value: np.ndarray, rate: float) -> None:
     """Adds to each row met the sum of its values times ``rate``, of more than
     ``SHARE`` values their mean ``SHARE`` times."""
-    order = np.argsort(row, kind="stable")
+    order = np.argsort(row.astype(np.int16), kind="stable")  # a radix sort
     r = row[order]
     new = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     count = np.diff(np.concatenate([new, [len(r)]]))
@@ -224,16 +224,29 @@ def vocabulary_of(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return words[order], ids[rank][order]
 
 
-def train(docs: DataFrame, vocabulary: np.ndarray, number: np.ndarray) -> Net:
-    """The average of the trainers' networks."""
-    n = docs.count()
-    trainers = min(MAX_TRAINERS, max(1, -(-n // DOCS_PER_TRAINER)))
-
-    def examples(batches):
+def coded(docs: DataFrame, vocabulary: np.ndarray, number: np.ndarray) -> DataFrame:
+    """id, h (a hash of id and text), ids: the word ids, two bytes each, of docs
+    (id, text)."""
+    def per_task(batches):
         for b in batches:
             out = [word_ids(word_hashes(t.as_py()), vocabulary, number).astype("<i2").tobytes()
-                   for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["h", "ids"])
+                   for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())],
+                                             names=["id", "h", "ids"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", F.xxhash64("id", "text").alias("h"), "text") \
+        .mapInArrow(per_task, f"id {kind}, h long, ids binary")
+
+
+def train(docs: DataFrame, vocabulary: np.ndarray, number: np.ndarray) -> Net:
+    """The average of the trainers' networks over docs (id, text)."""
+    return train_coded(coded(docs, vocabulary, number), docs.count())
+
+
+def train_coded(rows: DataFrame, n: int) -> Net:
+    """The same over the ``n`` rows of ``coded``."""
+    trainers = min(MAX_TRAINERS, max(1, -(-n // DOCS_PER_TRAINER)))
 
     def fit(batches):
         net, seen = Net.start(), 0
@@ -260,9 +273,7 @@ def train(docs: DataFrame, vocabulary: np.ndarray, number: np.ndarray) -> Net:
         out = np.rint(total / len(pdf)).astype("<i8").tobytes()
         return pdf.iloc[:1].assign(weights=[out])
 
-    rows = docs.select(F.xxhash64("id", "text").alias("h"), "text") \
-        .mapInArrow(examples, "h long, ids binary")
-    dealt = rows.withColumn("trainer", F.pmod(F.col("h"), F.lit(trainers)).cast("int")) \
+    dealt = rows.select("h", "ids").withColumn("trainer", F.pmod(F.col("h"), F.lit(trainers)).cast("int")) \
         .repartitionById(trainers, F.col("trainer")).sortWithinPartitions("trainer", "h")
     blocks = dealt.mapInArrow(fit, "block int, weights binary").groupBy("block") \
         .applyInPandas(mean, "block int, weights binary").collect()
@@ -272,30 +283,38 @@ def train(docs: DataFrame, vocabulary: np.ndarray, number: np.ndarray) -> Net:
     return Net.from_flat(flat / SCALE)
 
 
+def score_ids(ids: list[np.ndarray], net: Net) -> np.ndarray:
+    """Summed log-probabilities per text of word ids."""
+    total = np.zeros(len(ids))
+    for owner, near, word in window_blocks(x.astype(np.int64) for x in ids):
+        total += np.bincount(owner, net.log_p(near, word).astype(np.float64), len(ids))
+    return total
+
+
 def score_texts(texts: list[str], net: Net, vocabulary: np.ndarray,
                 number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, summed log-probabilities) per text."""
     ids = [word_ids(word_hashes(t), vocabulary, number).astype(np.int16) for t in texts]
-    total = np.zeros(len(texts))
-    for owner, near, word in window_blocks(x.astype(np.int64) for x in ids):
-        total += np.bincount(owner, net.log_p(near, word).astype(np.float64), len(texts))
-    return np.array([len(x) for x in ids], np.int64), total
+    return np.array([len(x) for x in ids], np.int64), score_ids(ids, net)
 
 
 def pseudo_likelihood(df: DataFrame, id_col: str, text_col: str,
                       model: tuple[Net, np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """id, n_words, score (the sum), mean per row."""
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    if model is None:
-        words = vocabulary_of(docs)
-        model = (train(docs, *words), *words)
+    if model is None:  # the ids are written once, for training and scoring
+        rows = materialize_table(coded(docs, *vocabulary_of(docs)), "word-ids")
+        net = train_coded(rows, rows.count())
+    else:
+        net, rows = model[0], coded(docs, *model[1:])
 
     def per_task(batches):
         for b in batches:
-            n, total = score_texts(b.column(1).to_pylist(), *model)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.round(total, 3))],
-                                             names=["id", "n_words", "score"])
+            ids = [np.frombuffer(x.as_py(), "<i2") for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) for x in ids], pa.int64()),
+                 pa.array(np.round(score_ids(ids, net), 3))], names=["id", "n_words", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = docs.mapInArrow(per_task, f"id {kind}, n_words long, score double")
+    out = rows.select("id", "ids").mapInArrow(per_task, f"id {kind}, n_words long, score double")
     return out.withColumn("mean", F.round(F.try_divide("score", "n_words"), 4))
