@@ -78,12 +78,21 @@ def normalize_name_sql(c) -> Column:
 def normalize_name_nfkd(c) -> Column:
     """Python-side folding: trim, upper, compatibility decomposition, marks
     removed, white space runs to one space; null and blank give ''.
-    One ``translate`` does single characters and drops marks; only texts that
-    hold ligatures and the like go through a map, character by character."""
+    One ``translate`` does single characters and drops marks.  A second one tells
+    texts that hold ligatures and the like; each different one of these is then
+    replaced in the whole text.  All steps look characters up by hash: a regex
+    class of thousands of characters tries them one by one."""
     t = upper_safe(F.coalesce(col(c), F.lit("")))
     t = F.translate(t, FOLD_FROM + MARKS, FOLD_TO)
     table = F.from_json(F.lit(json.dumps(FOLD_LONGER)), "map<string,string>")
-    odd = t.rlike("[" + "".join(sorted(FOLD_LONGER)) + "]")
-    spelled = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(
-        F.element_at(table, x), x)), "")
-    return F.trim(F.regexp_replace(F.when(odd, spelled).otherwise(t), r"(?U)\s+", " "))
+
+    def spelled(x: Column) -> Column:
+        rest = F.translate(x, "".join(FOLD_LONGER), "")
+        odd = F.array_except(F.split(x, ""), F.split(rest, ""))
+        # what stands for one holds no other one, so the order does not matter
+        whole = F.aggregate(odd, x, lambda text, ch: F.replace(text, ch, F.element_at(table, ch)))
+        return F.when(F.char_length(rest) < F.char_length(x), whole).otherwise(x)
+
+    # through an array of one, so that ``t`` is computed once
+    once = F.element_at(F.transform(F.array(t), spelled), 1)
+    return F.trim(F.regexp_replace(once, r"(?U)\s+", " "))
