@@ -44,23 +44,32 @@ def _pieces(name: str, d: int) -> Column:
     return F.transform(no, piece)
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, max_distance: int, hot: int = HOT) -> DataFrame:
-    """l, r, distance: all pairs of names within ``max_distance`` (columns ``l`` and
-    ``r``, each distinct)."""
-    d = max_distance
-    r = right.select("r", F.char_length("r").alias("len"), F.explode(_pieces("r", d)).alias("p")) \
-        .select("r", "len", "p.no", "p.piece", F.col("p.start").alias("at"))
-    # of a left name: for every possible length of its partner the partner's pieces
-    # are cut out of it, shifted by up to d letters
+def left_pieces(left: DataFrame, d: int) -> DataFrame:
+    """l, len, no, piece: for every possible length of the partner of a name its
+    pieces are cut out of the name, shifted as far as needed.  Of two names within
+    ``d`` some piece ``no`` is whole with just ``no`` errors before it (the first
+    with no more errors up to its end than its number), so at most ``d - no`` after
+    it: shifts over ``no``, or further than that from the difference of the
+    lengths, are not needed."""
     lens = left.select("l", F.explode(F.sequence(F.char_length("l") - d, F.char_length("l") + d)).alias("len")) \
         .where(F.col("len") >= 2 * (d + 1))
     stand_in = lens.withColumn("__x", F.repeat(F.lit("x"), F.col("len")))
     cut = stand_in.select("l", "len", F.explode(_pieces("__x", d)).alias("p")).select(
         "l", "len", "p.no", F.col("p.start").alias("start"), F.char_length("p.piece").alias("size"),
-        F.explode(F.sequence(F.lit(-d), F.lit(d))).alias("shift"))
+        F.explode(F.sequence(-F.col("p.no"), F.col("p.no"))).alias("shift"))
+    cut = cut.where(F.abs(F.col("shift") - F.char_length("l") + F.col("len")) <= d - F.col("no"))
     cut = cut.withColumn("from", F.col("start") + F.col("shift")).where(
         (F.col("from") >= 1) & (F.col("from") + F.col("size") - 1 <= F.char_length("l")))
-    lp = cut.select("l", "len", "no", F.substr("l", F.col("from"), F.col("size")).alias("piece")).distinct()
+    return cut.select("l", "len", "no", F.substr("l", F.col("from"), F.col("size")).alias("piece")).distinct()
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, max_distance: int, hot: int = HOT) -> DataFrame:
+    """l, r, distance: all pairs of names within ``max_distance`` (columns ``l`` and
+    ``r``, each distinct)."""
+    d = max_distance
+    r = right.select("r", F.char_length("r").alias("len"), F.explode(_pieces("r", d)).alias("p")) \
+        .select("r", "len", "p.no", "p.piece", F.col("p.start").alias("at"))
+    lp = left_pieces(left, d)
 
     on = ["len", "no", "piece"]
     lp, r = materialize_table(lp, "left-pieces"), materialize_table(r.drop("at"), "right-pieces")

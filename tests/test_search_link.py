@@ -75,6 +75,11 @@ def test_candidates_are_all_pairs_within_the_distance(spark, d):
     assert got == {(x, y, _distance(x, y)) for x in left for y in right if _distance(x, y) <= d}
 
 
+def test_a_name_is_cut_into_no_more_pieces_than_needed(spark):
+    name = spark.createDataFrame([("ABCDEFGHIJKLMN",)], "l string")
+    assert fuzzy_link.left_pieces(name, 2).count() == 19   # 75 with every piece shifted by up to 2
+
+
 FIRST = "MARIA JOSE ANTONIO FRANCISCO CARLOS PAULO PEDRO LUCAS LUIZ MARCOS".split()
 LAST = "SILVA SANTOS OLIVEIRA SOUZA RODRIGUES FERREIRA ALVES PEREIRA LIMA GOMES COSTA RIBEIRO".split()
 
