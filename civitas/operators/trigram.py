@@ -3,15 +3,16 @@
 ``contains`` on a text reads every text for every question.  The index holds, for
 each trigram of a lower-cased column, the ids of the rows that contain it:
 
-* ``build_trigram_index``   one pass: postings (gram, field, id) in ranges of
+* ``build_trigram_index``   postings (gram, number of the column, id) in ranges of
                             that order, so a frequent gram spreads over files and a
                             question reads the row groups of its grams only; and
-                            how many rows hold each gram.
+                            how many rows hold each gram.  A gram is a long, made
+                            of its three code points.
 * ``search_trigrams``       per term the rarest of its grams (``GRAMS``) are
                             looked up and the ids that have all of them kept; these
                             rows are verified against the whole term.  Grams a term
                             leaves out only make more candidates, never fewer.
-* terms under three letters, which have no trigram, are answered by one scan for
+* terms under three letters in lower case, which have no trigram, are answered by one scan for
   all of them.
 
 The result equals ``scan_terms``: a row is found when any of the columns contains
@@ -24,25 +25,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from civitas.session import materialize_table
-
-N = 3
 GRAMS = 8       # looked up per term and column
+AT_ONCE = 1 << 18   # postings of an Arrow batch
 
 
-def trigrams(text: Column) -> Column:
-    """The different trigrams of a lower-cased text; none for shorter texts."""
-    # letters shifted against themselves: linear in the text, while cutting the text
-    # at each place would be quadratic
-    chars = F.split(F.lower(text), "")
-    n = F.size(chars)
-    two = F.zip_with(chars, F.slice(chars, 2, n), lambda x, y: F.concat(x, y))
-    three = F.zip_with(two, F.slice(chars, 3, n), lambda x, y: F.concat(x, y))
-    grams = F.array_distinct(F.filter(three, lambda g: F.char_length(g) == N))
-    return F.when(F.char_length(text) >= N, grams).otherwise(F.array().cast("array<string>"))
+def trigrams(text: str) -> np.ndarray:
+    """The different trigrams of a lower-cased text, sorted; none for shorter texts."""
+    a = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    return np.unique(a[:-2] << 42 | a[1:-1] << 21 | a[2:])
 
 
 def _any_contains(cols: Sequence[str], term: Column) -> Column:
@@ -61,28 +57,45 @@ def scan_terms(df: DataFrame, id_col: str, cols: Sequence[str], terms: Sequence[
 
 def build_trigram_index(df: DataFrame, id_col: str, cols: Sequence[str], path: str) -> None:
     """Writes ``postings`` and ``grams`` under ``path``."""
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), trigrams(F.col(c)).alias("grams")) for c in cols])
-    postings = df.select(F.col(id_col).alias("id"), F.explode(fields).alias("f")).select(
-        F.explode("f.grams").alias("gram"), "f.field", "id").distinct()
-    postings = materialize_table(postings, "postings")  # ranges are found by sampling
-    postings.repartitionByRange("gram", "field", "id").sortWithinPartitions("gram", "field", "id") \
+    rows = df.select(F.col(id_col).alias("id"), *[F.lower(c).alias(f"t{i}") for i, c in enumerate(cols)])
+
+    def per_task(batches):
+        for b in batches:
+            for no in range(len(cols)):
+                texts = b.column(1 + no)
+                grams, size, first = [], 0, 0
+                for row in range(b.num_rows):
+                    grams.append(trigrams(texts[row].as_py() or ""))
+                    size += len(grams[-1])
+                    if size >= AT_ONCE or row == b.num_rows - 1:
+                        of = np.repeat(np.arange(first, row + 1), [len(g) for g in grams])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.concatenate(grams)), pa.array(np.full(size, no, np.int32)),
+                             b.column(0).take(pa.array(of))], names=["gram", "no", "id"])
+                        grams, size, first = [], 0, row + 1
+
+    postings = rows.mapInArrow(per_task, StructType([
+        StructField("gram", LongType()), StructField("no", IntegerType()), rows.schema["id"]]))
+    postings.repartitionByRange("gram", "no", "id").sortWithinPartitions("gram", "no", "id") \
         .write.mode("overwrite").parquet(f"{path}/postings")
-    postings.groupBy("gram", "field").agg(F.count(F.lit(1)).alias("n")) \
+    names = F.array(*[F.lit(c) for c in cols])
+    df.sparkSession.read.parquet(f"{path}/postings").groupBy("gram", "no").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("field", F.get(names, F.col("no"))) \
         .repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
 
 
-def _wanted(spark: SparkSession, path: str, cols: Sequence[str], of: dict[str, list[str]]) -> list[tuple]:
-    """(term, field, gram, how many) of the grams to look up: at most ``GRAMS`` per
-    term and column, so a list bounded by the question."""
+def _wanted(spark: SparkSession, path: str, cols: Sequence[str], of: dict[str, list[int]]) -> list[tuple]:
+    """(term, number of the column, gram, how many) of the grams to look up: at most
+    ``GRAMS`` per term and column, so a list bounded by the question."""
     every = sorted({g for grams in of.values() for g in grams})
-    n = {(r.gram, r.field): r.n for r in
+    n = {(r.gram, r.field): r for r in
          spark.read.parquet(f"{path}/grams").where(F.col("gram").isin(every)).collect()}
     out = []
     for t, grams in of.items():
         for c in cols:
             if all((g, c) in n for g in grams):
-                rare = sorted(grams, key=lambda g: (n[g, c], g))[:GRAMS]
-                out += [(t, c, g, len(rare)) for g in rare]
+                rare = sorted(grams, key=lambda g: (n[g, c].n, g))[:GRAMS]
+                out += [(t, n[g, c].no, g, len(rare)) for g in rare]
     return out
 
 
@@ -93,17 +106,19 @@ def search_trigrams(df: DataFrame, path: str, id_col: str, cols: Sequence[str],
     spark = df.sparkSession
     terms = list(dict.fromkeys(terms))
     # the engine's own lower case cuts the terms as it cut the texts
-    of = {r.term: sorted(r.grams) for r in spark.createDataFrame([(t,) for t in terms], "term string")
-          .select("term", trigrams(F.col("term")).alias("grams")).collect() if r.grams}
+    of = {r.term: trigrams(r.low).tolist() for r in spark.createDataFrame([(t,) for t in terms], "term string")
+          .select("term", F.lower("term").alias("low")).collect()}
+    of = {t: grams for t, grams in of.items() if grams}
     short = [t for t in terms if t not in of]
     wanted = _wanted(spark, path, cols, of) if of else []
     parts = [scan_terms(df, id_col, cols, short)] if short else []
     if wanted:
-        ask = spark.createDataFrame(wanted, "term string, field string, gram string, k int")
+        ask = spark.createDataFrame(wanted, "term string, no int, gram long, k int")
         postings = spark.read.parquet(f"{path}/postings").where(
             F.col("gram").isin(sorted({w[2] for w in wanted})))
-        ids = postings.join(F.broadcast(ask), ["gram", "field"]) \
-            .groupBy("term", "field", "id", "k").agg(F.count(F.lit(1)).alias("n")) \
+        # rows that share an id have their postings each
+        ids = postings.join(F.broadcast(ask), ["gram", "no"]).distinct() \
+            .groupBy("term", "no", "id", "k").agg(F.count(F.lit(1)).alias("n")) \
             .where("n = k").select("term", F.col("id").alias("__found")).distinct()
         rows = df.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(cols)])
         hit = rows.join(ids, F.col("id").eqNullSafe(F.col("__found")))

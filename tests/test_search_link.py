@@ -17,6 +17,17 @@ from civitas.session import work_dir
 
 # ---- search -----------------------------------------------------------------
 
+def test_texts_that_grow_in_lower_case_are_in_the_index(spark):
+    df = spark.createDataFrame([(1, "\u0130a"), (1, "\u0130A"), (2, "ia")], "i int, a string")
+    path = work_dir(spark, "trigram-grow")
+    build_trigram_index(df, "i", ["a"], path)
+    got = sorted(map(tuple, search_trigrams(df, path, "i", ["a"], ["i\u0307a"]).collect()))
+    assert got == sorted(map(tuple, scan_terms(df, "i", ["a"], ["i\u0307a"]).collect()))
+    assert [r[1] for r in got] == [1, 1]
+    # a gram is a number and each row has its own postings
+    assert dict(spark.read.parquet(f"{path}/postings").dtypes)["gram"] == "bigint"
+
+
 def test_search_equals_the_scan(spark):
     rng = random.Random(5)
     letters = "abAB çÇé'%_\\😀\n"
