@@ -1,5 +1,6 @@
 """Operator properties: determinism, no fan-out, exact quantiles under skew."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -162,3 +163,17 @@ def test_null_groups_and_all_null_groups(spark):
     got = {r.g: (r.nk, r.nv) for r in count_distinct_many(df, ["g"], {"nk": "k", "nv": "v"}).collect()}
     assert got == {None: (2, 2), "x": (0, 0), "y": (1, 1)}
     assert exact_quantiles(df.where("false"), ["g"], "v", [0.5]).count() == 0
+
+
+def test_monthly_means_past_an_int(spark, tmp_path):
+    from civitas.plans import QUERIES
+    for price, kind in ((1e11, "bigint"), (1000.0, "int")):
+        d = tmp_path / kind
+        spark.createDataFrame([(1, 1, "F", price, dt.datetime(2000, 1, 5), "5-LOW"),
+                               (2, 1, "F", price, dt.datetime(2000, 2, 5), "5-LOW")],
+                              "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                              "o_orderdate timestamp_ntz, o_orderpriority string") \
+            .write.parquet(str(d / "orders.parquet"))
+        out = QUERIES["q_agg_two_level"](spark, str(d))
+        assert dict(out.dtypes)["media_mensal"] == kind
+        assert out.first().media_mensal == int(price)
