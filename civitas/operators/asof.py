@@ -24,7 +24,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civitas.functions.dates import ntz_as_utc_instant
 from civitas.session import materialize_table
 
 
@@ -161,17 +160,6 @@ def _scan(events, starts, key, event_time, attrs) -> DataFrame:
                                   for i, c in enumerate(attrs)])
 
 
-def _micros(c, kind: str):
-    """A number that orders like the time, from wall-clock fields."""
-    if kind == "date":
-        return F.unix_date(c).cast("long") * 86_400_000_000
-    if kind == "timestamp":
-        return F.unix_micros(c)
-    if kind.startswith("timestamp_ntz"):
-        return F.unix_micros(ntz_as_utc_instant(c))
-    return c.cast("long")
-
-
 def flatten_periods(periods: DataFrame, key: str, start_time: str, end_time: str,
                     attrs: Sequence[str], tie_break: Sequence[str] = ()) -> DataFrame:
     """Overlapping periods as changes: at every start and every end of a key the
@@ -179,11 +167,13 @@ def flatten_periods(periods: DataFrame, key: str, start_time: str, end_time: str
     ``tie_break``) among those still open, or null.  Periods that do not end
     after their start hold nowhere.
 
-    A period is cut into aligned power-of-two pieces of time, about two per
-    level.  Only the best period of a piece matters, as all of its periods cover
-    it whole; an end asks one piece per level.  So there is no window and no
-    pairing of periods with each other, however many of a key are open."""
-    kind = periods.schema[start_time].dataType.simpleString()
+    Of the periods that never end only the latest start counts, a plain scan.  The
+    starts and ends of the others are numbered in order of (key, time), over range
+    partitions, and a period is cut into aligned power-of-two pieces of these
+    numbers, about two per level and no more levels than its length has.  Only the
+    best period of a piece matters, as all of its periods cover it whole; an end
+    asks one piece per level.  So there is no window over a key and no pairing of
+    periods with each other, however many of a key are open."""
     rows = periods.select(
         F.col(key).alias("__k"), F.col(start_time).alias("__t"), F.col(end_time).alias("__e"),
         F.struct(*[F.col(c).alias(f"a{i}") for i, c in enumerate(attrs)],
@@ -191,29 +181,50 @@ def flatten_periods(periods: DataFrame, key: str, start_time: str, end_time: str
         F.struct(*([F.col(c) for c in tie_break] or [F.lit(0)])).alias("__tie")) \
         .where(F.col("__k").isNotNull() & F.col("__t").isNotNull()
                & (F.col("__e").isNull() | (F.col("__t") < F.col("__e"))))
-    first = F.struct(_micros(F.col("__t"), kind).alias("s"), F.col("__tie").alias("tie"))
-    shift = 1 << 62  # times count from -2**62, so that levels below 63 cover all
-    rows = rows.select(
-        "*", first.alias("__first"), (_micros(F.col("__t"), kind) + F.lit(shift)).alias("__s"),
-        F.coalesce(_micros(F.col("__e"), kind) + F.lit(shift), F.lit(2 ** 63 - 1)).alias("__x"))
-
-    # level l holds pieces [i 2**l, (i + 1) 2**l); those of [s, x) as in a segment tree
-    level = F.explode(F.sequence(F.lit(0), F.lit(62))).alias("__l")
-    up = F.expr("shiftright(__s, __l) + if(shiftleft(shiftright(__s, __l), __l) < __s, 1L, 0L)")
-    cut = rows.select("*", level).select(
-        "*", up.alias("__lo"), F.expr("shiftright(__x, __l)").alias("__hi")) \
-        .where("__lo < __hi").select("*", F.explode(F.array_compact(F.array(
+    first = F.struct(F.col("__t").alias("s"), F.col("__tie").alias("tie"))
+    rows = rows.select("__k", "__t", "__e", "__tie",
+                       F.struct(first.alias("first"), F.col("__p").alias("p")).alias("__b"))
+    ending, lasting = rows.where(F.col("__e").isNotNull()), rows.where(F.col("__e").isNull())
+    greatest = F.max_by("__b", "__b.first").alias("__b")
+    ending = materialize_table(ending.groupBy("__k", "__t", "__e").agg(greatest), "asof-periods")
+
+    # merged, not broadcast: a few MB of Parquet are hundreds of MB of hashed rows
+    points = _numbered(ending.select("__k", "__t").unionByName(
+        ending.select("__k", F.col("__e").alias("__t"))).distinct()).hint("merge")
+    cut = (ending.join(points.withColumnRenamed("__n", "__lo").hint("merge"), ["__k", "__t"])
+           .join(points.select("__k", F.col("__t").alias("__e"), F.col("__n").alias("__hi")).hint("merge"),
+                 ["__k", "__e"]))
+    # level l holds pieces [i 2**l, (i + 1) 2**l); those of [lo, hi) as in a segment tree
+    cut = cut.select("__k", "__b", "__lo", "__hi", F.explode(F.sequence(
+        F.lit(0), F.floor(F.log2(F.col("__hi") - F.col("__lo"))).cast("int"))).alias("__l"))
+    up = F.expr("shiftright(__lo, __l) + if(shiftleft(shiftright(__lo, __l), __l) < __lo, 1L, 0L)")
+    cut = cut.select("__k", "__b", "__l", up.alias("__lo"), F.expr("shiftright(__hi, __l)").alias("__hi")) \
+        .where("__lo < __hi").select("__k", "__b", "__l", F.explode(F.array_compact(F.array(
             F.when(F.col("__lo") % 2 == 1, F.col("__lo")),
             F.when(F.col("__hi") % 2 == 1, F.col("__hi") - 1)))).alias("__i"))
-    best = cut.groupBy("__k", "__l", "__i").agg(
-        F.max_by(F.struct("__first", "__p"), "__first").alias("__best"))
-    ends = rows.where(F.col("__e").isNotNull()).select(
-        "__k", F.col("__e").alias("__t"), F.col("__x").alias("__at")).distinct()
-    asked = ends.select("*", level).withColumn("__i", F.expr("shiftright(__at, __l)"))
-    after = asked.join(best, ["__k", "__l", "__i"]).select("__k", "__t", "__best")
-    changes = (after.unionByName(ends.select("__k", "__t", F.lit(None).cast(
-                   after.schema["__best"].dataType).alias("__best")))
-               .unionByName(rows.select("__k", "__t", F.struct("__first", "__p").alias("__best"))))
-    found = changes.groupBy("__k", "__t").agg(F.max_by("__best", "__best.__first").alias("__best"))
-    return found.select("__k", "__t", F.col("__best.__p").alias("__p"),
-                        F.struct(F.lit(0)).alias("__tie"))
+    best = materialize_table(cut.groupBy("__k", "__l", "__i").agg(greatest), "asof-pieces")
+
+    ends = ending.select("__k", F.col("__e").alias("__t")).distinct()
+    asked = (ends.join(points, ["__k", "__t"])
+             .crossJoin(F.broadcast(best.select("__l").distinct()))  # at most 63 levels
+             .withColumn("__i", F.expr("shiftright(__n, __l)")))
+    after = asked.join(best.hint("merge"), ["__k", "__l", "__i"]).select("__k", "__t", "__b")
+    # at an end the latest of the lasting ones, or none
+    still = _scan(ends, lasting.select("__k", "__t", F.struct(
+        F.col("__b").alias("a0"), F.lit(None).cast(periods.schema[start_time].dataType).alias("end"))
+        .alias("__p"), "__tie"), "__k", "__t", ["__b"])
+    starts = ending.select("__k", "__t", "__b").unionByName(lasting.select("__k", "__t", "__b"))
+    found = after.unionByName(still).unionByName(starts).groupBy("__k", "__t").agg(greatest)
+    return found.select("__k", "__t", F.col("__b.p").alias("__p"), F.struct(F.lit(0)).alias("__tie"))
+
+
+def _numbered(points: DataFrame) -> DataFrame:
+    """``points`` (__k, __t, each once) with their number ``__n`` in that order."""
+    dealt = materialize_table(points.repartitionByRange("__k", "__t")
+                              .withColumn("__range", F.spark_partition_id()), "asof-points")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__range").count().select(  # a row per range
+        "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy("__k", "__t")
+    return dealt.withColumn("__at", F.row_number().over(inside)).join(F.broadcast(sizes), "__range") \
+        .select("__k", "__t", (F.col("__before") + F.col("__at") - 1).alias("__n"))

@@ -29,7 +29,7 @@ def q_scd2(spark, d):
     in force at its ship date (prefix scan over ranges of customer and time)."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     o = table(spark, d, "orders")
-    events = li.join(o.select("o_orderkey", "o_custkey"), li.l_orderkey == o.o_orderkey) \
+    events = li.join(o.select("o_orderkey", "o_custkey").hint("merge"), li.l_orderkey == o.o_orderkey) \
         .select("l_orderkey", "l_linenumber", "l_shipdate", "o_custkey")
     periods = o.select("o_custkey", "o_orderdate", "o_orderpriority",
                        F.col("o_orderkey").alias("periodo_id"))
@@ -60,7 +60,7 @@ def q_scd2_overlap(spark, d):
     one that is still open holds again."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     o = table(spark, d, "orders")
-    events = li.join(o.select("o_orderkey", "o_custkey"), li.l_orderkey == o.o_orderkey) \
+    events = li.join(o.select("o_orderkey", "o_custkey").hint("merge"), li.l_orderkey == o.o_orderkey) \
         .select("l_orderkey", "l_linenumber", "l_shipdate", "o_custkey")
     days = F.left("o_orderpriority", F.lit(1)).cast("int") * 100
     periods = o.select("o_custkey", "o_orderdate", F.col("o_orderpriority").alias("afiliacao"),

@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from civitas.operators import asof
 from civitas.operators.asof import asof_join, asof_scan, flatten_periods
+from civitas.session import materialize_table
 
 
 def test_asof_matches_brute_force(spark):
@@ -129,3 +131,18 @@ def test_scan_of_empty_tables(spark):
     assert asof_scan(e.limit(0), p, "key", "t", "start", ["attr"]).count() == 0
     got = asof_scan(e, p.limit(0), "key", "t", "start", ["attr"], end_time="stop", overlapping=True).collect()
     assert len(got) == len(events) and all(r.attr is None for r in got)
+
+
+def test_pieces_grow_with_the_points_inside_a_period_not_with_its_time(spark, monkeypatch):
+    made = {}
+
+    def kept(df, purpose):
+        made[purpose] = materialize_table(df, purpose)
+        return made[purpose]
+    monkeypatch.setattr(asof, "materialize_table", kept)
+    day = lambda n: dt.datetime(2000, 1, 1) + dt.timedelta(days=n)
+    p = spark.createDataFrame([("a", day(i * 90), day(i * 90 + 400), i) for i in range(8)],
+                              "k string, s timestamp_ntz, e timestamp_ntz, v int")
+    got = {r["__t"]: r["__p"] and r["__p"]["a0"] for r in flatten_periods(p, "k", "s", "e", ["v"]).collect()}
+    assert all(got[day(i * 90)] == i for i in range(8)) and got[day(400)] == 4 and got[day(7 * 90 + 400)] is None
+    assert made["asof-pieces"].count() <= 8 * 2 * 4   # each was cut into about 40 pieces of time
