@@ -134,10 +134,24 @@ def count_distinct_approx(c, rsd: float = 0.01) -> Column:
 
 def count_distinct_many(df: DataFrame, group: Sequence[str], distinct: dict,
                         other_aggs: Sequence[Column] = ()) -> DataFrame:
-    """Several exact distinct counts per group, with ``other_aggs``, in one pass
-    over the input and one row per group, a null group included.  Spark reduces
-    the rows to (group, column, value) on the map side and spreads a hot group
-    over tasks by value before it counts.  ``distinct`` maps output name ->
-    column name or expression (``when(cond, c)`` gives a conditional count)."""
-    return df.groupBy(*group).agg(*other_aggs, *[
-        F.count_distinct(col(c)).cast("bigint").alias(name) for name, c in distinct.items()])
+    """Several exact distinct counts per group, with ``other_aggs``: one row per
+    group, a null group included.  ``distinct`` maps output name -> column name or
+    expression (``when(cond, c)`` gives a conditional count).
+
+    Each count reads ``df`` once and reduces it to (group, value), on the map side
+    first; a hot group is spread over tasks by value before it is counted.  Counted
+    in one aggregate, Spark would make a row per count of every input row and, where
+    a buffer is a string, hold and sort all of them in the task."""
+    group = list(group)
+    out = df.groupBy(*group).agg(*other_aggs) if other_aggs else df.select(*group).distinct()
+    for name, c in distinct.items():
+        keys = [f"__g{i}" for i in range(len(group))]
+        values = df.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], col(c).alias("__v"))
+        n = values.where(F.col("__v").isNotNull()).distinct().groupBy(*keys).agg(
+            F.count(F.lit(1)).cast("bigint").alias("__n"))
+        same = F.lit(True)
+        for g, k in zip(group, keys):
+            same = same & F.col(g).eqNullSafe(F.col(k))
+        out = out.join(n, same, "left").withColumn(name, F.coalesce("__n", F.lit(0).cast("bigint"))) \
+            .drop(*keys, "__n")
+    return out

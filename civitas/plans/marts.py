@@ -58,11 +58,13 @@ from lineitem l join orders o on l.l_orderkey = o.o_orderkey
 group by o.o_custkey
 """)
 def q_agg_author(spark, d):
-    """agg_count_distinct (three at once, without row expansion),
+    """agg_count_distinct (three, without row expansion),
     agg_coalesce_max, agg_bool_or, agg_avg_coalesced per buyer."""
-    li = table(spark, d, "lineitem")
-    o = table(spark, d, "orders")
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linestatus",
+                                            "l_returnflag", "l_discount")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    # each count reads the joined rows once more
+    j = materialize_table(li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey"), "author-lines")
     return count_distinct_many(
         j, ["o_custkey"],
         {"n_pedidos": "l_orderkey", "n_pecas": "l_partkey", "n_fornecedores": "l_suppkey"},

@@ -165,6 +165,16 @@ def test_null_groups_and_all_null_groups(spark):
     assert exact_quantiles(df.where("false"), ["g"], "v", [0.5]).count() == 0
 
 
+def test_distinct_counts_make_no_row_per_count(spark):
+    from civitas.operators.aggregates import count_distinct_many
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), (None, 2, "y"), ("b", None, None)],
+                               "g string, k int, v string")
+    out = count_distinct_many(df, ["g"], {"nk": "k", "nv": "v"}, [F.max("v").alias("m")])
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect()), key=repr) == [
+        ("a", "y", 1, 2), ("b", None, 0, 0), (None, "y", 1, 1)]
+
+
 def test_monthly_means_past_an_int(spark, tmp_path):
     from civitas.plans import QUERIES
     for price, kind in ((1e11, "bigint"), (1000.0, "int")):
